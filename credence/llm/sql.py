@@ -18,9 +18,9 @@ FROM m
 """
 
 _SHINGLES = """
-{name}_w AS (SELECT {key} AS id, list_transform(regexp_extract_all({folded}, '[^\\x20\\x09-\\x0D]+'), x -> x) AS w FROM {table}),
+{name}_w AS (SELECT {key} AS id, regexp_extract_all({folded}, '[^\\x20\\x09-\\x0D]+') AS w FROM {table}),
 {name} AS (
-    SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+    SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
                                     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM {name}_w)"""
 
 _DOCS = _SHINGLES.format(name="s", key="doc_id", table="documents", folded=FOLDED.format("coalesce(text, '')"))
@@ -32,10 +32,10 @@ size AS (SELECT id, count(*) AS n FROM s GROUP BY id),
 pair AS (SELECT x.id AS a, y.id AS b, count(*) AS o FROM s x JOIN s y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2),
 link AS (SELECT a, b FROM pair JOIN size p ON p.id = a JOIN size q ON q.id = b WHERE 100 * o >= 80 * (p.n + q.n - o)),
 edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
-reach(id, at) AS (SELECT DISTINCT a, a FROM edge UNION SELECT reach.id, edge.b FROM reach JOIN edge ON edge.a = reach.at)
+reach(id, now) AS (SELECT DISTINCT a, a FROM edge UNION SELECT reach.id, edge.b FROM reach JOIN edge ON edge.a = reach.now)
 SELECT d.doc_id, coalesce(size.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(r.low, d.doc_id)) AS component_id
 FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN size ON size.id = d.doc_id
-LEFT JOIN (SELECT id, min(at) AS low FROM reach GROUP BY id) r ON r.id = d.doc_id
+LEFT JOIN (SELECT id, min(now) AS low FROM reach GROUP BY id) r ON r.id = d.doc_id
 """
 
 CONTAINMENT = f"""
@@ -50,12 +50,12 @@ FROM documents d LEFT JOIN listed l ON l.doc_id = d.doc_id
 
 QUALITY = r"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-                  list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
 v AS (SELECT row_number() OVER () AS r, * FROM t),
-win AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), k -> array_to_string(w[k:k + 2], ' '))) AS g FROM v),
+win AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' '))) AS g FROM v),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1),
 cov AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
-m AS (SELECT v.doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+m AS (SELECT v.doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
              (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
              (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines
       FROM v LEFT JOIN cov ON cov.r = v.r),
@@ -78,4 +78,41 @@ SELECT e.doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols, n_dup_lines,
 FROM e JOIN k ON k.doc_id = e.doc_id
 """
 
-ORACLES: dict[str, str] = {"op3_quality_rules": QUALITY, "op4_decontamination": CONTAINMENT, "op6_ngram_jaccard": JACCARD, "op10_warc_revisits": WARC}
+_TURN = "PARTITION BY conv_id, perspective, part ORDER BY turn, speaker, said, head, own"
+_BY = _TURN.partition("part ")[2]
+
+PERSPECTIVES = f"""
+WITH t AS (SELECT coalesce(conv_id, -1) AS conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS said FROM conversations),
+v AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+s AS (SELECT t.*, perspective, floor(turn / 256)::BIGINT AS part, speaker = perspective AS own,
+             CASE WHEN speaker = perspective THEN '<|assistant|>' WHEN speaker = 'system' THEN '<|system|>' ELSE '<|user:' || speaker || '|>' END AS head FROM t JOIN v USING (conv_id)),
+b AS (SELECT *, said || '<|end|>' || chr(10) AS body FROM s),
+p AS (SELECT *, (sum(length(head) + length(body)) OVER ({_TURN} ROWS UNBOUNDED PRECEDING) - length(body))::BIGINT AS pos FROM b)
+SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(head || body, '' {_BY}) AS text,
+       coalesce(string_agg(CASE WHEN own THEN pos || '+' || length(body) END, ' ' {_BY}), '') AS spans, sum(CASE WHEN own THEN length(body) ELSE 0 END)::BIGINT AS mask_chars
+FROM p GROUP BY conv_id, perspective, part
+"""
+
+
+def _license_sql() -> str:
+    from .license_scan import PHRASES, TEMPLATES, THRESHOLD, need
+
+    word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    listed = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    places = [f"list_filter(range(0, greatest(len(w) - {len(p) - 1}, 0)), lambda i: {' AND '.join(f'w[i + {k + 1}] = {x!r}' for k, x in enumerate(p))})" for p in PHRASES.values()]
+    shared = [(label, t, f"len(list_intersect(b, {listed(t)}))") for label, t in ((a, sorted(set(b.split()))) for a, b in TEMPLATES)]
+    share = "greatest(" + ", ".join(f"CASE WHEN {n} >= {need(t, THRESHOLD)} THEN {n} / {len(t)} ELSE 0.0 END" for _, t, n in shared) + ")"
+    found = " || ".join(f"CASE WHEN len(list_filter(blocks, lambda b: {n} >= {need(t, THRESHOLD)})) > 0 THEN ['{label}'] ELSE [] END" for label, t, n in shared)
+    base = " || ".join(f"CASE WHEN len({p}) > 0 THEN ['{label}'] ELSE [] END" for label, p in zip(PHRASES, places, strict=True))
+    return f"""
+WITH t AS (SELECT doc_id, {FOLDED.format("coalesce(text, '')")} AS low FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(low, {word}) AS w, list_transform(string_split(low, chr(10)), lambda l: list_distinct(regexp_extract_all(l, {word}))) AS blocks FROM t),
+f AS (SELECT doc_id, len(w) AS n, {" || ".join(places)} AS pos, {base} AS base, {found} AS found, list_filter(list_transform(blocks, lambda b: {share}), lambda x: x > 0) AS shares FROM w)
+SELECT doc_id, n::BIGINT AS n_words, len(pos)::BIGINT AS n_base, list_min(pos)::BIGINT AS first_word, list_max(pos)::BIGINT AS last_word,
+       array_to_string(list_sort(list_distinct(base)), ',') AS base_labels, array_to_string(list_sort(list_distinct(base || found)), ',') AS labels,
+       CASE WHEN len(pos) > 0 THEN 1.0 ELSE round(coalesce(list_max(shares), 0.0), 6) END::DOUBLE AS score, len(shares)::BIGINT AS n_blocks
+FROM f
+"""
+
+
+ORACLES: dict[str, str] = {"op3_quality_rules": QUALITY, "op4_decontamination": CONTAINMENT, "op5_perspectives": PERSPECTIVES, "op6_ngram_jaccard": JACCARD, "op8_license_scan": _license_sql(), "op10_warc_revisits": WARC}

@@ -1,24 +1,5 @@
-import sys
-from pathlib import Path
-
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
-
-
-@pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    from pyspark.sql import SparkSession
-
-    shared = tmp_path_factory.mktemp("shared")
-    session = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.checkpoint.dir", f"file://{shared}").getOrCreate()
-    )
-    session.sparkContext.setLogLevel("ERROR")
-    return session
-
-
 DATA = "/root/testdata/sf0.001"
 
 
