@@ -9,8 +9,8 @@ from credence.llm import decontaminate, language_id, mixing, ngram_join, token_b
 from credence.llm.common import new_dir
 from credence.llm.queries import _tokenizer
 
-#: Documents whose language holds less of the text than this, or that have none, are rejected.
-LEAST_SCORE = 0.5
+#: Documents whose first language scores less, since none prevails, are rejected; short ones of one language score more.
+LEAST_SCORE = 0.2
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a language, or mostly in others than their first, go."""
+    """Language ID: documents without a language, or in which none prevails, go."""
     found = language_id.language_id(docs)
     return _only(docs, found.filter((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SCORE)).select("doc_id").distinct())
 

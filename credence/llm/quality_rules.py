@@ -13,7 +13,7 @@ from .common import SPACE, new_dir, stored, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Metric: (least upper cut-off, greatest lower cut-off). A cut-off never gets stricter than these, however even a group is.
-FLOORS = {"symbol_pm": (100, -1), "dup_pm": (300, -1), "repeat_pm": (200, -1), "length_d": (120, 20)}
+FLOORS = {"symbol_pm": (100, -1), "dup_pm": (500, -1), "repeat_pm": (400, -1), "length_d": (120, 20)}
 
 
 def _repeat_words(words: Column) -> Column:

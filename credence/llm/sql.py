@@ -63,7 +63,7 @@ e AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
              least(1000, 1000 * n_symbols // greatest(word_chars, 1)) AS symbol_pm, least(1000, 1000 * n_dup_lines // greatest(n_lines, 1)) AS dup_pm,
              least(1000, 1000 * n_repeat_words // greatest(n_words, 1)) AS repeat_pm, least(1000, 10 * word_chars // greatest(n_words, 1)) AS length_d FROM m),
 x AS (SELECT lang, source, unnest(['symbol_pm', 'dup_pm', 'repeat_pm', 'length_d']) AS metric, unnest([symbol_pm, dup_pm, repeat_pm, length_d]) AS v FROM e WHERE NOT base_failed),
-f(metric, top, low) AS (VALUES ('symbol_pm', 100, -1), ('dup_pm', 300, -1), ('repeat_pm', 200, -1), ('length_d', 120, 20)),
+f(metric, top, low) AS (VALUES ('symbol_pm', 100, -1), ('dup_pm', 500, -1), ('repeat_pm', 400, -1), ('length_d', 120, 20)),
 q AS (SELECT grouping(lang) + grouping(source) AS level, lang, source, x.metric, count(*) AS n, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3
       FROM x GROUP BY GROUPING SETS ((lang, source, x.metric), (lang, x.metric), (x.metric))),
 c AS (SELECT level, lang, source, q.metric, greatest(top, q3 + 3 * (q3 - q1)) AS hi, least(low, q1 - 3 * (q3 - q1)) AS lo FROM q JOIN f ON f.metric = q.metric WHERE level = 2 OR n >= 200),
