@@ -4,6 +4,7 @@ Items are parted by size (powers of two of their distinct five-word shingles). A
 item, k = |Q| - ceil(threshold * |Q|) + 1 of them: a document that holds at least `threshold` of the item holds one of any k
 of its shingles, so no match is missed. Documents too short for a class (fewer than threshold * |Q| shingles) skip it.
 Documents aren't sketched: however long, all their shingles are looked up, so a short item in a long text is found as well.
+Letters of all alphabets are compared in lower case, so that shouted passages are found too.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,7 @@ class Items:
     """Sketches by size class and exact shingles of one round's items."""
 
     def __init__(self, items: list[tuple[int, str]], threshold: float):
+        items = list(zip((k for k, _ in items), pc.utf8_lower(pa.array([t for _, t in items], pa.string())).to_pylist(), strict=True))
         self.threshold = round(threshold * 1000)
         self.sets = {k: s for k, t in items if (s := shingle_set(t))}
         self.keys = sorted(self.sets)
@@ -97,7 +100,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, text_
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = Items(shared.value, threshold)
             for batch in batches:
-                for keys, data, offsets in text_steps(batch.column(0), batch.column(1)):
+                for keys, data, offsets in text_steps(batch.column(0), pc.utf8_lower(batch.column(1))):
                     held: list[list[int]] = [[] for _ in range(len(offsets) - 1)]
                     most = np.zeros(len(offsets) - 1)
                     for at, item, share in items.search(data, offsets) if items.keys else []:

@@ -24,7 +24,8 @@ _SHINGLES = """
                                     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM {name}_w)"""
 
 _DOCS = _SHINGLES.format(name="s", key="doc_id", table="documents", folded=FOLDED.format("coalesce(text, '')"))
-_ITEMS = _SHINGLES.format(name="b", key="item_id", table="benchmark", folded=FOLDED.format("coalesce(text, '')"))
+_LOWER_DOCS = _SHINGLES.format(name="s", key="doc_id", table="documents", folded="lower(coalesce(text, ''))")
+_ITEMS = _SHINGLES.format(name="b", key="item_id", table="benchmark", folded="lower(coalesce(text, ''))")
 
 JACCARD = f"""
 WITH RECURSIVE {_DOCS},
@@ -39,7 +40,7 @@ LEFT JOIN (SELECT id, min(now) AS low FROM reach GROUP BY id) r ON r.id = d.doc_
 """
 
 CONTAINMENT = f"""
-WITH {_DOCS}, {_ITEMS},
+WITH {_LOWER_DOCS}, {_ITEMS},
 size AS (SELECT id, count(*) AS n FROM b GROUP BY id),
 hit AS (SELECT s.id AS doc_id, b.id AS item, count(*) AS o FROM s JOIN b ON s.g = b.g GROUP BY 1, 2),
 held AS (SELECT doc_id, item, o / n AS share FROM hit JOIN size ON size.id = item WHERE 1000 * o >= 800 * n),

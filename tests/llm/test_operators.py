@@ -59,7 +59,7 @@ def test_splicing(documents, bytes_bpe, chunk, overlap):
 def test_pieces_are_exact(bytes_bpe):
     rng = random.Random(3)
     count = token_counts.counter(_tokenizer("byte_bpe_50k.json"), 10_000, 1000, 100)
-    texts = ["".join(rng.choice(["a", "B", " ", "\n", "!", "'s", "1", "\t", " ", "\x1c", " ", "é", "<|endoftext|>", "中"]) for _ in range(rng.randrange(60))) for _ in range(2000)]
+    texts = ["".join(rng.choice(["a", "B", " ", "\n", "!", " word", " Über", ".,", "#|", "'s", "1", "\t", " ", "\x1c", " ", "é", "<|endoftext|>", "中"]) for _ in range(rng.randrange(60))) for _ in range(2000)]
     assert count(texts) == [len(bytes_bpe.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
@@ -82,6 +82,17 @@ def test_token_files(spark, texts, tmp_path):
     assert all(ids[k] == x for k, x in coded)
 
 
+def test_word_pieces_are_exact():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(_tokenizer("word_bpe_49k.json"))
+    rng = random.Random(4)
+    encode = token_binary.encoder(_tokenizer("word_bpe_49k.json"))
+    bits = ["a", "Bc", "ß", "Ünter", " ", "\n", "\n\n", "!", "..", "'s", "'", "it's", "1", "23", "\t", "\xa0", "é", "e\u0301", "<|endoftext|>", "<|EndOfText|>", "<|", "中", "Σ", "İ", "ª", "word", "\u0308", "#%", "\x1c"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    assert [np.frombuffer(x, "<u2").tolist() for x in encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_files_of_nothing(nothing, tmp_path):
     assert token_binary.token_files(nothing, _tokenizer("word_bpe_49k.json"), path=f"file://{tmp_path}/none").count() == 0
 
@@ -140,10 +151,10 @@ def test_sketches_merge(spark):
 
 def test_decontamination(spark, texts, odd, nothing):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet").unionByName(spark.createDataFrame([(900, None), (901, ""), (902, "a b c d e f g"), (903, "one")], "item_id long, text string"))
-    sets = {r["item_id"]: decontaminate.shingle_set(r["text"] or "") for r in bench.collect()}
+    sets = {r["item_id"]: decontaminate.shingle_set((r["text"] or "").lower()) for r in bench.collect()}
     want = set()
     for k, t in rows_of(texts):
-        own = decontaminate.shingle_set(t)
+        own = decontaminate.shingle_set(t.lower())
         want |= {(k, i) for i, s in sets.items() if s and len(s & own) * 1000 >= 800 * len(s)}
     for size in (32 << 20, 2000):  # one round and several
         got = {(r["doc_id"], int(i)) for r in decontaminate.contaminated(texts, bench, text_bytes=size).collect() for i in r["items"].split(",") if i}
