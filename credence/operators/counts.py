@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
-from itertools import product as cross
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.graph import DAG
-from .table import POTENTIAL
 
 
 def joint_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -100,11 +98,3 @@ def encoded(df: DataFrame, names: Sequence[str]) -> DataFrame:
         codes = codes.select(F.col(n).alias("_label"), F.dense_rank().over(Window.orderBy(n)).cast("int").alias("_code"))
         df = df.join(F.broadcast(codes) if codes.count() <= 100_000 else codes, F.col(n) == F.col("_label"), "left").withColumn(n, F.col("_code")).drop("_label", "_code")
     return df
-
-
-def probability_rows(sizes: Mapping[str, int], parents: Sequence[str]) -> list[tuple[int, ...]]:
-    """Parents' states in the order of q."""
-    return [tuple(reversed(x)) for x in cross(*(range(1, sizes[p] + 1) for p in reversed(parents)))]
-
-
-__all__ = ["POTENTIAL", "cardinalities", "config", "count", "count_families", "encoded", "families", "joint_counts", "pivoted", "probability_rows", "statistics", "statistics_all", "statistics_matrix"]

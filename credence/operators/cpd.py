@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.math import NEG_INF, normal, normal_logpdf, pick, safe_ln, uniform
+from ..functions.math import NEG_INF, normal, normal_logpdf, pick, uniform
 from .counts import cardinalities, config, statistics
 from .distributions import Categorical, Distribution, Normal, cumulative
 from .factor import Factor
@@ -335,6 +335,3 @@ class ParentFunctionalCPD(FunctionalCPD):
         names = tuple(parents)
         bound = lambda f: f and (lambda at, *rest: f(at, names, *rest))
         super().__init__(name, parents, bound(dist), bound(columns), bound(sampler))
-
-
-__all__ = ["CPD", "CategoricalCPD", "ConditionalLinearGaussianCPD", "DiscreteCPD", "FunctionalCPD", "LinearGaussianCPD", "ParentFunctionalCPD", "StaticCPD", "least_squares", "safe_ln"]
