@@ -1,10 +1,11 @@
 """License scans: phrases word by word, and text blocks that contain most of a license template.
 
-The template join is an exact set-similarity join under containment. A template's tokens are ordered by their frequency in
-the corpus, rarest first. A block that holds at least `threshold` of them must hold one of the first
-|T| - ceil(threshold * |T|) + 1 (prefix filter), needs that many distinct tokens itself (length filter), and what is left of
-the template behind the first token it holds must still reach the threshold (positional filter). Only blocks that pass are
-intersected. Templates are a fixed list of constants; only rows of the corpus grow, and each is handled where it lies.
+The template join is an exact set-similarity join under containment. All tokens of templates are ranked by their frequency in the
+corpus, rarest first; a template and a block are the ascending ranks of their tokens, tokens of no template aside. A block
+that holds at least `threshold` of a template has that many ranks itself (length filter), holds one of the template's first
+|T| - ceil(threshold * |T|) + 1 (prefix filter), and from the first rank that both have on, both have enough left (positional
+filter). Only blocks that pass are intersected. Templates are a fixed list of constants; only rows of the corpus grow, and
+each is handled where it lies.
 """
 
 from __future__ import annotations
@@ -49,25 +50,33 @@ def places(words: Column, phrase: tuple[str, ...]) -> Column:
     return F.when(n >= len(phrase), F.filter(F.sequence(F.lit(0), F.greatest(n - len(phrase), F.lit(0))), hit)).otherwise(F.array().cast("array<int>"))
 
 
-def need(tokens: list[str], threshold: float) -> int:
+def need(tokens: list, threshold: float) -> int:
     """Least number of a template's tokens that reaches the threshold."""
     return -(-round(threshold * 1000) * len(tokens) // 1000)
 
 
-def ordered_templates(docs: DataFrame, templates: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
-    """Templates as distinct tokens, rarest in the corpus first. The counts come from all documents; at most one a template token reaches the driver."""
+def ranked_tokens(docs: DataFrame, templates: list[tuple[str, str]]) -> list[str]:
+    """The templates' tokens, rarest in the corpus first. The counts come from all documents; at most one a token reaches the driver."""
     vocabulary = sorted({w for _, t in templates for w in t.split()})
     hits = F.filter(scan_words(lower_ascii(F.coalesce(docs["text"].cast("string"), F.lit("")))), lambda w: w.isin(vocabulary))
     counts = {r["w"]: r["n"] for r in docs.select(F.explode(hits).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
-    return [(label, sorted(set(t.split()), key=lambda w: (counts.get(w, 0), w))) for label, t in templates]
+    return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def contained(block: Column, tokens: list[str], threshold: float) -> Column:
-    """Share of the template's tokens in a block's words if it reaches the threshold, else 0; the filters run in order of their price."""
-    least = need(tokens, threshold)
-    prefix = F.array(*(F.lit(w) for w in tokens[: len(tokens) - least + 1]))
-    shared = F.size(F.array_intersect(block, F.array(*(F.lit(w) for w in tokens))))
-    return F.when((F.size(block) >= least) & F.arrays_overlap(block, prefix), F.when(shared >= least, shared / F.lit(len(tokens))).otherwise(0.0)).otherwise(0.0)
+def ranks_of(words: Column, tokens: list[str]) -> Column:
+    """Ascending ranks of a block's distinct template tokens."""
+    known = F.filter(F.array_distinct(words), lambda w: w.isin(tokens))
+    return F.sort_array(F.transform(known, lambda w: F.array_position(F.array(*map(F.lit, tokens)), w).cast("int")))
+
+
+def contained(block: Column, ranks: list[int], threshold: float) -> Column:
+    """Share of a template's ranks in a block's if it reaches the threshold, else 0; the filters run in order of their price."""
+    least, whole = need(ranks, threshold), F.array(*map(F.lit, ranks))
+    first = F.array_min(F.array_intersect(block, F.array(*map(F.lit, ranks[: len(ranks) - least + 1]))))
+    left = lambda x: F.size(x) - F.array_position(x, first) + 1
+    shared = F.size(F.array_intersect(block, whole))
+    near = (F.size(block) >= least) & first.isNotNull() & (left(whole) >= least) & (left(block) >= least)
+    return F.when(near, F.when(shared >= least, shared / F.lit(len(ranks))).otherwise(0.0)).otherwise(0.0)
 
 
 def _over(k: int):
@@ -81,16 +90,19 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     templates; 1.0 where a phrase stands, 0 without a match), n_blocks (lines that match a template). A null or empty text
     has no words and no labels; ties and repeated rows give a row each.
     """
-    models = ordered_templates(docs, templates or TEMPLATES)
+    templates = templates or TEMPLATES
+    tokens = ranked_tokens(docs, templates)
+    rank = {w: i + 1 for i, w in enumerate(tokens)}
+    models = [(label, sorted({rank[w] for w in t.split()})) for label, t in templates]
     low = lower_ascii(F.coalesce(docs["text"].cast("string"), F.lit("")))
     at = docs.select(docs["doc_id"].cast("long").alias("doc_id"), low.alias("low"))
     at = at.select("doc_id", "low", scan_words(F.col("low")).alias("words"))
     # a phrase or a template can only stand where one of its rarest words does
     for label, phrase in PHRASES.items():
         at = at.withColumn(f"at_{label}", F.when(F.col("low").contains(max(phrase, key=len)), places(F.col("words"), phrase)).otherwise(F.array().cast("array<int>")))
-    some = reduce(lambda a, b: a | b, (F.col("low").contains(w) for w in sorted({w for _, t in models for w in t[: len(t) - need(t, threshold) + 1]})))
-    blocks = F.transform(F.split("low", "\n"), lambda line: F.array_distinct(scan_words(line)))
-    at = at.withColumn("blocks", F.when(some, F.filter(blocks, lambda b: F.size(b) >= min(need(t, threshold) for _, t in models))).otherwise(F.array().cast("array<array<string>>")))
+    some = reduce(lambda a, b: a | b, (F.col("low").contains(tokens[r - 1]) for r in sorted({r for _, t in models for r in t[: len(t) - need(t, threshold) + 1]})))
+    blocks = F.transform(F.split("low", "\n"), lambda line: ranks_of(scan_words(line), tokens))
+    at = at.withColumn("blocks", F.when(some, F.filter(blocks, lambda b: F.size(b) >= min(need(t, threshold) for _, t in models))).otherwise(F.array().cast("array<array<int>>")))
     score = lambda b: F.array(*(contained(b, t, threshold) for _, t in models))
     at = at.withColumn("scores", F.filter(F.transform("blocks", score), lambda s: F.array_max(s) > 0))
     every = F.concat(*(F.col(f"`at_{label}`") for label in PHRASES))
