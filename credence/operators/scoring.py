@@ -70,36 +70,39 @@ class NegativeBIC(ScoringFunction):
 Family = tuple[str, tuple[str, ...]]
 
 
-def _batched(joint: DataFrame, wanted: Sequence[Family], terms) -> dict[Family, float]:
-    """Sum, for each family, of a term over its cells and of another over its configurations. Observed cells alone are visited: absent ones add nothing."""
+def _batched(joint: DataFrame, wanted: Sequence[Family], params, term) -> dict[Family, float]:
+    """For each family the sum of a term over its cells, less that over its configurations. params(family) gives a number for each of
+    the two, which the term gets with the count. Observed cells alone are visited: absent ones add nothing. All in one job."""
     if not wanted:
         return {}
     names = sorted({n for t, ps in wanted for n in (t, *ps)})
     sets = sorted({frozenset({t, *ps}) for t, ps in wanted} | {frozenset(ps) for _, ps in wanted}, key=sorted)
     gid = lambda s: sum(1 << (len(names) - 1 - i) for i, x in enumerate(names) if x not in s)
     grouped = joint.groupingSets([[F.col(x) for x in sorted(s)] for s in sets], *(F.col(x) for x in names)).agg(F.sum("n").cast("double").alias("n"), F.grouping_id().cast("long").alias("gid"))
-    out = []
+    rows = []
     for i, (t, ps) in enumerate(wanted):
-        cell, conf = terms((t, ps), F.col("n"))
-        out.append(F.sum(F.when(F.col("gid") == gid({t, *ps}), cell).otherwise(F.when(F.col("gid") == gid(set(ps)), conf).otherwise(0.0))).alias(f"s{i}"))
-    row = grouped.agg(*out).first()
-    return {f: row[f"s{i}"] for i, f in enumerate(wanted)}
+        cell, conf = params((t, ps))
+        rows += [(gid({t, *ps}), i, float(cell), math.lgamma(cell) if cell else 0.0, 1.0), (gid(set(ps)), i, float(conf), math.lgamma(conf) if conf else 0.0, -1.0)]
+    roles = joint.sparkSession.createDataFrame(rows, "gid long, family int, x double, gx double, sign double")  # two rows a family
+    summed = grouped.join(F.broadcast(roles), "gid").groupBy("family").agg(F.sum(F.col("sign") * term).alias("s"))
+    found = {r["family"]: r["s"] for r in summed.collect()}
+    return {f: found.get(i, 0.0) for i, f in enumerate(wanted)}
 
 
 def bayesian_components(joint: DataFrame, wanted: Sequence[Family], sizes: Mapping[str, int], prior: DirichletPrior) -> dict[Family, float]:
     """Log marginal likelihoods of families, from counts `n`."""
 
-    def terms(f: Family, n):
+    def alphas(f: Family) -> tuple[float, float]:
         r, q = sizes[f[0]], prod(sizes[p] for p in f[1])
         a = prior.for_family(r, q)
-        return lgamma(n + a) - math.lgamma(a), math.lgamma(r * a) - lgamma(n + r * a)
+        return a, r * a
 
-    return _batched(joint, wanted, terms)
+    return _batched(joint, wanted, alphas, lgamma(F.col("n") + F.col("x")) - F.col("gx"))
 
 
 def bic_components(joint: DataFrame, wanted: Sequence[Family], sizes: Mapping[str, int], rows: int) -> dict[Family, float]:
     """Negative BIC of discrete families: counts alone decide. A category of each configuration counts as a parameter, the last one too."""
-    fit = _batched(joint, wanted, lambda f, n: (n * F.ln(n), -n * F.ln(n)))
+    fit = _batched(joint, wanted, lambda f: (0.0, 0.0), F.col("n") * F.ln("n"))
     return {f: 2 * s - math.log(rows) * sizes[f[0]] * prod(sizes[p] for p in f[1]) for f, s in fit.items()}
 
 
