@@ -14,6 +14,8 @@ The table is a file of its own, written before the frames: quantised to a sum of
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -141,24 +143,73 @@ def frames(data: memoryview) -> Iterator[tuple[memoryview, int, int, int, int, i
 
 
 _PIECES: dict = {}
-KEPT = 1_000_000
+#: Pieces whose ids a worker keeps; at that many it begins anew.
+KEPT = 1_500_000
+#: Texts in which lower case depends on more than the single character, or special strings may stand, keep their case.
+AS_IT_IS = re.compile("<\\||[^\x00-\u024f]")
+LETTERS = re.compile("[a-z\xe0-\xf6\xf8-\xff]+")
+#: Marks that the tokenizer parts from a word before them.
+MARKS = ".,!?;:|*%$&#()\"<>"
 
 
 def encoder(path: str):
-    """A function from texts to ids as u16 bytes. The tokenizer drops white space between words, so pieces between spaces are encoded once each."""
+    """A function from texts to ids as u16 bytes.
+
+    The tokenizer folds case and drops white space between words, so pieces between spaces are encoded once each. A new piece of
+    Latin letters, without the marks at its end, is one word to the tokenizer: such words go through its model together,
+    with the same vocabulary but without the normaliser and splitter, which leave them as they are; a word ends where an
+    end-of-word token stands. All other pieces go through the tokenizer as it is.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    lean = json.loads(tokenizer.to_str())
+    split = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    lean |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, split]}, "post_processor": None}
+    lean = Tokenizer.from_str(json.dumps(lean))
+    ends = np.zeros(1 << 16, bool)
+    ends[[i for w, i in tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
     known: dict[str, bytes] = {}
 
+    def whole(pieces: list[str]) -> None:
+        for i in range(0, len(pieces), 10_000):
+            part = pieces[i : i + 10_000]
+            known.update((p, np.array(e.ids, "<u2").tobytes()) for p, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
+
+    def letters(words: list[str]) -> None:
+        parts = [words[i : i + 100] for i in range(0, len(words), 100)]
+        for part, e in zip(parts, lean.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u2")
+            cuts = np.flatnonzero(ends[ids]) + 1
+            if len(cuts) != len(part) or cuts[-1] != len(ids):
+                whole(part)
+                continue
+            raw, last = ids.tobytes(), 0
+            for w, c in zip(part, (2 * cuts).tolist(), strict=True):
+                known[w] = raw[last:c]
+                last = c
+
+    def learn(pieces: list[str]) -> None:
+        marked, words, others = [], set(), set()
+        for p in pieces:
+            core = p.rstrip(MARKS)
+            if not LETTERS.fullmatch(core):
+                others.add(p)
+                continue
+            if len(core) < len(p):
+                marked.append((p, core, p[len(core) :]))
+                others.add(p[len(core) :])
+            words.add(core)
+        whole(list(others - known.keys()))
+        letters(list(words - known.keys()))
+        known.update((p, known[core] + known[marks]) for p, core, marks in marked)
+
     def encode(texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        parts = [(t if AS_IT_IS.search(t) else t.lower()).replace("\n", " ").split(" ") for t in texts]
         if len(known) > KEPT:
             known.clear()
-        new = list(set().union(*parts) - known.keys()) if parts else []
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            known.update((p, np.array(e.ids, "<u2").tobytes()) for p, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
+        if new := set().union(*parts) - known.keys():
+            learn(list(new))
         get = known.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
