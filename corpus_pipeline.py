@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credence.llm import decontaminate, language_id, mixing, ngram_join, token_binary
-from credence.llm.common import new_dir
+from credence.llm.common import new_dir, small_side, stored
 from credence.llm.queries import _tokenizer
 
 #: Documents whose first language scores less, since none prevails, are rejected; short ones of one language score more.
@@ -14,8 +14,8 @@ LEAST_SCORE = 0.2
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is among ids (one column, doc_id)."""
-    return docs.join(ids, "doc_id", "left_semi").select(docs.columns)
+    """The documents whose doc_id is among ids (one column, doc_id), each as often as it comes."""
+    return docs.join(small_side(stored(ids, new_dir(docs.sparkSession, "ids"))), "doc_id", "left_semi").select(docs.columns)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,6 +41,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing sources: a row for each time that a document is drawn."""
     drawn = mixing.mixed_sources(docs).select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("h").alias("x"))
+    drawn = small_side(stored(drawn, new_dir(spark, "drawn")))
     key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     return docs.withColumn("_h", key).join(drawn, docs["doc_id"].eqNullSafe(F.col("d")) & docs["source"].eqNullSafe(F.col("s")) & (F.col("_h") == F.col("x"))).select([docs[c] for c in docs.columns])
 

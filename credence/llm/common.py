@@ -48,6 +48,15 @@ def stored(df: DataFrame, path: str, partitioned: tuple[str, ...] = ()) -> DataF
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that may be broadcast, some tens of MB at most; larger sides are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(written: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its counted rows are few."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case; all other characters stay."""
     return F.translate(text, UPPER, LOWER)

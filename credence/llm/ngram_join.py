@@ -6,10 +6,13 @@ never built whole. It runs in blocks of columns (ranges of shingle hashes) and d
 1. A linked pair x, y shares at least 80 % of the larger. So of x's shingles in hash order only the first
    |x| - ceil(.8 |x|) + ceil(.1 |x|) enter the matrix, and of these a partner shares at least ceil(.1 ceil(.8 |x|)).
    Block by block, the columns that no other document has are dropped. A document that keeps fewer has no partner.
-2. What is left is mostly copies. Documents with equal sets become one; the first columns of each, rarest first, that the
-   same bound leaves are multiplied: two documents that share none of them can't be linked.
-3. Overlaps are accumulated over whole sets, first of each document with the best of the pivots (smallest document of a column), then
-   with a second pivot, then of all pairs in a column that aren't yet in one component. Pairs within a component need no proof.
+2. Documents with equal sets become one. What is left enters the matrix wholly, and the same is asked of whole rows: a document
+   with fewer than ceil(.8 |x|) columns that another one has is dropped. Of the others only the |x| - ceil(.8 |x|) + 1
+   rarest columns are multiplied: two documents that share none of them can't be linked.
+3. Overlaps are accumulated over whole sets for pairs that such columns propose. Round by round each document is proposed with a
+   pivot of its columns, first the smallest document, then others drawn at random, as long as a quarter of them link; at
+   last all pairs of a column that aren't in one component. Pairs within a component need no proof. A pair must share
+   ceil(80 (|x| + |y|) / 180) - max(ceil(.8 |x|), ceil(.8 |y|)) + 1 of the rare columns.
 
 A shingle that very many documents have is summed up per task and never meets in one place; see `_block_rows`.
 Shingles are compared by 64-bit hashes.
@@ -25,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, hashed_words, mixed, new_dir, remove_dir, shingles, stored, text_steps
+from .common import documents_of, hashed_words, mixed, new_dir, remove_dir, shingles, small_side, stored, text_steps
 
 #: Entries that a task gathers before it sends blocks, and the count from which a column is hot among them.
 GATHERED, HOT = 2_000_000, 64
 #: Text bytes for each block of columns.
 BLOCK_TEXT = 16 << 20
-#: Rows of ids that may be broadcast: 16 MB at most.
-BROADCAST_IDS = 1_000_000
+#: Logarithm of the ratio of sizes that share a bin.
+SIZE_BIN = 0.02
 ENTRY, SIZE, HOT_ENTRY, HOT_COLUMN = 0, 1, 2, 3
 
 
@@ -63,8 +66,16 @@ def text_sets(keys: pa.Array, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.
         yield ids, g, r
 
 
-def _block_rows(blocks: int):
-    """Rows (block, kind, a, b, c) of the matrix. Kinds: entries by their column's block (a: hashes, b: documents, -1 - n: a count of n by a task
+def stored_sets(ids: pa.Array, sets: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same from sets that were written before."""
+    ids = ids.to_numpy()
+    for i in range(0, len(ids), 256):
+        parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets[i : i + 256]]
+        yield ids[i : i + 256], np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+
+
+def _block_rows(blocks: int, sets_of, first_of, sizes: bool):
+    """A task's work on batches (ids, texts or sets): first_of(n) shingles of each set of n, in hash order, as rows (block, kind, a, b, c) of the matrix. Kinds: entries by their column's block (a: hashes, b: documents, -1 - n: a count of n by a task
     whose own entries of that hot column are sent elsewhere); sizes of documents (a: ids, b: sizes, c: two fingerprints each); entries of hot columns, anywhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +110,7 @@ def _block_rows(blocks: int):
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 500], strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], names)
 
         for batch in batches:
-            for ids, g, r in text_sets(batch.column(0), batch.column(1)):
+            for ids, g, r in sets_of(batch.column(0), batch.column(1)):
                 ids = ids.astype(np.int64)
                 n = np.bincount(r, minlength=len(ids))
                 begin = np.cumsum(n) - n
@@ -107,8 +118,9 @@ def _block_rows(blocks: int):
                 full = np.flatnonzero(n > 0)
                 for k, x in enumerate((mixed(g), mixed(g ^ np.uint64(0xA5A5A5A5A5A5A5A5)))):
                     two[full, k] = np.add.reduceat(x, begin[full]).view(np.int64) if len(full) else 0
-                yield pa.record_batch([pa.array([x], t) for x, t in zip(row(int(ids[0]) % blocks, SIZE, ids, n.astype(np.int64), two), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], names)
-                inside = np.arange(len(g)) - begin[r] < width(n)[r]
+                if sizes:
+                    yield pa.record_batch([pa.array([x], t) for x, t in zip(row(int(ids[0]) % blocks, SIZE, ids, n.astype(np.int64), two), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], names)
+                inside = np.arange(len(g)) - begin[r] < first_of(n)[r]
                 gathered.append((g[inside], ids[r[inside]]))
                 held += int(inside.sum())
                 if held >= GATHERED:
@@ -202,7 +214,28 @@ def fitting(n: Column, m: Column) -> Column:
     return F.floor((80 * F.greatest(n, m) + 99) / 100) <= F.least(n, m)
 
 
-def ngram_components(docs: DataFrame, path: str | None = None) -> DataFrame:
+def fewest(n: Column, m: Column) -> Column:
+    """Rare columns that a linked pair of these sizes shares at least."""
+    least = lambda x: F.floor((80 * x + 99) / 100)
+    return F.ceil(80 * (n + m) / 180) - F.greatest(least(n), least(m)) + 1
+
+
+MATRIX = "block int, kind int, a binary, b binary, c binary"
+PRODUCT = "kind int, doc long, x long, y long, z long"
+
+
+def _shared_columns(product: DataFrame, path: str) -> DataFrame:
+    """(doc, h, df): the columns of each document that others have, hot ones with their number from all tasks."""
+    columns = product.filter(F.col("kind") == HOT_COLUMN).groupBy("x").agg(F.max("y").alias("df")).withColumnRenamed("x", "h")
+    hot = product.filter(F.col("kind") == HOT_ENTRY).select("doc", F.col("x").alias("h")).join(stored(columns, path), "h").select("doc", "h", "df")
+    return product.filter(F.col("kind") == ENTRY).select("doc", F.col("x").alias("h"), F.col("y").alias("df")).unionByName(hot)
+
+
+def _identity(n):
+    return n
+
+
+def ngram_components(docs: DataFrame, path: str | None = None, rounds: int = 10) -> DataFrame:
     """doc_id, n_shingles, component_id for documents (doc_id, text), a row for each doc_id.
 
     doc_id is a key: rows that repeat one wholly count once, rows without one are left out. A text with fewer than five words has its
@@ -213,65 +246,78 @@ def ngram_components(docs: DataFrame, path: str | None = None) -> DataFrame:
     base = documents_of(docs).filter("doc_id IS NOT NULL")
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BLOCK_TEXT)
-    matrix = base.mapInArrow(_block_rows(blocks), "block int, kind int, a binary, b binary, c binary")
-    product = stored(matrix.groupBy("block").applyInPandas(_multiplied, "kind int, doc long, x long, y long, z long"), f"{path}/product")
 
+    # 1: the first columns of all documents
+    matrix = base.mapInArrow(_block_rows(blocks, text_sets, width, True), MATRIX)
+    product = stored(matrix.groupBy("block").applyInPandas(_multiplied, PRODUCT), f"{path}/product")
     sizes = product.filter(F.col("kind") == SIZE).groupBy("doc").agg(F.max(F.struct("x", "y", "z")).alias("s"))
     sizes = stored(sizes.select("doc", F.col("s.x").alias("n"), F.col("s.y").alias("f"), F.col("s.z").alias("g")), f"{path}/sizes")
-    columns = product.filter(F.col("kind") == HOT_COLUMN).groupBy("x").agg(F.max("y").alias("df")).withColumnRenamed("x", "h")
-    hot = product.filter(F.col("kind") == HOT_ENTRY).select("doc", F.col("x").alias("h"))
-    entries = product.filter(F.col("kind") == ENTRY).select("doc", F.col("x").alias("h"), F.col("y").alias("df")).unionByName(hot.join(stored(columns, f"{path}/hot"), "h").select("doc", "h", "df"))
-    rows = entries.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("row"))  # as long as its text at most
-    rows = rows.join(sizes, "doc").filter(F.size("row") >= F.expr("((80 * n + 99) div 100 + 9) div 10"))
-    rows = stored(rows, f"{path}/rows")
-
-    same = stored(rows.groupBy("n", "f", "g").agg(F.min("doc").alias("rep")), f"{path}/same")
-    ours = rows.select("doc", F.col("n").alias("n1"), F.col("f").alias("f1"), F.col("g").alias("g1"))
+    kept = _shared_columns(product, f"{path}/hot").groupBy("doc").agg(F.count("*").alias("k"))
+    kept = stored(kept.join(sizes, "doc").filter("k >= ((80 * n + 99) div 100 + 9) div 10"), f"{path}/kept")
+
+    # 2: one document of each set, whole rows
+    same = stored(kept.groupBy("n", "f", "g").agg(F.min("doc").alias("rep")), f"{path}/same")
+    ours = kept.select("doc", F.col("n").alias("n1"), F.col("f").alias("f1"), F.col("g").alias("g1"))
     reps = stored(ours.join(same, (F.col("n1") == F.col("n")) & (F.col("f1") == F.col("f")) & (F.col("g1") == F.col("g"))).select("doc", "rep"), f"{path}/reps")
+    wanted = stored(reps.filter("doc = rep").select(F.col("doc").alias("doc_id")), f"{path}/wanted")
+    sets = stored(base.join(small_side(wanted), "doc_id", "left_semi").mapInArrow(_sets, "doc long, set binary").dropDuplicates(["doc"]), f"{path}/sets")
+    remove_dir(spark, f"{path}/product")
+    matrix = sets.mapInArrow(_block_rows(blocks, stored_sets, _identity, False), MATRIX)
+    product = stored(matrix.groupBy("block").applyInPandas(_multiplied, PRODUCT), f"{path}/whole")
+    rows = _shared_columns(product, f"{path}/hot-whole").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("row"))  # as long as its text at most
+    rows = rows.join(sizes.select("doc", "n"), "doc").filter(F.size("row") >= F.expr("(80 * n + 99) div 100"))
+    # rarest first: columns that nobody else has come before all others and match nothing
+    first = F.expr("slice(row, 1, greatest(0, n - (80 * n + 99) div 100 + 1 - (n - size(row))))")
+    posts = rows.select("doc", "n", first.alias("first")).select("doc", "n", F.size("first").alias("c"), F.explode("first").alias("at"))
+    posts = stored(posts.select(F.col("at.h").alias("h"), "doc", "n", "c"), f"{path}/posts")
+    remove_dir(spark, f"{path}/whole")
+
+    # 3: pairs
+    named = posts.withColumn("label", F.col("doc"))
+    labels = tried = edges = None
+    enough = F.least("c", "c2") >= fewest(F.col("n"), F.col("m"))
+    for i in range(rounds):
+        at = f"{path}/round-{i}"
+        draw = F.struct((F.col("doc") if i == 0 else F.xxhash64("doc", "h", F.lit(i))).alias("drawn"), "doc", "n", "c", "label")
+        pivots = named.groupBy("h").agg(F.min(draw).alias("p"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y")
+        pivots = stored(pivots.select(F.col("h").alias("open"), F.col("p.doc").alias("b"), F.col("p.n").alias("m"), F.col("p.c").alias("c2"), F.col("p.label").alias("other")), f"{at}/pivots")
+        near = named.join(pivots, (F.col("h") == F.col("open")) & (F.col("label") != F.col("other")) & fitting(F.col("n"), F.col("m")) & enough)
+        near = near.groupBy("doc", "b", "n", "m").agg(F.count("*").alias("k")).filter(F.col("k") >= fewest(F.col("n"), F.col("m")))
+        if tried is not None:
+            near = near.join(tried.select(F.col("a").alias("doc"), "b"), ["doc", "b"], "left_anti")
+        # of what its columns propose, each document takes the pivot it shares most with
+        best = near.groupBy("doc").agg(F.max(F.struct("k", (-F.col("b")).alias("minus"))).alias("top"))
+        pairs = stored(best.select(F.col("doc").alias("a"), (-F.col("top.minus")).alias("b")), f"{at}/pairs")
+        found = stored(linked(pairs, sets), f"{at}/links")
+        n_pairs, n_found = pairs.count(), found.count()
+        if not n_found:
+            break
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        edges = found if edges is None else edges.unionByName(found)
+        labels = components(edges, f"{at}/components")
+        joined = posts.join(labels.withColumnRenamed("doc", "of"), posts["doc"] == F.col("of"), "left")
+        named = stored(joined.select("h", "doc", "n", "c", F.coalesce("label", "doc").alias("label")), f"{at}/named")
+        if 4 * n_found < n_pairs:
+            break
 
-    # the first columns, rarest first: those that nobody shares come before all others and match nothing
-    wide, least = "(n - (80 * n + 99) div 100 + (n + 9) div 10)", "(((80 * n + 99) div 100 + 9) div 10)"
-    first = F.expr(f"slice(row, 1, greatest(0, {wide} - {least} + 1 - ({wide} - size(row))))")
-    posts = rows.join(reps.filter("doc = rep").select("doc"), "doc").select("doc", "n", F.explode(first).alias("c")).select(F.col("c.h").alias("h"), "doc", "n")
-    posts = stored(posts, f"{path}/posts")
-    ends = stored(posts.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min(F.struct("doc", "n")).alias("l"), F.max(F.struct("doc", "n")).alias("u")).filter("low < high").select("h", F.col("low"), F.col("l.n").alias("low_n"), F.col("high"), F.col("u.n").alias("high_n")), f"{path}/ends")
-    posts = stored(posts.join(ends, "h").select(posts["h"], "doc", "n", "low", "low_n", "high", "high_n"), f"{path}/columns")
-
-    wanted = posts.select("doc").distinct()
-    wanted = stored(wanted, f"{path}/wanted")
-    some = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    sets = stored(base.join(some.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "doc long, set binary").dropDuplicates(["doc"]), f"{path}/sets")
-
-    def best(of: DataFrame, to: str) -> DataFrame:
-        """For each document the pivot with which it shares the most columns."""
-        fit = of.filter((F.col("doc") != F.col(to)) & fitting(F.col("n"), F.col(f"{to}_n")))
-        return fit.groupBy("doc", to).agg(F.count("*").alias("k")).groupBy("doc").agg(F.max_by(to, F.struct("k", -F.col(to))).alias("b")).select(F.col("doc").alias("a"), "b")
-
-    edges = stored(linked(best(posts, "low"), sets), f"{path}/links-0")
-    labels = components(edges, f"{path}/round-0")
-
-    def open_columns(k: int) -> DataFrame:
-        """Columns whose documents are in several components, with the component of each."""
-        named = posts.select("h", "doc", "n", "low", "low_n", "high", "high_n").join(labels.withColumnRenamed("doc", "of"), posts["doc"] == F.col("of"), "left")
-        named = stored(named.select("h", "doc", "n", "low", "low_n", "high", "high_n", F.coalesce("label", "doc").alias("label")), f"{path}/named-{k}")
-        several = stored(named.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select(F.col("h").alias("open")), f"{path}/open-{k}")
-        return named.join(several, named["h"] == several["open"]).drop("open")
-
-    labels_of = lambda: labels.select(F.col("doc").alias("of"), F.col("label").alias("at"))
-    second = best(open_columns(1), "high").join(labels_of().select(F.col("of").alias("a"), F.col("at").alias("la")), "a", "left").join(labels_of().select(F.col("of").alias("b"), F.col("at").alias("lb")), "b", "left")
-    second = second.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    edges = stored(edges.unionByName(linked(stored(second, f"{path}/second"), sets)), f"{path}/links-1")
-    labels = components(edges, f"{path}/round-1")
-
-    left = stored(open_columns(2).select("h", "doc", "n", "label"), f"{path}/left")
-    right = left.select(F.col("h").alias("h2"), F.col("doc").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-    pairs = left.join(right, (F.col("h") == F.col("h2")) & (F.col("doc") < F.col("b")) & (F.col("label") != F.col("other")) & fitting(F.col("n"), F.col("m")))
-    pairs = stored(pairs.select(F.col("doc").alias("a"), "b").distinct(), f"{path}/pairs")
-    edges = stored(edges.unionByName(linked(pairs, sets)), f"{path}/links-2")
-    labels = components(edges, f"{path}/round-2")
+    several = named.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select(F.col("h").alias("open"))
+    left = stored(named.join(stored(several, f"{path}/open"), F.col("h") == F.col("open")).select("h", "doc", "n", "c", "label"), f"{path}/left")
+    # each larger set looks among the sizes that its own columns allow: a column of very many documents isn't paired wholly
+    size_bin = lambda n: F.floor(F.ln(n.cast("double")) / SIZE_BIN)
+    smallest = F.floor((80 * F.col("n") + 99) / 100)
+    largest = F.least(F.col("n").cast("double"), F.floor((smallest + F.col("c") - 1) * 180 / 80) - F.col("n"))
+    larger = left.filter(largest >= smallest).withColumn("bin", F.explode(F.sequence(size_bin(smallest), size_bin(largest))))
+    smaller = left.select(F.col("h").alias("h2"), F.col("doc").alias("b"), F.col("n").alias("m"), F.col("c").alias("c2"), F.col("label").alias("other"), size_bin(F.col("n")).alias("bin2"))
+    ordered = (F.col("m") < F.col("n")) | (F.col("m") == F.col("n")) & (F.col("b") < F.col("doc"))
+    pairs = larger.join(smaller, (F.col("h") == F.col("h2")) & (F.col("bin") == F.col("bin2")) & ordered & (F.col("label") != F.col("other")) & fitting(F.col("n"), F.col("m")) & enough)
+    pairs = pairs.groupBy(F.col("doc").alias("a"), "b", "n", "m").agg(F.count("*").alias("k")).filter(F.col("k") >= fewest(F.col("n"), F.col("m"))).select("a", "b")
+    found = stored(linked(stored(pairs, f"{path}/pairs"), sets), f"{path}/links")
+    if found.limit(1).count():
+        labels = components(found if edges is None else edges.unionByName(found), f"{path}/last")
 
     # classes of equal sets reach what their first document reaches
-    joined = stored(reps.join(labels.withColumnRenamed("doc", "of"), reps["rep"] == F.col("of"), "left").select(F.col("doc").alias("of"), F.coalesce("label", "rep").alias("smallest")), f"{path}/components")
+    joined = reps.join(labels.withColumnRenamed("doc", "of"), reps["rep"] == F.col("of"), "left").select(F.col("doc").alias("of"), F.coalesce("label", "rep").alias("smallest")) if labels is not None else reps.select(F.col("doc").alias("of"), F.col("rep").alias("smallest"))
+    joined = stored(joined, f"{path}/components")
     out = stored(sizes.join(joined, sizes["doc"] == F.col("of"), "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc").alias("component_id")), f"{path}.result")
     remove_dir(spark, path)
     return out
