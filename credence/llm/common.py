@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that one NumPy step works on; a longer document makes a step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -31,12 +31,14 @@ from pyspark.sql import functions as F
 from .common import documents_of, hashed_words, mixed, new_dir, remove_dir, shingles, small_side, stored, text_steps
 
 #: Entries that a task gathers before it sends blocks, and the count from which a column is hot among them.
-GATHERED, HOT = 2_000_000, 64
+GATHERED, HOT = 1_000_000, 64
 #: Text bytes for each block of columns.
-BLOCK_TEXT = 16 << 20
+BLOCK_TEXT = 12 << 20
 #: Logarithm of the ratio of sizes that share a bin.
 SIZE_BIN = 0.02
-ENTRY, SIZE, HOT_ENTRY, HOT_COLUMN = 0, 1, 2, 3
+ENTRY, SIZE, HOT_ENTRY = 0, 1, 2
+#: Stands for the number of documents of any hot column: in order of rarity these come after all others.
+HOT_NUMBER = 1 << 40
 
 
 def need(n, percent: int = 80):
@@ -133,7 +135,7 @@ def _block_rows(blocks: int, sets_of, first_of, sizes: bool):
 
 
 def _multiplied(block: pd.DataFrame) -> pd.DataFrame:
-    """Within a block of columns: each column's documents (y: their number) if there are two at least, sizes and hot entries as they come, hot columns' numbers."""
+    """Within a block of columns: each column's documents (y: their number) if there are two at least, sizes and hot entries as they come."""
     out = []
     names = ["kind", "doc", "x", "y", "z"]
     frame = lambda kind, doc, x, y, z: out.append(pd.DataFrame({"kind": np.full(len(doc), kind, np.int32), "doc": doc, "x": x, "y": y, "z": z}, columns=names))
@@ -145,7 +147,7 @@ def _multiplied(block: pd.DataFrame) -> pd.DataFrame:
                 c = np.frombuffer(b"".join(part["c"]), np.int64).reshape(-1, 2)
                 frame(SIZE, a, b, c[:, 0], c[:, 1])
             else:
-                frame(HOT_ENTRY, b, a, np.zeros(len(a), np.int64), np.zeros(len(a), np.int64))
+                frame(HOT_ENTRY, b, a, np.full(len(a), HOT_NUMBER), np.zeros(len(a), np.int64))
     part = block[block["kind"] == ENTRY]
     if len(part):
         h, d = np.frombuffer(b"".join(part["a"]), np.int64), np.frombuffer(b"".join(part["b"]), np.int64)
@@ -153,13 +155,11 @@ def _multiplied(block: pd.DataFrame) -> pd.DataFrame:
         h, d = h[order], d[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         count = np.diff(np.append(first, len(h)))
-        docs = np.add.reduceat(np.where(d < 0, -1 - d, 1), first)
-        number, lone = np.repeat(docs, count), d < 0
+        lone = d < 0
+        docs = np.where(np.logical_or.reduceat(lone, first), HOT_NUMBER, count)
+        number = np.repeat(docs, count)
         kept = (number >= 2) & ~lone
-        zero = np.zeros(len(h), np.int64)
-        frame(ENTRY, d[kept], h[kept], number[kept], zero[kept])
-        hot = np.unique(h[lone])
-        frame(HOT_COLUMN, np.zeros(len(hot), np.int64), hot, docs[np.searchsorted(h[first], hot)], np.zeros(len(hot), np.int64))
+        frame(ENTRY, d[kept], h[kept], number[kept], np.zeros(int(kept.sum()), np.int64))
     return pd.concat(out) if out else pd.DataFrame({x: np.zeros(0, np.int64) for x in names})
 
 
@@ -224,11 +224,9 @@ MATRIX = "block int, kind int, a binary, b binary, c binary"
 PRODUCT = "kind int, doc long, x long, y long, z long"
 
 
-def _shared_columns(product: DataFrame, path: str) -> DataFrame:
-    """(doc, h, df): the columns of each document that others have, hot ones with their number from all tasks."""
-    columns = product.filter(F.col("kind") == HOT_COLUMN).groupBy("x").agg(F.max("y").alias("df")).withColumnRenamed("x", "h")
-    hot = product.filter(F.col("kind") == HOT_ENTRY).select("doc", F.col("x").alias("h")).join(stored(columns, path), "h").select("doc", "h", "df")
-    return product.filter(F.col("kind") == ENTRY).select("doc", F.col("x").alias("h"), F.col("y").alias("df")).unionByName(hot)
+def _shared_columns(product: DataFrame) -> DataFrame:
+    """(doc, h, df): the columns of each document that others have."""
+    return product.filter(F.col("kind") != SIZE).select("doc", F.col("x").alias("h"), F.col("y").alias("df"))
 
 
 def _identity(n):
@@ -252,7 +250,7 @@ def ngram_components(docs: DataFrame, path: str | None = None, rounds: int = 10)
     product = stored(matrix.groupBy("block").applyInPandas(_multiplied, PRODUCT), f"{path}/product")
     sizes = product.filter(F.col("kind") == SIZE).groupBy("doc").agg(F.max(F.struct("x", "y", "z")).alias("s"))
     sizes = stored(sizes.select("doc", F.col("s.x").alias("n"), F.col("s.y").alias("f"), F.col("s.z").alias("g")), f"{path}/sizes")
-    kept = _shared_columns(product, f"{path}/hot").groupBy("doc").agg(F.count("*").alias("k"))
+    kept = _shared_columns(product).groupBy("doc").agg(F.count("*").alias("k"))
     kept = stored(kept.join(sizes, "doc").filter("k >= ((80 * n + 99) div 100 + 9) div 10"), f"{path}/kept")
 
     # 2: one document of each set, whole rows
@@ -264,12 +262,12 @@ def ngram_components(docs: DataFrame, path: str | None = None, rounds: int = 10)
     remove_dir(spark, f"{path}/product")
     matrix = sets.mapInArrow(_block_rows(blocks, stored_sets, _identity, False), MATRIX)
     product = stored(matrix.groupBy("block").applyInPandas(_multiplied, PRODUCT), f"{path}/whole")
-    rows = _shared_columns(product, f"{path}/hot-whole").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("row"))  # as long as its text at most
+    rows = _shared_columns(product).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("row"))  # as long as its text at most
     rows = rows.join(sizes.select("doc", "n"), "doc").filter(F.size("row") >= F.expr("(80 * n + 99) div 100"))
     # rarest first: columns that nobody else has come before all others and match nothing
     first = F.expr("slice(row, 1, greatest(0, n - (80 * n + 99) div 100 + 1 - (n - size(row))))")
-    posts = rows.select("doc", "n", first.alias("first")).select("doc", "n", F.size("first").alias("c"), F.explode("first").alias("at"))
-    posts = stored(posts.select(F.col("at.h").alias("h"), "doc", "n", "c"), f"{path}/posts")
+    firsts = stored(rows.select("doc", "n", F.transform(first, lambda x: x["h"]).alias("first")), f"{path}/firsts")
+    posts = stored(firsts.select("doc", "n", F.size("first").alias("c"), F.posexplode("first").alias("pos", "h")), f"{path}/posts")
     remove_dir(spark, f"{path}/whole")
 
     # 3: pairs
@@ -296,21 +294,25 @@ def ngram_components(docs: DataFrame, path: str | None = None, rounds: int = 10)
         edges = found if edges is None else edges.unionByName(found)
         labels = components(edges, f"{at}/components")
         joined = posts.join(labels.withColumnRenamed("doc", "of"), posts["doc"] == F.col("of"), "left")
-        named = stored(joined.select("h", "doc", "n", "c", F.coalesce("label", "doc").alias("label")), f"{at}/named")
+        named = stored(joined.select("h", "doc", "n", "c", "pos", F.coalesce("label", "doc").alias("label")), f"{at}/named")
         if 4 * n_found < n_pairs:
             break
 
     several = named.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select(F.col("h").alias("open"))
-    left = stored(named.join(stored(several, f"{path}/open"), F.col("h") == F.col("open")).select("h", "doc", "n", "c", "label"), f"{path}/left")
+    left = stored(named.join(stored(several, f"{path}/open"), F.col("h") == F.col("open")).select("h", "doc", "n", "c", "pos", "label"), f"{path}/left")
     # each larger set looks among the sizes that its own columns allow: a column of very many documents isn't paired wholly
     size_bin = lambda n: F.floor(F.ln(n.cast("double")) / SIZE_BIN)
     smallest = F.floor((80 * F.col("n") + 99) / 100)
     largest = F.least(F.col("n").cast("double"), F.floor((smallest + F.col("c") - 1) * 180 / 80) - F.col("n"))
     larger = left.filter(largest >= smallest).withColumn("bin", F.explode(F.sequence(size_bin(smallest), size_bin(largest))))
-    smaller = left.select(F.col("h").alias("h2"), F.col("doc").alias("b"), F.col("n").alias("m"), F.col("c").alias("c2"), F.col("label").alias("other"), size_bin(F.col("n")).alias("bin2"))
+    smaller = left.select(F.col("h").alias("h2"), F.col("doc").alias("b"), F.col("n").alias("m"), F.col("c").alias("c2"), F.col("pos").alias("pos2"), F.col("label").alias("other"), size_bin(F.col("n")).alias("bin2"))
     ordered = (F.col("m") < F.col("n")) | (F.col("m") == F.col("n")) & (F.col("b") < F.col("doc"))
-    pairs = larger.join(smaller, (F.col("h") == F.col("h2")) & (F.col("bin") == F.col("bin2")) & ordered & (F.col("label") != F.col("other")) & fitting(F.col("n"), F.col("m")) & enough)
-    pairs = pairs.groupBy(F.col("doc").alias("a"), "b", "n", "m").agg(F.count("*").alias("k")).filter(F.col("k") >= fewest(F.col("n"), F.col("m"))).select("a", "b")
+    # of the columns that a pair must share, the first one leaves room for the others behind it in both
+    room = F.least(F.col("c") - F.col("pos"), F.col("c2") - F.col("pos2")) >= fewest(F.col("n"), F.col("m"))
+    pairs = larger.join(smaller, (F.col("h") == F.col("h2")) & (F.col("bin") == F.col("bin2")) & ordered & (F.col("label") != F.col("other")) & fitting(F.col("n"), F.col("m")) & room)
+    pairs = stored(pairs.select(F.col("doc").alias("a"), "b").distinct(), f"{path}/proposed")
+    pairs = pairs.join(firsts.select(F.col("doc").alias("a"), "n", F.col("first").alias("s")), "a").join(firsts.select(F.col("doc").alias("b"), F.col("n").alias("m"), F.col("first").alias("t")), "b")
+    pairs = pairs.filter(F.size(F.array_intersect("s", "t")) >= fewest(F.col("n"), F.col("m"))).select("a", "b")
     found = stored(linked(stored(pairs, f"{path}/pairs"), sets), f"{path}/links")
     if found.limit(1).count():
         labels = components(found if edges is None else edges.unionByName(found), f"{path}/last")
