@@ -1,4 +1,7 @@
-"""Five stages that make a training set of documents: each is written as Parquet and reread as the next one's input."""
+"""Five stages that make a training set of documents: each is written as Parquet and reread as the next one's input.
+
+Documents without a doc_id go at the first stage: no later one could name them.
+"""
 
 from __future__ import annotations
 

@@ -77,8 +77,12 @@ def stored_sets(ids: pa.Array, sets: pa.Array) -> Iterator[tuple[np.ndarray, np.
 
 
 def _block_rows(blocks: int, sets_of, first_of, sizes: bool):
-    """A task's work on batches (ids, texts or sets): first_of(n) shingles of each set of n, in hash order, as rows (block, kind, a, b, c) of the matrix. Kinds: entries by their column's block (a: hashes, b: documents, -1 - n: a count of n by a task
-    whose own entries of that hot column are sent elsewhere); sizes of documents (a: ids, b: sizes, c: two fingerprints each); entries of hot columns, anywhere."""
+    """A task's work on batches (ids, texts or sets): the first first_of(n) shingles of each set of n, in hash order, as rows (block, kind, a, b, c).
+
+    ENTRY: a: hashes of a block of columns, b: the document of each; or, for a column that is hot in this task, -1 - its documents
+    here, which tell the block that it is. HOT_ENTRY: hashes and documents of hot columns, sent to any block. SIZE, with sizes:
+    a: documents, b: their numbers of shingles, c: two fingerprints of each set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered, held, salt = [], 0, 0
