@@ -144,7 +144,7 @@ def frames(data: memoryview) -> Iterator[tuple[memoryview, int, int, int, int, i
 
 _PIECES: dict = {}
 #: Pieces whose ids a worker keeps; at that many it begins anew.
-KEPT = 1_500_000
+KEPT = 2_500_000
 #: Texts in which lower case depends on more than the single character, or special strings may stand, keep their case.
 AS_IT_IS = re.compile("<\\||[^\x00-\u024f]")
 LETTERS = re.compile("[a-z\xe0-\xf6\xf8-\xff]+")
@@ -236,8 +236,9 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for x in batch.column(0):
-            total += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=1 << 16)
+        for i in range(0, len(batch), 512):
+            ids = np.frombuffer(b"".join(batch.column(0)[i : i + 512].to_pylist()), "<u2")
+            total += np.bincount(ids, minlength=1 << 16)
     seen = np.flatnonzero(total)
     yield pa.record_batch([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["id", "n"])
 
@@ -254,7 +255,7 @@ def frequencies(tokens: DataFrame) -> np.ndarray:
 NO_ID = -(1 << 63)
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, lanes: int = 512, block_ids: int = 1 << 17, every: int = 128, frame_ids: int = 1 << 19, file_bytes: int = 64 << 20) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, lanes: int = 1024, block_ids: int = 1 << 18, every: int = 128, frame_ids: int = 1 << 19, file_bytes: int = 64 << 20) -> None:
     """Write the ids of docs (doc_id, text) under path: the table in path/table, frames in path/ids, files and frames by ascending doc_id.
 
     Repeated ids of documents stand one after the other by their ids; null ones come first.
