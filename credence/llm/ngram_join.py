@@ -36,7 +36,7 @@ GATHERED, HOT = 1_000_000, 64
 BLOCK_TEXT = 12 << 20
 #: Logarithm of the ratio of sizes that share a bin.
 SIZE_BIN = 0.02
-ENTRY, SIZE, HOT_ENTRY = 0, 1, 2
+ENTRY, SIZE, HOT_ENTRY, HOT_COLUMN = 0, 1, 2, 3
 #: Stands for the number of documents of any hot column: in order of rarity these come after all others.
 HOT_NUMBER = 1 << 40
 
@@ -79,9 +79,9 @@ def stored_sets(ids: pa.Array, sets: pa.Array) -> Iterator[tuple[np.ndarray, np.
 def _block_rows(blocks: int, sets_of, first_of, sizes: bool):
     """A task's work on batches (ids, texts or sets): the first first_of(n) shingles of each set of n, in hash order, as rows (block, kind, a, b, c).
 
-    ENTRY: a: hashes of a block of columns, b: the document of each; or, for a column that is hot in this task, -1 - its documents
-    here, which tell the block that it is. HOT_ENTRY: hashes and documents of hot columns, sent to any block. SIZE, with sizes:
-    a: documents, b: their numbers of shingles, c: two fingerprints of each set.
+    ENTRY: a: hashes of a block of columns, b: the document of each. HOT_COLUMN: a: hashes of the block's columns that are hot in this
+    task. HOT_ENTRY: hashes and documents of hot columns, sent to any block. SIZE, with sizes: a: documents, b: their numbers of
+    shingles, c: two fingerprints of each set. Documents may have any number, negative ones too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,14 +104,15 @@ def _block_rows(blocks: int, sets_of, first_of, sizes: bool):
             if hot.any():
                 for k, part in enumerate(np.array_split(np.flatnonzero(hot), max(1, int(hot.sum()) // 100_000))):
                     rows.append(row(int(mixed(np.array([salt * 1000 + k + int(h[0] >> np.uint64(1))], np.uint64))[0] % np.uint64(blocks)), HOT_ENTRY, h[part], d[part]))
-            sent = first[count >= HOT]
-            h, d = np.concatenate([h[~hot], h[sent]]), np.concatenate([d[~hot], -1 - count[count >= HOT]])
-            block = (h % np.uint64(blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            h, d, block = h[order], d[order], block[order]
-            cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(h) else np.zeros(0, np.int64)
-            for a, b in zip(cuts, np.append(cuts[1:], len(h)), strict=True):
-                rows.append(row(int(block[a]), ENTRY, h[a:b], d[a:b]))
+            for kind, *columns in ((ENTRY, h[~hot], d[~hot]), (HOT_COLUMN, h[first[count >= HOT]])):
+                if not len(columns[0]):
+                    continue
+                block = (columns[0] % np.uint64(blocks)).astype(np.int64)
+                order = np.argsort(block, kind="stable")
+                block, columns = block[order], [x[order] for x in columns]
+                cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+                for a, b in zip(cuts, np.append(cuts[1:], len(block)), strict=True):
+                    rows.append(row(int(block[a]), kind, *(x[a:b] for x in columns)))
             for i in range(0, len(rows), 500):
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 500], strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], names)
 
@@ -155,11 +156,13 @@ def _multiplied(block: pd.DataFrame) -> pd.DataFrame:
     part = block[block["kind"] == ENTRY]
     if len(part):
         h, d = np.frombuffer(b"".join(part["a"]), np.int64), np.frombuffer(b"".join(part["b"]), np.int64)
+        marks = np.frombuffer(b"".join(block.loc[block["kind"] == HOT_COLUMN, "a"]), np.int64)
+        lone = np.repeat([False, True], [len(h), len(marks)])
+        h, d = np.concatenate([h, marks]), np.concatenate([d, np.zeros(len(marks), np.int64)])
         order = np.argsort(h, kind="stable")
-        h, d = h[order], d[order]
+        h, d, lone = h[order], d[order], lone[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         count = np.diff(np.append(first, len(h)))
-        lone = d < 0
         docs = np.where(np.logical_or.reduceat(lone, first), HOT_NUMBER, count)
         number = np.repeat(docs, count)
         kept = (number >= 2) & ~lone
@@ -288,8 +291,8 @@ def ngram_components(docs: DataFrame, path: str | None = None, rounds: int = 10)
         if tried is not None:
             near = near.join(tried.select(F.col("a").alias("doc"), "b"), ["doc", "b"], "left_anti")
         # of what its columns propose, each document takes the pivot it shares most with
-        best = near.groupBy("doc").agg(F.max(F.struct("k", (-F.col("b")).alias("minus"))).alias("top"))
-        pairs = stored(best.select(F.col("doc").alias("a"), (-F.col("top.minus")).alias("b")), f"{at}/pairs")
+        best = near.groupBy("doc").agg(F.max(F.struct("k", F.bitwise_not("b").alias("minus"))).alias("top"))
+        pairs = stored(best.select(F.col("doc").alias("a"), F.bitwise_not("top.minus").alias("b")), f"{at}/pairs")
         found = stored(linked(pairs, sets), f"{at}/links")
         n_pairs, n_found = pairs.count(), found.count()
         if not n_found:

@@ -228,6 +228,18 @@ def test_chains_and_hot_columns(spark, monkeypatch):
     assert got == plain_components(rows)
 
 
+def test_negative_ids(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    passage = " ".join(rng.choices(vocabulary, k=40))
+    rows = [(k, text) for i in range(20) for text in [" ".join(rng.choices(vocabulary, k=80))] for k in (-7 - i, 7 + i, -1000 - i)]
+    rows += [(i, passage + " " + " ".join(rng.choices(vocabulary, k=rng.choice([3, 60])))) for i in range(-400, -250)]  # hot columns
+    rows += [(-(2**63), rows[0][1] + " more"), (2**63 - 1, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(docs).collect()}
+    assert got == plain_components(rows) and got[7][1] == got[2**63 - 1][1] == -(2**63)
+
+
 # 7
 
 
