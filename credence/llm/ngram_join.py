@@ -199,21 +199,37 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "s", "t").mapInArrow(_overlaps, "a long, b long")
 
 
+def _roots(hooks: DataFrame, path: str) -> DataFrame:
+    """(doc, label): where the way from each document along hooks (doc, label) ends, labels being documents of hooks too. Each step doubles the ways, so there are as many as the logarithm of the longest."""
+    step, changed = 0, True
+    while changed:
+        step += 1
+        jump = hooks.select(F.col("doc").alias("via"), F.col("label").alias("far"))
+        hooks = stored(hooks.join(jump, F.col("label") == F.col("via")).select("doc", F.col("far").alias("label"), (F.col("far") != F.col("label")).alias("moved")), f"{path}-{step}")
+        changed = hooks.filter("moved").limit(1).count()
+        hooks = hooks.select("doc", "label")
+    return hooks
+
+
 def components(edges: DataFrame, path: str) -> DataFrame:
-    """(doc, label): the smallest document that each document of edges (a, b) reaches. Each round halves long chains; every round is a written table."""
-    both = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{path}/edges")
-    labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "doc"), f"{path}/labels-0")
-    for i in range(1, 200):
-        told = both.join(labels.select(F.col("doc").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        own = labels.join(told, labels["doc"] == told["a"]).select("doc", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("doc").alias("via"), F.col("label").alias("far"))
-        now = own.join(jump, F.col("label") == F.col("via"), "left").select("doc", F.coalesce(F.least("label", "far"), "label").alias("label"), "was")
-        now = stored(now, f"{path}/labels-{i}")
-        changed = now.filter("label <> was").limit(1).count()
-        labels = now.select("doc", "label")
-        if not changed:
-            break
-    return labels
+    """(doc, label): the smallest document that each document of edges (a, b) reaches.
+
+    Each round hooks every document to its smallest neighbour if that is smaller, follows the hooks to their roots, and keeps the
+    edges between different roots, until there are none. A root that is left after a round has taken in all its neighbours, or one
+    of these went to a smaller root, to which it hooks in the next round: two rounds halve the roots of a component at least.
+    """
+    both = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{path}/edges-0")
+    labels, i = None, 0
+    while True:
+        hooks = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "doc"), f"{path}/hooks-{i}")
+        roots = _roots(hooks, f"{path}/roots-{i}")
+        far = roots.select(F.col("doc").alias("via"), F.col("label").alias("far"))
+        labels = roots if labels is None else stored(labels.join(far, F.col("label") == F.col("via"), "left").select("doc", F.coalesce("far", "label").alias("label")), f"{path}/labels-{i}")
+        near = both.join(roots.select(F.col("doc").alias("a"), F.col("label").alias("x")), "a").join(roots.select(F.col("doc").alias("b"), F.col("label").alias("y")), "b")
+        i += 1
+        both = stored(near.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), f"{path}/edges-{i}")
+        if not both.limit(1).count():
+            return labels
 
 
 def fitting(n: Column, m: Column) -> Column:

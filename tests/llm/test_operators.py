@@ -228,6 +228,17 @@ def test_chains_and_hot_columns(spark, monkeypatch):
     assert got == plain_components(rows)
 
 
+def test_long_chains(spark, tmp_path):
+    rng = random.Random(7)
+    last = [*range(1, 1200), 0]  # the smallest document at the far end
+    mixed = rng.sample(range(5000, 6500), 1500)
+    star = [x for i in range(300) for x in ((8000, 7000 + i), (7000 + i, 9000 + i))]
+    edges = [*zip(last, last[1:]), *zip(mixed, mixed[1:]), *star, (-5, -3), (-4, -4)]
+    got = ngram_join.components(spark.createDataFrame(edges, "a long, b long"), f"file://{tmp_path}/chains").collect()
+    want = dict.fromkeys(last, 0) | dict.fromkeys(mixed, 5000) | dict.fromkeys((x for e in star for x in e), 7000) | {-5: -5, -3: -5, -4: -4}
+    assert len(got) == len(want) and {r["doc"]: r["label"] for r in got} == want
+
+
 def test_negative_ids(spark):
     rng = random.Random(6)
     vocabulary = [f"w{i}" for i in range(4000)]
