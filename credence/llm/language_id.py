@@ -147,9 +147,10 @@ def viterbi(scores: np.ndarray, row: np.ndarray, rows: int, penalty: float) -> n
     order = np.argsort(-count, kind="stable")
     begin, count = begin[order], count[order]
     active = np.searchsorted(-count, -np.arange(1, int(count.max(initial=0)) + 1), side="right")  # texts that have a t-th word
-    came = np.empty((n, langs), np.int8)
+    kind = np.min_scalar_type(max(langs - 1, 0))  # a byte holds up to 256 languages
+    came = np.empty((n, langs), kind)
     state = np.zeros((rows, langs), np.float32)
-    own = np.arange(langs, dtype=np.int8)
+    own = np.arange(langs, dtype=kind)
     for t, k in enumerate(active):
         s = state[:k]
         best = s.argmax(1)
@@ -160,7 +161,7 @@ def viterbi(scores: np.ndarray, row: np.ndarray, rows: int, penalty: float) -> n
             came[at] = np.where(stay, own, best[:, None])
             s = np.maximum(s, top)
         state[:k] = s + scores[at]
-    path = np.empty(n, np.int8)
+    path = np.empty(n, kind)
     now = state.argmax(1)
     for t in range(len(active) - 1, -1, -1):
         k = active[t]

@@ -292,6 +292,18 @@ def test_viterbi():
             assert np.isclose(part[np.arange(len(part)), own].sum() - (own[1:] != own[:-1]).sum(), best.max(), atol=1e-4)
 
 
+@pytest.mark.parametrize("langs", [129, 200, 300])
+def test_many_languages(spark, langs):
+    want = np.repeat(np.random.default_rng(langs).permutation(langs), 3)
+    scores = np.where(np.arange(langs) == want[:, None], 0, -4).astype(np.float32)
+    assert language_id.viterbi(scores, np.zeros(len(want), np.int64), 1, 1.0).tolist() == want.tolist()
+    if langs == 200:
+        words = ["".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=12)) for i in range(langs)]
+        docs = spark.createDataFrame([(i, f"{w} " * 20, f"l{i:03}") for i, w in enumerate(words)], "doc_id long, text string, lang string")
+        found = language_id.identified(docs, language_id.fit(docs)).collect()
+        assert all(r["lang_pred"] == f"l{r['doc_id']:03}" and [s["lang"] for s in r["spans"]] == [r["lang_pred"]] for r in found) and len(found) == langs
+
+
 # 8
 
 
