@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, LOWER, documents_of, hashed_words, shingles, text_steps
+from .common import UPPER, LOWER, documents_of, hashed_words, new_dir, shingles, stored, text_steps
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 FOLD = str.maketrans(UPPER, LOWER)
@@ -84,57 +86,56 @@ class Items:
         return found
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, text_bytes: int = ROUND_BYTES) -> list[DataFrame]:
-    """Frames of (doc_id, items, containment), one a round: a row for every document, with the items of that round it holds.
-
-    The items go to the tasks in rounds of at most text_bytes of text, so their size never depends on the benchmark's.
-    """
-    spark = docs.sparkSession
-    out = []
+def rounds_of(benchmark: DataFrame, text_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The items (id, text) in rounds of at most text_bytes of text, or of one longer item; they pass through the driver a partition at a time."""
     rows: list[tuple[int, str]] = []
     size = 0
-
-    def flush() -> None:
-        shared = spark.sparkContext.broadcast(list(rows))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = Items(shared.value, threshold)
-            for batch in batches:
-                for keys, data, offsets in text_steps(batch.column(0), pc.utf8_lower(batch.column(1))):
-                    held: list[list[int]] = [[] for _ in range(len(offsets) - 1)]
-                    most = np.zeros(len(offsets) - 1)
-                    for at, item, share in items.search(data, offsets) if items.keys else []:
-                        held[at].append(item)
-                        most[at] = max(most[at], share)
-                    nulls = [None if k != k else int(k) for k in keys.tolist()]
-                    yield pa.record_batch([pa.array(nulls, pa.int64()), pa.array(held, pa.list_(pa.int64())), pa.array(most)], ["doc_id", "items", "containment"])
-
-        out.append(documents_of(docs).mapInArrow(run, "doc_id long, items array<long>, containment double"))
-
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).dropna()
-    for r in items.toLocalIterator():  # a partition at a time
+    for r in items.toLocalIterator():
         rows.append((r["item_id"], r["text"]))
         size += len(r["text"])
         if size >= text_bytes:
-            flush()
+            yield rows
             rows, size = [], 0
-    if rows or not out:
-        flush()
-    return out
+    if rows:
+        yield rows
+
+
+def matches(texts: DataFrame, items: list[tuple[int, str]], threshold: float) -> DataFrame:
+    """(key, items, containment) of each row of texts (key, text), with the items of one round that it holds."""
+    shared = texts.sparkSession.sparkContext.broadcast(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(shared.value, threshold)
+        for batch in batches:
+            for keys, data, offsets in text_steps(batch.column(0), pc.utf8_lower(batch.column(1))):
+                held: list[list[int]] = [[] for _ in range(len(offsets) - 1)]
+                most = np.zeros(len(offsets) - 1)
+                for at, item, share in items.search(data, offsets) if items.keys else []:
+                    held[at].append(item)
+                    most[at] = max(most[at], share)
+                nulls = [None if k != k else int(k) for k in keys.tolist()]
+                yield pa.record_batch([pa.array(nulls, pa.int64()), pa.array(held, pa.list_(pa.int64())), pa.array(most)], ["key", "items", "containment"])
+
+    return texts.mapInArrow(run, "key long, items array<long>, containment double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, text_bytes: int = ROUND_BYTES) -> DataFrame:
     """doc_id, contaminated, n_items, items (ascending ids, comma-joined), containment (the highest) of documents (doc_id, text).
 
     An item is held when at least `threshold` of its distinct five-word shingles stand in the document. Items without words
-    and null items match nothing; null and empty texts hold nothing. Repeated documents give a row each within one round;
-    where the benchmark takes several, one a doc_id.
+    and null items match nothing; null and empty texts hold nothing. Every input row gives a row, whatever its doc_id and however
+    many rounds the benchmark takes: for several, the documents are written once with a row number.
     """
-    parts = matches(docs, benchmark, threshold, text_bytes)
-    rows = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
-        rows = rows.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("containment").alias("containment"))
+    rounds = rounds_of(benchmark, text_bytes)
+    first, second = next(rounds, []), next(rounds, None)
+    if second is None:
+        rows = matches(documents_of(docs), first, threshold).withColumnRenamed("key", "doc_id")
+    else:
+        numbered = stored(documents_of(docs).withColumn("row", F.monotonically_increasing_id()), new_dir(docs.sparkSession, "decontamination"))
+        parts = [matches(numbered.select("row", "text"), items, threshold).filter(F.size("items") > 0) for items in chain([first, second], rounds)]
+        found = reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("containment").alias("containment"))
+        rows = numbered.select("row", "doc_id").join(found, F.col("row") == F.col("key"), "left")
+        rows = rows.select("doc_id", F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("containment", F.lit(0.0)).alias("containment"))
     listed = F.array_join(F.transform(F.sort_array("items"), lambda x: x.cast("string")), ",")
     return rows.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), listed.alias("items"), "containment")

@@ -163,6 +163,18 @@ def test_decontamination(spark, texts, odd, nothing):
     assert decontaminate.contaminated(odd, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontamination_keeps_rows(spark):
+    item = "a b c d e f g h"
+    rows = [(1, item), (1, "quite clean"), (2, item), (2, item), (None, item), (None, "clean too"), (None, "k l m n o p"), (3, None)]
+    bench = spark.createDataFrame([(900, item), (901, "k l m n o p"), (902, "one two three four five")], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((str(k), {item: "900", "k l m n o p": "901"}.get(t, "")) for k, t in rows)
+    for size in (32 << 20, 1):  # one round and three
+        got = decontaminate.contaminated(docs, bench, text_bytes=size).collect()
+        assert sorted((str(r["doc_id"]), r["items"]) for r in got) == want
+        assert all(r["contaminated"] == bool(r["items"]) == bool(r["n_items"]) == (r["containment"] == 1) for r in got)
+
+
 # 5
 
 
