@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,16 +73,15 @@ def documents_of(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return df.select(df[key].cast("long").alias("doc_id"), F.coalesce(df[text].cast("string"), F.lit("")).alias("text"))
 
 
-def text_steps(keys: pa.Array, texts: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(keys, UTF-8 bytes of all texts together, offsets) for runs of rows of at most `most` bytes, or of one longer text."""
-    keys = keys.to_numpy(zero_copy_only=False)
+def text_steps(texts: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, UTF-8 bytes of the rows' texts together, offsets) for runs of rows of at most `most` bytes, or of one longer text."""
     texts = texts.cast(pa.large_string()).cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8) if len(texts) and texts.buffers()[2] is not None else np.zeros(0, np.uint8)
     i = 0
-    while i < len(keys):
+    while i < len(texts):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
-        yield keys[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
 
 
@@ -99,7 +99,7 @@ _POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE ** i and its inverse modulo 2**64 for i below n; kept up to one step's length."""
+    """_BASE ** i and its inverse modulo 2**64 for i below n; kept up to the length of one step and a long word."""
     if _POWERS and len(_POWERS[0]) >= n:
         return _POWERS[0][:n], _POWERS[1][:n]
     out = []
@@ -107,30 +107,56 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         p = np.full(max(n, 1 << 16), base, np.uint64)
         p[0] = 1
         out.append(np.cumprod(p, dtype=np.uint64))
-    if n <= STEP_BYTES:
+    if n <= 2 * STEP_BYTES:
         _POWERS[:] = out
     return out[0][:n], out[1][:n]
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hash, row, first byte and end byte of every word in the texts that data holds one after the other; fold: with A-Z in lower case."""
-    if not len(data):
-        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
+def _hashed(data: np.ndarray, cuts: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end byte of every word of data; a word ends at a cut at the latest."""
     if fold:
         data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     inside = (data != 32) & ((data < 9) | (data > 13))
     starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
-    cuts = offsets[:-1][np.diff(offsets) > 0]  # words end with their text
     starts[cuts] = inside[cuts]
-    ends[cuts[1:] - 1] = inside[cuts[1:] - 1]
+    ends[cuts - 1] = inside[cuts - 1]
     first, last = np.flatnonzero(starts), np.flatnonzero(ends)
     power, inverse = _powers(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
-    h = mixed((total[last + 1] - total[first]) * inverse[first] + (last - first).astype(np.uint64))
-    return h, np.searchsorted(offsets, first, side="right") - 1, first, last + 1
+    return mixed((total[last + 1] - total[first]) * inverse[first] + (last - first).astype(np.uint64)), first, last + 1
+
+
+def _word_border(data: np.ndarray, at: int) -> int:
+    """The first place from `at` on that holds white space, or the end."""
+    while at < len(data):
+        part = data[at : at + 65_536]
+        space = np.flatnonzero((part == 32) | (part >= 9) & (part <= 13))
+        if len(space):
+            return at + int(space[0])
+        at += len(part)
+    return len(data)
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash, row, first byte and end byte of every word in the texts that data holds one after the other; fold: with A-Z in lower case.
+
+    Long data goes in stretches of about STEP_BYTES that end between words, so that what a byte needs meanwhile doesn't grow with its text.
+    """
+    parts, a = [], 0
+    borders = offsets[:-1][np.diff(offsets) > 0]  # words end with their text
+    while a < len(data):
+        b = len(data) if len(data) - a <= STEP_BYTES else _word_border(data, a + STEP_BYTES)
+        cuts = borders[np.searchsorted(borders, a, side="right") : np.searchsorted(borders, b)]
+        h, first, end = _hashed(data[a:b], cuts - a, fold)
+        parts.append((h, first + a, end + a))
+        a = b
+    if not parts:
+        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
+    h, first, end = (np.concatenate(x) for x in zip(*parts, strict=True)) if len(parts) > 1 else parts[0]
+    return h, np.searchsorted(offsets, first, side="right") - 1, first, end
 
 
 def shingles(h: np.ndarray, row: np.ndarray, rows: int, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -162,3 +188,36 @@ def shingles(h: np.ndarray, row: np.ndarray, rows: int, k: int = 5) -> tuple[np.
     new = np.ones(len(g), bool)
     new[1:] = (g[1:] != g[:-1]) | (r[1:] != r[:-1])
     return g[new], r[new]
+
+
+class Known:
+    """Pieces of text that were encoded before and the ids of each, kept as arrays of at most about `budget` bytes: beyond that it begins anew."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], budget: int):
+        self.encode, self.budget = encode, budget
+        self.clear()
+
+    def clear(self) -> None:
+        self.words = pa.array([], pa.string())
+        self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.uint16)
+
+    def rows(self, pieces: pa.Array) -> np.ndarray:
+        """The place of each of some different pieces; unknown ones are encoded first: to (numbers of ids, all ids)."""
+        if self.words.nbytes + self.size.nbytes + self.pool.nbytes > self.budget:
+            self.clear()
+        at = pc.fill_null(pc.index_in(pieces, value_set=self.words), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            words = pieces.take(pa.array(new))
+            size, pool = self.encode(words.to_pylist())
+            at[new] = len(self.words) + np.arange(len(new))
+            self.words = pa.concat_arrays([self.words, words])
+            self.size, self.pool = np.concatenate([self.size, size]), np.concatenate([self.pool, pool])
+        return at
+
+
+def byte_steps(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows (first, row after the last) of about `most` bytes of text, or of one longer text."""
+    size = pc.binary_length(texts).to_numpy()
+    cut = np.flatnonzero(np.diff(np.cumsum(size) // most, prepend=0)).tolist()
+    yield from ((a, b) for a, b in zip([0, *cut], [*cut, len(texts)], strict=True) if a < b)

@@ -62,10 +62,11 @@ def shared(n):
 
 def text_sets(keys: pa.Array, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(keys, shingle hashes by row and hash, row of each)."""
-    for ids, data, offsets in text_steps(keys, texts):
+    ids = keys.to_numpy()
+    for i, j, data, offsets in text_steps(texts):
         h, row, _, _ = hashed_words(data, offsets)
-        g, r = shingles(h, row, len(ids))
-        yield ids, g, r
+        g, r = shingles(h, row, j - i)
+        yield ids[i:j], g, r
 
 
 def stored_sets(ids: pa.Array, sets: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -15,6 +15,7 @@ The table is a file of its own, written before the frames: quantised to a sum of
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
@@ -22,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents_of, new_dir, remove_dir, stored
+from .common import Known, byte_steps, documents_of, new_dir, remove_dir, stored
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
@@ -89,36 +91,40 @@ def encode_block(ids: np.ndarray, table: Table, lanes: int, every: int) -> bytes
 
 
 def decode_block(data: memoryview, table: Table, lanes: int, every: int, only: int | None = None) -> tuple[np.ndarray, int]:
-    """(ids, bytes of the block); only: the ids of one stretch between checkpoints, decoded without those before it."""
+    """(ids, bytes of the block). All stretches between checkpoints are decoded side by side; only: the ids of one of them."""
     n, n_words, extra, crc, crc_coded = BLOCK.unpack_from(data)
     marks = extra + 1 if n else 0
     size = BLOCK.size + marks * (4 + 8 * lanes) + 4 * n_words
     coded = data[BLOCK.size : size]
     if zlib.crc32(coded) != crc_coded:
         raise ValueError("a block's coded bytes don't match their checksum")
-    places = np.frombuffer(coded, "<u4", marks)
-    states = np.frombuffer(coded, "<u8", marks * lanes, 4 * marks).reshape(marks, lanes)
+    at = np.frombuffer(coded, "<u4", marks).astype(np.int64)
+    state = np.frombuffer(coded, "<u8", marks * lanes, 4 * marks).reshape(marks, lanes).astype(np.uint64)
     words = np.frombuffer(coded, "<u4", n_words, marks * (4 + 8 * lanes)).astype(np.uint64)
-    out = np.empty(n, np.uint32)
-    first, last = (0, -(-n // lanes)) if only is None else (only * every, min((only + 1) * every, -(-n // lanes)))
-    if n:
-        state, at = states[only or 0].astype(np.uint64), int(places[only or 0])
-    for r in range(first, last):
-        k = min(lanes, n - r * lanes)
-        x = state[:k]
+    rows, begin = -(-n // lanes), np.arange(marks) * every
+    if only is not None:
+        at, state, begin = at[only : only + 1], state[only : only + 1], begin[only : only + 1]
+    first, last = (int(begin[0]), min(rows, int(begin[-1]) + every)) if len(begin) else (0, 0)
+    out = np.zeros((last - first, lanes), np.uint32)
+    for step in range(min(every, last - first)):
+        live = int(np.searchsorted(begin, last - step))  # the last stretch may be shorter
+        x, row = state[:live], begin[:live] + step
         slot = x & U((1 << SCALE) - 1)
         ids = table.slots[slot]
-        out[r * lanes : r * lanes + k] = ids
+        out[row - first] = ids
         x = table.freq[ids] * (x >> U(SCALE)) + slot - table.before[ids]
-        need = np.flatnonzero(x < LOW)
-        x[need] = (x[need] << U(32)) | words[at : at + len(need)]
-        at += len(need)
-        state[:k] = x
-    if only is not None:
-        return out[first * lanes : min(n, last * lanes)], size
-    if zlib.crc32(out.astype("<u4").tobytes()) != crc:
+        need = x < LOW
+        if row[-1] == rows - 1 and n % lanes:  # lanes beyond the last id
+            need[-1, n % lanes :] = False
+        count = need.sum(1)
+        from_ = np.repeat(at[:live] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        x[need] = (x[need] << U(32)) | words[from_]
+        at[:live] += count
+        state[:live] = x
+    ids = out.reshape(-1)[: min(n, last * lanes) - first * lanes]
+    if only is None and zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError("a block's ids don't match their checksum")
-    return out, size
+    return ids, size
 
 
 def encode_frame(doc_ids: list[int], parts: list[np.ndarray], begin: int, table: Table, lanes: int, every: int, block_ids: int) -> bytes:
@@ -142,93 +148,92 @@ def frames(data: memoryview) -> Iterator[tuple[memoryview, int, int, int, int, i
         at = end + 1  # the newline
 
 
-_PIECES: dict = {}
-#: Pieces whose ids a worker keeps; at that many it begins anew.
-KEPT = 2_500_000
+#: Text bytes of a step, and bytes of pieces that are kept from one step to the next.
+STEP, KEPT = 2 << 20, 48 << 20
 #: Texts in which lower case depends on more than the single character, or special strings may stand, keep their case.
-AS_IT_IS = re.compile("<\\||[^\x00-\u024f]")
+AS_IT_IS = "<\\||[^\x00-\u024f]"
 LETTERS = re.compile("[a-z\xe0-\xf6\xf8-\xff]+")
-#: Marks that the tokenizer parts from a word before them.
-MARKS = ".,!?;:|*%$&#()\"<>"
+#: A word of Latin letters and marks that the tokenizer parts from it.
+MARKED = "([a-z\xe0-\xf6\xf8-\xff])([.,!?;:|*%$&#()\"<>]+)( |$)"
 
 
-def encoder(path: str):
-    """A function from texts to ids as u16 bytes.
+class Encoder:
+    """From texts to ids as u16 bytes.
 
-    The tokenizer folds case and drops white space between words, so pieces between spaces are encoded once each. A new piece of
-    Latin letters, without the marks at its end, is one word to the tokenizer: such words go through its model together,
-    with the same vocabulary but without the normaliser and splitter, which leave them as they are; a word ends where an
-    end-of-word token stands. All other pieces go through the tokenizer as it is.
+    The tokenizer folds case and drops white space between words, so a text's ids are those of its pieces between spaces, and each
+    different piece is encoded once. Marks at the end of a word of Latin letters are parted from it, as the tokenizer does. New
+    words of such letters go through its model together, with the same vocabulary but without the normaliser and splitter, which
+    leave them as they are; a word ends where an end-of-word token stands. All other pieces go through the tokenizer as it is.
     """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    lean = json.loads(tokenizer.to_str())
-    split = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-    lean |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, split]}, "post_processor": None}
-    lean = Tokenizer.from_str(json.dumps(lean))
-    ends = np.zeros(1 << 16, bool)
-    ends[[i for w, i in tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
-    known: dict[str, bytes] = {}
-
-    def whole(pieces: list[str]) -> None:
-        for i in range(0, len(pieces), 10_000):
-            part = pieces[i : i + 10_000]
-            known.update((p, np.array(e.ids, "<u2").tobytes()) for p, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
-
-    def letters(words: list[str]) -> None:
-        parts = [words[i : i + 100] for i in range(0, len(words), 100)]
-        for part, e in zip(parts, lean.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u2")
-            cuts = np.flatnonzero(ends[ids]) + 1
-            if len(cuts) != len(part) or cuts[-1] != len(ids):
-                whole(part)
-                continue
-            raw, last = ids.tobytes(), 0
-            for w, c in zip(part, (2 * cuts).tolist(), strict=True):
-                known[w] = raw[last:c]
-                last = c
-
-    def learn(pieces: list[str]) -> None:
-        marked, words, others = [], set(), set()
-        for p in pieces:
-            core = p.rstrip(MARKS)
-            if not LETTERS.fullmatch(core):
-                others.add(p)
-                continue
-            if len(core) < len(p):
-                marked.append((p, core, p[len(core) :]))
-                others.add(p[len(core) :])
-            words.add(core)
-        whole(list(others - known.keys()))
-        letters(list(words - known.keys()))
-        known.update((p, known[core] + known[marks]) for p, core, marks in marked)
-
-    def encode(texts: list[str]) -> list[bytes]:
-        parts = [(t if AS_IT_IS.search(t) else t.lower()).replace("\n", " ").split(" ") for t in texts]
-        if len(known) > KEPT:
-            known.clear()
-        if new := set().union(*parts) - known.keys():
-            learn(list(new))
-        get = known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
-
-    return encode
+
+    def __init__(self, path: str, end_id: int | None = None):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        lean = json.loads(self.tokenizer.to_str())
+        split = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        lean |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, split]}, "post_processor": None}
+        self.lean = Tokenizer.from_str(json.dumps(lean))
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+        self.known = Known(self._encoded, KEPT)
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each piece, the ids of all)."""
+        letters = [i for i, p in enumerate(pieces) if LETTERS.fullmatch(p)]
+        others = [i for i, p in enumerate(pieces) if not LETTERS.fullmatch(p)]
+        places, sizes, ids = [], [], []
+        for i in range(0, len(letters), 10_000):
+            parts = [letters[k : k + 100] for k in range(i, min(i + 10_000, len(letters)), 100)]
+            for part, e in zip(parts, self.lean.encode_batch_fast([" ".join([pieces[k] for k in p]) for p in parts], add_special_tokens=False), strict=True):
+                own = np.array(e.ids, "<u2")
+                cuts = np.flatnonzero(self.ends[own]) + 1
+                if len(cuts) != len(part) or cuts[-1] != len(own):
+                    others.extend(part)
+                    continue
+                places.append(part), sizes.append(np.diff(cuts, prepend=0)), ids.append(own)
+        for i in range(0, len(others), 1_000):
+            part = others[i : i + 1_000]
+            for e in self.tokenizer.encode_batch_fast([pieces[k] for k in part], add_special_tokens=False):
+                ids.append(np.array(e.ids, "<u2")), sizes.append(np.array([len(ids[-1])]))
+            places.append(part)
+        order, size, pool = np.concatenate(places), np.concatenate(sizes), np.concatenate(ids)
+        out = np.zeros(len(pieces), np.int64)
+        out[order] = size
+        # the ids in the order of the pieces
+        begin = np.zeros(len(pieces), np.int64)
+        begin[order] = np.cumsum(size) - size
+        upto = np.cumsum(out) - out
+        return out, pool[np.repeat(begin - upto, out) + np.arange(int(out.sum()))]
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text, and end_id behind them if there is one."""
+        kept = pc.match_substring_regex(texts, AS_IT_IS).to_pylist()
+        low = pa.array([(t if k else t.lower()).replace("\n", " ") for t, k in zip(texts.to_pylist(), kept, strict=True)], pa.string())
+        words = pc.split_pattern(pc.if_else(pa.array(kept, pa.bool_()), low, pc.replace_substring_regex(low, MARKED, "\\1 \\2\\3")), " ")
+        coded = words.flatten().dictionary_encode()
+        rows = self.known.rows(coded.dictionary)[coded.indices.to_numpy()]
+        n, begin = self.known.size[rows], (np.cumsum(self.known.size) - self.known.size)[rows]
+        # each word's ids from the known ones, one after the other, with a place left behind each text
+        upto = np.concatenate([[0], np.cumsum(n)])
+        source = np.repeat(begin - upto[:-1], n) + np.arange(int(upto[-1]))
+        ends = upto[words.offsets.to_numpy()][1:]
+        extra = 0 if self.end_id is None else 1
+        out = np.full(int(upto[-1]) + extra * len(texts), self.end_id or 0, "<u2")
+        out[np.arange(len(source)) + extra * np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))] = self.known.pool[source]
+        offsets = np.concatenate([[0], 2 * (ends + extra * np.arange(1, len(texts) + 1))]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())])
 
 
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(doc_id, ids): the ids of each whole text and end_id, u16 each; a null text is empty."""
-    end = struct.pack("<H", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = _PIECES.get(tokenizer) or _PIECES.setdefault(tokenizer, encoder(tokenizer))
+        encoder = Encoder(tokenizer, end_id)
         for batch in batches:
-            for i in range(0, len(batch), 512):
-                part = batch.slice(i, 512)
-                yield pa.record_batch([part.column(0), pa.array([x + end for x in encode(part.column(1).to_pylist())], pa.binary())], ["doc_id", "ids"])
+            for a, b in byte_steps(batch.column(1), STEP):
+                yield pa.record_batch([batch.column(0).slice(a, b - a), encoder.encode(batch.column(1).slice(a, b - a))], ["doc_id", "ids"])
 
     return documents_of(docs).mapInArrow(run, "doc_id long, ids binary")
 
@@ -285,7 +290,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, lanes
             yield frame()
 
     freq = table.raw
-    ordered = staged.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids")
+    # the head of the ids parts the rows of one doc_id, in the same order
+    ordered = staged.repartitionByRange(files, F.col("doc_id"), F.substring("ids", 1, 64)).sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(f"{path}/ids")
     remove_dir(spark, f"{path}/staged")
 

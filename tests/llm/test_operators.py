@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA, ODD
 
@@ -44,7 +45,11 @@ def bytes_bpe():
 def test_token_counts(texts, nothing, bytes_bpe):
     want = sorted((str(k), len(t.encode()), n := len(bytes_bpe.encode(t, add_special_tokens=False).ids), n > 512) for k, t in rows_of(texts))
     got = token_counts.token_counts(texts, _tokenizer("byte_bpe_50k.json")).collect()
-    assert sorted((str(r[0]), *r[1:]) for r in got) == want
+    assert sorted((str(r[0]), *r[1:4]) for r in got) == want
+    # every text longer than a chunk was spliced, and those without a boundary widened
+    long = {k for k, t in rows_of(texts) if len(t) > token_counts.CHUNK}
+    assert len(long) > 10 and {r["doc_id"] for r in got if r["n_seams"]} == long
+    assert {r["doc_id"] for r in got if r["n_widened"]} == {1008}
     assert token_counts.token_counts(nothing, _tokenizer("byte_bpe_50k.json")).count() == 0
 
 
@@ -58,9 +63,9 @@ def test_splicing(documents, bytes_bpe, chunk, overlap):
 
 def test_pieces_are_exact(bytes_bpe):
     rng = random.Random(3)
-    count = token_counts.counter(_tokenizer("byte_bpe_50k.json"), 10_000, 1000, 100)
+    count = token_counts.Counter(_tokenizer("byte_bpe_50k.json"), 1000, 100).count
     texts = ["".join(rng.choice(["a", "B", " ", "\n", "!", " word", " Über", ".,", "#|", "'s", "1", "\t", " ", "\x1c", " ", "é", "<|endoftext|>", "中"]) for _ in range(rng.randrange(60))) for _ in range(2000)]
-    assert count(texts) == [len(bytes_bpe.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert count(texts)[0] == [len(bytes_bpe.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 # 2
@@ -87,10 +92,10 @@ def test_word_pieces_are_exact():
 
     tokenizer = Tokenizer.from_file(_tokenizer("word_bpe_49k.json"))
     rng = random.Random(4)
-    encode = token_binary.encoder(_tokenizer("word_bpe_49k.json"))
+    encode = token_binary.Encoder(_tokenizer("word_bpe_49k.json")).encode
     bits = ["a", "Bc", "ß", "Ünter", " ", "\n", "\n\n", "!", "..", "'s", "'", "it's", "1", "23", "\t", "\xa0", "é", "e\u0301", "<|endoftext|>", "<|EndOfText|>", "<|", "中", "Σ", "İ", "ª", "word", "\u0308", "#%", "\x1c"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(3000)]
-    assert [np.frombuffer(x, "<u2").tolist() for x in encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u2").tolist() for x in encode(pa.array(texts, pa.string())).to_pylist()] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_token_files_of_nothing(nothing, tmp_path):
