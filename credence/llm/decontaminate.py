@@ -1,9 +1,13 @@
 """Benchmark decontamination: test items found inside documents by MinHash containment search, verified shingle by shingle.
 
-Items are parted by size (powers of two of their distinct five-word shingles). A class's sketch keeps the smallest hashes of an
-item, k = |Q| - ceil(threshold * |Q|) + 1 of them: a document that holds at least `threshold` of the item holds one of any k
-of its shingles, so no match is missed. Documents too short for a class (fewer than threshold * |Q| shingles) skip it.
-Documents aren't sketched: however long, all their shingles are looked up, so a short item in a long text is found as well.
+Items are parted by size (powers of two of their distinct five-word shingles). Each has a bottom-k MinHash sketch: the k smallest
+hashes of its shingles, k = |Q| - ceil(threshold * |Q|) + 1. A document has one sketch for each class: its hashes up to the
+largest one in the class's sketches, so that it is as long as the document asks for and a short item in a long document isn't
+lost. A document that holds at least `threshold` of an item holds one of any k of its shingles, so the sketches of both meet: no
+match is missed. Documents with fewer shingles than a class needs skip it. Pairs whose sketches meet are verified on the words.
+
+Documents are filtered against a bitmap of all sketch hashes, which Spark builds and which has a fixed largest size. What passes is
+joined with the items' sketches by hash; neither texts nor sketches of the benchmark go through the driver.
 Letters of all alphabets are compared in lower case, so that shouted passages are found too.
 """
 
@@ -11,8 +15,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +22,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, LOWER, documents_of, hashed_words, new_dir, shingles, stored, text_steps
+from .common import LOWER, UPPER, documents_of, hashed_words, new_dir, shingles, small_side, stored, text_steps
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 FOLD = str.maketrans(UPPER, LOWER)
-#: Shingles of items in one round; more items take several rounds over the documents.
-ROUND_BYTES = 32 << 20
+#: Bits of a bitmap for each hash in it, and logarithms of its least and largest number of bits (32 MB).
+BITS, LEAST_BITS, MOST_BITS = 64, 16, 28
+CHUNK_BITS = 13
 
 
 def shingle_set(text: str, k: int = 5) -> set[tuple[str, ...]]:
@@ -34,108 +37,117 @@ def shingle_set(text: str, k: int = 5) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or ({tuple(words)} if words else set())
 
 
-class Items:
-    """Sketches by size class and exact shingles of one round's items."""
-
-    def __init__(self, items: list[tuple[int, str]], threshold: float):
-        items = list(zip((k for k, _ in items), pc.utf8_lower(pa.array([t for _, t in items], pa.string())).to_pylist(), strict=True))
-        self.threshold = round(threshold * 1000)
-        self.sets = {k: s for k, t in items if (s := shingle_set(t))}
-        self.keys = sorted(self.sets)
-        if not self.keys:
-            self.classes = []
-            return
-        texts = dict(items)
-        steps = text_steps(pa.array(range(len(self.keys))), pa.array([texts[k] for k in self.keys]))
-        classes: dict[int, list[tuple[np.ndarray, int]]] = {}
-        for at, data, offsets in steps:
-            h, row, _, _ = hashed_words(data, offsets)
-            g, r = shingles(h, row, len(at))
-            for i, key in enumerate(at.tolist()):
-                own = g[r == i]
-                kept = np.sort(own)[: len(own) - self.need(len(own)) + 1]
-                classes.setdefault(len(own).bit_length(), []).append((kept, key))
-        self.classes = []
-        for size, entries in sorted(classes.items()):
-            hashes = np.concatenate([x for x, _ in entries])
-            keys = np.concatenate([np.full(len(x), k) for x, k in entries])
-            order = np.argsort(hashes, kind="stable")
-            self.classes.append((self.need(1 << (size - 1)), hashes[order], keys[order]))
-
-    def need(self, n: int) -> int:
-        return max(1, -(-self.threshold * n // 1000))
-
-    def search(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float]]:
-        """(row, item, containment) of every item that a text holds."""
-        h, row, _, _ = hashed_words(data, offsets)
-        g, r = shingles(h, row, len(offsets) - 1)
-        size = np.bincount(r, minlength=len(offsets) - 1)
-        pairs: set[tuple[int, int]] = set()
-        for least, hashes, keys in self.classes:
-            lo, hi = np.searchsorted(hashes, g, side="left"), np.searchsorted(hashes, g, side="right")
-            for i in np.flatnonzero((hi > lo) & (size[r] >= least)):
-                pairs.update((int(r[i]), int(k)) for k in keys[lo[i] : hi[i]])
-        found, held = [], (-1, set())
-        for at, k in sorted(pairs):
-            if held[0] != at:
-                held = (at, shingle_set(data[offsets[at] : offsets[at + 1]].tobytes().decode()))
-            own = self.sets[self.keys[k]]
-            n = len(own & held[1])
-            if n * 1000 >= self.threshold * len(own):
-                found.append((at, self.keys[k], n / len(own)))
-        return found
-
-
-def rounds_of(benchmark: DataFrame, text_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The items (id, text) in rounds of at most text_bytes of text, or of one longer item; they pass through the driver a partition at a time."""
-    rows: list[tuple[int, str]] = []
-    size = 0
-    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).dropna()
-    for r in items.toLocalIterator():
-        rows.append((r["item_id"], r["text"]))
-        size += len(r["text"])
-        if size >= text_bytes:
-            yield rows
-            rows, size = [], 0
-    if rows:
-        yield rows
-
-
-def matches(texts: DataFrame, items: list[tuple[int, str]], threshold: float) -> DataFrame:
-    """(key, items, containment) of each row of texts (key, text), with the items of one round that it holds."""
-    shared = texts.sparkSession.sparkContext.broadcast(items)
+def _lowered(texts: pa.Array) -> pa.Array:
+    return pc.utf8_lower(texts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(shared.value, threshold)
-        for batch in batches:
-            for keys, data, offsets in text_steps(batch.column(0), pc.utf8_lower(batch.column(1))):
-                held: list[list[int]] = [[] for _ in range(len(offsets) - 1)]
-                most = np.zeros(len(offsets) - 1)
-                for at, item, share in items.search(data, offsets) if items.keys else []:
-                    held[at].append(item)
-                    most[at] = max(most[at], share)
-                nulls = [None if k != k else int(k) for k in keys.tolist()]
-                yield pa.record_batch([pa.array(nulls, pa.int64()), pa.array(held, pa.list_(pa.int64())), pa.array(most)], ["key", "items", "containment"])
 
-    return texts.mapInArrow(run, "key long, items array<long>, containment double")
+def item_sketches(benchmark: DataFrame, threshold: float, path: str) -> tuple[DataFrame, DataFrame]:
+    """(item, item_id, text) and (item, least, h): a sketch of each item by row; least: shingles that a document of its class needs."""
+    share = round(threshold * 1000)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in text_steps(_lowered(batch.column(1))):
+                h, row, _, _ = hashed_words(data, offsets)
+                g, r = shingles(h, row, j - i)
+                n = np.bincount(r, minlength=j - i)
+                place = np.arange(len(g)) - (np.cumsum(n) - n)[r]
+                kept = place < (n + (-share * n) // 1000 + 1)[r]  # hashes come in ascending order
+                least = np.array([max(1, -(-share * (1 << (int(x).bit_length() - 1)) // 1000)) if x else 1 for x in n], np.int64)
+                keys = batch.column(0).slice(i, j - i).take(pa.array(r[kept]))
+                yield pa.record_batch([keys, pa.array(least[r[kept]]), pa.array(g[kept].view(np.int64))], ["item", "least", "h"])
+
+    items = benchmark.select(F.coalesce(benchmark["item_id"].cast("long"), F.lit(-1)).alias("item_id"), benchmark["text"].cast("string").alias("text"))
+    items = stored(items.filter("text IS NOT NULL").withColumn("item", F.monotonically_increasing_id()), f"{path}/items")
+    return items, stored(items.select("item", "text").mapInArrow(run, "item long, least long, h long"), f"{path}/sketches")
+
+
+def bitmap_of(sketches: DataFrame) -> dict:
+    """For each class (by `least`) the largest hash, and a bitmap of all sketch hashes by their first bits, of at most 2**MOST_BITS bits."""
+    unsigned = F.col("h").bitwiseXOR(F.lit(-(1 << 63)))  # in the order of unsigned numbers
+    classes = sketches.groupBy("least").agg(F.max(unsigned).alias("top"), F.count("*").alias("n")).collect()  # one row a class
+    bits = min(MOST_BITS, max(LEAST_BITS, (BITS * sum(r["n"] for r in classes) - 1).bit_length()))
+    chunks = sketches.select(F.shiftrightunsigned("h", 64 - bits).alias("b")).distinct()
+    chunks = chunks.groupBy(F.shiftright("b", CHUNK_BITS).alias("chunk")).agg(F.collect_list(F.expr(f"CAST(b & {(1 << CHUNK_BITS) - 1} AS SMALLINT)")).alias("bits"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in chunks.toLocalIterator():
+        at = (r["chunk"] << CHUNK_BITS) + np.array(r["bits"], np.int64)
+        np.bitwise_or.at(out, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+    return {"bits": bits, "map": out, "classes": [(r["least"], r["top"] + (1 << 63)) for r in classes]}
+
+
+def sketched(docs: DataFrame, filtered: dict, path: str) -> DataFrame:
+    """(row, doc_id, text_hash, h, text): a row for each document; h: hashes of its sketches that are in the bitmap, text only where there are some."""
+    shared = docs.sparkSession.sparkContext.broadcast(filtered)
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, text_bytes: int = ROUND_BYTES) -> DataFrame:
-    """doc_id, contaminated, n_items, items (ascending ids, comma-joined), containment (the highest) of documents (doc_id, text).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, bitmap, classes = shared.value["bits"], shared.value["map"], shared.value["classes"]
+        for batch in batches:
+            for i, j, data, offsets in text_steps(_lowered(batch.column(3))):
+                h, row, _, _ = hashed_words(data, offsets)
+                g, r = shingles(h, row, j - i)
+                n = np.bincount(r, minlength=j - i)
+                top = np.zeros(j - i, np.uint64)  # the largest hash in the sketches of the classes that a document may hold
+                some = np.zeros(j - i, bool)
+                for least, most in classes:
+                    fits = n >= least
+                    top[fits] = np.maximum(top[fits], np.uint64(most))
+                    some |= fits
+                at = (g >> np.uint64(64 - bits)).astype(np.int64)
+                hit = (g <= top[r]) & some[r] & ((bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(r[hit], minlength=j - i))])
+                held = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(g[hit].view(np.int64)))
+                texts = pc.if_else(pa.array(np.diff(ends) > 0), batch.column(3).slice(i, j - i), pa.scalar(None, pa.string()))
+                yield pa.record_batch([*(batch.column(k).slice(i, j - i) for k in range(3)), held, texts], ["row", "doc_id", "text_hash", "h", "text"])
+
+    rows = documents_of(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return stored(rows.mapInArrow(run, "row long, doc_id long, text_hash long, h array<long>, text string"), path)
+
+
+def _verified(threshold: float):
+    share = round(threshold * 1000)
 
-    An item is held when at least `threshold` of its distinct five-word shingles stand in the document. Items without words
-    and null items match nothing; null and empty texts hold nothing. Every input row gives a row, whatever its doc_id and however
-    many rounds the benchmark takes: for several, the documents are written once with a row number.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, set] = (-1, set())
+        for batch in batches:
+            keep, shares = [], []
+            lower, items = _lowered(batch.column(2)), _lowered(batch.column(3))
+            for i, row in enumerate(batch.column(0).to_pylist()):
+                if row != held[0]:
+                    held = (row, shingle_set(lower[i].as_py()))
+                own = shingle_set(items[i].as_py())
+                n = len(own & held[1])
+                if n * 1000 >= share * len(own):
+                    keep.append(i), shares.append(n / len(own))
+            yield pa.record_batch([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64())), pa.array(shares, pa.float64())], ["row", "item_id", "share"])
+
+    return run
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, path: str | None = None) -> DataFrame:
+    """doc_id, contaminated, n_items, items (ascending distinct ids, comma-joined), containment (the highest), text_hash of documents (doc_id, text).
+
+    An item is held when at least `threshold` of its distinct five-word shingles stand in the document. Every row of the benchmark
+    is an item of its own, also where ids repeat; a null id is listed as -1. Items without words and null texts match nothing;
+    null and empty texts hold nothing. Every input row gives a row, whatever its doc_id. A very long text is one step and is
+    sketched whole. text_hash (xxhash64 of the text, null as empty) tells rows of one doc_id apart.
     """
-    rounds = rounds_of(benchmark, text_bytes)
-    first, second = next(rounds, []), next(rounds, None)
-    if second is None:
-        rows = matches(documents_of(docs), first, threshold).withColumnRenamed("key", "doc_id")
-    else:
-        numbered = stored(documents_of(docs).withColumn("row", F.monotonically_increasing_id()), new_dir(docs.sparkSession, "decontamination"))
-        parts = [matches(numbered.select("row", "text"), items, threshold).filter(F.size("items") > 0) for items in chain([first, second], rounds)]
-        found = reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("containment").alias("containment"))
-        rows = numbered.select("row", "doc_id").join(found, F.col("row") == F.col("key"), "left")
-        rows = rows.select("doc_id", F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("containment", F.lit(0.0)).alias("containment"))
-    listed = F.array_join(F.transform(F.sort_array("items"), lambda x: x.cast("string")), ",")
-    return rows.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), listed.alias("items"), "containment")
+    spark = docs.sparkSession
+    path = path or new_dir(spark, "decontamination")
+    items, sketches = item_sketches(benchmark, threshold, path)
+    rows = sketched(docs, bitmap_of(sketches), f"{path}/rows")
+    hits = rows.filter(F.size("h") > 0)
+    meeting = hits.select("row", F.explode("h").alias("g")).join(small_side(sketches.select("h", "item")), F.col("g") == F.col("h"))
+    pairs = stored(meeting.select("row", "item").distinct(), f"{path}/pairs")
+    texts = hits.select(F.col("row").alias("at"), F.col("text").alias("doc_text"))
+    both = pairs.join(items.select(F.col("item").alias("of"), "item_id", F.col("text").alias("item_text")), F.col("item") == F.col("of"))
+    both = both.join(texts, F.col("row") == F.col("at")).select("row", "item_id", "doc_text", "item_text")
+    found = both.mapInArrow(_verified(threshold), "row long, item_id long, share double")
+    found = found.groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("ids"), F.max("share").alias("share")).withColumnRenamed("row", "of")
+    found = small_side(stored(found, f"{path}/found"))
+    listed = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
+    out = rows.select("row", "doc_id", "text_hash").join(found, F.col("row") == F.col("of"), "left")
+    return out.select(
+        "doc_id", F.col("of").isNotNull().alias("contaminated"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce(listed, F.lit("")).alias("items"), F.coalesce("share", F.lit(0.0)).alias("containment"), "text_hash",
+    )

@@ -34,7 +34,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return found.withColumn("containment", F.round("containment", 6))
+    return found.withColumn("containment", F.round("containment", 6)).drop("text_hash")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

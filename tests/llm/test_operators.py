@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from conftest import DATA, ODD
 
-from credence.llm import decontaminate, language_id, license_scan, mixing, ngram_join, perspectives, quality_rules, token_binary, token_counts, warc
+from credence.llm import common, decontaminate, language_id, license_scan, mixing, ngram_join, perspectives, quality_rules, token_binary, token_counts, warc
 from credence.llm.queries import QUERIES, _tokenizer
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -154,15 +154,19 @@ def test_sketches_merge(spark):
 # 4
 
 
-def test_decontamination(spark, texts, odd, nothing):
+def test_decontamination(spark, texts, odd, nothing, monkeypatch):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet").unionByName(spark.createDataFrame([(900, None), (901, ""), (902, "a b c d e f g"), (903, "one")], "item_id long, text string"))
     sets = {r["item_id"]: decontaminate.shingle_set((r["text"] or "").lower()) for r in bench.collect()}
     want = set()
     for k, t in rows_of(texts):
         own = decontaminate.shingle_set(t.lower())
         want |= {(k, i) for i, s in sets.items() if s and len(s & own) * 1000 >= 800 * len(s)}
-    for size in (32 << 20, 2000):  # one round and several
-        got = {(r["doc_id"], int(i)) for r in decontaminate.contaminated(texts, bench, text_bytes=size).collect() for i in r["items"].split(",") if i}
+    for bits, rows in ((28, 1_000_000), (8, 0)):  # a bitmap with room, and one that lets nearly all hashes pass, joined by a shuffle
+        monkeypatch.setattr(decontaminate, "LEAST_BITS", min(bits, 16))
+        monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
+        monkeypatch.setattr(decontaminate, "CHUNK_BITS", min(bits, 13))
+        monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+        got = {(r["doc_id"], int(i)) for r in decontaminate.contaminated(texts, bench).collect() for i in r["items"].split(",") if i}
         assert got == want and len(want) > 5
     assert decontaminate.contaminated(nothing, bench).count() == 0
     assert decontaminate.contaminated(odd, bench.limit(0)).filter("contaminated").count() == 0
@@ -174,10 +178,25 @@ def test_decontamination_keeps_rows(spark):
     bench = spark.createDataFrame([(900, item), (901, "k l m n o p"), (902, "one two three four five")], "item_id long, text string")
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted((str(k), {item: "900", "k l m n o p": "901"}.get(t, "")) for k, t in rows)
-    for size in (32 << 20, 1):  # one round and three
-        got = decontaminate.contaminated(docs, bench, text_bytes=size).collect()
-        assert sorted((str(r["doc_id"]), r["items"]) for r in got) == want
-        assert all(r["contaminated"] == bool(r["items"]) == bool(r["n_items"]) == (r["containment"] == 1) for r in got)
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert sorted((str(r["doc_id"]), r["items"]) for r in got) == want
+    assert all(r["contaminated"] == bool(r["items"]) == bool(r["n_items"]) == (r["containment"] == 1) for r in got)
+
+
+def test_items_that_share_an_id(spark):
+    bench = spark.createDataFrame([(7, "a b c d e f g h"), (7, "k l m n o p"), (None, "q r s t u v"), (8, "k l m n o p"), (7, "k l m n o p")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x a b c d e f g h y"), (2, "K L M N O P"), (3, "q r s t u v"), (4, "none")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["items"], r["n_items"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {1: ("7", 1), 2: ("7,8", 2), 3: ("-1", 1), 4: ("", 0)}
+
+
+def test_short_item_in_a_long_text(spark):
+    rng = random.Random(8)
+    filler = [" ".join(rng.choices([f"w{i}" for i in range(3000)], k=400_000)) for _ in range(2)]
+    docs = spark.createDataFrame([(1, filler[0] + " to be found here now " + filler[1]), (2, filler[0])], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, "to be found here now"), (6, filler[1][:2000])], "item_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {1: "5,6", 2: ""}
 
 
 # 5
