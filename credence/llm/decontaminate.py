@@ -97,7 +97,7 @@ def sketched(docs: DataFrame, filtered: dict, path: str) -> DataFrame:
                 hit = (g <= top[r]) & some[r] & ((bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(r[hit], minlength=j - i))])
                 held = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(g[hit].view(np.int64)))
-                texts = pc.if_else(pa.array(np.diff(ends) > 0), batch.column(3).slice(i, j - i), pa.scalar(None, pa.string()))
+                texts = batch.column(3).take(pa.array(np.arange(i, j), mask=np.diff(ends) == 0))
                 yield pa.record_batch([*(batch.column(k).slice(i, j - i) for k in range(3)), held, texts], ["row", "doc_id", "text_hash", "h", "text"])
 
     rows = documents_of(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")

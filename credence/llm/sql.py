@@ -79,6 +79,33 @@ SELECT e.doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols, n_dup_lines,
 FROM e JOIN k ON k.doc_id = e.doc_id
 """
 
+_KEY = "('0x' || substr(md5(concat_ws('|', 0, {0})), 1, 15))::BIGINT"
+_BLOCK_ORDER = _KEY.format("{0}, coalesce(source, '~'), block")
+_DOC_ORDER = _KEY.format("{0}, coalesce(doc_id::VARCHAR, '~'), h")
+
+MIXING = f"""
+WITH RECURSIVE m AS (
+    SELECT doc_id, source, md5(coalesce(text, '')) AS h, sum(greatest(len({WORDS.format("coalesce(text, '')")}), 1))::BIGINT AS n_tokens FROM documents GROUP BY ALL),
+s AS (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM m GROUP BY source),
+spent AS (SELECT sum(tokens)::DOUBLE AS budget, max(tokens)::DOUBLE AS most FROM s),
+bisected(step, lo, hi) AS (
+    SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
+    SELECT step + 1, CASE WHEN flat THEN mid ELSE lo END, CASE WHEN flat THEN hi ELSE mid END FROM (
+        SELECT step, lo, hi, (lo + hi) / 2 AS mid, max(pow(tokens / most, (lo + hi) / 2 - 1)) / sum(pow(tokens / most, (lo + hi) / 2)) * (max(budget) / max(most)) > 2.0 * (1 + 1e-12) AS flat
+        FROM bisected, s, spent WHERE step < 60 GROUP BY step, lo, hi)),
+e AS (SELECT hi AS a FROM bisected WHERE step = 60),
+w AS (SELECT source, tokens, pow(tokens::DOUBLE, a) / (SELECT sum(pow(tokens::DOUBLE, a)) FROM s, e) AS weight FROM s, e),
+t AS (SELECT *, floor(weight * budget + 1e-6)::BIGINT AS target FROM w, spent),
+d AS (SELECT m.*, weight, target // tokens AS passes, target % tokens AS rest,
+             {_KEY.format("coalesce(doc_id::VARCHAR, '~'), h")} % ceil(tokens / 262144)::BIGINT AS block FROM m JOIN t ON m.source IS NOT DISTINCT FROM t.source),
+o AS (SELECT *, {_BLOCK_ORDER.format("passes")} AS bo, {_DOC_ORDER.format("passes")} AS dd FROM d),
+u AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY bo, block, dd, doc_id, h) AS upto FROM o),
+r AS (SELECT *, unnest(range(0, passes + CASE WHEN upto <= rest THEN 1 ELSE 0 END)) AS epoch FROM u)
+SELECT doc_id, source, n_tokens, round(weight, 9) AS weight, epoch, block,
+       CASE WHEN epoch = passes THEN bo ELSE {_BLOCK_ORDER.format("epoch")} END AS block_order, CASE WHEN epoch = passes THEN dd ELSE {_DOC_ORDER.format("epoch")} END AS doc_order
+FROM r
+"""
+
 _TURN = "PARTITION BY conv_id, perspective, part ORDER BY turn, speaker, said, head, own"
 _BY = _TURN.partition("part ")[2]
 
@@ -116,4 +143,4 @@ FROM f
 """
 
 
-ORACLES: dict[str, str] = {"op3_quality_rules": QUALITY, "op4_decontamination": CONTAINMENT, "op5_perspectives": PERSPECTIVES, "op6_ngram_jaccard": JACCARD, "op8_license_scan": _license_sql(), "op10_warc_revisits": WARC}
+ORACLES: dict[str, str] = {"op3_quality_rules": QUALITY, "op4_decontamination": CONTAINMENT, "op5_perspectives": PERSPECTIVES, "op6_ngram_jaccard": JACCARD, "op8_license_scan": _license_sql(), "op9_source_mixing": MIXING, "op10_warc_revisits": WARC}

@@ -397,6 +397,23 @@ def test_entropy(spark):
         p = np.array([1000.0, 100, 10]) ** a
         p /= p.sum()
         assert abs(-(p * np.log(p)).sum() - goal) < 1e-6
+    for goal in (0.2, 1.2):
+        with pytest.raises(ValueError, match="no mix"):
+            mixing.exponent(sources, 1110.0, None, goal)
+    assert mixing.exponent(sources, 1110.0, 1000.0, None) == 0.0
+    with pytest.raises(ValueError, match="no mix"):
+        mixing.exponent(sources, 11100.0, 2.0, None)
+
+
+def test_blocks_before(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(s, b, rng.randrange(1 << 60), rng.randrange(1, 50)) for s in ("a", "b", None) for b in range(700)]
+    got = mixing.blocks_before(spark.createDataFrame(rows, "source string, block long, block_order long, block_tokens long"), f"file://{tmp_path}/b").collect()
+    want, total = {}, Counter()
+    for s, b, _, n in sorted(rows, key=lambda r: r[2]):
+        want[s, b] = total[s]
+        total[s] += n
+    assert {(r["of"], r["b"]): r["earlier"] for r in got} == want
 
 
 # 10
