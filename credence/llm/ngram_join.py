@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import documents_of, hashed_words, mixed, new_dir, remove_dir, shingles, small_side, stored, text_steps
 
-#: Entries that a task gathers before it sends blocks, and the count from which a column is hot among them.
-GATHERED, HOT = 1_000_000, 64
+#: Entries that a task gathers before it sends blocks, the count from which a column is hot among them, and entries of one column
+#: that all tasks together may send to its block: with very many tasks a column is hot sooner, at 2 at least.
+GATHERED, HOT, COLUMN_ENTRIES = 1_000_000, 64, 1_000_000
 #: Text bytes for each block of columns.
 BLOCK_TEXT = 12 << 20
 #: Logarithm of the ratio of sizes that share a bin.
@@ -77,7 +78,17 @@ def stored_sets(ids: pa.Array, sets: pa.Array) -> Iterator[tuple[np.ndarray, np.
         yield ids[i : i + 256], np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
 
 
-def _block_rows(blocks: int, sets_of, first_of, sizes: bool):
+def fingerprints(g: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Two sums over each set's shingles: equal sets have equal ones, and different sets different ones but for a chance of 2**-128."""
+    begin = np.cumsum(n) - n
+    two = np.zeros((len(n), 2), np.int64)
+    full = np.flatnonzero(n > 0)
+    for k, x in enumerate((mixed(g), mixed(g ^ np.uint64(0xA5A5A5A5A5A5A5A5)))):
+        two[full, k] = np.add.reduceat(x, begin[full]).view(np.int64) if len(full) else 0
+    return two
+
+
+def _block_rows(blocks: int, sets_of, first_of, sizes: bool, least_hot: int = HOT):
     """A task's work on batches (ids, texts or sets): the first first_of(n) shingles of each set of n, in hash order, as rows (block, kind, a, b, c).
 
     ENTRY: a: hashes of a block of columns, b: the document of each. HOT_COLUMN: a: hashes of the block's columns that are hot in this
@@ -100,12 +111,12 @@ def _block_rows(blocks: int, sets_of, first_of, sizes: bool):
             h, d = h[order], d[order]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
             count = np.diff(np.append(first, len(h)))
-            hot = np.repeat(count >= HOT, count)
+            hot = np.repeat(count >= least_hot, count)
             rows = []
             if hot.any():
                 for k, part in enumerate(np.array_split(np.flatnonzero(hot), max(1, int(hot.sum()) // 100_000))):
                     rows.append(row(int(mixed(np.array([salt * 1000 + k + int(h[0] >> np.uint64(1))], np.uint64))[0] % np.uint64(blocks)), HOT_ENTRY, h[part], d[part]))
-            for kind, *columns in ((ENTRY, h[~hot], d[~hot]), (HOT_COLUMN, h[first[count >= HOT]])):
+            for kind, *columns in ((ENTRY, h[~hot], d[~hot]), (HOT_COLUMN, h[first[count >= least_hot]])):
                 if not len(columns[0]):
                     continue
                 block = (columns[0] % np.uint64(blocks)).astype(np.int64)
@@ -122,12 +133,8 @@ def _block_rows(blocks: int, sets_of, first_of, sizes: bool):
                 ids = ids.astype(np.int64)
                 n = np.bincount(r, minlength=len(ids))
                 begin = np.cumsum(n) - n
-                two = np.zeros((len(ids), 2), np.int64)
-                full = np.flatnonzero(n > 0)
-                for k, x in enumerate((mixed(g), mixed(g ^ np.uint64(0xA5A5A5A5A5A5A5A5)))):
-                    two[full, k] = np.add.reduceat(x, begin[full]).view(np.int64) if len(full) else 0
                 if sizes:
-                    yield pa.record_batch([pa.array([x], t) for x, t in zip(row(int(ids[0]) % blocks, SIZE, ids, n.astype(np.int64), two), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], names)
+                    yield pa.record_batch([pa.array([x], t) for x, t in zip(row(int(ids[0]) % blocks, SIZE, ids, n.astype(np.int64), fingerprints(g, n)), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], names)
                 inside = np.arange(len(g)) - begin[r] < first_of(n)[r]
                 gathered.append((g[inside], ids[r[inside]]))
                 held += int(inside.sum())
@@ -174,9 +181,10 @@ def _multiplied(block: pd.DataFrame) -> pd.DataFrame:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for ids, g, r in text_sets(batch.column(0), batch.column(1)):
-            ends = np.searchsorted(r, np.arange(1, len(ids) + 1))
-            begin = np.concatenate([[0], ends[:-1]])
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([g[a:b].tobytes() for a, b in zip(begin, ends, strict=True)], pa.binary())], ["doc", "set"])
+            n = np.bincount(r, minlength=len(ids))
+            ends = np.cumsum(n)
+            sets = pa.array([g[a:b].tobytes() for a, b in zip(ends - n, ends, strict=True)], pa.binary())
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(n.astype(np.int64)), *(pa.array(x) for x in fingerprints(g, n).T.copy()), sets], ["doc", "n", "f", "g", "set"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,8 +268,10 @@ def _identity(n):
 def ngram_components(docs: DataFrame, path: str | None = None, rounds: int = 10) -> DataFrame:
     """doc_id, n_shingles, component_id for documents (doc_id, text), a row for each doc_id.
 
-    doc_id is a key: rows that repeat one wholly count once, rows without one are left out. A text with fewer than five words has its
-    whole sequence as its only shingle; null, empty and blank texts have none and are linked with nothing.
+    doc_id is a key: rows that repeat one wholly count once, rows without one are left out. Of rows with one doc_id and different
+    texts the one with the most shingles counts, among equals the one of the largest fingerprints. A text with fewer than five
+    words has its whole sequence as its only shingle; null, empty and blank texts have none and are linked with nothing. A very
+    long text is one step.
     """
     spark = docs.sparkSession
     path = path or new_dir(spark, "ngram")
@@ -269,8 +279,10 @@ def ngram_components(docs: DataFrame, path: str | None = None, rounds: int = 10)
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BLOCK_TEXT)
 
+    hot = max(2, min(HOT, COLUMN_ENTRIES // max(blocks, size // GATHERED + 1)))
+
     # 1: the first columns of all documents
-    matrix = base.mapInArrow(_block_rows(blocks, text_sets, width, True), MATRIX)
+    matrix = base.mapInArrow(_block_rows(blocks, text_sets, width, True, hot), MATRIX)
     product = stored(matrix.groupBy("block").applyInPandas(_multiplied, PRODUCT), f"{path}/product")
     sizes = product.filter(F.col("kind") == SIZE).groupBy("doc").agg(F.max(F.struct("x", "y", "z")).alias("s"))
     sizes = stored(sizes.select("doc", F.col("s.x").alias("n"), F.col("s.y").alias("f"), F.col("s.z").alias("g")), f"{path}/sizes")
@@ -280,11 +292,13 @@ def ngram_components(docs: DataFrame, path: str | None = None, rounds: int = 10)
     # 2: one document of each set, whole rows
     same = stored(kept.groupBy("n", "f", "g").agg(F.min("doc").alias("rep")), f"{path}/same")
     ours = kept.select("doc", F.col("n").alias("n1"), F.col("f").alias("f1"), F.col("g").alias("g1"))
-    reps = stored(ours.join(same, (F.col("n1") == F.col("n")) & (F.col("f1") == F.col("f")) & (F.col("g1") == F.col("g"))).select("doc", "rep"), f"{path}/reps")
-    wanted = stored(reps.filter("doc = rep").select(F.col("doc").alias("doc_id")), f"{path}/wanted")
-    sets = stored(base.join(small_side(wanted), "doc_id", "left_semi").mapInArrow(_sets, "doc long, set binary").dropDuplicates(["doc"]), f"{path}/sets")
+    reps = stored(ours.join(same, (F.col("n1") == F.col("n")) & (F.col("f1") == F.col("f")) & (F.col("g1") == F.col("g"))).select("doc", "rep", "n", "f", "g"), f"{path}/reps")
+    wanted = small_side(stored(reps.filter("doc = rep").select(F.col("doc").alias("doc_id"), "n", "f", "g"), f"{path}/wanted"))
+    sets = base.join(wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "doc long, n long, f long, g long, set binary")
+    sets = sets.join(wanted.withColumnRenamed("doc_id", "doc"), ["doc", "n", "f", "g"], "left_semi").select("doc", "set").dropDuplicates(["doc"])
+    sets = stored(sets, f"{path}/sets")
     remove_dir(spark, f"{path}/product")
-    matrix = sets.mapInArrow(_block_rows(blocks, stored_sets, _identity, False), MATRIX)
+    matrix = sets.mapInArrow(_block_rows(blocks, stored_sets, _identity, False, hot), MATRIX)
     product = stored(matrix.groupBy("block").applyInPandas(_multiplied, PRODUCT), f"{path}/whole")
     rows = _shared_columns(product).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("row"))  # as long as its text at most
     rows = rows.join(sizes.select("doc", "n"), "doc").filter(F.size("row") >= F.expr("(80 * n + 99) div 100"))
@@ -342,8 +356,14 @@ def ngram_components(docs: DataFrame, path: str | None = None, rounds: int = 10)
         labels = components(found if edges is None else edges.unionByName(found), f"{path}/last")
 
     # classes of equal sets reach what their first document reaches
-    joined = reps.join(labels.withColumnRenamed("doc", "of"), reps["rep"] == F.col("of"), "left").select(F.col("doc").alias("of"), F.coalesce("label", "rep").alias("smallest")) if labels is not None else reps.select(F.col("doc").alias("of"), F.col("rep").alias("smallest"))
+    if labels is None:
+        joined = reps.select(F.col("doc").alias("of"), F.col("rep").alias("smallest"))
+    else:
+        joined = reps.select("doc", "rep").join(labels.withColumnRenamed("doc", "at"), F.col("rep") == F.col("at"), "left")
+        joined = joined.select(F.col("doc").alias("of"), F.coalesce("label", "rep").alias("smallest"))
     joined = stored(joined, f"{path}/components")
-    out = stored(sizes.join(joined, sizes["doc"] == F.col("of"), "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc").alias("component_id")), f"{path}.result")
+    out = sizes.join(joined, sizes["doc"] == F.col("of"), "left")
+    out = out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc").alias("component_id"))
+    out = stored(out, f"{path}.result")
     remove_dir(spark, path)
     return out

@@ -287,6 +287,18 @@ def test_negative_ids(spark):
     assert got == plain_components(rows) and got[7][1] == got[2**63 - 1][1] == -(2**63)
 
 
+def test_clashing_ids(spark, monkeypatch):
+    rng = random.Random(11)
+    text = lambda k: " ".join(rng.choices([f"w{i}" for i in range(4000)], k=k))
+    big, small, other = text(80), text(30), text(50)
+    rows = [(1, small), (1, big), (2, small), (3, big + " end"), (4, other), (5, other + " x"), (5, other + " x")]
+    want = {1: (76, 1), 2: (26, 2), 3: (77, 1), 4: (46, 4), 5: (47, 4)}
+    monkeypatch.setattr(ngram_join, "COLUMN_ENTRIES", 1)  # all columns of two rows are hot
+    for part in (rows, rows[::-1]):
+        got = ngram_join.ngram_components(spark.createDataFrame(part, "doc_id long, text string")).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want and len(got) == 5
+
+
 # 7
 
 
