@@ -48,3 +48,19 @@ def test_empty_input(spark, documents):
     none = spark.createDataFrame([], documents.schema)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, DATA).count() == 0, name
+
+
+def test_rows_that_share_a_doc_id(spark, documents):
+    """Verdicts hold for a row, not for all rows of its doc_id."""
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").first()["text"]
+    good = [r["text"] for r in documents.filter("lang = 'en' and n_chars between 400 and 3000").orderBy("doc_id").limit(3).collect()]
+    rows = [(1, good[0]), (1, "12 34"), (2, good[1]), (2, good[1] + " " + item), (3, good[2]), (3, good[2]), (4, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", None) for k, t in rows], documents.schema)
+    stages = dict(corpus_pipeline.STAGES)
+    model = language_id.fit(documents)
+    kept = language_id.prevailing(docs, model, 0.2).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted((k, t) for k, t in rows if t and t != "12 34")
+    clean = stages["decontamination"](spark, docs.filter("text is not null"), DATA).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in clean) == sorted((k, t) for k, t in rows if t and item not in t)
+    one = stages["ngram_jaccard"](spark, docs, DATA).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in one) == sorted([(1, min("12 34", good[0])), (2, min(good[1], good[1] + " " + item)), (3, good[2]), (4, "")])
