@@ -1,6 +1,8 @@
 """Five stages that make a training set of documents: each is written as Parquet and reread as the next one's input.
 
-Documents without a doc_id go at the first stage: no later one could name them.
+Null, empty and very long texts, ties, repeated rows and extra columns: decisions are made row by row, by doc_id and text together where
+a stage joins, so rows that share a doc_id are kept or dropped each on its own. Documents without a doc_id go at the first stage,
+since no later one could name them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,48 +11,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credence.llm import decontaminate, language_id, mixing, ngram_join, token_binary
-from credence.llm.common import new_dir, small_side, stored
+from credence.llm.common import new_dir, remove_dir, small_side, stored
 from credence.llm.queries import _tokenizer
 
 #: Documents whose first language scores less, since none prevails, are rejected; short ones of one language score more.
 LEAST_SCORE = 0.2
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is among ids (one column, doc_id), each as often as it comes."""
-    return docs.join(small_side(stored(ids, new_dir(docs.sparkSession, "ids"))), "doc_id", "left_semi").select(docs.columns)
-
-
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a language, or in which none prevails, go."""
-    found = language_id.language_id(docs)
-    return _only(docs, found.filter((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SCORE)).select("doc_id").distinct())
+    """Language ID: rows without a language (null texts, no letters), or in which none prevails, go. No shuffle; repeated rows stay."""
+    model = language_id.fit(docs.filter(~language_id.held_out(docs)))
+    return language_id.prevailing(docs.filter("doc_id IS NOT NULL"), model, LEAST_SCORE)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each component the smallest doc_id stays, once if its row repeats."""
+    """N-gram Jaccard join: of each component the smallest doc_id stays. Of rows that share it, the first in the order of their columns, text first, stays."""
     found = ngram_join.ngram_components(docs)
-    kept = _only(docs, found.filter("doc_id = component_id").select("doc_id"))
-    repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    ids = small_side(stored(found.filter("doc_id = component_id").select("doc_id"), new_dir(spark, "ids")))
+    kept = docs.join(ids, "doc_id", "left_semi").select(docs.columns)
+    repeated = stored(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"), new_dir(spark, "repeated"))
+    if not repeated.limit(1).count():
+        return kept
+    order = ["text", *(c for c in docs.columns if c != "text")]
+    several = kept.join(small_side(repeated), "doc_id", "left_semi").select(F.col("doc_id").alias("k"), F.struct(*order).alias("row"))
+    first = several.groupBy("k").agg(F.min("row").alias("row")).select("row.*").select(docs.columns)
+    return kept.join(small_side(repeated), "doc_id", "left_anti").select(docs.columns).unionByName(first)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents that hold an item go."""
+    """Benchmark decontamination: rows whose text holds an item go; rows without a text hold none and stay."""
     found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _only(docs, found.filter(~F.col("contaminated")).select("doc_id").distinct())
+    bad = found.filter("contaminated").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("x")).distinct()
+    bad = small_side(stored(bad, new_dir(spark, "contaminated")))
+    key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("d")) & (key == F.col("x")), "left_anti").select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing sources: a row for each time that a document is drawn."""
-    drawn = mixing.mixed_sources(docs).select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("h").alias("x"))
+    """Mixing sources: a row for each time that a document is drawn; repeated rows are drawn together."""
+    path = new_dir(spark, "mixing")
+    drawn = mixing.mixed_sources(docs, path=path).groupBy("doc_id", "source", "h").agg(F.count("*").alias("times"))
+    drawn = drawn.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("h").alias("x"), "times")
     drawn = small_side(stored(drawn, new_dir(spark, "drawn")))
-    key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.withColumn("_h", key).join(drawn, docs["doc_id"].eqNullSafe(F.col("d")) & docs["source"].eqNullSafe(F.col("s")) & (F.col("_h") == F.col("x"))).select([docs[c] for c in docs.columns])
+    remove_dir(spark, path)
+    at = docs.withColumn("_x", mixing.text_key(docs["text"]))
+    at = at.join(drawn, docs["doc_id"].eqNullSafe(F.col("d")) & docs["source"].eqNullSafe(F.col("s")) & (F.col("_x") == F.col("x")))
+    return at.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).select([docs[c] for c in docs.columns])
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in binary files: doc_id, start, n_tokens, ids_crc32 as read back from them."""
+    """Token ids in binary files: doc_id, start, n_tokens, ids_crc32 as read back from them; a row for each row, empty texts have the end id alone."""
     return token_binary.token_files(docs, _tokenizer("word_bpe_49k.json"), end_id=2)
 
 
