@@ -1,7 +1,9 @@
 """Quality rules whose cut-offs follow the corpus: quantile sketches per language and source, then a joined filter.
 
-The sketch of a metric is a histogram over fixed integer bins (per mille for shares, tenths for lengths): sketches of parts
-add up bin by bin, so languages and the whole corpus are merges of their sources, in any order and with the same result.
+The sketch of a metric counts its values by their first seven binary digits, so a quantile read from it is at most 1/64 off. Sketches
+of parts add up bin by bin: languages and the whole corpus are merges of their sources, in any order and with the same result.
+A cut-off is a quantile of its group, drawn towards that of the group above (source, language, corpus) the more, the fewer documents
+it has. So no fixed cut-off is left but for the base rules, and of each group a set share at most is cut off by each metric.
 """
 
 from __future__ import annotations
@@ -9,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, new_dir, stored, words_of
+from .common import SPACE, new_dir, small_side, stored, words_of
 
 SYMBOLS = "#*$%&|<>"
-#: Metric: (least upper cut-off, greatest lower cut-off). A cut-off never gets stricter than these, however even a group is.
-FLOORS = {"symbol_pm": (100, -1), "dup_pm": (500, -1), "repeat_pm": (400, -1), "length_d": (120, 20)}
+#: Binary digits that a sketch keeps.
+DIGITS = 7
+#: Metrics (millionths for shares, ten-thousandths of a character for the mean length of a word) and the quantiles, in thousandths, at which each is cut off below and above.
+METRICS = {"symbol_ppm": (None, 990), "dup_ppm": (None, 990), "repeat_ppm": (None, 990), "length_e4": (10, 990)}
 
 
 def _repeat_words(words: Column) -> Column:
@@ -44,51 +48,69 @@ def base_metrics(docs: DataFrame) -> DataFrame:
     return at.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def binned(metrics: DataFrame) -> DataFrame:
-    """The metrics as bins of their sketches."""
-    share = lambda a, b: F.expr(f"least(1000, 1000 * {a} div greatest({b}, 1))").cast("long")
-    return metrics.withColumns({"symbol_pm": share("n_symbols", "word_chars"), "dup_pm": share("n_dup_lines", "n_lines"), "repeat_pm": share("n_repeat_words", "n_words"), "length_d": F.expr("least(1000, 10 * word_chars div greatest(n_words, 1))").cast("long")})
+def measured(metrics: DataFrame) -> DataFrame:
+    """METRICS beside the base metrics."""
+    share = lambda a, b: F.expr(f"1000000 * {a} div greatest({b}, 1)").cast("long")
+    length = F.expr("10000 * word_chars div greatest(n_words, 1)").cast("long")
+    return metrics.withColumns({"symbol_ppm": share("n_symbols", "word_chars"), "dup_ppm": share("n_dup_lines", "n_lines"), "repeat_ppm": share("n_repeat_words", "n_words"), "length_e4": length})
 
 
-def sketches(bins: DataFrame) -> DataFrame:
-    """(lang, source, metric, bin, n) over all documents that pass the base rules; pre-aggregated by task, at most 1001 bins a group and metric."""
-    long = bins.filter(~F.col("base_failed")).select("lang", "source", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("bin")) for m in FLOORS))).alias("x"))
-    return long.groupBy("lang", "source", "x.metric", "x.bin").agg(F.count("*").alias("n"))
+def bin_width(v: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(F.length(F.bin(v)) - DIGITS, F.lit(0)))
 
 
-def fences(sketch: DataFrame, keys: list[str], spread: float) -> DataFrame:
-    """Lower and upper cut-off for each group and metric: quartiles of the merged sketch, `spread` quartile ranges out, within FLOORS."""
+def sketches(rows: DataFrame) -> DataFrame:
+    """(lang, source, metric, bin, width, n) over all documents that pass the base rules; pre-aggregated by task, some hundred bins a group and metric."""
+    long = rows.filter(~F.col("base_failed")).select("lang", "source", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in METRICS))).alias("x"))
+    width = bin_width(F.col("v"))
+    long = long.select("lang", "source", "x.metric", "x.v").select("lang", "source", "metric", (F.col("v") - F.col("v") % width).alias("bin"), width.alias("width"))
+    return long.groupBy("lang", "source", "metric", "bin", "width").agg(F.count("*").alias("n"))
+
+
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, metric, docs, lo, hi): the quantiles of the merged sketches of each group; the lower end of a bin for lo, -1 where a metric has none, the upper one for hi."""
     by = [*keys, "metric"]
-    merged = sketch.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
+    merged = sketch.groupBy(*by, "bin", "width").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*by)
-    merged = merged.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "total": F.sum("n").over(w)})
-    q = merged.groupBy(*by).agg(F.max("total").alias("total"), *(F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bin"))).alias(f"q{k}") for k in (1, 3)))
-    top = F.element_at(F.create_map(*(x for m, (hi, _) in FLOORS.items() for x in (F.lit(m), F.lit(hi)))), F.col("metric"))
-    low = F.element_at(F.create_map(*(x for m, (_, lo) in FLOORS.items() for x in (F.lit(m), F.lit(lo)))), F.col("metric"))
-    reach = F.floor(spread * (F.col("q3") - F.col("q1")))
-    q = q.select(*by, "total", F.greatest(top, F.col("q3") + reach).alias("hi"), F.least(low, F.col("q1") - reach).alias("lo"))
-    return q.groupBy(*keys).agg(F.max("total").alias("total"), *(F.max(F.when(F.col("metric") == m, F.struct("lo", "hi"))).alias(m) for m in FLOORS)) if keys else q.agg(F.max("total").alias("total"), *(F.max(F.when(F.col("metric") == m, F.struct("lo", "hi"))).alias(m) for m in FLOORS))
+    merged = merged.withColumns({"upto": F.sum("n").over(w.orderBy("bin")) * 1000, "docs": F.sum("n").over(w)})
+    reached = lambda k: F.col("upto") >= F.col("docs") * F.element_at(F.create_map(*(F.lit(x) for m, q in METRICS.items() if q[k] for x in (m, q[k]))), F.col("metric"))
+    lo = F.coalesce(F.min(F.when(reached(0), F.col("bin"))), F.lit(-1).cast("bigint"))
+    return merged.groupBy(*by).agg(F.max("docs").alias("docs"), lo.alias("lo"), F.min(F.when(reached(1), F.col("bin") + F.col("width") - 1)).alias("hi"))
+
+
+def drawn_to(own: DataFrame, above: DataFrame, keys: list[str], weight: int) -> DataFrame:
+    """Quantiles of groups, each drawn to those of the group above (same metric, same keys) as if that had `weight` documents in it."""
+    up = above.select(F.col("metric").alias("m"), *(F.col(k).alias(f"up_{k}") for k in keys), F.col("lo").alias("up_lo"), F.col("hi").alias("up_hi"))
+    on = F.col("metric") == F.col("m")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"up_{k}"))
+    both = own.join(up, on)
+    drawn = lambda x: F.expr(f"(docs * {x} + {weight} * up_{x}) div (docs + {weight})")
+    return both.withColumns({"lo": drawn("lo"), "hi": drawn("hi")}).select(own.columns)
+
+
+def cut_offs(sketch: DataFrame, weight: int) -> DataFrame:
+    """(of_lang, of_source, METRICS as (lo, hi)) of each language and source."""
+    languages = drawn_to(quantiles(sketch, ["lang"]), quantiles(sketch, []), [], weight)
+    sources = drawn_to(quantiles(sketch, ["lang", "source"]), languages, ["lang"], weight)
+    wide = sources.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == m, F.struct("lo", "hi"))).alias(f"of_{m}") for m in METRICS))
+    return wide.withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
 
 
-def quality_rules(docs: DataFrame, spread: float = 3.0, min_docs: int = 200, path: str | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, weight: int = 100, path: str | None = None) -> DataFrame:
     """Base rules and adaptive cut-offs for documents (doc_id, text, lang, source).
 
-    A source with min_docs documents that pass the base rules has cut-offs of its own, else those of its language, else those
-    of the corpus. Null languages and sources are groups like others. kept: base rules passed and every metric within its
-    cut-offs. Empty and null texts have no words and fail; repeated rows give a row each.
+    Cut-offs come from the documents that pass the base rules: quantiles of each language and source, drawn towards those of the
+    language and these towards those of the corpus by `weight` documents. Null languages and sources are groups like others.
+    kept: base rules passed and every metric within its cut-offs, which count as within. Empty and null texts have no words and
+    fail; repeated rows give a row each; a very long text takes memory in proportion.
     """
     path = path or new_dir(docs.sparkSession, "quality")
-    bins = stored(binned(base_metrics(docs)), f"{path}/metrics")
-    sketch = stored(sketches(bins), f"{path}/sketch")
-    name = lambda df, tag, keys: df.select(*(F.col(k).alias(f"{tag}_{k}") for k in keys), *(F.when(F.col("total") >= (min_docs if keys else 0), F.col(m)).alias(f"{tag}_{m}") for m in FLOORS))
-    own = stored(name(fences(sketch, ["lang", "source"], spread), "s", ["lang", "source"]), f"{path}/own")
-    wide = stored(name(fences(sketch, ["lang"], spread), "l", ["lang"]), f"{path}/wide")
-    least = fences(sketch, [], spread).first()  # one row
-    out = bins.join(own, bins["lang"].eqNullSafe(F.col("s_lang")) & bins["source"].eqNullSafe(F.col("s_source")), "left")
-    out = out.join(wide, bins["lang"].eqNullSafe(F.col("l_lang")), "left")
+    rows = stored(measured(base_metrics(docs)), f"{path}/metrics")
+    cuts = small_side(stored(cut_offs(stored(sketches(rows), f"{path}/sketch"), weight), f"{path}/cuts"))
+    out = rows.join(cuts, rows["lang"].eqNullSafe(F.col("of_lang")) & rows["source"].eqNullSafe(F.col("of_source")), "left")
     within = F.lit(True)
-    for m in FLOORS:
-        lo, hi = (least[m]["lo"], least[m]["hi"]) if least[m] else (FLOORS[m][1], FLOORS[m][0])
-        fence = F.coalesce(F.col(f"s_{m}"), F.col(f"l_{m}"), F.struct(F.lit(lo).cast("bigint").alias("lo"), F.lit(hi).cast("bigint").alias("hi")))
-        within = within & (bins[m] >= fence["lo"]) & (bins[m] <= fence["hi"])
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & within).alias("kept"), *FLOORS)
+    for m in METRICS:
+        within = within & F.col(m).between(F.col(f"of_{m}.lo"), F.col(f"of_{m}.hi"))
+    kept = ~F.col("base_failed") & F.coalesce(within, F.lit(False))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), *METRICS)

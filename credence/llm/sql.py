@@ -56,27 +56,29 @@ v AS (SELECT row_number() OVER () AS r, * FROM t),
 win AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' '))) AS g FROM v),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1),
 cov AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
-m AS (SELECT v.doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+m AS (SELECT v.r, v.doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
              (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
              (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines
       FROM v LEFT JOIN cov ON cov.r = v.r),
 e AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-             least(1000, 1000 * n_symbols // greatest(word_chars, 1)) AS symbol_pm, least(1000, 1000 * n_dup_lines // greatest(n_lines, 1)) AS dup_pm,
-             least(1000, 1000 * n_repeat_words // greatest(n_words, 1)) AS repeat_pm, least(1000, 10 * word_chars // greatest(n_words, 1)) AS length_d FROM m),
-x AS (SELECT lang, source, unnest(['symbol_pm', 'dup_pm', 'repeat_pm', 'length_d']) AS metric, unnest([symbol_pm, dup_pm, repeat_pm, length_d]) AS v FROM e WHERE NOT base_failed),
-f(metric, top, low) AS (VALUES ('symbol_pm', 100, -1), ('dup_pm', 500, -1), ('repeat_pm', 400, -1), ('length_d', 120, 20)),
-q AS (SELECT grouping(lang) + grouping(source) AS level, lang, source, x.metric, count(*) AS n, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3
-      FROM x GROUP BY GROUPING SETS ((lang, source, x.metric), (lang, x.metric), (x.metric))),
-c AS (SELECT level, lang, source, q.metric, greatest(top, q3 + 3 * (q3 - q1)) AS hi, least(low, q1 - 3 * (q3 - q1)) AS lo FROM q JOIN f ON f.metric = q.metric WHERE level = 2 OR n >= 200),
-y AS (SELECT e.*, f.metric, CASE f.metric WHEN 'symbol_pm' THEN symbol_pm WHEN 'dup_pm' THEN dup_pm WHEN 'repeat_pm' THEN repeat_pm ELSE length_d END AS v,
-             top, low FROM e, f),
-k AS (SELECT y.doc_id, bool_and(y.v >= coalesce(s.lo, l.lo, g.lo, low) AND y.v <= coalesce(s.hi, l.hi, g.hi, top)) AS within FROM y
-      LEFT JOIN c s ON s.level = 0 AND s.metric = y.metric AND s.lang IS NOT DISTINCT FROM y.lang AND s.source IS NOT DISTINCT FROM y.source
-      LEFT JOIN c l ON l.level = 1 AND l.metric = y.metric AND l.lang IS NOT DISTINCT FROM y.lang
-      LEFT JOIN c g ON g.level = 2 AND g.metric = y.metric GROUP BY y.doc_id)
-SELECT e.doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND within AS kept,
-       symbol_pm::BIGINT AS symbol_pm, dup_pm::BIGINT AS dup_pm, repeat_pm::BIGINT AS repeat_pm, length_d::BIGINT AS length_d
-FROM e JOIN k ON k.doc_id = e.doc_id
+             1000000 * n_symbols // greatest(word_chars, 1) AS symbol_ppm, 1000000 * n_dup_lines // greatest(n_lines, 1) AS dup_ppm,
+             1000000 * n_repeat_words // greatest(n_words, 1) AS repeat_ppm, 10000 * word_chars // greatest(n_words, 1) AS length_e4 FROM m),
+y AS (SELECT r, lang, source, base_failed, unnest(['symbol_ppm', 'dup_ppm', 'repeat_ppm', 'length_e4']) AS metric, unnest([symbol_ppm, dup_ppm, repeat_ppm, length_e4]) AS v FROM e),
+x AS (SELECT *, 1::BIGINT << greatest(length(bin(v)) - 7, 0) AS width FROM y WHERE NOT base_failed),
+g AS (SELECT grouping(lang) + grouping(source) AS level, lang, source, metric, v - v % width AS low, width, count(*) AS c
+      FROM x GROUP BY GROUPING SETS ((lang, source, metric, low, width), (lang, metric, low, width), (metric, low, width))),
+o AS (SELECT *, sum(c) OVER (PARTITION BY level, lang, source, metric ORDER BY low) * 1000 AS upto, sum(c) OVER (PARTITION BY level, lang, source, metric) AS n FROM g),
+q AS (SELECT level, lang, source, metric, n::BIGINT AS n, min(CASE WHEN upto >= n * 990 THEN low + width - 1 END) AS hi,
+             CASE WHEN metric = 'length_e4' THEN min(CASE WHEN upto >= n * 10 THEN low END) ELSE -1 END AS lo FROM o GROUP BY level, lang, source, metric, n),
+l AS (SELECT q.lang, q.metric, (q.n * q.hi + 100 * c.hi) // (q.n + 100) AS hi, (q.n * q.lo + 100 * c.lo) // (q.n + 100) AS lo
+      FROM q JOIN q c ON c.level = 2 AND c.metric = q.metric WHERE q.level = 1),
+s AS (SELECT q.lang, q.source, q.metric, (q.n * q.hi + 100 * l.hi) // (q.n + 100) AS hi, (q.n * q.lo + 100 * l.lo) // (q.n + 100) AS lo
+      FROM q JOIN l ON l.metric = q.metric AND l.lang IS NOT DISTINCT FROM q.lang WHERE q.level = 0),
+k AS (SELECT y.r, bool_and(v BETWEEN lo AND hi) AS within FROM y
+      JOIN s ON s.metric = y.metric AND s.lang IS NOT DISTINCT FROM y.lang AND s.source IS NOT DISTINCT FROM y.source GROUP BY y.r)
+SELECT e.doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(within, false) AS kept,
+       symbol_ppm::BIGINT AS symbol_ppm, dup_ppm::BIGINT AS dup_ppm, repeat_ppm::BIGINT AS repeat_ppm, length_e4::BIGINT AS length_e4
+FROM e LEFT JOIN k ON k.r = e.r
 """
 
 _KEY = "('0x' || substr(md5(concat_ws('|', 0, {0})), 1, 15))::BIGINT"

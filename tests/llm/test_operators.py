@@ -142,13 +142,34 @@ def test_quality_rules(texts, nothing):
     assert quality_rules.quality_rules(nothing).count() == 0
 
 
-def test_sketches_merge(spark):
-    rows = [("en", s, "symbol_pm", b, n) for s, part in (("a", [(0, 90), (5, 10)]), ("b", [(400, 300)])) for b, n in part]
-    sketch = spark.createDataFrame(rows, "lang string, source string, metric string, bin long, n long")
-    own = {r["source"]: r["symbol_pm"] for r in quality_rules.fences(sketch, ["lang", "source"], 3.0).collect()}
-    assert own["a"]["hi"] == 100 and own["b"]["hi"] == 400
-    whole = quality_rules.fences(sketch, [], 3.0).first()
-    assert whole["total"] == 400 and whole["symbol_pm"]["hi"] == 400 + 3 * (400 - 5)  # quartiles 5 and 400
+def test_sketches(spark):
+    rng = random.Random(2)
+    rows = [("en", rng.choice("ab"), int(rng.paretovariate(0.5)) - 1) for _ in range(4000)] + [(None, None, 7), (None, "a", 10**12)]
+    docs = spark.createDataFrame([(False, a, b, v, 0, 0, 0) for a, b, v in rows], "base_failed boolean, lang string, source string, symbol_ppm long, dup_ppm long, repeat_ppm long, length_e4 long")
+    sketch = quality_rules.sketches(docs)
+    for keys in ([], ["lang"], ["lang", "source"]):
+        got = {tuple(r[k] for k in keys): r for r in quality_rules.quantiles(sketch, keys).filter("metric = 'symbol_ppm'").collect()}
+        groups = defaultdict(list)
+        for a, b, v in rows:
+            groups[tuple({"lang": a, "source": b}[k] for k in keys)].append(v)
+        assert set(got) == set(groups)
+        for k, values in groups.items():
+            exact = sorted(values)[-(-len(values) * 990 // 1000) - 1]
+            assert exact <= got[k]["hi"] <= exact * (1 + 1 / 64) and got[k]["docs"] == len(values) and got[k]["lo"] == -1
+
+
+def test_cut_offs_follow_the_source(spark):
+    """The same text is kept where its like is usual, and dropped where it isn't."""
+    rng = random.Random(4)
+    prose = lambda: " ".join(rng.choices([f"word{i}" for i in range(900)], k=80))
+    code = lambda: " ".join(w + rng.choice(["", "#", "$%"]) for w in prose().split())
+    rows = [(i, prose(), "en", "book") for i in range(400)] + [(i, code(), "en", "repo") for i in range(400, 800)]
+    same = " ".join(w + "#" * (i % 2) for i, w in enumerate(prose().split()))
+    rows += [(1000, same, "en", "book"), (1001, same, "en", "repo"), (1002, None, "xx", None)]
+    got = by_id(quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    assert (got[1000]["kept"], got[1001]["kept"], got[1002]["kept"]) == (False, True, False)
+    for own in (range(400), range(400, 800)):
+        assert sum(not got[i]["kept"] for i in own) <= 0.05 * len(own)
 
 
 # 4
