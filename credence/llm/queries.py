@@ -40,7 +40,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = perspectives.perspectives(_table(spark, sf_dir, "conversations"))
     listed = F.array_join(F.transform("spans", lambda s: F.concat(s["begin"].cast("string"), F.lit("+"), s["length"].cast("string"))), " ")
-    return views.select("conv_id", "perspective", F.col("part").cast("long").alias("part"), "n_turns", "text", listed.alias("spans"), "mask_chars")
+    return views.select("conv_id", "perspective", F.col("part").cast("long").alias("part"), "first_turn", "n_turns", "first_char", "text", listed.alias("spans"), "mask_chars")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

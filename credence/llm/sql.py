@@ -108,18 +108,20 @@ SELECT doc_id, source, n_tokens, round(weight, 9) AS weight, epoch, block,
 FROM r
 """
 
-_TURN = "PARTITION BY conv_id, perspective, part ORDER BY turn, speaker, said, head, own"
-_BY = _TURN.partition("part ")[2]
+_TURN = "PARTITION BY conv_id, perspective ORDER BY turn, name, body, head, own"
+_BY = "ORDER BY turn, name, body, head, own"
+_ESCAPED = "replace(replace({0}, '<|', '<' || chr(92) || '|'), '|>', '|' || chr(92) || '>')"
 
 PERSPECTIVES = f"""
-WITH t AS (SELECT coalesce(conv_id, -1) AS conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS said FROM conversations),
-v AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
-s AS (SELECT t.*, perspective, floor(turn / 256)::BIGINT AS part, speaker = perspective AS own,
-             CASE WHEN speaker = perspective THEN '<|assistant|>' WHEN speaker = 'system' THEN '<|system|>' ELSE '<|user:' || speaker || '|>' END AS head FROM t JOIN v USING (conv_id)),
-b AS (SELECT *, said || '<|end|>' || chr(10) AS body FROM s),
-p AS (SELECT *, (sum(length(head) + length(body)) OVER ({_TURN} ROWS UNBOUNDED PRECEDING) - length(body))::BIGINT AS pos FROM b)
-SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(head || body, '' {_BY}) AS text,
-       coalesce(string_agg(CASE WHEN own THEN pos || '+' || length(body) END, ' ' {_BY}), '') AS spans, sum(CASE WHEN own THEN length(body) ELSE 0 END)::BIGINT AS mask_chars
+WITH t AS (SELECT conv_id, coalesce(turn, -1) AS turn, role AS speaker, {_ESCAPED.format("coalesce(text, '')")} || '<|end|>' || chr(10) AS body FROM conversations),
+v AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker IS DISTINCT FROM 'system'),
+s AS (SELECT t.*, perspective, floor(turn / 256)::BIGINT AS part, coalesce(speaker, '') AS name, speaker IS NOT DISTINCT FROM perspective AS own,
+             CASE WHEN speaker IS NOT DISTINCT FROM perspective THEN '<|assistant|>' WHEN speaker = 'system' THEN '<|system|>'
+                  ELSE '<|user:' || {_ESCAPED.format("coalesce(speaker, 'unknown')")} || '|>' END AS head FROM t JOIN v ON t.conv_id IS NOT DISTINCT FROM v.conv_id),
+p AS (SELECT *, (sum(length(head) + length(body)) OVER ({_TURN} ROWS UNBOUNDED PRECEDING))::BIGINT AS upto, row_number() OVER ({_TURN}) AS place FROM s)
+SELECT conv_id, perspective, part, (min(place) - 1)::BIGINT AS first_turn, count(*) AS n_turns, min(upto - length(body) - length(head))::BIGINT AS first_char,
+       string_agg(head || body, '' {_BY}) AS text, coalesce(string_agg(CASE WHEN own THEN (upto - length(body)) || '+' || length(body) END, ' ' {_BY}), '') AS spans,
+       sum(CASE WHEN own THEN length(body) ELSE 0 END)::BIGINT AS mask_chars
 FROM p GROUP BY conv_id, perspective, part
 """
 
