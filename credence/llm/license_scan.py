@@ -1,11 +1,11 @@
-"""License scans: phrases word by word, and text blocks that contain most of a license template.
-
-The template join is an exact set-similarity join under containment. All tokens of templates are ranked by their frequency in the
-corpus, rarest first; a template and a block are the ascending ranks of their tokens, tokens of no template aside. A block
-that holds at least `threshold` of a template has that many ranks itself (length filter), holds one of the template's first
-|T| - ceil(threshold * |T|) + 1 (prefix filter), and from the first rank that both have on, both have enough left (positional
-filter). Only blocks that pass are intersected. Templates are a fixed list of constants; only rows of the corpus grow, and
-each is handled where it lies.
+"""License scans: phrases word by word, and text blocks that hold most of a license text.
+
+The blocks of a template of L words are the windows of 2 L words that begin at every L-th word, whatever lines they run over: a copy of
+the template lies in one of them whole. The join of blocks and templates is an exact set-similarity join under containment. All
+tokens of templates are ranked by their frequency in the corpus, rarest first; a template and a block are the ascending ranks of
+their tokens, tokens of no template aside. A block that holds enough of a template has one of the template's first |T| - least + 1
+ranks (prefix filter): blocks are found by an equi-join of the corpus's words with these ranks. It has `least` ranks itself (length
+filter), and from the first rank that both have on, both have enough left (positional filter). Only blocks that pass are intersected.
 """
 
 from __future__ import annotations
@@ -15,27 +15,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import LOWER, UPPER, lower_ascii, new_dir, small_side, stored
+from .license_texts import TEMPLATES
 
 #: Phrases and their labels.
 PHRASES = {"cc-by": ("cc", "by"), "gpl": ("general", "public", "license"), "reserved": ("all", "rights", "reserved")}
-#: Notices that licenses ask for, and the label each one stands for.
-TEMPLATES = [
-    ("apache", "licensed under the apache license version 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related rights to this work"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
-    ("reserved", "all rights reserved"),
-]
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-THRESHOLD = 0.8
+#: Words of a text that are kept together for its blocks.
+CHUNK = 256
 
 
 def scan_words(lowered: Column) -> Column:
@@ -43,6 +30,12 @@ def scan_words(lowered: Column) -> Column:
     return F.filter(F.split(lowered, NOT_WORD), lambda w: w != "")
 
 
+def template_words(text: str) -> list[str]:
+    """The words of a template, as scan_words gives them."""
+    low = text.translate(str.maketrans(UPPER, LOWER))
+    return [w for w in "".join(c if c.isalnum() or not c.isascii() else " " for c in low).split(" ") if w]
+
+
 def places(words: Column, phrase: tuple[str, ...]) -> Column:
     """Starts at which the phrase's words stand one after the other."""
     n = F.size(words)
@@ -50,69 +43,91 @@ def places(words: Column, phrase: tuple[str, ...]) -> Column:
     return F.when(n >= len(phrase), F.filter(F.sequence(F.lit(0), F.greatest(n - len(phrase), F.lit(0))), hit)).otherwise(F.array().cast("array<int>"))
 
 
-def need(tokens: list, threshold: float) -> int:
-    """Least number of a template's tokens that reaches the threshold."""
-    return -(-round(threshold * 1000) * len(tokens) // 1000)
+def need(n: int, threshold: float) -> int:
+    """Least number of a template's n tokens that reaches the threshold."""
+    return max(1, -(-round(threshold * 1000) * n // 1000))
 
 
-def ranked_tokens(docs: DataFrame, templates: list[tuple[str, str]]) -> list[str]:
+def ranked_tokens(docs: DataFrame, vocabulary: list[str]) -> list[str]:
     """The templates' tokens, rarest in the corpus first. The counts come from all documents; at most one a token reaches the driver."""
-    vocabulary = sorted({w for _, t in templates for w in t.split()})
     hits = F.filter(scan_words(lower_ascii(F.coalesce(docs["text"].cast("string"), F.lit("")))), lambda w: w.isin(vocabulary))
     counts = {r["w"]: r["n"] for r in docs.select(F.explode(hits).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def ranks_of(words: Column, tokens: list[str]) -> Column:
-    """Ascending ranks of a block's distinct template tokens."""
-    known = F.filter(F.array_distinct(words), lambda w: w.isin(tokens))
-    return F.sort_array(F.transform(known, lambda w: F.array_position(F.array(*map(F.lit, tokens)), w).cast("int")))
-
-
-def contained(block: Column, ranks: list[int], threshold: float) -> Column:
-    """Share of a template's ranks in a block's if it reaches the threshold, else 0; the filters run in order of their price."""
-    least, whole = need(ranks, threshold), F.array(*map(F.lit, ranks))
-    first = F.array_min(F.array_intersect(block, F.array(*map(F.lit, ranks[: len(ranks) - least + 1]))))
-    left = lambda x: F.size(x) - F.array_position(x, first) + 1
-    shared = F.size(F.array_intersect(block, whole))
-    near = (F.size(block) >= least) & first.isNotNull() & (left(whole) >= least) & (left(block) >= least)
-    return F.when(near, F.when(shared >= least, shared / F.lit(len(ranks))).otherwise(0.0)).otherwise(0.0)
-
-
-def _over(k: int):
-    return lambda scores: F.get(scores, F.lit(k)) > 0
-
-
-def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Phrases and template matches of every document (doc_id, text); blocks are the lines of a text.
-
-    Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best containment over lines and
-    templates; 1.0 where a phrase stands, 0 without a match), n_blocks (lines that match a template). A null or empty text
-    has no words and no labels; ties and repeated rows give a row each.
-    """
-    templates = templates or TEMPLATES
-    tokens = ranked_tokens(docs, templates)
+def template_table(docs: DataFrame, templates: list[tuple[str, float, str]]) -> tuple[list[str], list[str], DataFrame]:
+    """All tokens by rank; those of prefixes; (template, label, least, stride, ranks, prefix)."""
+    words = [template_words(text) for _, _, text in templates]
+    tokens = ranked_tokens(docs, sorted({w for t in words for w in t}))
     rank = {w: i + 1 for i, w in enumerate(tokens)}
-    models = [(label, sorted({rank[w] for w in t.split()})) for label, t in templates]
+    rows, first = [], set()
+    for k, ((label, threshold, _), t) in enumerate(zip(templates, words, strict=True)):
+        ranks = sorted({rank[w] for w in t})
+        if ranks:
+            least = need(len(ranks), threshold)
+            rows.append((k, label, least, len(t), ranks, ranks[: len(ranks) - least + 1]))
+            first.update(rows[-1][-1])
+    schema = "template int, label string, least int, stride int, ranks array<int>, prefix array<int>"
+    return tokens, [tokens[r - 1] for r in sorted(first)], docs.sparkSession.createDataFrame(rows, schema)
+
+
+def scanned(docs: DataFrame, tokens: list[str], first: list[str], path: str) -> DataFrame:
+    """(row, doc_id, n_words, phrase results, marks): marks: place and rank of every template token, of texts with a token of a prefix alone."""
     low = lower_ascii(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    at = docs.select(docs["doc_id"].cast("long").alias("doc_id"), low.alias("low"))
-    at = at.select("doc_id", "low", scan_words(F.col("low")).alias("words"))
-    # a phrase or a template can only stand where one of its rarest words does
+    at = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), low.alias("low"))
+    at = at.withColumn("words", scan_words(F.col("low")))
+    # a phrase can only stand where its longest word does
     for label, phrase in PHRASES.items():
         at = at.withColumn(f"at_{label}", F.when(F.col("low").contains(max(phrase, key=len)), places(F.col("words"), phrase)).otherwise(F.array().cast("array<int>")))
-    some = reduce(lambda a, b: a | b, (F.col("low").contains(tokens[r - 1]) for r in sorted({r for _, t in models for r in t[: len(t) - need(t, threshold) + 1]})))
-    blocks = F.transform(F.split("low", "\n"), lambda line: ranks_of(scan_words(line), tokens))
-    at = at.withColumn("blocks", F.when(some, F.filter(blocks, lambda b: F.size(b) >= min(need(t, threshold) for _, t in models))).otherwise(F.array().cast("array<array<int>>")))
-    score = lambda b: F.array(*(contained(b, t, threshold) for _, t in models))
-    at = at.withColumn("scores", F.filter(F.transform("blocks", score), lambda s: F.array_max(s) > 0))
+    listed = F.array(*map(F.lit, tokens)) if tokens else F.array().cast("array<string>")
+    placed = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("pos"), w.alias("w"))), lambda x: x["w"].isin(tokens))
+    ranked = F.transform(placed, lambda x: F.struct(x["pos"].alias("pos"), F.array_position(listed, x["w"]).cast("int").alias("rank")))
+    marks = F.when(F.arrays_overlap("words", F.array(*map(F.lit, first))), ranked) if first else F.lit(None).cast("array<struct<pos:int,rank:int>>")
     every = F.concat(*(F.col(f"`at_{label}`") for label in PHRASES))
     base = F.concat(*(F.when(F.size(f"`at_{label}`") > 0, F.array(F.lit(label))).otherwise(F.array().cast("array<string>")) for label in PHRASES))
-    found = F.concat(*(F.when(F.exists("scores", _over(k)), F.array(F.lit(label))).otherwise(F.array().cast("array<string>")) for k, (label, _) in enumerate(models)))
-    best = F.coalesce(F.array_max(F.transform("scores", lambda s: F.array_max(s))), F.lit(0.0))
+    at = at.select(
+        "row", "doc_id", F.size("words").cast("long").alias("n_words"), F.size(every).cast("long").alias("n_base"),
+        F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), base.alias("base"), marks.alias("marks"),
+    )
+    return stored(at, path)
+
+
+def matches(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """(row, template, label, block, share) of every block that holds a template; block: the number of its window."""
+    marks = rows.filter(F.size("marks") > 0).select("row", F.explode("marks").alias("m")).select("row", "m.pos", "m.rank")
+    firsts = small_side(table.select("template", "stride", F.explode("prefix").alias("first")))
+    found = marks.join(firsts, F.col("rank") == F.col("first")).select("row", "template", "stride", F.floor(F.col("pos") / F.col("stride")).alias("q"))
+    blocks = found.select("row", "template", "stride", F.explode(F.array("q", F.col("q") - 1)).alias("block")).filter("block >= 0").distinct()
+    # the words of a text in chunks, so that a block takes a few of them, however long its text
+    chunks = marks.groupBy("row", F.floor(F.col("pos") / CHUNK).alias("chunk")).agg(F.collect_list(F.struct("pos", "rank")).alias("held"))
+    begin, end = F.col("block") * F.col("stride"), (F.col("block") + 2) * F.col("stride")
+    parts = blocks.select("*", begin.alias("begin"), end.alias("end"), F.explode(F.sequence(F.floor(begin / CHUNK), F.floor((end - 1) / CHUNK))).alias("chunk"))
+    inside = F.filter("held", lambda x: (x["pos"] >= F.col("begin")) & (x["pos"] < F.col("end")))
+    parts = parts.join(chunks, ["row", "chunk"]).select("row", "template", "block", F.transform(inside, lambda x: x["rank"]).alias("part"))
+    whole = parts.groupBy("row", "template", "block").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("part")))).alias("own"))
+    both = whole.join(small_side(table), "template")
+    left = lambda x: F.size(x) - F.array_position(x, F.array_min(F.array_intersect("own", "prefix"))) + 1
+    both = both.filter((F.size("own") >= F.col("least")) & (left("ranks") >= F.col("least")) & (left("own") >= F.col("least")))
+    shared = F.size(F.array_intersect("own", "ranks"))
+    return both.filter(shared >= F.col("least")).select("row", "template", "label", "block", (shared / F.size("ranks")).alias("share"))
+
+
+def license_scan(docs: DataFrame, templates: list[tuple[str, float, str]] | None = None, path: str | None = None) -> DataFrame:
+    """Phrases and template matches of every document (doc_id, text); templates: (label, share of its tokens that a block must hold, text).
+
+    Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best containment over blocks and
+    templates; 1.0 where a phrase stands, 0 without a match), n_blocks (blocks that hold a template). A null or empty text has no
+    words and no labels; ties and repeated rows give a row each; a template without words matches nothing.
+    """
+    path = path or new_dir(docs.sparkSession, "licenses")
+    tokens, first, table = template_table(docs, TEMPLATES if templates is None else templates)
+    rows = scanned(docs, tokens, first, f"{path}/rows")
+    found = stored(matches(rows, stored(table, f"{path}/templates")), f"{path}/matches")
+    found = found.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("best"), F.count("*").alias("n_blocks")).withColumnRenamed("row", "of")
+    out = rows.drop("marks").join(small_side(stored(found, f"{path}/found")), F.col("row") == F.col("of"), "left")
     joined = lambda labels: F.array_join(F.sort_array(F.array_distinct(labels)), ",")
-    return at.select(
-        "doc_id", F.size("words").cast("long").alias("n_words"), F.size(every).cast("long").alias("n_base"),
-        F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
-        joined(base).alias("base_labels"), joined(F.concat(base, found)).alias("labels"),
-        F.when(F.size(every) > 0, F.lit(1.0)).otherwise(best).alias("score"), F.size("scores").cast("long").alias("n_blocks"),
+    more = F.coalesce("more", F.array().cast("array<string>"))
+    return out.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", joined(F.col("base")).alias("base_labels"), joined(F.concat("base", more)).alias("labels"),
+        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"), F.coalesce("n_blocks", F.lit(0)).cast("long").alias("n_blocks"),
     )

@@ -127,23 +127,28 @@ FROM p GROUP BY conv_id, perspective, part
 
 
 def _license_sql() -> str:
-    from .license_scan import PHRASES, TEMPLATES, THRESHOLD, need
+    from .license_scan import PHRASES, TEMPLATES, need, template_words
 
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
-    listed = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
     places = [f"list_filter(range(0, greatest(len(w) - {len(p) - 1}, 0)), lambda i: {' AND '.join(f'w[i + {k + 1}] = {x!r}' for k, x in enumerate(p))})" for p in PHRASES.values()]
-    shared = [(label, t, f"len(list_intersect(b, {listed(t)}))") for label, t in ((a, sorted(set(b.split()))) for a, b in TEMPLATES)]
-    share = "greatest(" + ", ".join(f"CASE WHEN {n} >= {need(t, THRESHOLD)} THEN {n} / {len(t)} ELSE 0.0 END" for _, t, n in shared) + ")"
-    found = " || ".join(f"CASE WHEN len(list_filter(blocks, lambda b: {n} >= {need(t, THRESHOLD)})) > 0 THEN ['{label}'] ELSE [] END" for label, t, n in shared)
     base = " || ".join(f"CASE WHEN len({p}) > 0 THEN ['{label}'] ELSE [] END" for label, p in zip(PHRASES, places, strict=True))
+    words = [template_words(text) for _, _, text in TEMPLATES]
+    rows = ", ".join(f"({k}, '{label}', {need(len(set(t)), share)}, {len(t)}, {len(set(t))})" for k, ((label, share, _), t) in enumerate(zip(TEMPLATES, words, strict=True)))
+    tokens = ", ".join(f"({k}, '{w}')" for k, t in enumerate(words) for w in sorted(set(t)))
     return f"""
-WITH t AS (SELECT doc_id, {FOLDED.format("coalesce(text, '')")} AS low FROM documents),
-w AS (SELECT doc_id, regexp_extract_all(low, {word}) AS w, list_transform(string_split(low, chr(10)), lambda l: list_distinct(regexp_extract_all(l, {word}))) AS blocks FROM t),
-f AS (SELECT doc_id, len(w) AS n, {" || ".join(places)} AS pos, {base} AS base, {found} AS found, list_filter(list_transform(blocks, lambda b: {share}), lambda x: x > 0) AS shares FROM w)
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({FOLDED.format("coalesce(text, '')")}, {word}) AS w FROM documents),
+template(k, label, least, stride, size) AS (VALUES {rows}),
+token(k, word) AS (VALUES {tokens}),
+p AS (SELECT r, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM t),
+q AS (SELECT r, k, word, pos // stride AS q FROM p JOIN token USING (word) JOIN template USING (k)),
+b AS (SELECT r, k, word, unnest([q, q - 1]) AS block FROM q),
+m AS (SELECT r, k, block, count(DISTINCT word) AS n FROM b WHERE block >= 0 GROUP BY r, k, block),
+f AS (SELECT r, list(label) AS more, max(n / size) AS best, count(*) AS n_blocks FROM m JOIN template USING (k) WHERE n >= least GROUP BY r),
+x AS (SELECT r, doc_id, len(w) AS n, {" || ".join(places)} AS pos, {base} AS base FROM t)
 SELECT doc_id, n::BIGINT AS n_words, len(pos)::BIGINT AS n_base, list_min(pos)::BIGINT AS first_word, list_max(pos)::BIGINT AS last_word,
-       array_to_string(list_sort(list_distinct(base)), ',') AS base_labels, array_to_string(list_sort(list_distinct(base || found)), ',') AS labels,
-       CASE WHEN len(pos) > 0 THEN 1.0 ELSE round(coalesce(list_max(shares), 0.0), 6) END::DOUBLE AS score, len(shares)::BIGINT AS n_blocks
-FROM f
+       array_to_string(list_sort(list_distinct(base)), ',') AS base_labels, array_to_string(list_sort(list_distinct(base || coalesce(more, []))), ',') AS labels,
+       CASE WHEN len(pos) > 0 THEN 1.0 ELSE round(coalesce(best, 0.0), 6) END::DOUBLE AS score, coalesce(n_blocks, 0)::BIGINT AS n_blocks
+FROM x LEFT JOIN f ON f.r = x.r
 """
 
 

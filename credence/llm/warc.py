@@ -40,22 +40,26 @@ def _record_id(page_id: Column, digest: Column) -> Column:
 
 
 def originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(payload_digest, original): the largest page_id of each payload of at least min_bytes. Only digests are shuffled, pre-aggregated by task."""
+    """(payload_digest, original, n, copies): the largest page_id of each payload of at least min_bytes, its bytes and records. Only digests are shuffled, pre-aggregated by task."""
     html = F.coalesce(pages["html"].cast("string"), F.lit(""))
     heads = pages.select(pages["page_id"].cast("long").alias("page_id"), base32_sha1(html).alias("payload_digest"), F.octet_length(html).alias("n"))
-    return heads.filter(F.col("n") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("original"))
+    return heads.filter(F.col("n") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("original"), F.max("n").alias("n"), F.count("*").alias("copies"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: datetime | None = None, records_per_file: int = 20_000) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: datetime | None = None, file_bytes: int = 256 << 20) -> None:
     """Write one record per row of pages (page_id, url, html) under path, a folder that doesn't exist yet.
 
     Payload: html in UTF-8; null is empty. Of records with equal payloads of at least min_bytes, the largest page_id is the
     response, the others are revisits of it; rows that repeat that page_id and payload are responses too. A null page_id
     gets no header of its own and is a response unless another page has its payload. Null urls become urn:unknown;
-    white space and control characters in urls are escaped.
+    white space and control characters in urls are escaped. A file takes as many records as file_bytes hold on average, 20,000 at
+    most; a very long payload is one record.
     """
     spark = pages.sparkSession
     known = stored(originals(pages, min_bytes), f"{path}.originals")
+    mean = known.agg(F.sum(F.col("n") * F.col("copies")) / F.sum("copies")).first()[0] or 0
+    records_per_file = max(1, min(20_000, int(file_bytes // (mean + 512))))
+    known = known.select("payload_digest", "original")
     html = F.coalesce(pages["html"].cast("string"), F.lit(""))
     url = F.regexp_replace(F.coalesce(pages["url"].cast("string"), F.lit("urn:unknown")), "[\\x00-\\x20\\x7F]", "%20")
     heads = pages.select(pages["page_id"].cast("long").alias("page_id"), base32_sha1(html).alias("payload_digest")).distinct()

@@ -13,6 +13,7 @@ import pytest
 from conftest import DATA, ODD
 
 from credence.llm import common, decontaminate, language_id, license_scan, mixing, ngram_join, perspectives, quality_rules, token_binary, token_counts, warc
+from credence.llm.license_texts import APACHE, BSD_2, GPL, MIT
 from credence.llm.queries import QUERIES, _tokenizer
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -420,23 +421,33 @@ def test_many_languages(spark, langs):
 
 def test_license_scan(spark, texts, nothing):
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-    got = sorted(license_scan.license_scan(texts).collect(), key=lambda r: (str(r["doc_id"]), r["n_words"]))
-    rows = sorted(((str(k), word.findall(t.translate(FOLD)), t) for k, t in rows_of(texts)), key=lambda r: (r[0], len(r[1])))
-    for r, (_, words, text) in zip(got, rows, strict=True):
-        at = {k: [i for i in range(len(words)) if tuple(words[i : i + len(p)]) == p] for k, p in license_scan.PHRASES.items()}
+    wrapped = "\n * ".join(MIT.split("\n")) + "\n\n" + "\n# ".join(" ".join(BSD_2.split()[i : i + 9]) for i in range(0, len(BSD_2.split()), 9))
+    rng = random.Random(12)
+    near = [w if rng.random() < 0.93 else "changed" for w in word.findall(GPL.translate(FOLD))]
+    extra = [(2000, "filler " * 1000 + wrapped + " filler" * 3000), (2001, " ".join(near)), (2002, "Licensed under CC BY 4.0"), (2003, "licensed under\nCC BY-NC\n4.0."), (2004, " ".join(APACHE.split()[:30])), (2004, MIT), (2004, MIT)]
+    texts = texts.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    found = license_scan.license_scan(texts).collect()
+    got = Counter((str(r["doc_id"]), r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], round(r["score"], 9), r["n_blocks"]) for r in found)
+    templates = [(label, license_scan.need(len(set(t)), share), len(t), set(t)) for label, share, text in license_scan.TEMPLATES for t in [word.findall(text.translate(FOLD))]]
+    want = Counter()
+    for k, text in rows_of(texts):
+        words = word.findall(text.translate(FOLD))
+        at = {label: [i for i in range(len(words)) if tuple(words[i : i + len(p)]) == p] for label, p in license_scan.PHRASES.items()}
         every = [i for x in at.values() for i in x]
-        base = {k for k, x in at.items() if x}
-        labels, best = set(base), float(bool(every))
-        for line in text.translate(FOLD).split("\n"):
-            own = set(word.findall(line))
-            for label, template in license_scan.TEMPLATES:
-                t = set(template.split())
-                if 1000 * len(t & own) >= 800 * len(t):
+        base = {label for label, x in at.items() if x}
+        labels, best, blocks = set(base), 0.0, 0
+        for label, least, stride, tokens in templates:
+            for begin in range(0, len(words), stride):
+                n = len(tokens.intersection(words[begin : begin + 2 * stride]))
+                if n >= least:
                     labels.add(label)
-                    best = max(best, len(t & own) / len(t))
-        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(words), len(every), min(every, default=None), max(every, default=None))
-        assert (r["base_labels"], r["labels"]) == (",".join(sorted(base)), ",".join(sorted(labels))) and abs(r["score"] - best) < 1e-9
-    assert any(r["labels"] for r in got) and license_scan.license_scan(nothing).count() == 0
+                    best, blocks = max(best, n / len(tokens)), blocks + 1
+        want[str(k), len(words), len(every), min(every, default=None), max(every, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), round(1.0 if every else best, 9), blocks] += 1
+    assert got == want
+    labels = {r["doc_id"]: r["labels"] for r in found if r["doc_id"] is not None and r["doc_id"] >= 2000}
+    assert labels[2000] == "bsd,mit" and "gpl" in labels[2001] and labels[2002] == "cc-by" and labels[2003] == "cc-by,cc-by-nc"
+    assert license_scan.license_scan(nothing).count() == 0
+    assert {r["labels"] for r in license_scan.license_scan(texts, []).collect()} == {r["base_labels"] for r in found}
 
 
 # 9
