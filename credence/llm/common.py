@@ -37,9 +37,9 @@ def stored(df: DataFrame, path: str, partitioned: tuple[str, ...] = ()) -> DataF
 BROADCAST_ROWS = 1_000_000
 
 
-def small_side(written: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if its counted rows are few."""
-    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+def small_side(written: DataFrame, rows: int | None = None) -> DataFrame:
+    """A written table, marked for broadcast if its counted rows are few: BROADCAST_ROWS, or `rows` where they hold text."""
+    return F.broadcast(written) if written.count() <= (BROADCAST_ROWS if rows is None else rows) else written
 
 
 def lower_ascii(text: Column) -> Column:

@@ -26,8 +26,9 @@ from .common import LOWER, UPPER, documents_of, hashed_words, new_dir, shingles,
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 FOLD = str.maketrans(UPPER, LOWER)
-#: Bits of a bitmap for each hash in it, and logarithms of its least and largest number of bits (32 MB).
-BITS, LEAST_BITS, MOST_BITS = 64, 16, 28
+#: Bits of a bitmap for each hash in it (a document of some hundred hashes seldom passes by chance), and logarithms of its least and
+#: largest number of bits (32 MB). A fuller bitmap lets more documents pass, which the join then drops.
+BITS, LEAST_BITS, MOST_BITS = 1 << 14, 16, 28
 CHUNK_BITS = 13
 
 
