@@ -52,7 +52,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = new_dir(spark, "mixing")
     drawn = mixing.mixed_sources(docs, path=path).groupBy("doc_id", "source", "h").agg(F.count("*").alias("times"))
     drawn = drawn.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("h").alias("x"), "times")
-    drawn = small_side(stored(drawn, new_dir(spark, "drawn")))
+    drawn = small_side(stored(drawn, new_dir(spark, "drawn")), 200_000)
     remove_dir(spark, path)
     at = docs.withColumn("_x", mixing.text_key(docs["text"]))
     at = at.join(drawn, docs["doc_id"].eqNullSafe(F.col("d")) & docs["source"].eqNullSafe(F.col("s")) & (F.col("_x") == F.col("x")))
