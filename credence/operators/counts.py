@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.graph import DAG
+from ..storage import new_path
 
 
 def joint_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -25,16 +26,16 @@ def families(dag: DAG) -> dict[str, list[str]]:
     return {n: dag.parents(n) for n in dag.topological()}
 
 
-def count_families(joint: DataFrame, dag: DAG) -> DataFrame:
+def count_families(joint: DataFrame, dag: DAG, sizes: Mapping[str, int] | None = None) -> DataFrame:
     """Long form of all nodes' counts: (target, q, k, n), in one grouping-sets pass. q numbers the parents' states, the first fastest, k the target's state."""
     sets = list({tuple(sorted({*ps, c})): None for c, ps in families(dag).items()})
     names = dag.topological()
     grouped = joint.groupingSets([[F.col(x) for x in s] for s in sets], *(F.col(x) for x in names)).agg(F.sum("n").alias("n"), F.grouping_id().alias("gid"))
-    sizes = cardinalities(joint, names)
+    sizes = sizes or cardinalities(joint, names)
     rows = []
     for c, ps in families(dag).items():
         gid = sum(1 << (len(names) - 1 - i) for i, x in enumerate(names) if x not in (*ps, c))
-        rows.append(F.struct(F.lit(c).alias("target"), config(ps, sizes).cast("int").alias("q"), F.col(c).cast("int").alias("k"), F.lit(gid).cast("long").alias("own")))
+        rows.append(F.struct(F.lit(c).alias("target"), config(ps, sizes).cast("int").alias("q"), state(c, sizes[c]).cast("int").alias("k"), F.lit(gid).cast("long").alias("own")))
     long = grouped.select("n", F.col("gid").cast("long").alias("gid"), F.explode(F.array(*rows)).alias("x")).filter("gid = x.own")
     return long.select("x.target", "x.q", "x.k", F.col("n").cast("long").alias("n"))
 
@@ -48,18 +49,24 @@ def cardinalities(df: DataFrame, names: Iterable[str]) -> dict[str, int]:
     return {n: row[f"hi_{n}"] or 0 for n in names}
 
 
+def state(name: str, size: int) -> Column:
+    """The column, which must lie within 1..size: another state fails the query. Nulls pass."""
+    told = F.concat(F.lit(f"{name} has a state out of 1..{size}: "), F.col(name).cast("string"))
+    return F.when((F.col(name) < 1) | (F.col(name) > size), F.raise_error(told).cast("int")).otherwise(F.col(name))
+
+
 def config(parents: Sequence[str], sizes: Mapping[str, int]) -> Column:
-    """1-based number of the parents' states, the first parent fastest."""
+    """1-based number of the parents' states, the first parent fastest; a state beyond its parent's size fails the query."""
     q, step = F.lit(1), 1
     for p in parents:
-        q, step = q + (F.col(p) - 1) * step, step * sizes[p]
+        q, step = q + (state(p, sizes[p]) - 1) * step, step * sizes[p]
     return q
 
 
 def statistics(df: DataFrame, target: str, parents: Sequence[str], sizes: Mapping[str, int] | None = None, weight: str | None = None) -> DataFrame:
     """(q, k, n) for every configuration q and state k, zeros included."""
     sizes = sizes or cardinalities(df, [target, *parents])
-    found = df.groupBy(config(parents, sizes).cast("int").alias("_q"), F.col(target).cast("int").alias("_k")).agg((F.sum(weight) if weight else F.count("*")).cast("long").alias("_n"))
+    found = df.groupBy(config(parents, sizes).cast("int").alias("_q"), state(target, sizes[target]).cast("int").alias("_k")).agg((F.sum(weight) if weight else F.count("*")).cast("long").alias("_n"))
     configs = reduce(lambda a, p: a * sizes[p], parents, 1)
     grid = df.sparkSession.range(configs).select((F.col("id") + 1).cast("int").alias("q"), F.explode(F.sequence(F.lit(1), F.lit(sizes[target]))).alias("k"))
     joined = grid.join(found, (F.col("q") == F.col("_q")) & (F.col("k") == F.col("_k")), "left")
@@ -92,9 +99,17 @@ def pivoted(stats: DataFrame, states: int) -> DataFrame:
 
 
 def encoded(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Labels as codes 1..n by their order. The dictionary is made of distinct values, ranked apart from the data."""
+    """Labels as codes 1..n by their order. The dictionary is made of distinct values, ranked apart from the data: by ranges of labels, then within each."""
     for n in names:
-        codes = df.select(n).distinct().filter(F.col(n).isNotNull())
-        codes = codes.select(F.col(n).alias("_label"), F.dense_rank().over(Window.orderBy(n)).cast("int").alias("_code"))
+        codes = df.select(F.col(n).alias("_label")).distinct().filter(F.col(n).isNotNull()).repartitionByRange("_label")
+        path = new_path(df.sparkSession, "labels")
+        codes.withColumn("_range", F.spark_partition_id()).write.parquet(path)
+        codes = df.sparkSession.read.parquet(path)
+        ranges = codes.groupBy("_range").agg(F.count("*").alias("_m"))  # a row a task
+        before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        ranges = ranges.select(F.col("_range").alias("_of"), F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"))
+        own = F.row_number().over(Window.partitionBy("_range").orderBy("_label"))
+        codes = codes.withColumn("_own", own).join(F.broadcast(ranges), F.col("_range") == F.col("_of"))
+        codes = codes.select("_label", (F.col("_before") + F.col("_own")).cast("int").alias("_code"))
         df = df.join(F.broadcast(codes) if codes.count() <= 100_000 else codes, F.col(n) == F.col("_label"), "left").withColumn(n, F.col("_code")).drop("_label", "_code")
     return df

@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from math import prod
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -190,10 +191,16 @@ class DiscreteCPD(CategoricalCPD):
         n = np.zeros((configs, r))
         for x in statistics(df, name, parents, known, weight).filter("n > 0").collect():
             n[x["q"] - 1, x["k"] - 1] = x["n"]
+        return cls.of_counts(name, n, parents, [known[x] for x in parents], prior)
+
+    @classmethod
+    def of_counts(cls, name, n: np.ndarray, parents=(), parent_sizes=(), prior=None):
+        """From counts of states by configuration."""
+        r = n.shape[1]
         alpha = prior.for_table(r) if prior else 0.0
         total = n.sum(1, keepdims=True) + r * alpha
         p = np.where(total > 0, (n + alpha) / np.where(total > 0, total, 1), 1 / r)
-        return cls(name, [list(map(float, x)) for x in p], parents, [known[x] for x in parents]) if parents else cls(name, list(map(float, p[0])))
+        return cls(name, [list(map(float, x)) for x in p], parents, parent_sizes) if parents else cls(name, list(map(float, p[0])))
 
 
 def least_squares(df: DataFrame, name: str, parents: Sequence[str], by: Column | None = None) -> dict[int, dict]:
@@ -317,8 +324,13 @@ class FunctionalCPD(CPD):
         dist, parents = self.dist, self.parents
 
         @F.pandas_udf("double")
-        def log_density(rows):  # an iterator-free Arrow batch of structs
-            return rows.apply(lambda r: dist({p: r[p] for p in parents}).logpdf(r["_x"]), axis=1)
+        def log_density(rows):  # the function is called once for each combination of parents in an Arrow batch
+            out = np.empty(len(rows))
+            for at, own in rows.groupby(list(parents), dropna=False).indices.items() if parents else [((), np.arange(len(rows)))]:
+                at = at if isinstance(at, tuple) else (at,)
+                density = dist(dict(zip(parents, at, strict=True))).logpdf
+                out[own] = [density(x) for x in rows["_x"].to_numpy()[own]]
+            return pd.Series(out)
 
         return log_density(F.struct(*(F.col(p) for p in parents), F.col(self.name).alias("_x")))
 

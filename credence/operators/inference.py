@@ -6,6 +6,7 @@ from abc import ABC, abstractmethod
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from math import prod
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.elimination import elimination_order, relevant
-from .factor import Factor
+from .factor import BROADCAST_CELLS, Factor
 from .network import BayesNet
 from .sampling import _Chain, keys, weighted
 from .table import POTENTIAL
@@ -77,7 +78,8 @@ def posteriors(bn: BayesNet, df: DataFrame, query: str, given: Sequence[str]) ->
         factors = [f for f in factors if h not in f] + [reduce(lambda a, b: a * b, own).sum(h)]
     f = reduce(lambda a, b: a * b, factors).permute([*given, query]).normalize([query])
     seen = df.select(*given).distinct()
-    return seen.join(F.broadcast(f.df), list(given)).select(*given, query, POTENTIAL)
+    cells = prod(f.sizes.values())  # beyond some, both sides are shuffled
+    return seen.join(F.broadcast(f.df) if cells <= BROADCAST_CELLS else f.df, list(given)).select(*given, query, POTENTIAL)
 
 
 class LikelihoodWeightingInference(InferenceMethod):

@@ -6,11 +6,13 @@ from abc import ABC, abstractmethod
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
+from math import prod
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from ..plans.graph import DAG
-from .counts import cardinalities, joint_counts
+from .counts import cardinalities, count_families, joint_counts
 from .cpd import CategoricalCPD, ConditionalLinearGaussianCPD, CPD, DiscreteCPD, LinearGaussianCPD, StaticCPD
 from .network import BayesNet
 from .scoring import DirichletPrior, NegativeBIC, ScoreCache, ScoringFunction, UniformPrior, bayesian_components, bic_components
@@ -30,7 +32,10 @@ def fit_network(df: DataFrame, dag: DAG, kinds: type[CPD] | Mapping[str, type[CP
     joint = joint_counts(df, dag.names).persist()  # every family is counted from these
     try:
         sizes = dict(options.get("ncategories") or cardinalities(joint, dag.names))
-        return BayesNet(DiscreteCPD.fit(joint, n, dag.parents(n), sizes[n], [sizes[p] for p in dag.parents(n)], prior, "n") for n in dag.topological())
+        tables = {n: np.zeros((prod(sizes[p] for p in dag.parents(n)), sizes[n])) for n in dag.names}
+        for r in count_families(joint, dag, sizes).collect():  # cells of the tables that have rows
+            tables[r["target"]][r["q"] - 1, r["k"] - 1] = r["n"]
+        return BayesNet(DiscreteCPD.of_counts(n, tables[n], dag.parents(n), [sizes[p] for p in dag.parents(n)], prior) for n in dag.topological())
     finally:
         joint.unpersist()
 

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import new_path
+
 
 class CycleError(ValueError):
     """An edge closes a cycle."""
@@ -143,25 +145,38 @@ def blanket_pairs(edges: DataFrame) -> DataFrame:
     return neighbor_pairs(e).union(mates).distinct().withColumnRenamed("near", "other")
 
 
-def descendant_pairs(edges: DataFrame, depth: int) -> DataFrame:
-    """(node, below) over at most `depth` edges, the height of the graph; the joins are planned as one query."""
-    e = edges.select("parent", "child").distinct()
-    level = e.select(F.col("parent").alias("node"), F.col("child").alias("below"))
-    step = e.select(F.col("parent").alias("below"), F.col("child").alias("next"))
-    out = level
-    for _ in range(depth - 1):
-        level = level.join(step, "below").select("node", F.col("next").alias("below"))
-        out = out.union(level)
-    return out.distinct()
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
-def depths(edges: DataFrame, height: int) -> DataFrame:
-    """(node, depth): the longest way from a root; ordered by depth, parents come before children."""
-    e = edges.select("parent", "child").distinct()
-    nodes = e.select(F.col("parent").alias("node")).union(e.select("child")).distinct().withColumn("depth", F.lit(0))
+def descendant_pairs(edges: DataFrame) -> DataFrame:
+    """(node, below): every node that another one reaches. Only pairs that are new go a step on, until none is; each round is written."""
+    path = new_path(edges.sparkSession, "descendants")
+    e = _written(edges.select("parent", "child").distinct(), f"{path}/edges")
+    step = e.select(F.col("parent").alias("below"), F.col("child").alias("next"))
+    level = e.select(F.col("parent").alias("node"), F.col("child").alias("below"))
+    found, k = level, 0
+    while level.limit(1).count():
+        k += 1
+        level = level.join(step, "below").select("node", F.col("next").alias("below")).distinct()
+        level = _written(level.join(found, ["node", "below"], "left_anti"), f"{path}/{k}")
+        found = found.union(level)
+    return found
+
+
+def depths(edges: DataFrame) -> DataFrame:
+    """(node, depth): the longest way from a root; ordered by depth, parents come before children. A cycle raises ValueError."""
+    path = new_path(edges.sparkSession, "depths")
+    e = _written(edges.select("parent", "child").distinct(), f"{path}/edges")
+    nodes = _written(e.select(F.col("parent").alias("node")).union(e.select("child")).distinct(), f"{path}/nodes")
     step = e.select(F.col("parent").alias("node"), F.col("child").alias("next"))
-    out, level = nodes, nodes
-    for k in range(1, height + 1):
-        level = level.join(step, "node").select(F.col("next").alias("node")).distinct().withColumn("depth", F.lit(k))
-        out = out.union(level)
+    level, most, k = nodes, nodes.count(), 0
+    out = nodes.withColumn("depth", F.lit(0))
+    while level.limit(1).count():
+        k += 1
+        if k > most:
+            raise ValueError("the edges have a cycle")
+        level = _written(level.join(step, "node").select(F.col("next").alias("node")).distinct(), f"{path}/{k}")
+        out = out.union(level.withColumn("depth", F.lit(k)))
     return out.groupBy("node").agg(F.max("depth").alias("depth"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -354,13 +355,13 @@ def grid_counts(spark, sf_dir):
 # Graphs, as edge tables: region -> nation -> customer -> order, and part -> order
 
 EDGES = """(SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer
- UNION SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders UNION SELECT 'p' || l_partkey, 'o' || l_orderkey FROM lineitem WHERE l_linenumber = 1)"""
+ UNION SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders UNION SELECT 'p' || l_partkey, 'o' || l_orderkey FROM lineitem)"""
 
 
 def edges(spark, sf_dir) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     pair = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), F.col(x).cast("string")).alias("parent"), F.concat(F.lit(b), F.col(y).cast("string")).alias("child"))
-    parts = [pair(t("nation"), "r", "n_regionkey", "n", "n_nationkey"), pair(t("customer"), "n", "c_nationkey", "c", "c_custkey"), pair(t("orders"), "c", "o_custkey", "o", "o_orderkey"), pair(t("lineitem").filter("l_linenumber = 1"), "p", "l_partkey", "o", "l_orderkey")]
+    parts = [pair(t("nation"), "r", "n_regionkey", "n", "n_nationkey"), pair(t("customer"), "n", "c_nationkey", "c", "c_custkey"), pair(t("orders"), "c", "o_custkey", "o", "o_orderkey"), pair(t("lineitem"), "p", "l_partkey", "o", "l_orderkey")]
     return reduce(DataFrame.union, parts).distinct()
 
 
@@ -377,7 +378,7 @@ def graph_neighbors(spark, sf_dir):
 
 @query(f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), d(node, below) AS (SELECT parent, child FROM e UNION SELECT d.node, e.child FROM d JOIN e ON e.parent = d.below) SELECT node, count(*) AS n FROM d GROUP BY node")
 def graph_descendants(spark, sf_dir):
-    return graph.descendant_pairs(edges(spark, sf_dir), 3).groupBy("node").agg(F.count("*").alias("n"))
+    return graph.descendant_pairs(edges(spark, sf_dir)).groupBy("node").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH e AS (SELECT * FROM {EDGES}) SELECT node, count(DISTINCT other) AS n FROM (SELECT child AS node, parent AS other FROM e UNION ALL SELECT parent, child FROM e UNION ALL SELECT a.parent, b.parent FROM e a JOIN e b ON a.child = b.child AND a.parent <> b.parent) GROUP BY node")
@@ -387,12 +388,23 @@ def graph_markov_blanket(spark, sf_dir):
 
 @query(f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), d(node, depth) AS (SELECT parent, 0 FROM e UNION SELECT e.child, d.depth + 1 FROM d JOIN e ON e.parent = d.node) SELECT node, max(depth)::INT AS depth FROM d GROUP BY node")
 def graph_topological_depth(spark, sf_dir):
-    return graph.depths(edges(spark, sf_dir), 3)
+    return graph.depths(edges(spark, sf_dir))
+
+
+def separated_sql(x: str, y: str, *given: str) -> str:
+    """Whether no way joins x and y in the moral graph of their ancestors and those of `given`, without `given`: from the edges alone."""
+    listed = ", ".join(f"('{a}', '{b}')" for a, b in line_dag().edges())
+    z = ", ".join(f"'{g}'" for g in given) or "NULL"
+    held = f"coalesce({{0}} IN ({z}), FALSE)"
+    return f"""(WITH RECURSIVE g(a, b) AS (VALUES {listed}), up(n) AS (SELECT unnest(['{x}', '{y}'{"".join(f", '{g}'" for g in given)}]) UNION SELECT g.a FROM g JOIN up ON g.b = up.n),
+  own AS (SELECT a, b FROM g WHERE b IN (SELECT n FROM up)), moral AS (SELECT a, b FROM own UNION SELECT b, a FROM own UNION SELECT p.a, q.a FROM own p JOIN own q ON p.b = q.b AND p.a <> q.a),
+  way(n) AS (SELECT '{x}' UNION SELECT m.b FROM way JOIN moral m ON m.a = way.n WHERE NOT {held.format("m.b")})
+  SELECT count(*) = 0 FROM way WHERE n = '{y}')"""
 
 
 @query(f"""WITH c AS (SELECT pb, db, nb, count(*)::DOUBLE AS n FROM {LINE} GROUP BY ALL), t AS (SELECT sum(n) AS n FROM c)
- SELECT 'pb db' AS pair, TRUE AS separated, round(sum(x.n * ln(x.n * t.n / (a.n * b.n))), 4) AS g FROM (SELECT pb, db, sum(n) AS n FROM c GROUP BY ALL) x JOIN (SELECT pb, sum(n) AS n FROM c GROUP BY pb) a USING (pb) JOIN (SELECT db, sum(n) AS n FROM c GROUP BY db) b USING (db), t
- UNION ALL SELECT 'pb db | nb', FALSE, round(sum(x.n * ln(x.n * z.n / (a.n * b.n))), 4) FROM c x JOIN (SELECT nb, sum(n) AS n FROM c GROUP BY nb) z USING (nb) JOIN (SELECT pb, nb, sum(n) AS n FROM c GROUP BY ALL) a USING (pb, nb) JOIN (SELECT db, nb, sum(n) AS n FROM c GROUP BY ALL) b USING (db, nb)""")
+ SELECT 'pb db' AS pair, {separated_sql('pb', 'db')} AS separated, round(sum(x.n * ln(x.n * t.n / (a.n * b.n))), 4) AS g FROM (SELECT pb, db, sum(n) AS n FROM c GROUP BY ALL) x JOIN (SELECT pb, sum(n) AS n FROM c GROUP BY pb) a USING (pb) JOIN (SELECT db, sum(n) AS n FROM c GROUP BY db) b USING (db), t
+ UNION ALL SELECT 'pb db | nb', {separated_sql('pb', 'db', 'nb')}, round(sum(x.n * ln(x.n * z.n / (a.n * b.n))), 4) FROM c x JOIN (SELECT nb, sum(n) AS n FROM c GROUP BY nb) z USING (nb) JOIN (SELECT pb, nb, sum(n) AS n FROM c GROUP BY ALL) a USING (pb, nb) JOIN (SELECT db, nb, sum(n) AS n FROM c GROUP BY ALL) b USING (db, nb)""")
 def d_separation(spark, sf_dir):
     """Two claims of the graph, with the dependence that the data shows (half the G statistic)."""
     dag, joint = line_dag(), counts.joint_counts(view(spark, sf_dir, "line"), ["pb", "db", "nb"])
@@ -435,6 +447,12 @@ def bayes_score_bdeu(spark, sf_dir):
     return _scores(spark, sf_dir, scoring.BDeuPrior(2.0))
 
 
+@query(f"SELECT 'uniform' AS name, round(sum(value), 2) AS value FROM ({' UNION ALL '.join(_score_sql(c, ps, 1.0) for c, ps in FAMILIES.items())})")
+def bayes_score_total(spark, sf_dir):
+    """Of a whole structure."""
+    return rounded(spark.createDataFrame([("uniform", scoring.bayesian_score(view(spark, sf_dir, "line"), line_dag(), scoring.UniformPrior(), SIZES))], "name string, value double"), "value", digits=2)
+
+
 @query(" UNION ALL ".join(f"SELECT '{c}' AS name, round(2 * sum(n * ln(n / t)) - ln(sum(n)) * {SIZES[c] * math.prod(SIZES[p] for p in ps)}, 3) AS value FROM (SELECT *, sum(n) OVER ({'PARTITION BY ' + ', '.join(ps) if ps else ''}) AS t FROM (SELECT {', '.join([*ps, c])}, count(*) AS n FROM {LINE} GROUP BY ALL))" for c, ps in FAMILIES.items()))
 def bic_discrete(spark, sf_dir):
     dag, df = line_dag(), view(spark, sf_dir, "line")
@@ -464,9 +482,26 @@ def _found(spark, bn: BayesNet) -> DataFrame:
     return spark.createDataFrame(rows, "parent string, child string").filter("parent <> ''")
 
 
-@query()
+K2_ORDER = ["pb", "db", "qb", "nb", "ub"]
+
+
+def k2_sql(order: list[str], most: int = 3) -> str:
+    """Every set of up to `most` predecessors scored by BIC from its counts; of the best the first, small sets first."""
+    scored = []
+    for i, c in enumerate(order):
+        for k, ps in enumerate(ps for size in range(min(most, i) + 1) for ps in combinations(order[:i], size)):
+            cells = f"SELECT {', '.join([*ps, c])}, sum(n) AS n FROM joint GROUP BY ALL"
+            over = f"PARTITION BY {', '.join(ps)}" if ps else ""
+            listed = ", ".join(f"'{p}'" for p in ps)
+            scored.append(f"SELECT '{c}' AS child, {k} AS k, [{listed}]::VARCHAR[] AS parents, 2 * sum(n * ln(n / t)) - ln(sum(n)) * {SIZES[c] * math.prod(SIZES[p] for p in ps)} AS value FROM (SELECT *, sum(n) OVER ({over}) AS t FROM ({cells}))")
+    return f"""WITH joint AS (SELECT {', '.join(order)}, count(*)::DOUBLE AS n FROM {LINE} GROUP BY ALL), s AS ({' UNION ALL '.join(scored)}),
+ best AS (SELECT *, row_number() OVER (PARTITION BY child ORDER BY round(value, 6) DESC, k) AS place FROM s)
+ SELECT unnest(parents) AS parent, child FROM best WHERE place = 1"""
+
+
+@query(k2_sql(K2_ORDER))
 def k2_search(spark, sf_dir):
-    return _found(spark, learn.search(view(spark, sf_dir, "line"), learn.K2GraphSearch(["pb", "db", "qb", "nb", "ub"]), ncategories=SIZES))
+    return _found(spark, learn.search(view(spark, sf_dir, "line"), learn.K2GraphSearch(K2_ORDER), ncategories=SIZES))
 
 
 @query()
@@ -487,7 +522,7 @@ def scan_greedy_hill_climbing(spark, sf_dir):
 
 @query()
 def greedy_thick_thinning(spark, sf_dir):
-    return _found(spark, learn.search(view(spark, sf_dir, "flags"), learn.GreedyThickThinning(prior=scoring.BDeuPrior(1.0)), ncategories=SIZES))
+    return _found(spark, learn.search(view(spark, sf_dir, "line"), learn.GreedyThickThinning(prior=scoring.BDeuPrior(1.0)), ncategories=SIZES))
 
 
 # Sampling: a synthetic row for each order

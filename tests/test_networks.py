@@ -325,3 +325,38 @@ def test_streams(spark, tmp_path):
     keep = lambda df, epoch: df.write.mode("overwrite").parquet(f"{tmp_path}/out")
     windowed_counts(stream, "ts", ["x"]).writeStream.outputMode("complete").option("checkpointLocation", f"file://{tmp_path}/log").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     assert sorted((r["x"], r["n"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, 1), (2, 2)]
+
+
+def test_states_beyond_their_size_fail(spark):
+    """A parent's state out of range must not count as another configuration."""
+    from credence.operators import counts
+    from credence.operators.cpd import DiscreteCPD
+
+    df = spark.createDataFrame([(3, 1, 1), (1, 2, 2)], "a int, b int, c int")
+    cpd = DiscreteCPD("c", [[0.1, 0.9], [0.2, 0.8], [0.3, 0.7], [0.4, 0.6]], ["a", "b"], [2, 2])
+    sizes = {"a": 2, "b": 2, "c": 2}
+    for bad in (df.select(cpd.prob_col()), df.select(cpd.log_col()), counts.statistics(df, "c", ["a", "b"], sizes), counts.statistics(df, "a", [], {"a": 2})):
+        with pytest.raises(Exception, match="out of 1..2"):
+            bad.collect()
+    inside = df.filter("a < 3").union(spark.createDataFrame([(None, 1, 1)], "a int, b int, c int"))
+    assert [r[0] for r in inside.select(cpd.prob_col()).collect()] == [0.7, None]
+
+
+def test_closures_run_to_the_end(spark):
+    from credence.plans import graph
+
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)] + [("n0", "n9")], "parent string, child string")
+    assert graph.descendant_pairs(chain).count() == 45
+    assert {r["node"]: r["depth"] for r in graph.depths(chain).collect()} == {f"n{i}": i for i in range(10)}
+    ring = spark.createDataFrame([("a", "b"), ("b", "a")], "parent string, child string")
+    assert graph.descendant_pairs(ring).count() == 4
+    with pytest.raises(ValueError, match="cycle"):
+        graph.depths(ring)
+
+
+def test_label_codes_over_ranges(spark):
+    from credence.operators import counts
+
+    names = [f"x{i:04}" for i in range(500)] + [None]
+    got = {r["label"]: r["code"] for r in counts.encoded(spark.createDataFrame([(n, n) for n in names * 2], "label string, code string"), ["code"]).collect()}
+    assert got == {n: i + 1 for i, n in enumerate(names[:-1])} | {None: None}
