@@ -404,6 +404,89 @@ def test_viterbi():
             assert np.isclose(part[np.arange(len(part)), own].sum() - (own[1:] != own[:-1]).sum(), best.max(), atol=1e-4)
 
 
+def plain_language_id(learned, texts, penalty=6.0):
+    """The whole query word by word: (language, score) of each text."""
+    kinds = {c: k + 1 for k, (_, ranges) in enumerate(language_id.SCRIPTS) for a, b in ranges for c in range(a, b + 1)}
+
+    def split(text):
+        return [w.translate(FOLD) for w in WORD.findall(text)]
+
+    def grams(w):
+        raw, out = b" " + w.encode() + b" ", []
+        for n in language_id.GRAMS:
+            for i in range(len(raw) - n + 1):
+                code = 0
+                for b in raw[i : i + n]:
+                    code = code * 257 + b + 1
+                out.append((code * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 48)
+        return out
+
+    def script(w):
+        votes = Counter(kinds.get(ord(c), language_id.KINDS - 1) for c in w if c.isalpha())
+        return min(votes, key=lambda k: (-votes[k], k)) if votes else 0
+
+    names = sorted({lang for _, lang in learned})
+    counts, scripts = {x: np.zeros(language_id.BUCKETS) for x in names}, {x: np.zeros(language_id.KINDS) for x in names}
+    for text, lang in learned:
+        for w in split(text):
+            np.add.at(counts[lang], grams(w), 1)
+            scripts[lang][script(w)] += len(w.encode())
+    odds = np.stack([np.log((counts[x] + 0.5) / (counts[x] + 0.5).sum()) for x in names])
+    odds -= odds.mean(0)
+    written = np.stack([scripts[x] >= max(0.01 * scripts[x][1:].sum(), 1) for x in names])
+
+    def scores(w):
+        k = script(w)
+        if not k:
+            return np.zeros(len(names))
+        s = odds[:, grams(w)].sum(1)
+        s = np.maximum(s - s.max(), -4)
+        return np.where(written[:, k], s, -8) if written[:, k].any() else s
+
+    out = []
+    for text in texts:
+        words = split(text or "")
+        each = [scores(w) for w in words]
+        best, came = np.zeros(len(names)), []
+        for i, s in enumerate(each):
+            top = int(best.argmax())
+            if i:
+                stay = best >= best[top] - penalty
+                came.append(np.where(stay, np.arange(len(names)), top))
+                best = np.where(stay, best, best[top] - penalty)
+            best = best + s
+        path = [int(best.argmax())]
+        for back in reversed(came):
+            path.append(int(back[path[-1]]))
+        path.reverse()
+        shares, sums = np.zeros(len(names)), np.zeros(len(names))
+        for w, s, k in zip(words, each, path if words else [], strict=True):
+            if script(w):
+                shares[k] += len(w.encode())
+                sums += s
+        if not shares.sum():
+            out.append(("und", 0.0))
+            continue
+        k = int(shares.argmax())
+        gap = max(0, sums[k] - np.delete(sums, k).max())
+        out.append((names[k], shares[k] / shares.sum() / (1 + np.exp(-min(gap, 50)))))
+    return out
+
+
+def test_language_id_by_brute_force(spark, documents, odd):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in documents.filter("n_chars < 3000").orderBy("doc_id").limit(90).collect()]
+    strange = ["\u0561\u0561 \u0561", "\uff21\uff22\uff23 \uff24\uff25", "\U00010330\U00010331", "\u00aa", "\u07d2\u07de", "\U00020000 \U00020001", "1 2 ()", "", None, "Привет мир", "the и 中文 und"]
+    rows += [(5000 + i, t, None) for i, t in enumerate(strange)] + [(None, "the end", "en"), (2**60 + 1, "die Welt", None)]
+    found = language_id.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    learned = [(t, lang) for k, t, lang in rows if t is not None and lang is not None and not (k is not None and zlib.crc32(str(k).encode()) % 4 == 2)]
+    want = {k: x for (k, _, _), x in zip(rows, plain_language_id(learned, [t for _, t, _ in rows]), strict=True)}
+    assert len(found) == len(rows) and {r["doc_id"] for r in found} == set(want)
+    for r in found:
+        assert r["lang_pred"] == want[r["doc_id"]][0] and abs(r["score"] - want[r["doc_id"]][1]) < 0.01, (r, want[r["doc_id"]])
+    und = {r["doc_id"] for r in found if r["lang_pred"] == "und"}
+    assert und == {5000 + i for i, t in enumerate(strange) if not any(c.isalpha() for c in t or "")}
+
+
 @pytest.mark.parametrize("langs", [129, 200, 300])
 def test_many_languages(spark, langs):
     want = np.repeat(np.random.default_rng(langs).permutation(langs), 3)
