@@ -20,6 +20,7 @@ from .operators.factor import Factor
 from .operators.generate import random_network
 from .operators.network import BayesNet
 from .plans import graph
+from .search_sql import greedy_sql
 from .sources import files
 from .storage import new_path
 from .streaming.counts import running_counts
@@ -510,17 +511,17 @@ def k2_search_mixed(spark, sf_dir):
     return _found(spark, learn.search(view(spark, sf_dir, "money"), learn.K2GraphSearch(["rf", "qty", "price", "revenue"], kinds, 2)))
 
 
-@query()
+@query(greedy_sql("line", ["qb", "pb", "db", "nb", "ub"]))
 def greedy_hill_climbing(spark, sf_dir):
     return _found(spark, learn.search(view(spark, sf_dir, "line"), learn.GreedyHillClimbing(), ncategories=SIZES))
 
 
-@query()
+@query(greedy_sql("talk", ["role", "tn", "lt"], capped=True, scan=True))
 def scan_greedy_hill_climbing(spark, sf_dir):
     return _found(spark, learn.search(view(spark, sf_dir, "talk"), learn.ScanGreedyHillClimbing(), ncategories=SIZES))
 
 
-@query()
+@query(greedy_sql("line", ["qb", "pb", "db", "nb", "ub"], ess=1.0, flips=False, phased=True))
 def greedy_thick_thinning(spark, sf_dir):
     return _found(spark, learn.search(view(spark, sf_dir, "line"), learn.GreedyThickThinning(prior=scoring.BDeuPrior(1.0)), ncategories=SIZES))
 
@@ -550,13 +551,13 @@ def sample_direct(spark, sf_dir):
     return sampling.drawn(line_net(spark, sf_dir), _order_keys(spark, sf_dir))
 
 
-_TRIES = "SELECT *, {ub} AS ub FROM (SELECT *, {nb} AS nb FROM (SELECT key, try, {pb} AS pb, {db} AS db, {qb} AS qb FROM (SELECT c_custkey AS key, range AS try FROM customer, range(0, 20))) d) d".format(**{n: pick_sql(n, "key::VARCHAR || '|' || try", "d") for n in FAMILIES})
+_TRIES = "SELECT *, {ub} AS ub FROM (SELECT *, {nb} AS nb FROM (SELECT key, try, {pb} AS pb, {db} AS db, {qb} AS qb FROM (SELECT c_custkey AS key, range AS try FROM customer, range(0, 100))) d) d".format(**{n: pick_sql(n, "key::VARCHAR || '|' || try", "d") for n in FAMILIES})
 
 
 @query(f"SELECT key, pb, db, qb, nb, ub FROM ({_TRIES}) WHERE ub = 2 AND db = 2 QUALIFY row_number() OVER (PARTITION BY key ORDER BY try) = 1")
 def sample_rejection(spark, sf_dir):
     at = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
-    return sampling.RejectionSampler({"ub": 2, "db": 2}, 20).draw(line_net(spark, sf_dir), at)
+    return sampling.RejectionSampler({"ub": 2, "db": 2}).draw(line_net(spark, sf_dir), at)
 
 
 _WEIGHTED = "SELECT d.*, 2 AS ub, u.p / sum(u.p) OVER () AS potential FROM (SELECT *, {nb} AS nb FROM (SELECT key, {pb} AS pb, 1 AS db, {qb} AS qb FROM (SELECT o_orderkey AS key FROM orders)) d) d JOIN UB u ON u.qb = d.qb AND u.pb = d.pb AND u.ub = 2".replace("UB", UB).format(**{n: pick_sql(n, "key::VARCHAR", "d") for n in FAMILIES})
@@ -568,24 +569,29 @@ def sample_weighted(spark, sf_dir):
     return rounded(rows.select("key", "pb", "db", "qb", "nb", "ub", "potential"), digits=9)
 
 
-@query()
+_UB_SEEN = _WEIGHTED.replace("1 AS db", pick_sql("db", "key::VARCHAR", "d") + " AS db")
+
+
+@query(f"""WITH r AS (SELECT *, sum(potential) OVER (ORDER BY key) AS upto FROM ({_UB_SEEN})), g AS (SELECT range AS pick, {u_sql("range", "0|pick")} * (SELECT max(upto) FROM r) AS u FROM range(0, 50))
+ SELECT pick, key, pb, db, qb, nb, ub, round(potential, 9) AS potential FROM g JOIN r ON upto >= u QUALIFY row_number() OVER (PARTITION BY pick ORDER BY upto, key) = 1""")
 def sample_weighted_pick(spark, sf_dir):
     rows = sampling.LikelihoodWeightedSampler({"ub": 2}).draw(line_net(spark, sf_dir), _order_keys(spark, sf_dir))
-    return sampling.weighted_pick(rows, 50)
+    picked = sampling.weighted_pick(rows, 50)
+    return rounded(picked.select("pick", "key", "pb", "db", "qb", "nb", "ub", "potential"), digits=9)
 
 
 @query()
 def gibbs_sample(spark, sf_dir):
     """As many rows as there are suppliers, given two observations."""
     n = table(spark, sf_dir, "supplier").count()
-    return sampling.GibbsSampler(burn_in=20, thinning=1, evidence={"ub": 2, "db": 1}).sample(spark, line_net(spark, sf_dir), n)
+    return sampling.GibbsSampler(thinning=1, evidence={"ub": 2, "db": 1}).sample(spark, line_net(spark, sf_dir), n)
 
 
 @query()
 def gibbs_sample_mixed(spark, sf_dir):
     df = view(spark, sf_dir, "money")
     bn = BayesNet([DiscreteCPD.fit(df, "rf", ncategories=3), LinearGaussianCPD.fit(df, "price"), ConditionalLinearGaussianCPD.fit(df, "revenue", ["rf", "price"])])
-    return sampling.GibbsSampler(burn_in=20).sample(spark, bn, table(spark, sf_dir, "supplier").count())
+    return sampling.GibbsSampler().sample(spark, bn, table(spark, sf_dir, "supplier").count())
 
 
 # Inference
@@ -626,7 +632,7 @@ def infer_gibbs_nodewise(spark, sf_dir):
 
 @query()
 def infer_gibbs_full(spark, sf_dir):
-    return rounded(inference.infer(spark, line_net(spark, sf_dir), "nb", {"ub": 2, "db": 1}, inference.GibbsSamplingFull(nsamples=1000, burn_in=200)).df, digits=3)
+    return rounded(inference.infer(spark, line_net(spark, sf_dir), "nb", {"ub": 2, "db": 1}, inference.GibbsSamplingFull()).df, digits=3)
 
 
 @query(f"SELECT ub, db, nb, round(sum(p) / sum(sum(p)) OVER (PARTITION BY ub, db), 6) AS potential FROM {JOINT} JOIN (SELECT DISTINCT ub, db FROM {LINE}) USING (ub, db) GROUP BY ub, db, nb")
