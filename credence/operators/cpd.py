@@ -148,6 +148,17 @@ class DiscreteCPD(CategoricalCPD):
     def probs(self) -> list[tuple[float, ...]]:
         return [d.probs for d in self.dists]
 
+    def __str__(self) -> str:
+        """A line for each configuration of the parents, the first parent fastest."""
+        lines = []
+        for q, row in enumerate(self.probs):
+            states, rest = [], q
+            for p, size in zip(self.parents, self.parent_sizes, strict=True):
+                states.append(f"{p}={rest % size + 1}")
+                rest //= size
+            lines.append(f"P({self.name}{' | ' + ', '.join(states) if states else ''}) = {', '.join(f'{x:.6g}' for x in row)}")
+        return "\n".join(lines)
+
     def sizes(self) -> dict[str, int]:
         return {self.name: self.ncategories, **dict(zip(self.parents, self.parent_sizes, strict=True))}
 
@@ -197,8 +208,9 @@ class DiscreteCPD(CategoricalCPD):
     def of_counts(cls, name, n: np.ndarray, parents=(), parent_sizes=(), prior=None):
         """From counts of states by configuration."""
         r = n.shape[1]
-        alpha = prior.for_table(r) if prior else 0.0
-        total = n.sum(1, keepdims=True) + r * alpha
+        cells = prior.cells(r, n.shape[0]) if prior else None
+        alpha = np.array(cells, float) if cells is not None else prior.for_table(r) if prior else 0.0
+        total = (n + alpha).sum(1, keepdims=True)
         p = np.where(total > 0, (n + alpha) / np.where(total > 0, total, 1), 1 / r)
         return cls(name, [list(map(float, x)) for x in p], parents, parent_sizes) if parents else cls(name, list(map(float, p[0])))
 

@@ -174,6 +174,9 @@ class NamedCategorical(Distribution):
         object.__setattr__(self, "items", tuple(items))
         object.__setattr__(self, "probs", tuple(p / total for p in probs))
 
+    def __str__(self) -> str:
+        return "\n".join(f"{x}: {p:.6g}" for x, p in zip(self.items, self.probs, strict=True))
+
     @property
     def params(self):
         return (list(self.probs),)

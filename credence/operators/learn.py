@@ -19,6 +19,8 @@ from .scoring import DirichletPrior, NegativeBIC, ScoreCache, ScoringFunction, U
 
 #: Gains below this are ties: the first candidate stays.
 TIE = 1e-9
+#: Up to so many variables all families are scored in one job, before a search begins: no step needs a job of its own.
+FEW = 6
 
 
 def fit_network(df: DataFrame, dag: DAG, kinds: type[CPD] | Mapping[str, type[CPD]] = DiscreteCPD, prior: DirichletPrior | None = None, **options) -> BayesNet:
@@ -132,6 +134,8 @@ class _Greedy(GraphSearch):
         try:
             sizes = dict(ncategories or cardinalities(joint, names))
             cache = ScoreCache(lambda wanted: bayesian_components(joint, wanted, sizes, self.prior))
+            if len(names) <= FEW:
+                cache([(c, ps) for c in names for k in range(len(names)) for ps in combinations([x for x in names if x != c], k)])
             parents = self.searched(names, cache)
             dag = DAG(names, [(p, c) for c in names for p in parents[c]])
             return BayesNet(DiscreteCPD.fit(joint, n, parents[n], sizes[n], [sizes[p] for p in parents[n]], self.prior, "n") for n in dag.topological())

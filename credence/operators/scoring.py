@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions.math import lgamma
 from ..plans.graph import DAG
-from .counts import cardinalities, families, joint_counts
+from .counts import cardinalities, config, families, joint_counts, state
 from .cpd import CPD
+from .factor import BROADCAST_CELLS
 
 
 class DirichletPrior(ABC):
-    """Pseudo-counts that are equal in all cells of a family."""
+    """Pseudo-counts of a family's cells, equal in all unless `cells` gives others."""
 
     @abstractmethod
     def for_table(self, r: int) -> float:
@@ -27,11 +28,37 @@ class DirichletPrior(ABC):
     def for_family(self, r: int, q: int) -> float:
         """Of each cell of a family with q configurations."""
 
+    def cells(self, r: int, q: int) -> Sequence[Sequence[float]] | None:
+        """A row of r pseudo-counts for each of q configurations, where they differ; None where the number of for_family holds in all."""
+        return None
+
+
+class CellPrior(DirichletPrior):
+    """Pseudo-counts given cell by cell: a function of (r, q), or one table of q rows for families of its shape."""
+
+    def __init__(self, cells):
+        self.given = cells
+
+    def for_table(self, r):
+        raise ValueError("pseudo-counts differ by cell: ask for cells(r, q)")
+
+    def for_family(self, r, q):
+        raise ValueError("pseudo-counts differ by cell: ask for cells(r, q)")
+
+    def cells(self, r, q):
+        rows = self.given(r, q) if callable(self.given) else self.given
+        if len(rows) != q or any(len(x) != r for x in rows):
+            raise ValueError(f"{q} rows of {r} pseudo-counts are needed")
+        return rows
+
 
 class UniformPrior(DirichletPrior):
     def __init__(self, alpha: float = 1.0):
         self.alpha = alpha
 
+    def __repr__(self):
+        return f"UniformPrior({self.alpha:g})"
+
     def for_table(self, r):
         return self.alpha
 
@@ -45,6 +72,9 @@ class BDeuPrior(DirichletPrior):
     def __init__(self, x: float = 1.0):
         self.x = x
 
+    def __repr__(self):
+        return f"BDeuPrior({self.x:g})"
+
     def for_table(self, r):
         return self.x / r
 
@@ -89,8 +119,32 @@ def _batched(joint: DataFrame, wanted: Sequence[Family], params, term) -> dict[F
     return {f: found.get(i, 0.0) for i, f in enumerate(wanted)}
 
 
+def _by_cells(joint: DataFrame, wanted: Mapping[Family, Sequence[Sequence[float]]], sizes: Mapping[str, int]) -> dict[Family, float]:
+    """The same for families with a pseudo-count of its own in each cell, all in one job. The counts meet a table of pseudo-counts."""
+    names = sorted({n for t, ps in wanted for n in (t, *ps)})
+    sets = sorted({frozenset({t, *ps}) for t, ps in wanted}, key=sorted)
+    gid = lambda s: sum(1 << (len(names) - 1 - i) for i, x in enumerate(names) if x not in s)
+    grouped = joint.groupingSets([[F.col(x) for x in sorted(s)] for s in sets], *(F.col(x) for x in names)).agg(F.sum("n").cast("double").alias("n"), F.grouping_id().cast("long").alias("gid"))
+    cells = [
+        F.struct(F.lit(i).alias("family"), config(ps, sizes).cast("int").alias("q"), state(t, sizes[t]).cast("int").alias("k"), F.lit(gid({t, *ps})).cast("long").alias("own"))
+        for i, (t, ps) in enumerate(wanted)
+    ]
+    at = grouped.select("n", "gid", F.explode(F.array(*cells)).alias("x")).filter("gid = x.own").select("x.family", "x.q", "x.k", "n")
+    rows = [(i, q + 1, k + 1, float(a), float(sum(row))) for i, table in enumerate(wanted.values()) for q, row in enumerate(table) for k, a in enumerate(row)]
+    alphas = joint.sparkSession.createDataFrame(rows, "family int, q int, k int, a double, total double")
+    met = at.join(F.broadcast(alphas) if len(rows) <= BROADCAST_CELLS else alphas, ["family", "q", "k"])
+    by = met.groupBy("family", "q").agg(F.sum(lgamma(F.col("n") + F.col("a")) - lgamma(F.col("a"))).alias("s"), F.sum("n").alias("n"), F.first("total").alias("total"))
+    found = by.groupBy("family").agg(F.sum(F.col("s") + lgamma(F.col("total")) - lgamma(F.col("n") + F.col("total"))).alias("s"))
+    found = {r["family"]: r["s"] for r in found.collect()}
+    return {f: found.get(i, 0.0) for i, f in enumerate(wanted)}
+
+
 def bayesian_components(joint: DataFrame, wanted: Sequence[Family], sizes: Mapping[str, int], prior: DirichletPrior) -> dict[Family, float]:
     """Log marginal likelihoods of families, from counts `n`."""
+    uneven = {f: a for f in wanted if (a := prior.cells(sizes[f[0]], prod(sizes[p] for p in f[1]))) is not None}
+    if uneven:
+        even = [f for f in wanted if f not in uneven]
+        return _by_cells(joint, uneven, sizes) | (bayesian_components(joint, even, sizes, prior) if even else {})
 
     def alphas(f: Family) -> tuple[float, float]:
         r, q = sizes[f[0]], prod(sizes[p] for p in f[1])

@@ -448,6 +448,32 @@ def bayes_score_bdeu(spark, sf_dir):
     return _scores(spark, sf_dir, scoring.BDeuPrior(2.0))
 
 
+def _cell_score_sql(c: str, ps: list[str]) -> str:
+    """State k of configuration q has a pseudo-count of q + k / 2."""
+    r = SIZES[c]
+    total = f"({r} * q + {r * (r + 1) / 4})"
+    cells = f"SELECT {q_sql(ps)} AS q, {c} AS k, count(*) AS n FROM {LINE} GROUP BY ALL"
+    by = f"SELECT sum(lgamma(q + k / 2.0 + n) - lgamma(q + k / 2.0)) + lgamma({total}) - lgamma({total} + sum(n)) AS s FROM ({cells}) GROUP BY q"
+    return f"SELECT '{c}' AS name, round(sum(s), 3) AS value FROM ({by})"
+
+
+UNEVEN = scoring.CellPrior(lambda r, q: [[i + 1 + (k + 1) / 2 for k in range(r)] for i in range(q)])
+
+
+@query(" UNION ALL ".join(_cell_score_sql(c, ps) for c, ps in FAMILIES.items()))
+def bayes_score_cells(spark, sf_dir):
+    """With a pseudo-count of its own for each cell."""
+    return _scores(spark, sf_dir, UNEVEN)
+
+
+@query(f"""WITH c AS (SELECT q.range AS q, k.range AS k, q.range + k.range / 2.0 + coalesce(n, 0) AS n FROM range(1, 11) q CROSS JOIN range(1, 3) k
+ LEFT JOIN (SELECT {q_sql(['qb', 'pb'])} AS q, ub AS k, count(*) AS n FROM {LINE} GROUP BY ALL) f ON f.q = q.range AND f.k = k.range)
+ SELECT 'ub' AS target, CAST(q AS INT) AS q, CAST(k AS INT) AS k, round(n / sum(n) OVER (PARTITION BY q), 6) AS p FROM c""")
+def fit_discrete_cpd_cells(spark, sf_dir):
+    fitted = DiscreteCPD.fit(view(spark, sf_dir, "line"), "ub", ["qb", "pb"], SIZES["ub"], [SIZES["qb"], SIZES["pb"]], prior=UNEVEN)
+    return rounded(fitted.frame(spark), "p")
+
+
 @query(f"SELECT 'uniform' AS name, round(sum(value), 2) AS value FROM ({' UNION ALL '.join(_score_sql(c, ps, 1.0) for c, ps in FAMILIES.items())})")
 def bayes_score_total(spark, sf_dir):
     """Of a whole structure."""

@@ -360,3 +360,21 @@ def test_label_codes_over_ranges(spark):
     names = [f"x{i:04}" for i in range(500)] + [None]
     got = {r["label"]: r["code"] for r in counts.encoded(spark.createDataFrame([(n, n) for n in names * 2], "label string, code string"), ["code"]).collect()}
     assert got == {n: i + 1 for i, n in enumerate(names[:-1])} | {None: None}
+
+
+def test_priors_by_cell(spark):
+    df = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 2), (1, 1)], "a int, b int")
+    joint, sizes = counts.joint_counts(df, ["a", "b"]), {"a": 2, "b": 2}
+    prior = scoring.CellPrior([[1.0, 2.0], [0.5, 3.0]])
+    found = scoring.bayesian_components(joint, [("b", ("a",))], sizes, prior)["b", ("a",)]
+    g = math.lgamma
+    by_hand = g(3) - g(1) + g(3) - g(2) + g(3) - g(6) + g(5) - g(3) + g(3.5) - g(5.5)
+    assert found == pytest.approx(by_hand)
+    even = scoring.CellPrior(lambda r, q: [[1.0] * r] * q)
+    wanted = [("a", ()), ("b", ("a",)), ("a", ("b",))]
+    assert scoring.bayesian_components(joint, wanted, sizes, even) == pytest.approx(scoring.bayesian_components(joint, wanted, sizes, scoring.UniformPrior()))
+    fitted = DiscreteCPD.fit(df, "b", ["a"], 2, [2], prior=prior)
+    assert fitted.probs[0] == pytest.approx((3 / 6, 3 / 6)) and fitted.probs[1] == pytest.approx((0.5 / 5.5, 5 / 5.5))
+    assert str(fitted).splitlines()[0] == "P(b | a=1) = 0.5, 0.5" and repr(scoring.BDeuPrior(2.0)) == "BDeuPrior(2)"
+    with pytest.raises(ValueError):
+        scoring.bayesian_components(joint, [("b", ())], sizes, prior)
