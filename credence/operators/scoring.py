@@ -169,7 +169,8 @@ class ScoreCache:
     def __call__(self, wanted: Sequence[Family]) -> list[float]:
         key = lambda f: (f[0], tuple(sorted(f[1])))
         new = list(dict.fromkeys(key(f) for f in wanted if key(f) not in self.known))
-        self.known |= self.compute(new)
+        if new:  # most lookups are of known families: they build no expressions
+            self.known |= self.compute(new)
         return [self.known[key(f)] for f in wanted]
 
 
