@@ -107,6 +107,9 @@ def weighted_pick(rows: DataFrame, picks: int = 1, seed: int = 0, buckets: int =
 
 # Gibbs
 
+#: Weighted draws that chains start from, rows that a chain gives unless chains are counted out, and rows it holds at once.
+START_DRAWS, CHAIN_ROWS, CHUNK_ROWS = 200, 50_000, 10_000
+
 
 def _blanket_factors(bn: BayesNet, name: str) -> list:
     return [bn.cpds[name], *(bn.cpds[c] for c in bn.dag.children(name))]
@@ -172,9 +175,10 @@ class GibbsSampler(Sampler):
 
     thinning sweeps are discarded before each kept one. Chains start from a likelihood-weighted draw, or from `initial`.
     time_limit (ms) bounds each chain; with error_if_time_out an expired one fails, else it returns what it has.
+    Unless given, the number of chains grows with the rows asked for, four at least; a chain hands its rows on in chunks.
     """
 
-    def __init__(self, burn_in: int = 100, thinning: int = 0, evidence: Mapping[str, object] | None = None, order: Sequence[str] | None = None, time_limit: int | None = None, error_if_time_out: bool = True, initial: Mapping[str, object] | None = None, max_cache_size: int = 100_000, chains: int = 4):
+    def __init__(self, burn_in: int = 100, thinning: int = 0, evidence: Mapping[str, object] | None = None, order: Sequence[str] | None = None, time_limit: int | None = None, error_if_time_out: bool = True, initial: Mapping[str, object] | None = None, max_cache_size: int = 100_000, chains: int | None = None):
         self.burn_in, self.thinning, self.evidence, self.order = burn_in, thinning, dict(evidence or {}), order
         self.time_limit, self.error_if_time_out, self.initial, self.cache, self.chains = time_limit, error_if_time_out, initial, max_cache_size, chains
 
@@ -199,31 +203,32 @@ class GibbsSampler(Sampler):
             if bn.pdf(self.initial) <= 0:
                 raise ValueError("the initial sample has no density")
 
-    def starts(self, spark: SparkSession, bn: BayesNet, seed: int) -> list[dict]:
+    def starts(self, spark: SparkSession, bn: BayesNet, seed: int) -> tuple[list[dict], np.ndarray]:
+        """States that chains may start from, and their probabilities: a fixed number of weighted draws, or the initial sample."""
         if self.initial is not None:
-            return [dict(self.initial)] * self.chains
-        rows = LikelihoodWeightedSampler(self.evidence).draw(bn, keys(spark, 50 * self.chains), seed).collect()
+            return [dict(self.initial)], np.ones(1)
+        rows = LikelihoodWeightedSampler(self.evidence).draw(bn, keys(spark, START_DRAWS), seed).collect()
         weights = np.array([r[POTENTIAL] if r[POTENTIAL] is not None else np.nan for r in rows])
         if np.isnan(weights).any():
             raise ValueError("no draw agrees with the evidence")
-        at = np.random.default_rng(seed).choice(len(rows), self.chains, p=weights / weights.sum())
-        return [{n: rows[i][n] for n in bn.names} for i in at]
+        return [{n: r[n] for n in bn.names} for r in rows], weights / weights.sum()
 
     def sample(self, spark, bn, n, seed=0):
         self.checked(bn, n)
-        starts = self.starts(spark, bn, seed)
-        each = [n // self.chains + (k < n % self.chains) for k in range(self.chains)]
+        states, odds = self.starts(spark, bn, seed)
+        chains = self.chains or max(4, -(-n // CHAIN_ROWS))
         types = {c: "int" if isinstance(bn.cpds[c], DiscreteCPD) else "double" for c in bn.names}
-        me = self
+        me, kinds = self, {c: {"int": "int32", "double": "float64"}[t] for c, t in types.items()}
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for k in batch["id"]:
                     began = time.time()
-                    chain = _Chain(bn, me.evidence, np.random.default_rng([seed, int(k)]), me.cache, me.order)
-                    chain.state = {**starts[k], **me.evidence}
+                    rng = np.random.default_rng([seed, int(k)])
+                    chain = _Chain(bn, me.evidence, rng, me.cache, me.order)
+                    chain.state = {**states[rng.choice(len(states), p=odds)], **me.evidence}
                     out = []
-                    for i in range(me.burn_in + each[k]):
+                    for i in range(me.burn_in + n // chains + (k < n % chains)):
                         if me.time_limit is not None and (time.time() - began) * 1000 > me.time_limit:
                             if me.error_if_time_out:
                                 raise TimeoutError("a chain exceeded its time limit")
@@ -233,6 +238,9 @@ class GibbsSampler(Sampler):
                         chain.sweep()
                         if i >= me.burn_in:
                             out.append([chain.state[c] for c in bn.names])
-                    yield pd.DataFrame(out, columns=bn.names).astype({c: {"int": "int32", "double": "float64"}[t] for c, t in types.items()})
+                        if len(out) == CHUNK_ROWS:
+                            yield pd.DataFrame(out, columns=bn.names).astype(kinds)
+                            out = []
+                    yield pd.DataFrame(out, columns=bn.names).astype(kinds)
 
-        return spark.range(self.chains, numPartitions=self.chains).mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in types.items()))
+        return spark.range(chains, numPartitions=chains).mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in types.items()))

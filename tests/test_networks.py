@@ -378,3 +378,11 @@ def test_priors_by_cell(spark):
     assert str(fitted).splitlines()[0] == "P(b | a=1) = 0.5, 0.5" and repr(scoring.BDeuPrior(2.0)) == "BDeuPrior(2)"
     with pytest.raises(ValueError):
         scoring.bayesian_components(joint, [("b", ())], sizes, prior)
+
+
+def test_chains_grow_with_rows(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "CHAIN_ROWS", 10)
+    bn = BayesNet([DiscreteCPD("a", [0.25, 0.75]), DiscreteCPD("b", [[0.9, 0.1], [0.2, 0.8]], ["a"], [2])])
+    rows = sampling.GibbsSampler(burn_in=2, evidence={"b": 1}).sample(spark, bn, 73)
+    assert rows.rdd.getNumPartitions() == 8 and rows.count() == 73
+    assert {r["b"] for r in rows.collect()} == {1}
