@@ -9,10 +9,11 @@ never built whole. It runs in blocks of columns (ranges of shingle hashes) and d
 2. Documents with equal sets become one. What is left enters the matrix wholly, and the same is asked of whole rows: a document
    with fewer than ceil(.8 |x|) columns that another one has is dropped. Of the others only the |x| - ceil(.8 |x|) + 1
    rarest columns are multiplied: two documents that share none of them can't be linked.
-3. Overlaps are accumulated over whole sets for pairs that such columns propose. Round by round each document is proposed with a
-   pivot of its columns, first the smallest document, then others drawn at random, as long as a quarter of them link; at
-   last all pairs of a column that aren't in one component. Pairs within a component need no proof. A pair must share
-   ceil(80 (|x| + |y|) / 180) - max(ceil(.8 |x|), ceil(.8 |y|)) + 1 of the rare columns.
+3. Round by round each document is proposed with a pivot of its columns, first the smallest document, then others drawn at
+   random, as long as a quarter of them link; at last all pairs of a column that aren't in one component. Pairs within a
+   component need no proof. A pair must share ceil(80 (|x| + |y|) / 180) - max(ceil(.8 |x|), ceil(.8 |y|)) + 1 of the rare columns.
+4. For the pairs proposed the product is made in full: the columns are parted into PARTS blocks, each block that two sets have
+   gives a partial overlap, and these are added up and held against the bound of the sizes.
 
 A shingle that very many documents have is summed up per task and never meets in one place; see `_block_rows`.
 Shingles are compared by 64-bit hashes.
@@ -38,6 +39,8 @@ BLOCK_TEXT = 12 << 20
 #: Logarithm of the ratio of sizes that share a bin.
 SIZE_BIN = 0.02
 ENTRY, SIZE, HOT_ENTRY, HOT_COLUMN = 0, 1, 2, 3
+#: Blocks of columns (by the first bits of a hash) in which the overlaps of proposed pairs are added up: a power of two.
+PARTS = 4
 #: Stands for the number of documents of any hot column: in order of rarity these come after all others.
 HOT_NUMBER = 1 << 40
 
@@ -179,33 +182,38 @@ def _multiplied(block: pd.DataFrame) -> pd.DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document and block of columns: its hashes there, perhaps none, in order."""
     for batch in batches:
         for ids, g, r in text_sets(batch.column(0), batch.column(1)):
             n = np.bincount(r, minlength=len(ids))
-            ends = np.cumsum(n)
-            sets = pa.array([g[a:b].tobytes() for a, b in zip(ends - n, ends, strict=True)], pa.binary())
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(n.astype(np.int64)), *(pa.array(x) for x in fingerprints(g, n).T.copy()), sets], ["doc", "n", "f", "g", "set"])
+            sums = fingerprints(g, n)
+            part = (g >> np.uint64(64 - (PARTS.bit_length() - 1))).astype(np.int64)
+            ends = np.cumsum(np.bincount(r * PARTS + part, minlength=len(ids) * PARTS))
+            starts = np.concatenate([[0], ends[:-1]])
+            sets = pa.array([g[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())
+            keys = [np.repeat(x, PARTS) for x in (ids.astype(np.int64), n.astype(np.int64), sums[:, 0], sums[:, 1])]
+            parts = pa.array(np.tile(np.arange(PARTS, dtype=np.int32), len(ids)))
+            yield pa.record_batch([*map(pa.array, keys), parts, sets], ["doc", "n", "f", "g", "part", "set"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose overlap links them. Sets are sorted, so an overlap is what two sets together have twice."""
+    """Overlaps in one block of columns: both lists are sorted without repeats, so what they share is what they together have twice."""
     for batch in batches:
-        keep = []
-        for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-            x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-            both = np.concatenate([x, y])
+        shared = np.zeros(len(batch), np.int64)
+        for i, (a, b) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+            both = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b)])
             both.sort(kind="stable")
-            o = int((both[1:] == both[:-1]).sum())
-            if 100 * o >= 80 * (len(x) + len(y) - o):
-                keep.append(i)
-        yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).take(pa.array(keep, pa.int64()))
+            shared[i] = np.count_nonzero(both[1:] == both[:-1])
+        yield pa.record_batch([*(batch.column(k) for k in range(4)), pa.array(shared)], ["a", "b", "n", "m", "o"])
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose Jaccard similarity is 0.8 or more."""
-    left = pairs.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("s")), "a")
-    both = left.join(sets.select(F.col("doc").alias("b"), F.col("set").alias("t")), "b")
-    return both.select("a", "b", "s", "t").mapInArrow(_overlaps, "a long, b long")
+    """The pairs (a, b) of pairs (a, b, n, m), n and m their sizes, whose Jaccard similarity is 0.8 or more."""
+    left = pairs.join(sets.select(F.col("doc").alias("a"), "part", F.col("set").alias("s")), "a")
+    both = left.join(sets.select(F.col("doc").alias("b"), "part", F.col("set").alias("t")), ["b", "part"])
+    partial = both.select("a", "b", "n", "m", "s", "t").mapInArrow(_overlaps, "a long, b long, n long, m long, o long")
+    product = partial.groupBy("a", "b", "n", "m").agg(F.sum("o").alias("o"))
+    return product.filter("100 * o >= 80 * (n + m - o)").select("a", "b")
 
 
 def _roots(hooks: DataFrame, path: str) -> DataFrame:
@@ -294,11 +302,11 @@ def ngram_components(docs: DataFrame, path: str | None = None, rounds: int = 10)
     ours = kept.select("doc", F.col("n").alias("n1"), F.col("f").alias("f1"), F.col("g").alias("g1"))
     reps = stored(ours.join(same, (F.col("n1") == F.col("n")) & (F.col("f1") == F.col("f")) & (F.col("g1") == F.col("g"))).select("doc", "rep", "n", "f", "g"), f"{path}/reps")
     wanted = small_side(stored(reps.filter("doc = rep").select(F.col("doc").alias("doc_id"), "n", "f", "g"), f"{path}/wanted"))
-    sets = base.join(wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "doc long, n long, f long, g long, set binary")
-    sets = sets.join(wanted.withColumnRenamed("doc_id", "doc"), ["doc", "n", "f", "g"], "left_semi").select("doc", "set").dropDuplicates(["doc"])
+    sets = base.join(wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "doc long, n long, f long, g long, part int, set binary")
+    sets = sets.join(wanted.withColumnRenamed("doc_id", "doc"), ["doc", "n", "f", "g"], "left_semi").select("doc", "part", "set").dropDuplicates(["doc", "part"])
     sets = stored(sets, f"{path}/sets")
     remove_dir(spark, f"{path}/product")
-    matrix = sets.mapInArrow(_block_rows(blocks, stored_sets, _identity, False, hot), MATRIX)
+    matrix = sets.select("doc", "set").mapInArrow(_block_rows(blocks, stored_sets, _identity, False, hot), MATRIX)
     product = stored(matrix.groupBy("block").applyInPandas(_multiplied, PRODUCT), f"{path}/whole")
     rows = _shared_columns(product).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("row"))  # as long as its text at most
     rows = rows.join(sizes.select("doc", "n"), "doc").filter(F.size("row") >= F.expr("(80 * n + 99) div 100"))
@@ -322,13 +330,13 @@ def ngram_components(docs: DataFrame, path: str | None = None, rounds: int = 10)
         if tried is not None:
             near = near.join(tried.select(F.col("a").alias("doc"), "b"), ["doc", "b"], "left_anti")
         # of what its columns propose, each document takes the pivot it shares most with
-        best = near.groupBy("doc").agg(F.max(F.struct("k", F.bitwise_not("b").alias("minus"))).alias("top"))
-        pairs = stored(best.select(F.col("doc").alias("a"), F.bitwise_not("top.minus").alias("b")), f"{at}/pairs")
+        best = near.groupBy("doc", "n").agg(F.max(F.struct("k", F.bitwise_not("b").alias("minus"), "m")).alias("top"))
+        pairs = stored(best.select(F.col("doc").alias("a"), F.bitwise_not("top.minus").alias("b"), "n", "top.m"), f"{at}/pairs")
         found = stored(linked(pairs, sets), f"{at}/links")
         n_pairs, n_found = pairs.count(), found.count()
         if not n_found:
             break
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         edges = found if edges is None else edges.unionByName(found)
         labels = components(edges, f"{at}/components")
         joined = posts.join(labels.withColumnRenamed("doc", "of"), posts["doc"] == F.col("of"), "left")
@@ -350,7 +358,7 @@ def ngram_components(docs: DataFrame, path: str | None = None, rounds: int = 10)
     pairs = larger.join(smaller, (F.col("h") == F.col("h2")) & (F.col("bin") == F.col("bin2")) & ordered & (F.col("label") != F.col("other")) & fitting(F.col("n"), F.col("m")) & room)
     pairs = stored(pairs.select(F.col("doc").alias("a"), "b").distinct(), f"{path}/proposed")
     pairs = pairs.join(firsts.select(F.col("doc").alias("a"), "n", F.col("first").alias("s")), "a").join(firsts.select(F.col("doc").alias("b"), F.col("n").alias("m"), F.col("first").alias("t")), "b")
-    pairs = pairs.filter(F.size(F.array_intersect("s", "t")) >= fewest(F.col("n"), F.col("m"))).select("a", "b")
+    pairs = pairs.filter(F.size(F.array_intersect("s", "t")) >= fewest(F.col("n"), F.col("m"))).select("a", "b", "n", "m")
     found = stored(linked(stored(pairs, f"{path}/pairs"), sets), f"{path}/links")
     if found.limit(1).count():
         labels = components(found if edges is None else edges.unionByName(found), f"{path}/last")
