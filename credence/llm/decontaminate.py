@@ -14,7 +14,9 @@ Letters of all alphabets are compared in lower case, so that shouted passages ar
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,18 @@ def shingle_set(text: str, k: int = 5) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or ({tuple(words)} if words else set())
 
 
+def shingles_in(text: str, wanted: set[tuple[str, ...]], k: int = 5) -> set[tuple[str, ...]]:
+    """Those of the wanted shingles that a lower-case text has. It is read word by word: what is held grows with what is wanted, not with the text."""
+    window, found = deque(maxlen=k), set()
+    for word in WORD.finditer(text):
+        window.append(word.group())
+        if len(window) == k and (shingle := tuple(window)) in wanted:
+            found.add(shingle)
+    if len(window) < k and tuple(window) in wanted:
+        found.add(tuple(window))
+    return found
+
+
 def _lowered(texts: pa.Array) -> pa.Array:
     return pc.utf8_lower(texts)
 
@@ -109,17 +123,17 @@ def _verified(threshold: float):
     share = round(threshold * 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, set] = (-1, set())
         for batch in batches:
             keep, shares = [], []
             lower, items = _lowered(batch.column(2)), _lowered(batch.column(3))
-            for i, row in enumerate(batch.column(0).to_pylist()):
-                if row != held[0]:
-                    held = (row, shingle_set(lower[i].as_py()))
-                own = shingle_set(items[i].as_py())
-                n = len(own & held[1])
-                if n * 1000 >= share * len(own):
-                    keep.append(i), shares.append(n / len(own))
+            rows = batch.column(0).to_pylist()
+            for _, places in groupby(range(len(rows)), rows.__getitem__):  # all items that one document meets need one reading of it
+                own = {i: shingle_set(items[i].as_py()) for i in places}
+                found = shingles_in(lower[min(own)].as_py(), set().union(*own.values()))
+                for i, wanted in own.items():
+                    n = len(wanted & found)
+                    if n * 1000 >= share * len(wanted):
+                        keep.append(i), shares.append(n / len(wanted))
             yield pa.record_batch([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64())), pa.array(shares, pa.float64())], ["row", "item_id", "share"])
 
     return run
@@ -130,8 +144,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
 
     An item is held when at least `threshold` of its distinct five-word shingles stand in the document. Every row of the benchmark
     is an item of its own, also where ids repeat; a null id is listed as -1. Items without words and null texts match nothing;
-    null and empty texts hold nothing. Every input row gives a row, whatever its doc_id. A very long text is one step and is
-    sketched whole. text_hash (xxhash64 of the text, null as empty) tells rows of one doc_id apart.
+    null and empty texts hold nothing. Every input row gives a row, whatever its doc_id. A very long text is one step, is
+    sketched whole and verified word by word. text_hash (xxhash64 of the text, null as empty) tells rows of one doc_id apart.
     """
     spark = docs.sparkSession
     path = path or new_dir(spark, "decontamination")

@@ -30,7 +30,8 @@ def by_id(df):
 
 @pytest.fixture(scope="session")
 def texts(documents, odd):
-    return documents.select("doc_id", "text", "lang", "source").unionByName(odd.select("doc_id", "text", "lang", "source"))
+    """All documents and the odd ones, with the odd ones' clashing columns."""
+    return documents.select("doc_id", "text", "lang", "source").unionByName(odd, allowMissingColumns=True)
 
 
 # 1
@@ -194,6 +195,13 @@ def test_decontamination(spark, texts, odd, nothing, monkeypatch):
     assert decontaminate.contaminated(odd, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_shingles_in_a_text():
+    text = "one two  three\tfour five one two three four five six"
+    wanted = decontaminate.shingle_set("two three four five six") | decontaminate.shingle_set("four five one two three") | {("one", "two"), ("six", "one", "two", "three", "four")}
+    assert decontaminate.shingles_in(text, wanted) == wanted & decontaminate.shingle_set(text) and len(wanted & decontaminate.shingle_set(text)) == 2
+    assert decontaminate.shingles_in(" one two\n", wanted) == {("one", "two")} and not decontaminate.shingles_in(" ", wanted | {("",)})
+
+
 def test_decontamination_keeps_rows(spark):
     item = "a b c d e f g h"
     rows = [(1, item), (1, "quite clean"), (2, item), (2, item), (None, item), (None, "clean too"), (None, "k l m n o p"), (3, None)]
