@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, mixing, ngram_join, perspectives, quality_rules, token_binary, token_counts, warc
+from . import alignment, decontaminate, language_id, license_scan, merkle, mixing, ngram_join, perspectives, quality_rules, token_binary, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.deduplicated(_table(spark, sf_dir, "pages")).drop("intact")
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"), merkle.tampered, digests=True)
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1,
     "op2_token_binary": op2,
@@ -77,4 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8,
     "op9_source_mixing": op9,
     "op10_warc_revisits": op10,
+    "op12_merkle_manifest": op12,
+    "op13_token_alignment": op13,
 }

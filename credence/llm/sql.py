@@ -152,4 +152,34 @@ FROM x LEFT JOIN f ON f.r = x.r
 """
 
 
-ORACLES: dict[str, str] = {"op3_quality_rules": QUALITY, "op4_decontamination": CONTAINMENT, "op5_perspectives": PERSPECTIVES, "op6_ngram_jaccard": JACCARD, "op8_license_scan": _license_sql(), "op9_source_mixing": MIXING, "op10_warc_revisits": WARC}
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0} END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || " + _FIELD.format("{0}") + ")"
+#: crc32 bit by bit: a character's code enters at the first of its eight steps.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+            lambda a, b: CASE WHEN xor(a, b) % 2 = 1 THEN xor(xor(a, b) >> 1, 3988292384) ELSE xor(a, b) >> 1 END), 4294967295)"""
+_SIDE = "coalesce(string_agg(h, '') OVER (PARTITION BY {0}, pos // 3 ORDER BY pos ROWS BETWEEN {1}), '')"
+_SIDES = lambda by: _SIDE.format(by, "UNBOUNDED PRECEDING AND 1 PRECEDING") + " AS l, " + _SIDE.format(by, "1 FOLLOWING AND UNBOUNDED FOLLOWING") + " AS r"
+
+MERKLE = f"""
+WITH RECURSIVE c AS (SELECT *, {_CRC32} AS crc FROM documents),
+d AS (SELECT doc_id, coalesce('s' || source, 'n') AS tree, {_LEAF.format("text")} AS leaf, CASE WHEN crc % 2 = 0 THEN {_LEAF.format("replace(text, chr(10), '')")} ELSE {_LEAF.format("text")} END AS copy FROM c),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d),
+nodes(tree, level, pos, n, h) AS (
+    SELECT tree, 0, pos, n, leaf FROM p UNION ALL
+    SELECT tree, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY tree, level, pos // 3, n),
+sub AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(level, pos, n, h) AS (
+    SELECT 0, pos, n, h FROM sub UNION ALL SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 3, n),
+low AS (SELECT tree, level, pos, {_SIDES("tree, level")} FROM nodes WHERE n > 1),
+high AS (SELECT level, pos, {_SIDES("level")} FROM tops WHERE n > 1),
+way AS (
+    SELECT p.tree, p.pos, level, l, r FROM p JOIN low ON low.tree = p.tree AND low.pos = p.pos // (3 ** level)::BIGINT UNION ALL
+    SELECT p.tree, p.pos, 1000 + level, l, r FROM p JOIN sub ON sub.tree = p.tree JOIN high ON high.pos = sub.pos // (3 ** level)::BIGINT),
+proof AS (SELECT tree, pos, sha256(string_agg(l || r, '' ORDER BY level)) AS proof_sha256, list(l || ',' || r ORDER BY level) AS steps FROM way GROUP BY tree, pos),
+f AS (SELECT p.doc_id, p.leaf, sub.h AS subroot, (SELECT h FROM tops WHERE n = 1) AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+             list_reduce(list_prepend(copy, coalesce(steps, [])), lambda a, s: sha256(split_part(s, ',', 1) || a || split_part(s, ',', 2))) AS folded_root
+      FROM p JOIN sub ON sub.tree = p.tree LEFT JOIN proof ON proof.tree = p.tree AND proof.pos = p.pos)
+SELECT *, folded_root = root AS verified FROM f
+"""
+
+ORACLES: dict[str, str] = {"op3_quality_rules": QUALITY, "op4_decontamination": CONTAINMENT, "op5_perspectives": PERSPECTIVES, "op6_ngram_jaccard": JACCARD, "op8_license_scan": _license_sql(), "op9_source_mixing": MIXING, "op10_warc_revisits": WARC, "op12_merkle_manifest": MERKLE}
