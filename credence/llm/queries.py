@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, language_id, license_scan, merkle, mixing, ngram_join, perspectives, quality_rules, token_binary, token_counts, warc
+from . import additive, alignment, decontaminate, language_id, license_scan, merkle, mixing, ngram_join, perspectives, quality_rules, token_binary, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.deduplicated(_table(spark, sf_dir, "pages")).drop("intact")
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"), merkle.tampered, digests=True)
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8,
     "op9_source_mixing": op9,
     "op10_warc_revisits": op10,
+    "op11_quality_classifier": op11,
     "op12_merkle_manifest": op12,
     "op13_token_alignment": op13,
 }
