@@ -4,6 +4,9 @@ Both tokenizers cut the same bytes. Every token points to its farthest-right ove
 tokens of a group to the last one, which ends where a token of the other side ends too. A step of some texts is one array, so a
 text's length doesn't matter: the number of doublings grows with the logarithm of the longest group.
 
+A text is encoded word by word where its tokenizers' files show that no token reaches over a single space between words, so that a word
+is encoded once for many texts; any other text is encoded whole. Pointers always run over the tokens of whole texts.
+
 Link counts are needed for each text, yet belong to the corpus. Texts are laid down in blocks of bounded bytes with a dictionary of
 the block's own pairs. Counts are summed over dictionaries, and each block gets the counts of its dictionary alone, so a pair
 that all texts hold makes a row a block, not a row a text.
@@ -14,11 +17,14 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +32,11 @@ from pyspark.sql import functions as F
 from .common import byte_steps, documents_of, new_dir, stored
 
 #: Bytes of text that are encoded at once, and of a block; a longer text makes one of its own.
-STEP, BLOCK = 500_000, 16_000_000
+STEP, BLOCK = 1_000_000, 16_000_000
+#: Bytes of words and their ids that are kept from one step to the next.
+KEPT = 48 << 20
+#: Texts that can't be parted at spaces: with a space at an end or beside white space, or with any white space but it and line ends.
+WHOLE = re.compile(r"^ | $| \n|\n |  |[^\S \n]")
 
 
 @cache
@@ -52,6 +62,13 @@ class ByteLevel:
         for piece, i in vocabulary.items():
             self.pieces[i] = bytes(alphabet[c] for c in piece) if all(c in alphabet for c in piece) else piece.encode()
 
+    @property
+    def by_words(self) -> bool:
+        """Whether the file has the usual splitter, which parts a text before each space between words, and changes nothing."""
+        made = json.loads(self.tokenizer.to_str())
+        split = made["pre_tokenizer"] or {}
+        return made["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", False) and not split["add_prefix_space"]
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
@@ -68,6 +85,11 @@ class Pieces:
             piece = self.model.id_to_piece(i)
             self.pieces[i] = bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode()
 
+    @property
+    def by_words(self) -> bool:
+        """Whether no piece goes on after a space that follows another character: no merge then reaches over it."""
+        return not any(b" " in p.lstrip(b" ") for p in self.pieces.tolist())
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
 
@@ -92,58 +114,133 @@ def terminals(end_a: np.ndarray, end_b: np.ndarray) -> np.ndarray:
         to = further
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes, and all numbers together."""
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    return size, np.fromiter(chain.from_iterable(lists), np.int64, int(size.sum()))
+
+
+def _unchanged(side: ByteLevel | Pieces, ids: np.ndarray, sizes: np.ndarray, texts: list[str]) -> np.ndarray:
+    """Which texts' tokens join up to a space and the text."""
+    want, got = [b" " + t.encode() for t in texts], side.pieces[ids].tolist()
+    upto = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+    length = np.concatenate([[0], np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))])[upto]
+    if np.array_equal(np.diff(length), np.fromiter(map(len, want), np.int64, len(want))) and b"".join(got) == b"".join(want):
+        return np.ones(len(texts), bool)
+    return np.array([b"".join(got[s:e]) == t for s, e, t in zip(upto[:-1], upto[1:], want, strict=True)], bool)
+
+
+class Words:
+    """Different words and their ids on both sides, kept up to some bytes; a word that either side changes isn't valid."""
+
+    def __init__(self, aligner: Aligner):
+        self.aligner = aligner
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.valid = pa.array([], pa.string()), np.zeros(0, bool)
+        self.sizes, self.pools = [np.zeros(0, np.int64)] * 2, [np.zeros(0, np.int64)] * 2
+
+    def rows(self, words: pa.Array) -> np.ndarray:
+        """The places of some different words, of which new ones are encoded first."""
+        if self.words.nbytes + 8 * sum(len(x) for x in (*self.sizes, *self.pools)) > KEPT:
+            self.clear()
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            more = words.take(pa.array(new))
+            texts = more.to_pylist()
+            at[new] = len(self.words) + np.arange(len(new))
+            self.words, ok = pa.concat_arrays([self.words, more]), np.ones(len(new), bool)
+            for k, side in enumerate(self.aligner.sides):
+                size, pool = _flat(side.encode(texts))
+                ok &= _unchanged(side, pool, size, texts)
+                self.sizes[k], self.pools[k] = np.concatenate([self.sizes[k], size]), np.concatenate([self.pools[k], pool])
+            self.valid = np.concatenate([self.valid, ok])
+        return at
+
+    def ids(self, side: int, at: np.ndarray) -> np.ndarray:
+        """The ids of words at some places, one after the other."""
+        size = self.sizes[side]
+        begin, size = (np.cumsum(size) - size)[at], size[at]
+        return self.pools[side][np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
 class Aligner:
     """Aligns the texts of a step and keeps their pairs of linked ids, a * (size of B's vocabulary) + b."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.a, self.b = tokenizer_of(path_a), tokenizer_of(path_b)
+        self.sides = self.a, self.b = tokenizer_of(path_a), tokenizer_of(path_b)
         self.size_b = len(self.b.pieces)
         if len(self.a.pieces) * self.size_b >= 1 << 42:
             raise ValueError("the vocabularies are too large for pairs of 42 bits")
-        self.lengths = [np.array([len(p) for p in t.pieces]) for t in (self.a, self.b)]
+        self.by_words, self.known = all(t.by_words for t in self.sides), Words(self)
+        self.lengths = [np.array([len(p) for p in t.pieces]) for t in self.sides]
         digits = lambda n, ends: np.array([b"%d%s" % (i, e) for e in ends for i in range(n)], object)
         self.shown = digits(len(self.a.pieces), (b",", b"|")), digits(self.size_b, (b",", b";", b""))
 
-    def valid(self, texts: list[str]) -> tuple[list[int], list[list[int]], list[list[int]]]:
-        """Texts whose tokens join up to a space and the text on both sides, and their ids."""
-        ids = self.a.encode(texts), self.b.encode(texts)
-        good = [i for i, t in enumerate(texts) if t]
-        for side, tokenizer in zip(ids, (self.a, self.b), strict=True):
-            good = [i for i in good if b"".join(tokenizer.pieces[side[i]].tolist()) == b" " + texts[i].encode()]
-        return good, [ids[0][i] for i in good], [ids[1][i] for i in good]
-
-    def step(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """(n_a, n_b, n_groups, n_links by text; digests of the groups; text, pair and times of each text's different pairs, in order)."""
-        good, list_a, list_b = self.valid(texts)
-        counts, digests = np.zeros((4, len(texts)), np.int64), [""] * len(texts)
+    def by_word(self, texts: pa.Array, good: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Of the texts at `good`, those all of whose words are valid: which, and sizes and ids on both sides."""
+        parts = pc.split_pattern(texts.take(pa.array(good)), " ")
+        coded = parts.flatten().dictionary_encode()
+        at = self.known.rows(coded.dictionary)[coded.indices.to_numpy()]
+        owner = np.repeat(np.arange(len(good)), np.diff(parts.offsets.to_numpy()))
+        bad = np.bincount(owner[~self.known.valid[at]], minlength=len(good)) > 0
+        at, owner = at[~bad[owner]], owner[~bad[owner]]
+        sizes = [np.bincount(owner, s[at], len(good)).astype(np.int64)[~bad] for s in self.known.sizes]
+        return good[~bad], sizes, [self.known.ids(k, at) for k in (0, 1)]
+
+    def whole(self, texts: pa.Array, good: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """The same of texts that are encoded whole, of those that neither side changes."""
+        own = texts.take(pa.array(good)).to_pylist()
+        flat = [_flat(side.encode(own)) for side in self.sides]
+        ok = np.ones(len(own), bool)
+        for side, (size, ids) in zip(self.sides, flat, strict=True):
+            ok &= _unchanged(side, ids, size, own)
+        return good[ok], [size[ok] for size, _ in flat], [ids[np.repeat(ok, size)] for size, ids in flat]
+
+    def step(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]]:
+        """For some rows at a time: which; n_a, n_b, n_groups, n_links of each; digests of the groups; and for each of their different
+        pairs the row's place among them, the pair, and how often it is linked."""
+        left = np.ones(len(texts), bool)
+        plain = np.array([bool(t) and not WHOLE.search(t) for t in texts.to_pylist()], bool) if self.by_words else ~left
+        for rows, encode in ((np.flatnonzero(plain), self.by_word), (None, self.whole)):
+            rows = np.flatnonzero(left & (pc.binary_length(texts).to_numpy() > 0)) if rows is None else rows
+            if len(rows):
+                rows, sizes, ids = encode(texts, rows)
+                left[rows] = False
+                if len(rows):
+                    yield rows, *self.joined(*sizes, *ids)
+        rest = np.flatnonzero(left)
         none = np.zeros(0, np.int64)
-        if not good:
-            return counts, digests, none, none, none
-        n_a, n_b = np.array([len(x) for x in list_a]), np.array([len(x) for x in list_b])
-        a, b = (np.fromiter((i for x in side for i in x), np.int64) for side in (list_a, list_b))
+        if len(rest):
+            yield rest, np.zeros((4, len(rest)), np.int64), [""] * len(rest), none, none, none
+
+    def joined(self, n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers, digests and pairs of texts from their sizes and ids."""
         end_a, end_b = np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b])
         ends = terminals(end_a, end_b)
-        lasts, group = np.unique(ends, return_inverse=True)
-        group_a, group_b = group[: len(a)], group[len(a) :]
-        doc_a, doc_b = np.repeat(np.arange(len(good)), n_a), np.repeat(np.arange(len(good)), n_b)
-        counts[:3, good] = n_a, n_b, np.bincount(doc_a[lasts], minlength=len(good))
+        last_of = ends[: len(a)] == np.arange(len(a))
+        lasts = np.flatnonzero(last_of)
+        group_a, group_b = np.cumsum(last_of) - last_of, np.searchsorted(lasts, ends[len(a) :])
+        doc_a = np.repeat(np.arange(len(n_a)), n_a)
         # links: every stretch between two ends lies in one token of each side
-        places = np.union1d(end_a, end_b)
+        places = np.sort(np.concatenate([end_a, end_b]), kind="stable")
+        places = places[np.append(places[1:] != places[:-1], True)]
         at_a, at_b = np.searchsorted(end_a, places), np.searchsorted(end_b, places)
-        counts[3, good] = np.bincount(doc_a[at_a], minlength=len(good))
+        counts = np.stack([n_a, n_b, np.bincount(doc_a[lasts], minlength=len(n_a)), np.bincount(doc_a[at_a], minlength=len(n_a))])
         key, times = np.unique((doc_a[at_a] << 42) + a[at_a] * self.size_b + b[at_b], return_counts=True)
         # groups in order, A's tokens before B's
         in_a, in_b = np.bincount(group_a, minlength=len(lasts)), np.bincount(group_b, minlength=len(lasts))
         shown = np.empty(len(a) + len(b), object)
-        last_a, last_b = np.append(group_a[1:] != group_a[:-1], True), np.append(group_b[1:] != group_b[:-1], True).astype(np.int64)
+        last_b = np.append(group_b[1:] != group_b[:-1], True).astype(np.int64)
         last_b[np.cumsum(n_b) - 1] = 2
-        shown[np.arange(len(a)) + (np.cumsum(in_b) - in_b)[group_a]] = self.shown[0][a + last_a * len(self.a.pieces)]
+        shown[np.arange(len(a)) + (np.cumsum(in_b) - in_b)[group_a]] = self.shown[0][a + last_of * len(self.a.pieces)]
         shown[np.arange(len(b)) + np.cumsum(in_a)[group_b]] = self.shown[1][b + last_b * self.size_b]
         upto = np.concatenate([[0], np.cumsum(n_a + n_b)])
-        for i, s, e in zip(good, upto[:-1], upto[1:], strict=True):
-            digests[i] = hashlib.sha256(b"".join(shown[s:e].tolist())).hexdigest()
-        return counts, digests, np.array(good)[key >> 42], key & ((1 << 42) - 1), times
+        digests = [hashlib.sha256(b"".join(shown[s:e].tolist())).hexdigest() for s, e in zip(upto[:-1], upto[1:], strict=True)]
+        return counts, digests, key >> 42, key & ((1 << 42) - 1), times
 
 
 class PairCounts:
@@ -190,12 +287,12 @@ def aligned_blocks(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, block_by
 
         for batch in batches:
             for i, j in byte_steps(batch.column(1), STEP):
-                texts = batch.column(1).slice(i, j - i)
-                counts, digests, row, pair, times = aligner.step(texts.to_pylist())
-                sizes = np.bincount(row, minlength=j - i)
-                seen.add(pair)
+                texts, keys = batch.column(1).slice(i, j - i), batch.column(0).slice(i, j - i)
                 held += texts.nbytes
-                yield pa.record_batch([pa.array(np.full(j - i, block)), pa.array(np.zeros(j - i, bool)), batch.column(0).slice(i, j - i), *map(pa.array, counts), pa.array(digests), _lists(pair, sizes), _lists(times, sizes)], schema=_ARROW)
+                for rows, counts, digests, row, pair, times in aligner.step(texts):
+                    sizes, n = np.bincount(row, minlength=len(rows)), len(rows)
+                    seen.add(pair)
+                    yield pa.record_batch([pa.array(np.full(n, block)), pa.array(np.zeros(n, bool)), keys.take(pa.array(rows)), *map(pa.array, counts), pa.array(digests), _lists(pair, sizes), _lists(times, sizes)], schema=_ARROW)
                 if held >= block_bytes:
                     yield dictionary()
                     seen, held, block = PairCounts(), 0, block + 1
@@ -253,9 +350,6 @@ def aligned(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, path: str | Non
 
 def groups_of(aligner: Aligner, text: str) -> list[tuple[list[int], list[int]]]:
     """The groups of one text, as ids of both sides."""
-    good, list_a, list_b = aligner.valid([text])
-    if not good:
-        return []
-    a, b = np.array(list_a[0]), np.array(list_b[0])
+    _, _, (a, b) = aligner.whole(pa.array([text], pa.string()), np.arange(1 if text else 0))
     end = terminals(np.cumsum(aligner.lengths[0][a]), np.cumsum(aligner.lengths[1][b]))
     return [(a[end[: len(a)] == t].tolist(), b[end[len(a) :] == t].tolist()) for t in np.unique(end)]

@@ -183,6 +183,27 @@ def test_pointer_jumping():
         assert np.array_equal(a[end], common[np.searchsorted(common, np.concatenate([a, b]))])
 
 
+def test_words_are_exact(both):
+    """By words or whole, texts have the same tokens."""
+    import random
+
+    import pyarrow as pa
+
+    aligner = alignment.Aligner(_tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+    assert aligner.by_words
+    rng = random.Random(5)
+    bits = ["a", "B", " ", " ", "\n", "!", " word", " Über", ".,", "#|", "'s", "1", "\t", " x", "\x1c", "é", "<|endoftext|>", "中", "▁", "<s>", "e\u0301", "\u200b", "\xa0"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    seen = 0
+    for rows, counts, _, _, _, _ in aligner.step(pa.array(texts, pa.string())):
+        for i, n_a, n_b in zip(rows, *counts[:2], strict=True):
+            sides = byte_pieces(both, texts[i])
+            assert (n_a, n_b) == ((len(sides[0]), len(sides[1])) if sides else (0, 0)), texts[i]
+            seen += 1
+    assert seen == len(texts)
+    assert alignment.groups_of(aligner, "") == [] and len(alignment.groups_of(aligner, "one two")) == 2
+
+
 def test_registered_whole(spark, documents, both):
     from conftest import DATA
 
