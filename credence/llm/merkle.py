@@ -158,7 +158,8 @@ def manifest(docs: DataFrame, checked_text: Callable[[Column, Column], Column] |
     changed = checked_text(key, text) if checked_text else text
     copy = F.when(~changed.eqNullSafe(text), leaf(changed))  # null where nothing changed
     tree = F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source))  # in the order of sources
-    leaves = placed(docs.select(tree.alias("tree"), key.alias("doc_id"), leaf(text).alias("leaf"), copy.alias("copy")), ["doc_id"], f"{path}/leaves")
+    hashed = stored(docs.select(tree.alias("tree"), key.alias("doc_id"), leaf(text).alias("leaf"), copy.alias("copy")), f"{path}/hashed")  # sorting reads its input twice
+    leaves = placed(hashed, ["doc_id"], f"{path}/leaves")
     blocks = stored(blocks_of(leaves, ["doc_id", "copy"], fanout, depth), f"{path}/blocks")
     upper = exchanged(blocks, fanout, depth, f"{path}/rounds")
     subroots = upper.filter("block = 0").select(F.lit("").alias("tree"), F.col("tree").alias("of"), F.unhex("root").alias("leaf"))
