@@ -64,3 +64,30 @@ def test_rows_that_share_a_doc_id(spark, documents):
     assert sorted((r["doc_id"], r["text"]) for r in clean) == sorted((k, t) for k, t in rows if t and item not in t)
     one = stages["ngram_jaccard"](spark, docs, DATA).collect()
     assert sorted((r["doc_id"], r["text"] or "") for r in one) == sorted([(1, min("12 34", good[0])), (2, min(good[1], good[1] + " " + item)), (3, good[2]), (4, "")])
+
+
+def test_extra_columns_of_any_name_and_type(spark, documents):
+    """Names that the stages use inside, names with dots and back-ticks, maps: a column is only carried along."""
+    from pyspark.sql import functions as F
+
+    good = documents.filter("n_chars between 400 and 3000").orderBy("doc_id").limit(12)
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").limit(1).select(F.lit(777).cast("long").alias("doc_id"), "text", F.lit("en").alias("lang"), F.lit("src0").alias("source"), F.lit(9).cast(documents.schema["n_chars"].dataType).alias("n_chars"))
+    docs = good.unionByName(item).unionByName(good.filter("doc_id < 3"))
+    want, plain = {}, docs
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        plain = stage(spark, plain, DATA)
+        plain = spark.createDataFrame(plain.collect(), documents.schema)
+        want[name] = sorted(r["doc_id"] for r in plain.collect())
+    assert 777 not in want["decontamination"] and len(want["ngram_jaccard"]) == len(set(want["ngram_jaccard"]))
+    names = ["d", "s", "x", "times", "_x", "_n", "k", "row", "key", "count", "h", "n", "col", "a.b", "text.x", "b`c", "component_id", "contaminated"]
+    more = docs.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)), F.create_map(F.lit("m"), F.col("doc_id")).alias("map"), F.array(F.create_map(F.lit(1), F.lit("v"))).alias("maps"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, more, DATA)
+        if name in want:
+            assert out.columns == more.columns
+            rows = out.collect()
+            assert sorted(r["doc_id"] for r in rows) == want[name], name
+            assert all(r["map"] == {"m": r["doc_id"]} and r["a.b"] == names.index("a.b") for r in rows)
+            more = spark.createDataFrame(rows, more.schema)
+        else:
+            assert out.count() >= len(want["mixing"])
