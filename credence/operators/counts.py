@@ -1,10 +1,12 @@
-"""Contingency tables and sufficient statistics. The data is passed over once; all families are counted from its joint table."""
+"""Contingency tables and sufficient statistics. The data is passed over once, whatever the number of variables: each row is dealt out to the cells of all families."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
+from math import prod
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,36 +25,101 @@ def count(df: DataFrame, name: str, parents: Sequence[str] = (), weight: str | N
 
 
 def families(dag: DAG) -> dict[str, list[str]]:
+    """Parents by node, parents first."""
     return {n: dag.parents(n) for n in dag.topological()}
 
 
+Family = tuple[str, tuple[str, ...]]
+#: Families that are counted in one pass over the data, and combinations of states up to which rows are first joined to distinct ones.
+BATCH, JOINT = 500, 1_000_000
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def counted(df: DataFrame, names: Sequence[str], sizes: Mapping[str, int]) -> DataFrame:
+    """Rows to count families from: names and their number `n`. Distinct rows where the variables have few combinations, else the rows as they are, which hardly repeat."""
+    few = prod(max(1, sizes[n]) for n in names) <= JOINT
+    rows = df.groupBy(*map(F.col, map(quoted, names))).agg(F.count("*").alias("n")) if few else df.select(*map(F.col, map(quoted, names)), F.lit(1).cast("long").alias("n"))
+    return rows.select(*(state(n, sizes[n]).cast("int").alias(n) for n in names), "n")
+
+
+def cell_number(target: str, parents: Sequence[str], sizes: Mapping[str, int]) -> str:
+    """SQL of a row's 0-based cell in a family's table: the target's state fastest, then the parents' in order."""
+    terms, step = [f"({quoted(target)} - 1)"], max(1, sizes[target])
+    for p in parents:
+        terms.append(f"({quoted(p)} - 1) * {step}L")
+        step *= max(1, sizes[p])
+    if step >= 1 << 62:
+        raise ValueError(f"the table of {target} given {list(parents)} has more cells than numbers")
+    return f"CAST({' + '.join(terms)} AS BIGINT)"
+
+
+def cells(rows: DataFrame, wanted: Sequence[Family], sizes: Mapping[str, int]) -> DataFrame:
+    """(family, cell, n) of observed cells; family: its place in `wanted`.
+
+    Each row becomes a row of two numbers for each family, which tasks add up before anything is shuffled: the data is read once for
+    every BATCH families, and no limit holds on the number of variables. A row with a null in a family isn't counted there.
+    """
+    parts = []
+    for i in range(0, len(wanted), BATCH):
+        numbers = ", ".join(cell_number(t, ps, sizes) for t, ps in wanted[i : i + BATCH])
+        each = rows.select("n", F.posexplode(F.expr(f"array({numbers})")).alias("at", "cell")).filter("cell IS NOT NULL")
+        parts.append(each.groupBy("at", "cell").agg(F.sum("n").cast("long").alias("n")).select((F.col("at") + i).alias("family"), "cell", "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+class Contingency:
+    """A table of counts on the driver, for variables with at most LOCAL combinations of states: a search asks it for one family after the other."""
+
+    #: About half a megabyte of numbers.
+    LOCAL = 1 << 16
+
+    def __init__(self, rows: DataFrame, names: Sequence[str], sizes: Mapping[str, int]):
+        self.names = list(names)
+        self.table = np.zeros([max(1, sizes[n]) for n in names])
+        for *at, n in rows.groupBy(*map(F.col, map(quoted, names))).agg(F.sum("n")).collect():
+            if None not in at:
+                self.table[tuple(x - 1 for x in at)] += n
+
+    @classmethod
+    def fits(cls, names: Sequence[str], sizes: Mapping[str, int]) -> bool:
+        return prod(max(1, sizes[n]) for n in names) <= cls.LOCAL
+
+    def counts(self, family: Family) -> np.ndarray:
+        """Rows of the target's states by configuration, the first parent fastest."""
+        own = [self.names.index(n) for n in (*reversed(family[1]), family[0])]
+        summed = self.table.sum(axis=tuple(i for i in range(len(self.names)) if i not in own))
+        kept = sorted(own)
+        return summed.transpose([kept.index(i) for i in own]).reshape(-1, self.table.shape[own[-1]])
+
+
 def count_families(joint: DataFrame, dag: DAG, sizes: Mapping[str, int] | None = None) -> DataFrame:
-    """Long form of all nodes' counts: (target, q, k, n), in one grouping-sets pass. q numbers the parents' states, the first fastest, k the target's state."""
-    sets = list({tuple(sorted({*ps, c})): None for c, ps in families(dag).items()})
-    names = dag.topological()
-    grouped = joint.groupingSets([[F.col(x) for x in s] for s in sets], *(F.col(x) for x in names)).agg(F.sum("n").alias("n"), F.grouping_id().alias("gid"))
+    """Long form of all nodes' counts: (target, q, k, n), in one pass over rows with their number `n`. q numbers the parents' states, the first fastest, k the target's state."""
+    names, wanted = dag.topological(), [(c, tuple(ps)) for c, ps in families(dag).items()]
     sizes = sizes or cardinalities(joint, names)
-    rows = []
-    for c, ps in families(dag).items():
-        gid = sum(1 << (len(names) - 1 - i) for i, x in enumerate(names) if x not in (*ps, c))
-        rows.append(F.struct(F.lit(c).alias("target"), config(ps, sizes).cast("int").alias("q"), state(c, sizes[c]).cast("int").alias("k"), F.lit(gid).cast("long").alias("own")))
-    long = grouped.select("n", F.col("gid").cast("long").alias("gid"), F.explode(F.array(*rows)).alias("x")).filter("gid = x.own")
-    return long.select("x.target", "x.q", "x.k", F.col("n").cast("long").alias("n"))
+    rows = joint.select(*(state(n, sizes[n]).cast("int").alias(n) for n in names), "n")
+    named = joint.sparkSession.createDataFrame([(i, c, max(1, sizes[c])) for i, (c, _) in enumerate(wanted)], "family int, target string, r long")  # a row a family
+    long = cells(rows, wanted, sizes).join(F.broadcast(named), "family")
+    whole = "int" if all(prod(max(1, sizes[p]) for p in ps) < 1 << 31 for _, ps in wanted) else "long"
+    return long.select("target", (F.expr("cell div r") + 1).cast(whole).alias("q"), (F.col("cell") % F.col("r") + 1).cast("int").alias("k"), "n")
 
 
 def cardinalities(df: DataFrame, names: Iterable[str]) -> dict[str, int]:
     """Largest state of each variable; all in one aggregation. States begin at 1."""
     names = list(names)
-    row = df.agg(*(F.max(n).alias(f"hi_{n}") for n in names), *(F.min(n).alias(f"lo_{n}") for n in names)).first()
-    if bad := [n for n in names if row[f"lo_{n}"] is not None and row[f"lo_{n}"] < 1]:
+    row = df.agg(*(f(quoted(n)).alias(f"x{i}") for i, n in enumerate(names) for f in (F.min, F.max))).first()
+    if bad := [n for i, n in enumerate(names) if row[2 * i] is not None and row[2 * i] < 1]:
         raise ValueError(f"states below 1 in {bad}")
-    return {n: row[f"hi_{n}"] or 0 for n in names}
+    return {n: row[2 * i + 1] or 0 for i, n in enumerate(names)}
 
 
 def state(name: str, size: int) -> Column:
     """The column, which must lie within 1..size: another state fails the query. Nulls pass."""
-    told = F.concat(F.lit(f"{name} has a state out of 1..{size}: "), F.col(name).cast("string"))
-    return F.when((F.col(name) < 1) | (F.col(name) > size), F.raise_error(told).cast("int")).otherwise(F.col(name))
+    x = F.col(quoted(name))
+    told = F.concat(F.lit(f"{name} has a state out of 1..{size}: "), x.cast("string"))
+    return F.when((x < 1) | (x > size), F.raise_error(told).cast("int")).otherwise(x)
 
 
 def config(parents: Sequence[str], sizes: Mapping[str, int]) -> Column:

@@ -12,15 +12,21 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from ..plans.graph import DAG
-from .counts import cardinalities, count_families, joint_counts
+from .counts import Contingency, cardinalities, count_families, counted
 from .cpd import CategoricalCPD, ConditionalLinearGaussianCPD, CPD, DiscreteCPD, LinearGaussianCPD, StaticCPD
 from .network import BayesNet
 from .scoring import DirichletPrior, NegativeBIC, ScoreCache, ScoringFunction, UniformPrior, bayesian_components, bic_components
 
 #: Gains below this are ties: the first candidate stays.
 TIE = 1e-9
-#: Up to so many variables all families are scored in one job, before a search begins: no step needs a job of its own.
-FEW = 6
+
+
+def _tables(rows: DataFrame, dag: DAG, sizes: Mapping[str, int], prior: DirichletPrior | None) -> BayesNet:
+    """Every node's table from rows with their number `n`, all in one job; cells without rows aren't sent."""
+    tables = {n: np.zeros((prod(sizes[p] for p in dag.parents(n)), sizes[n])) for n in dag.names}
+    for r in count_families(rows, dag, sizes).collect():
+        tables[r["target"]][r["q"] - 1, r["k"] - 1] = r["n"]
+    return BayesNet(DiscreteCPD.of_counts(n, tables[n], dag.parents(n), [sizes[p] for p in dag.parents(n)], prior) for n in dag.topological())
 
 
 def fit_network(df: DataFrame, dag: DAG, kinds: type[CPD] | Mapping[str, type[CPD]] = DiscreteCPD, prior: DirichletPrior | None = None, **options) -> BayesNet:
@@ -31,15 +37,8 @@ def fit_network(df: DataFrame, dag: DAG, kinds: type[CPD] | Mapping[str, type[CP
     discrete = [n for n in dag.names if kind(n) is DiscreteCPD]
     if len(discrete) < len(dag.names):
         return BayesNet(kind(n).fit(df, n, dag.parents(n), prior=prior, **options) for n in dag.topological())
-    joint = joint_counts(df, dag.names).persist()  # every family is counted from these
-    try:
-        sizes = dict(options.get("ncategories") or cardinalities(joint, dag.names))
-        tables = {n: np.zeros((prod(sizes[p] for p in dag.parents(n)), sizes[n])) for n in dag.names}
-        for r in count_families(joint, dag, sizes).collect():  # cells of the tables that have rows
-            tables[r["target"]][r["q"] - 1, r["k"] - 1] = r["n"]
-        return BayesNet(DiscreteCPD.of_counts(n, tables[n], dag.parents(n), [sizes[p] for p in dag.parents(n)], prior) for n in dag.topological())
-    finally:
-        joint.unpersist()
+    sizes = dict(options.get("ncategories") or cardinalities(df, dag.names))
+    return _tables(counted(df, dag.names, sizes), dag, sizes, prior)
 
 
 def fit_edges(df: DataFrame, edges: Sequence[tuple[str, str]] | tuple[str, str], kinds=DiscreteCPD, names: Sequence[str] | None = None, **options) -> BayesNet:
@@ -81,16 +80,17 @@ class K2GraphSearch(GraphSearch):
     def fit(self, df, **options):
         kind = (lambda n: self.kinds[n]) if isinstance(self.kinds, Mapping) else (lambda n: self.kinds)
         numbers = [n for n in self.order if kind(n) is DiscreteCPD]
-        joint = joint_counts(df, numbers).persist() if numbers else None
+        sizes = (options.get("ncategories") or cardinalities(df, numbers)) if numbers else {}
+        joint = counted(df, numbers, sizes).persist() if numbers else None
         try:
-            sizes = (options.get("ncategories") or cardinalities(joint, numbers)) if numbers else {}
-            rows = joint.groupBy().sum("n").first()[0] if numbers else df.count()
+            rows = df.count()
+            table = Contingency(joint, numbers, sizes) if numbers and Contingency.fits(numbers, sizes) else joint
             dag, fitted = DAG(self.order), {}
             for i, n in enumerate(self.order):
                 may = [p for p in self.order[:i] if kind(n) is not DiscreteCPD or p in numbers]
                 sets = [ps for k in range(min(self.max_parents, len(may)) + 1) for ps in combinations(may, k)]
                 if kind(n) is DiscreteCPD and type(self.scoring) is NegativeBIC:
-                    found = bic_components(joint, [(n, ps) for ps in sets], sizes, rows)
+                    found = bic_components(table, [(n, ps) for ps in sets], sizes, rows)
                     scores = [found[n, ps] for ps in sets]
                 else:
                     scores = []
@@ -117,6 +117,16 @@ class K2GraphSearch(GraphSearch):
         return kind.fit(df, n, list(ps))
 
 
+def reachable(names: Sequence[str], parents: Mapping[str, Sequence[str]]) -> dict[str, int]:
+    """For each node the set of nodes that it reaches, itself included, as a number with a bit for each place in names."""
+    bit = {n: 1 << i for i, n in enumerate(names)}
+    below = dict(bit)
+    for n in reversed(DAG(names, [(p, c) for c in names for p in parents[c]]).topological()):
+        for p in parents[n]:
+            below[p] |= below[n]
+    return below
+
+
 @dataclass
 class _Greedy(GraphSearch):
     """Shared: scores of families by Dirichlet priors, moves one edge at a time."""
@@ -130,15 +140,12 @@ class _Greedy(GraphSearch):
 
     def fit(self, df, ncategories: Mapping[str, int] | None = None, **options):
         names = list(self.names or df.columns)
-        joint = joint_counts(df, names).persist()
+        sizes = dict(ncategories or cardinalities(df, names))
+        joint = counted(df, names, sizes).persist()
         try:
-            sizes = dict(ncategories or cardinalities(joint, names))
-            cache = ScoreCache(lambda wanted: bayesian_components(joint, wanted, sizes, self.prior))
-            if len(names) <= FEW:
-                cache([(c, ps) for c in names for k in range(len(names)) for ps in combinations([x for x in names if x != c], k)])
-            parents = self.searched(names, cache)
-            dag = DAG(names, [(p, c) for c in names for p in parents[c]])
-            return BayesNet(DiscreteCPD.fit(joint, n, parents[n], sizes[n], [sizes[p] for p in parents[n]], self.prior, "n") for n in dag.topological())
+            table = Contingency(joint, names, sizes) if Contingency.fits(names, sizes) else joint
+            parents = self.searched(names, ScoreCache(lambda wanted: bayesian_components(table, wanted, sizes, self.prior)))
+            return _tables(joint, DAG(names, [(p, c) for c in names for p in parents[c]]), sizes, self.prior)
         finally:
             joint.unpersist()
 
@@ -147,21 +154,24 @@ class _Greedy(GraphSearch):
 
     def moves(self, names: list[str], parents: dict[str, list[str]]) -> list[dict[str, list[str]]]:
         """Changed parents of each legal move, by child and then parent, in the order of names."""
-        out = []
-        acyclic = lambda ps, p, c: DAG(names, [(a, b) for b in names for a in ps[b]]).stays_acyclic(p, c)
-        by = {n: i for i, n in enumerate(names)}
+        out, by, below = [], {n: i for i, n in enumerate(names)}, reachable(names, parents)
+        children: dict[str, list[str]] = {n: [] for n in names}
+        for c in names:
+            for p in parents[c]:
+                children[p].append(c)
         for c in names:
             for p in names:
                 if p == c:
                     continue
                 if p not in parents[c]:
-                    if len(parents[c]) < self.max_parents and acyclic(parents, p, c):
+                    if len(parents[c]) < self.max_parents and not below[c] >> by[p] & 1:
                         out.append({c: sorted([*parents[c], p], key=by.get)})
                     continue
                 less = [x for x in parents[c] if x != p]
                 out.append({c: less})
-                if self.flips and (not self.capped_flips or len(parents[p]) < self.max_parents) and acyclic({**parents, c: less}, c, p):
-                    out.append({c: less, p: sorted([*parents[p], c], key=by.get)})
+                if self.flips and (not self.capped_flips or len(parents[p]) < self.max_parents):
+                    if not any(below[x] >> by[c] & 1 for x in children[p] if x != c):  # no other way from p to c
+                        out.append({c: less, p: sorted([*parents[p], c], key=by.get)})
         return out
 
     def climb(self, names, parents, cache):
@@ -205,11 +215,10 @@ class ScanGreedyHillClimbing(_Greedy):
     def searched(self, names, cache):
         best = self.climb(names, {n: [] for n in names}, cache)
         for _ in range(self.max_depth):
-            top, found = self.total(best, cache), None
+            top, found, below = self.total(best, cache), None, reachable(names, best)
             for c in names:
-                for p in names:
-                    dag = DAG(names, [(a, b) for b in names for a in best[b]])
-                    if p == c or p in best[c] or len(best[c]) >= self.max_parents or not dag.stays_acyclic(p, c):
+                for i, p in enumerate(names):
+                    if p == c or p in best[c] or len(best[c]) >= self.max_parents or below[c] >> i & 1:
                         continue
                     tried = self.climb(names, {**best, c: sorted([*best[c], p], key=names.index)}, cache)
                     if (s := self.total(tried, cache)) > top + TIE:

@@ -1,4 +1,4 @@
-"""Scores of structures. Each is a sum over families, and a batch of families is scored in one pass over the joint counts."""
+"""Scores of structures. Each is a sum over families, and a batch of families is scored in one pass over the data."""
 
 from __future__ import annotations
 
@@ -7,12 +7,13 @@ from abc import ABC, abstractmethod
 from collections.abc import Mapping, Sequence
 from math import prod
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.math import lgamma
 from ..plans.graph import DAG
-from .counts import cardinalities, config, families, joint_counts, state
+from .counts import Contingency, Family, cardinalities, cells, counted, families
 from .cpd import CPD
 from .factor import BROADCAST_CELLS
 
@@ -97,50 +98,51 @@ class NegativeBIC(ScoringFunction):
         return 2 * row["l"] - cpd.nparams * math.log(row["n"])
 
 
-Family = tuple[str, tuple[str, ...]]
-
-
-def _batched(joint: DataFrame, wanted: Sequence[Family], params, term) -> dict[Family, float]:
+def _batched(joint: DataFrame, wanted: Sequence[Family], sizes: Mapping[str, int], params, term) -> dict[Family, float]:
     """For each family the sum of a term over its cells, less that over its configurations. params(family) gives a number for each of
     the two, which the term gets with the count. Observed cells alone are visited: absent ones add nothing. All in one job."""
     if not wanted:
         return {}
-    names = sorted({n for t, ps in wanted for n in (t, *ps)})
-    sets = sorted({frozenset({t, *ps}) for t, ps in wanted} | {frozenset(ps) for _, ps in wanted}, key=sorted)
-    gid = lambda s: sum(1 << (len(names) - 1 - i) for i, x in enumerate(names) if x not in s)
-    grouped = joint.groupingSets([[F.col(x) for x in sorted(s)] for s in sets], *(F.col(x) for x in names)).agg(F.sum("n").cast("double").alias("n"), F.grouping_id().cast("long").alias("gid"))
     rows = []
     for i, (t, ps) in enumerate(wanted):
         cell, conf = params((t, ps))
-        rows += [(gid({t, *ps}), i, float(cell), math.lgamma(cell) if cell else 0.0, 1.0), (gid(set(ps)), i, float(conf), math.lgamma(conf) if conf else 0.0, -1.0)]
-    roles = joint.sparkSession.createDataFrame(rows, "gid long, family int, x double, gx double, sign double")  # two rows a family
-    summed = grouped.join(F.broadcast(roles), "gid").groupBy("family").agg(F.sum(F.col("sign") * term).alias("s"))
+        rows.append((i, max(1, sizes[t]), float(cell), math.lgamma(cell) if cell else 0.0, float(conf), math.lgamma(conf) if conf else 0.0))
+    roles = joint.sparkSession.createDataFrame(rows, "family int, r long, x double, gx double, y double, gy double")  # a row a family
+    at = cells(joint, wanted, sizes).withColumn("n", F.col("n").cast("double")).join(F.broadcast(roles), "family")
+    by = at.groupBy("family", F.expr("cell div r").alias("q")).agg(F.sum(term(F.col("n"), F.col("x"), F.col("gx"))).alias("s"), F.sum("n").alias("n"), F.first("y").alias("y"), F.first("gy").alias("gy"))
+    summed = by.groupBy("family").agg(F.sum(F.col("s") - term(F.col("n"), F.col("y"), F.col("gy"))).alias("s"))
     found = {r["family"]: r["s"] for r in summed.collect()}
     return {f: found.get(i, 0.0) for i, f in enumerate(wanted)}
 
 
 def _by_cells(joint: DataFrame, wanted: Mapping[Family, Sequence[Sequence[float]]], sizes: Mapping[str, int]) -> dict[Family, float]:
     """The same for families with a pseudo-count of its own in each cell, all in one job. The counts meet a table of pseudo-counts."""
-    names = sorted({n for t, ps in wanted for n in (t, *ps)})
-    sets = sorted({frozenset({t, *ps}) for t, ps in wanted}, key=sorted)
-    gid = lambda s: sum(1 << (len(names) - 1 - i) for i, x in enumerate(names) if x not in s)
-    grouped = joint.groupingSets([[F.col(x) for x in sorted(s)] for s in sets], *(F.col(x) for x in names)).agg(F.sum("n").cast("double").alias("n"), F.grouping_id().cast("long").alias("gid"))
-    cells = [
-        F.struct(F.lit(i).alias("family"), config(ps, sizes).cast("int").alias("q"), state(t, sizes[t]).cast("int").alias("k"), F.lit(gid({t, *ps})).cast("long").alias("own"))
-        for i, (t, ps) in enumerate(wanted)
-    ]
-    at = grouped.select("n", "gid", F.explode(F.array(*cells)).alias("x")).filter("gid = x.own").select("x.family", "x.q", "x.k", "n")
-    rows = [(i, q + 1, k + 1, float(a), float(sum(row))) for i, table in enumerate(wanted.values()) for q, row in enumerate(table) for k, a in enumerate(row)]
-    alphas = joint.sparkSession.createDataFrame(rows, "family int, q int, k int, a double, total double")
-    met = at.join(F.broadcast(alphas) if len(rows) <= BROADCAST_CELLS else alphas, ["family", "q", "k"])
+    rows = [(i, q * len(row) + k, q, float(a), float(sum(row))) for i, table in enumerate(wanted.values()) for q, row in enumerate(table) for k, a in enumerate(row)]
+    alphas = joint.sparkSession.createDataFrame(rows, "family int, cell long, q int, a double, total double")
+    met = cells(joint, list(wanted), sizes).withColumn("n", F.col("n").cast("double")).join(F.broadcast(alphas) if len(rows) <= BROADCAST_CELLS else alphas, ["family", "cell"])
     by = met.groupBy("family", "q").agg(F.sum(lgamma(F.col("n") + F.col("a")) - lgamma(F.col("a"))).alias("s"), F.sum("n").alias("n"), F.first("total").alias("total"))
     found = by.groupBy("family").agg(F.sum(F.col("s") + lgamma(F.col("total")) - lgamma(F.col("n") + F.col("total"))).alias("s"))
     found = {r["family"]: r["s"] for r in found.collect()}
     return {f: found.get(i, 0.0) for i, f in enumerate(wanted)}
 
 
-def bayesian_components(joint: DataFrame, wanted: Sequence[Family], sizes: Mapping[str, int], prior: DirichletPrior) -> dict[Family, float]:
-    """Log marginal likelihoods of families, from counts `n`."""
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _marginal(n: np.ndarray, prior: DirichletPrior) -> float:
+    """Log marginal likelihood of one family's counts, states by configuration."""
+    q, r = n.shape
+    given = prior.cells(r, q)
+    a = np.array(given, float) if given is not None else np.full((q, r), prior.for_family(r, q))
+    seen = n.sum(1) > 0
+    n, a = n[seen], a[seen]
+    return float((_lgamma(n + a) - _lgamma(a)).sum() + (_lgamma(a.sum(1)) - _lgamma((n + a).sum(1))).sum()) if len(n) else 0.0
+
+
+def bayesian_components(joint: DataFrame | Contingency, wanted: Sequence[Family], sizes: Mapping[str, int], prior: DirichletPrior) -> dict[Family, float]:
+    """Log marginal likelihoods of families, from rows with their number `n` or from a table on the driver."""
+    if isinstance(joint, Contingency):
+        return {f: _marginal(joint.counts(f), prior) for f in wanted}
     uneven = {f: a for f in wanted if (a := prior.cells(sizes[f[0]], prod(sizes[p] for p in f[1]))) is not None}
     if uneven:
         even = [f for f in wanted if f not in uneven]
@@ -151,12 +153,16 @@ def bayesian_components(joint: DataFrame, wanted: Sequence[Family], sizes: Mappi
         a = prior.for_family(r, q)
         return a, r * a
 
-    return _batched(joint, wanted, alphas, lgamma(F.col("n") + F.col("x")) - F.col("gx"))
+    return _batched(joint, wanted, sizes, alphas, lambda n, x, gx: lgamma(n + x) - gx)
 
 
-def bic_components(joint: DataFrame, wanted: Sequence[Family], sizes: Mapping[str, int], rows: int) -> dict[Family, float]:
+def bic_components(joint: DataFrame | Contingency, wanted: Sequence[Family], sizes: Mapping[str, int], rows: int) -> dict[Family, float]:
     """Negative BIC of discrete families: counts alone decide. A category of each configuration counts as a parameter, the last one too."""
-    fit = _batched(joint, wanted, lambda f: (0.0, 0.0), F.col("n") * F.ln("n"))
+    if isinstance(joint, Contingency):
+        spread = lambda n: float((n[n > 0] * np.log(n[n > 0])).sum())
+        fit = {f: spread(n) - spread(n.sum(1)) for f in wanted for n in [joint.counts(f)]}
+    else:
+        fit = _batched(joint, wanted, sizes, lambda f: (0.0, 0.0), lambda n, x, gx: n * F.ln(n))
     return {f: 2 * s - math.log(rows) * sizes[f[0]] * prod(sizes[p] for p in f[1]) for f, s in fit.items()}
 
 
@@ -176,9 +182,9 @@ class ScoreCache:
 
 def bayesian_score(df: DataFrame, dag: DAG, prior: DirichletPrior | None = None, sizes: Mapping[str, int] | None = None) -> float:
     """Of a structure over the data's columns of those names."""
-    joint = joint_counts(df, dag.names).persist()
+    sizes = sizes or cardinalities(df, dag.names)
+    joint = counted(df, dag.names, sizes).persist()
     try:
-        sizes = sizes or cardinalities(joint, dag.names)
         return sum(bayesian_components(joint, [(c, tuple(ps)) for c, ps in families(dag).items()], sizes, prior or UniformPrior()).values())
     finally:
         joint.unpersist()

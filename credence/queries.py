@@ -24,7 +24,7 @@ from .search_sql import greedy_sql
 from .sources import files
 from .storage import new_path
 from .streaming.counts import running_counts
-from .views import SIZES, VIEWS, cpt_sql, line_dag, table, view, view_sql
+from .views import SIZES, VIEWS, WIDE, cpt_sql, line_dag, table, view, view_sql, wide_dag
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -504,6 +504,29 @@ def fit_network(spark, sf_dir):
     return rounded(reduce(DataFrame.union, (c.frame(spark) for c in bn.cpds.values())), "p")
 
 
+_WIDE_FAMILIES = {n: wide_dag().parents(n) for n in WIDE}
+_WIDE_COUNTS = "WITH w AS MATERIALIZED " + view_sql("wide") + ", c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS target, {SIZES[c]} AS r, {math.prod(SIZES[p] for p in ps)} AS configs, {q_sql(ps)} AS q, {c} AS k, count(*) AS n FROM w GROUP BY ALL" for c, ps in _WIDE_FAMILIES.items()) + ")"
+
+
+@query(f"{_WIDE_COUNTS} SELECT target, q, k, round((n + 1.0) / (sum(n) OVER (PARTITION BY target, q) + r), 6) AS p FROM c")
+def fit_wide_network(spark, sf_dir):
+    """84 variables fitted in one job; cells that have rows."""
+    df, dag = view(spark, sf_dir, "wide"), wide_dag()
+    bn = learn.fit_network(df, dag, prior=scoring.UniformPrior(1), ncategories=SIZES)
+    fitted = spark.createDataFrame([(n, q + 1, k + 1, float(p)) for n, c in bn.cpds.items() for q, row in enumerate(c.probs) for k, p in enumerate(row)], "target string, q int, k int, p double")
+    seen = counts.count_families(counts.counted(df, dag.names, SIZES), dag, SIZES).select("target", "q", "k")
+    return rounded(fitted.join(seen, ["target", "q", "k"]), "p")
+
+
+@query(f"""{_WIDE_COUNTS}, s AS (SELECT target, q, any_value(r) AS r, any_value(2.0 / (r * configs)) AS a, sum(lgamma(n + 2.0 / (r * configs)) - lgamma(2.0 / (r * configs))) AS s, sum(n) AS n FROM c GROUP BY target, q)
+ SELECT target AS name, round(sum(s + lgamma(r * a) - lgamma(n + r * a)), 2) AS value FROM s GROUP BY target""")
+def score_wide_network(spark, sf_dir):
+    """The same 84 families scored in one job."""
+    df, dag = view(spark, sf_dir, "wide"), wide_dag()
+    found = scoring.bayesian_components(counts.counted(df, dag.names, SIZES), [(c, tuple(ps)) for c, ps in counts.families(dag).items()], SIZES, scoring.BDeuPrior(2.0))
+    return rounded(spark.createDataFrame([(c, s) for (c, _), s in found.items()], "name string, value double"), "value", digits=2)
+
+
 def _found(spark, bn: BayesNet) -> DataFrame:
     rows = [(p, c) for p, c in bn.dag.edges()] or [("", "")]
     return spark.createDataFrame(rows, "parent string, child string").filter("parent <> ''")

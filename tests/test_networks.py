@@ -386,3 +386,59 @@ def test_chains_grow_with_rows(spark, monkeypatch):
     rows = sampling.GibbsSampler(burn_in=2, evidence={"b": 1}).sample(spark, bn, 73)
     assert rows.rdd.getNumPartitions() == 8 and rows.count() == 73
     assert {r["b"] for r in rows.collect()} == {1}
+
+
+# Wide tables
+
+
+def test_two_hundred_columns(spark):
+    """No limit on the number of variables: fitted, scored and searched."""
+    rng = np.random.default_rng(1)
+    x = rng.integers(1, 4, (400, 200))
+    x[:, 7] = x[:, 3]
+    names = [f"v.{i}" if i % 50 == 0 else f"v{i}" for i in range(200)]
+    df = spark.createDataFrame([tuple(map(int, r)) for r in x], ", ".join(f"`{n}` int" for n in names))
+    dag = DAG(names, [(names[i - 1], names[i]) for i in range(1, 200)] + [(names[3], names[7])])
+    bn = learn.fit_network(df, dag, prior=scoring.UniformPrior(1))
+    for i in (0, 1, 7, 199):
+        ps = [names.index(p) for p in dag.parents(names[i])]
+        for q, row in enumerate(bn[names[i]].probs):
+            at = np.all([x[:, p] == q // 3**j % 3 + 1 for j, p in enumerate(ps)], axis=0) if ps else np.ones(400, bool)
+            assert row == pytest.approx([(np.sum(at & (x[:, i] == k)) + 1) / (at.sum() + 3) for k in (1, 2, 3)])
+    rows = {n: [int(v) for v in x[:, i]] for i, n in enumerate(names)}
+    total = 0.0
+    for n in names:
+        table = {}
+        for i in range(400):
+            table.setdefault(tuple(rows[p][i] for p in dag.parents(n)), [0, 0, 0])[rows[n][i] - 1] += 1
+        total += sum(sum(math.lgamma(c + 1) for c in t) + math.lgamma(3) - math.lgamma(sum(t) + 3) for t in table.values())
+    assert scoring.bayesian_score(df, dag) == pytest.approx(total)
+
+
+def test_counts_on_the_driver_and_in_spark_agree(spark):
+    rng = np.random.default_rng(2)
+    names, sizes = list("abcd"), dict(zip("abcd", (2, 3, 2, 4), strict=True))
+    df = spark.createDataFrame([tuple(int(rng.integers(1, sizes[n] + 1)) for n in names) for _ in range(60)], ", ".join(f"{n} int" for n in names))
+    wanted = [(c, ps) for c in names for ps in [(), *((p,) for p in names if p != c), tuple(p for p in names if p != c)]]
+    rows = counts.counted(df, names, sizes)
+    table = counts.Contingency(rows, names, sizes)
+    uneven = scoring.CellPrior(lambda r, q: [[1 + i + k / 2 for k in range(r)] for i in range(q)])
+    for prior in (scoring.UniformPrior(1), scoring.BDeuPrior(3), uneven):
+        assert scoring.bayesian_components(table, wanted, sizes, prior) == pytest.approx(scoring.bayesian_components(rows, wanted, sizes, prior))
+    assert scoring.bic_components(table, wanted, sizes, 60) == pytest.approx(scoring.bic_components(rows, wanted, sizes, 60))
+
+
+def test_search_is_the_same_without_a_table_on_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    a = rng.integers(1, 3, 300)
+    b, d = np.where(rng.random(300) < 0.9, a, 3 - a), rng.integers(1, 3, 300)
+    df = frame(spark, a=a.tolist(), b=b.tolist(), c=np.where(b == d, 1, 2).tolist(), d=d.tolist())
+    kinds = [learn.GreedyHillClimbing(), learn.ScanGreedyHillClimbing(), learn.GreedyThickThinning(), learn.K2GraphSearch(list("abdc"))]
+    want = [sorted(learn.search(df, s).dag.edges()) for s in kinds]
+    monkeypatch.setattr(counts.Contingency, "LOCAL", 0)
+    assert [sorted(learn.search(df, s).dag.edges()) for s in kinds] == want and want[0]
+
+
+def test_reachable():
+    below = learn.reachable(list("abc"), {"a": [], "b": ["a"], "c": ["b"]})
+    assert below == {"a": 7, "b": 6, "c": 4}
