@@ -97,10 +97,15 @@ class Contingency:
 
 def count_families(joint: DataFrame, dag: DAG, sizes: Mapping[str, int] | None = None) -> DataFrame:
     """Long form of all nodes' counts: (target, q, k, n), in one pass over rows with their number `n`. q numbers the parents' states, the first fastest, k the target's state."""
-    names, wanted = dag.topological(), [(c, tuple(ps)) for c, ps in families(dag).items()]
+    names = dag.topological()
     sizes = sizes or cardinalities(joint, names)
-    rows = joint.select(*(state(n, sizes[n]).cast("int").alias(n) for n in names), "n")
-    named = joint.sparkSession.createDataFrame([(i, c, max(1, sizes[c])) for i, (c, _) in enumerate(wanted)], "family int, target string, r long")  # a row a family
+    return family_counts(joint.select(*(state(n, sizes[n]).cast("int").alias(n) for n in names), "n"), dag, sizes)
+
+
+def family_counts(rows: DataFrame, dag: DAG, sizes: Mapping[str, int]) -> DataFrame:
+    """The same from rows whose states were checked, as counted() gives them."""
+    wanted = [(c, tuple(ps)) for c, ps in families(dag).items()]
+    named = rows.sparkSession.createDataFrame([(i, c, max(1, sizes[c])) for i, (c, _) in enumerate(wanted)], "family int, target string, r long")  # a row a family
     long = cells(rows, wanted, sizes).join(F.broadcast(named), "family")
     whole = "int" if all(prod(max(1, sizes[p]) for p in ps) < 1 << 31 for _, ps in wanted) else "long"
     return long.select("target", (F.expr("cell div r") + 1).cast(whole).alias("q"), (F.col("cell") % F.col("r") + 1).cast("int").alias("k"), "n")

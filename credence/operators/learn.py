@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from ..plans.graph import DAG
-from .counts import Contingency, cardinalities, count_families, counted
+from .counts import Contingency, cardinalities, counted, family_counts
 from .cpd import CategoricalCPD, ConditionalLinearGaussianCPD, CPD, DiscreteCPD, LinearGaussianCPD, StaticCPD
 from .network import BayesNet
 from .scoring import DirichletPrior, NegativeBIC, ScoreCache, ScoringFunction, UniformPrior, bayesian_components, bic_components
@@ -24,7 +24,7 @@ TIE = 1e-9
 def _tables(rows: DataFrame, dag: DAG, sizes: Mapping[str, int], prior: DirichletPrior | None) -> BayesNet:
     """Every node's table from rows with their number `n`, all in one job; cells without rows aren't sent."""
     tables = {n: np.zeros((prod(sizes[p] for p in dag.parents(n)), sizes[n])) for n in dag.names}
-    for r in count_families(rows, dag, sizes).collect():
+    for r in family_counts(rows, dag, sizes).collect():
         tables[r["target"]][r["q"] - 1, r["k"] - 1] = r["n"]
     return BayesNet(DiscreteCPD.of_counts(n, tables[n], dag.parents(n), [sizes[p] for p in dag.parents(n)], prior) for n in dag.topological())
 

@@ -514,7 +514,7 @@ def fit_wide_network(spark, sf_dir):
     df, dag = view(spark, sf_dir, "wide"), wide_dag()
     bn = learn.fit_network(df, dag, prior=scoring.UniformPrior(1), ncategories=SIZES)
     fitted = spark.createDataFrame([(n, q + 1, k + 1, float(p)) for n, c in bn.cpds.items() for q, row in enumerate(c.probs) for k, p in enumerate(row)], "target string, q int, k int, p double")
-    seen = counts.count_families(counts.counted(df, dag.names, SIZES), dag, SIZES).select("target", "q", "k")
+    seen = counts.family_counts(counts.counted(df, dag.names, SIZES), dag, SIZES).select("target", "q", "k")
     return rounded(fitted.join(seen, ["target", "q", "k"]), "p")
 
 

@@ -34,7 +34,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
 }
 
 #: 84 variables of two to four states: multiples of a line's keys, cut into sevenths.
-WIDE = {f"w{i}": f"CAST(1 + floor({('l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber')[i % 4]} * {i // 4 + 1} / 7.0) % {2 + i % 3} AS INT)" for i in range(84)}
+WIDE = {f"w{i}": f"CAST(1 + floor({('l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber')[i % 4]} * {i // 4 + 1} / 7) % {2 + i % 3} AS INT)" for i in range(84)}
 VIEWS["wide"] = ("lineitem", WIDE)
 
 SIZES = {**{f"w{i}": 2 + i % 3 for i in range(84)}, "qb": 5, "pb": 2, "db": 2, "nb": 2, "ub": 2, "rf": 3, "ls": 2, "ln": 7, "vb": 2, "vc": 2, "role": 3, "tn": 5, "lt": 2}
