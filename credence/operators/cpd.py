@@ -38,6 +38,36 @@ class CPD(ABC):
     def nparams(self) -> int:
         raise NotImplementedError(f"{type(self).__name__} has no parameters to count")
 
+    # What Markov chains ask for: arrays by name, an entry for each chain
+
+    def by_distribution(self, state: Mapping[str, np.ndarray]) -> list[tuple[np.ndarray, Distribution]]:
+        """The different distributions that the parents' values give, and the entries of each: one call for each combination of values."""
+        n = len(next(iter(state.values())))
+        if not self.parents:
+            return [(np.arange(n), self({}))]
+        rows = pd.DataFrame({i: state[p] for i, p in enumerate(self.parents)})
+        groups = rows.groupby(list(rows.columns)).indices.items()
+        return [(own, self(dict(zip(self.parents, at if isinstance(at, tuple) else (at,), strict=True)))) for at, own in groups]
+
+    def values(self, state: Mapping[str, np.ndarray] | None = None) -> tuple | None:
+        """All values that the target may take, where they are finitely many; without a state, None also where parents decide.
+        A discrete target of unbounded support can't be enumerated: ValueError."""
+        return None if state is None else enumerated(self.name, [d for _, d in self.by_distribution(state)])
+
+    def log_array(self, state: Mapping[str, np.ndarray]) -> np.ndarray:
+        """Log density of the target's entries."""
+        x, out = state[self.name], np.empty(len(state[self.name]))
+        for own, dist in self.by_distribution(state):
+            out[own] = dist.log_array(x[own])
+        return out
+
+    def std_array(self, state: Mapping[str, np.ndarray]) -> np.ndarray:
+        """Deviation of the target given its parents."""
+        out = np.empty(len(state[self.name]))
+        for own, dist in self.by_distribution(state):
+            out[own] = dist.std
+        return out
+
     @classmethod
     def fit(cls, df: DataFrame, name: str, parents: Sequence[str] = (), **options) -> CPD:
         raise NotImplementedError(f"{cls.__name__} can't be fitted")
@@ -54,6 +84,15 @@ class CPD(ABC):
         return float(np.exp(self.logpdf(df)))
 
 
+def enumerated(name: str, dists: Sequence[Distribution]) -> tuple | None:
+    """The values of several distributions together; None if one is continuous."""
+    if not all(d.discrete for d in dists):
+        return None
+    if any(d.support is None for d in dists):
+        raise ValueError(f"{name} has infinitely many states")
+    return tuple(dict.fromkeys(v for d in dists for v in d.support))
+
+
 class StaticCPD(CPD):
     """One distribution whatever the parents are."""
 
@@ -64,6 +103,12 @@ class StaticCPD(CPD):
     def __call__(self, assignment=None, **more):
         return self.dist
 
+    def by_distribution(self, state):
+        return [(np.arange(len(next(iter(state.values())))), self.dist)]
+
+    def values(self, state=None):
+        return enumerated(self.name, [self.dist])
+
     def log_col(self):
         return self.dist.log_col(F.col(self.name))
 
@@ -100,6 +145,23 @@ class CategoricalCPD(CPD):
     def __call__(self, assignment=None, **more):
         return self.dists[self.row({**(assignment or {}), **more})]
 
+    def values(self, state=None):
+        return enumerated(self.name, self.dists)
+
+    def configs(self, state: Mapping[str, np.ndarray]) -> np.ndarray:
+        """0-based configurations of the parents' entries."""
+        q, step = np.zeros(len(next(iter(state.values()))), np.int64), 1
+        for p, n in zip(self.parents, self.parent_sizes, strict=True):
+            x = np.asarray(state[p]).astype(np.int64)
+            if len(x) and (x.min() < 1 or x.max() > n):
+                raise IndexError(f"{p} has a state out of 1..{n}")
+            q, step = q + (x - 1) * step, step * n
+        return q
+
+    def by_distribution(self, state):
+        q = self.configs(state)
+        return [(np.flatnonzero(q == k), self.dists[k]) for k in np.unique(q)]
+
     def config_col(self) -> Column:
         return config(self.parents, dict(zip(self.parents, self.parent_sizes, strict=True)))
 
@@ -159,6 +221,13 @@ class DiscreteCPD(CategoricalCPD):
             lines.append(f"P({self.name}{' | ' + ', '.join(states) if states else ''}) = {', '.join(f'{x:.6g}' for x in row)}")
         return "\n".join(lines)
 
+    def log_array(self, state):
+        with np.errstate(divide="ignore"):
+            logs = np.log(np.array(self.probs))
+        x = np.asarray(state[self.name]).astype(np.int64)
+        inside = (x >= 1) & (x <= self.ncategories)
+        return np.where(inside, logs[self.configs(state), np.where(inside, x, 1) - 1], NEG_INF)
+
     def sizes(self) -> dict[str, int]:
         return {self.name: self.ncategories, **dict(zip(self.parents, self.parent_sizes, strict=True))}
 
@@ -242,6 +311,16 @@ class LinearGaussianCPD(CPD):
         at = {**(assignment or {}), **more}
         return Normal(self.b + sum(w * at[p] for w, p in zip(self.a, self.parents, strict=True)), self.sigma)
 
+    def log_array(self, state):
+        mean = sum((w * state[p].astype(float) for w, p in zip(self.a, self.parents, strict=True)), float(self.b))
+        return Normal(0.0, self.sigma).log_array(state[self.name] - mean)
+
+    def std_array(self, state):
+        return np.full(len(state[self.name]), float(self.sigma))
+
+    def values(self, state=None):
+        return None
+
     def mean_col(self) -> Column:
         return sum((w * F.col(p) for w, p in zip(self.a, self.parents, strict=True)), F.lit(float(self.b)))
 
@@ -283,6 +362,24 @@ class ConditionalLinearGaussianCPD(CPD):
             q, step = q + (at[p] - 1) * step, step * n
         return self.models[q](at)
 
+    def _each(self, state, of) -> np.ndarray:
+        q, step, out = np.zeros(len(state[self.name]), np.int64), 1, np.empty(len(state[self.name]))
+        for p, n in zip(self.discrete, self.sizes, strict=True):
+            q, step = q + (state[p].astype(np.int64) - 1) * step, step * n
+        for k in np.unique(q):
+            own = q == k
+            out[own] = of(self.models[k], {n: state[n][own] for n in (self.name, *self.continuous)})
+        return out
+
+    def log_array(self, state):
+        return self._each(state, lambda m, s: m.log_array(s))
+
+    def std_array(self, state):
+        return self._each(state, lambda m, s: m.std_array(s))
+
+    def values(self, state=None):
+        return None
+
     def _choose(self, of) -> Column:
         q = config(self.discrete, dict(zip(self.discrete, self.sizes, strict=True)))
         out = F.lit(None).cast("double")
@@ -318,11 +415,11 @@ class ConditionalLinearGaussianCPD(CPD):
 
 class FunctionalCPD(CPD):
     """A family whose parameters a function makes. `columns` gets the parents' columns by name and gives the log density
-    of the target's column; `dist` gets an assignment and gives a distribution."""
+    of the target's column; `dist` gets an assignment and gives a distribution. returns: the SQL type of the target's draws."""
 
-    def __init__(self, name: str, parents: Sequence[str], dist: Callable[[Mapping[str, object]], Distribution], columns: Callable[[dict[str, Column], Column], Column] | None = None, sampler: Callable[[dict[str, Column], Column, str], Column] | None = None):
+    def __init__(self, name: str, parents: Sequence[str], dist: Callable[[Mapping[str, object]], Distribution], columns: Callable[[dict[str, Column], Column], Column] | None = None, sampler: Callable[[dict[str, Column], Column, str], Column] | None = None, returns: str = "double"):
         super().__init__(name, parents)
-        self.dist, self.columns, self.sampler = dist, columns, sampler
+        self.dist, self.columns, self.sampler, self.returns = dist, columns, sampler, returns
 
     def __call__(self, assignment=None, **more):
         return self.dist({**(assignment or {}), **more})
@@ -347,15 +444,26 @@ class FunctionalCPD(CPD):
         return log_density(F.struct(*(F.col(p) for p in parents), F.col(self.name).alias("_x")))
 
     def sample_col(self, key, tag):
-        if self.sampler is None:
-            raise NotImplementedError("give a sampler of columns")
-        return self.sampler(self._cols(), key, tag)
+        """By the sampler of columns, else by quantiles of the function's distributions at the row's uniform number."""
+        if self.sampler is not None:
+            return self.sampler(self._cols(), key, tag)
+        draw, parents = self, self.parents
+
+        def drawn(rows: pd.DataFrame) -> pd.Series:  # one call for each combination of parents in an Arrow batch
+            out = [None] * len(rows)
+            for own, dist in CPD.by_distribution(draw, {p: rows[f"p{i}"].to_numpy() for i, p in enumerate(parents)} | {"_u": rows["u"].to_numpy()}):
+                for i, v in zip(own.tolist(), dist.quantile(rows["u"].to_numpy()[own]).tolist(), strict=True):
+                    out[i] = v
+            return pd.Series(out)
+
+        sample = F.pandas_udf(drawn, self.returns)
+        return sample(F.struct(*(F.col(p).alias(f"p{i}") for i, p in enumerate(parents)), uniform(key, tag).alias("u")))
 
 
 class ParentFunctionalCPD(FunctionalCPD):
     """The same with functions that also get the parents' names."""
 
-    def __init__(self, name, parents, dist, columns=None, sampler=None):
+    def __init__(self, name, parents, dist, columns=None, sampler=None, returns="double"):
         names = tuple(parents)
         bound = lambda f: f and (lambda at, *rest: f(at, names, *rest))
-        super().__init__(name, parents, bound(dist), bound(columns), bound(sampler))
+        super().__init__(name, parents, bound(dist), bound(columns), bound(sampler), returns)

@@ -6,6 +6,7 @@ from abc import ABC, abstractmethod
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import repeat
 from math import prod
 
 import numpy as np
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from ..plans.elimination import elimination_order, relevant
 from .factor import BROADCAST_CELLS, Factor
 from .network import BayesNet
-from .sampling import _Chain, keys, weighted
+from .chains import Chains
+from .sampling import SIDE_BY_SIDE, keys, weighted
 from .table import POTENTIAL
 
 
@@ -105,20 +107,15 @@ class _GibbsInference(InferenceMethod):
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                for k in batch["id"]:
-                    rng = np.random.default_rng([me.seed, int(k)])
-                    chain = _Chain(bn, evidence, rng, 100_000, None)
-                    chain.state = {n: int(rng.integers(1, c.ncategories + 1)) for n, c in bn.cpds.items()} | dict(evidence)
-                    out, step = [], 0
-                    while step < me.nsamples:
-                        for n in rng.permutation(chain.free) if me.nodewise else [None]:
-                            chain.update(str(n)) if n is not None else chain.sweep()
-                            step += 1
-                            if step > me.burn_in and (step - me.burn_in) % me.thin == 0 and step <= me.nsamples:
-                                out.append([chain.state[q] for q in state.query])
-                    yield pd.DataFrame(out, columns=list(state.query)).astype("int32")
-
-        rows = spark.range(self.chains, numPartitions=self.chains).mapInPandas(run, ", ".join(f"`{q}` int" for q in state.query))
+                own = np.sort(batch["id"].to_numpy())
+                rng = np.random.default_rng([me.seed, *own[:1].tolist()])
+                begun = {n: np.full(len(own), evidence[n]) if n in evidence else rng.integers(1, c.ncategories + 1, len(own)) for n, c in bn.cpds.items()}
+                chains = Chains(bn, evidence, own, begun, me.seed)
+                for step, _ in zip(range(1, me.nsamples + 1), chains.steps(me.nodewise) if chains.free else repeat(None)):
+                    if step > me.burn_in and (step - me.burn_in) % me.thin == 0:
+                        yield pd.DataFrame({q: chains.state[q] for q in state.query}).astype("int32")
+
+        rows = spark.range(self.chains, numPartitions=-(-self.chains // SIDE_BY_SIDE)).mapInPandas(run, ", ".join(f"`{q}` int" for q in state.query))
         table = rows.groupBy(*state.query).agg(F.count("*").cast("double").alias(POTENTIAL))
         return Factor.of_table(table, {q: bn.sizes()[q] for q in state.query}).normalize()
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.math import uniform
-from .cpd import DiscreteCPD
+from ..storage import new_path
+from .chains import Chains
 from .network import BayesNet
 from .table import POTENTIAL, consistent
 
@@ -107,75 +108,19 @@ def weighted_pick(rows: DataFrame, picks: int = 1, seed: int = 0, buckets: int =
 
 # Gibbs
 
-#: Weighted draws that chains start from, rows that a chain gives unless chains are counted out, and rows it holds at once.
-START_DRAWS, CHAIN_ROWS, CHUNK_ROWS = 200, 50_000, 10_000
-
-
-def _blanket_factors(bn: BayesNet, name: str) -> list:
-    return [bn.cpds[name], *(bn.cpds[c] for c in bn.dag.children(name))]
-
-
-class _Chain:
-    """One chain's state and its updates, in plain Python and NumPy: chains are sequential, so Spark runs many of them side by side."""
-
-    def __init__(self, bn: BayesNet, evidence: Mapping[str, object], rng: np.random.Generator, cache: int, order: Sequence[str] | None):
-        self.bn, self.rng, self.room, self.order = bn, rng, cache, order
-        self.free = [n for n in bn.names if n not in evidence]
-        self.near = {n: sorted(bn.dag.markov_blanket(n)) for n in self.free}
-        self.finite = {n: isinstance(bn.cpds[n], DiscreteCPD) for n in bn.names}
-        self.known: dict = {}
-        self.state: dict = {}
-
-    def density(self, name: str) -> float:
-        return sum(c(self.state).logpdf(self.state[c.name]) for c in _blanket_factors(self.bn, name))
-
-    def update(self, name: str) -> None:
-        if self.finite[name]:
-            self.finite_update(name)
-        else:
-            self.metropolis(name)
-
-    def finite_update(self, name: str) -> None:
-        key = (name, *(self.state[m] for m in self.near[name])) if all(self.finite[m] for m in self.near[name]) else None
-        cumulated = self.known.get(key)
-        if cumulated is None:
-            logs = []
-            for k in range(1, self.bn.cpds[name].ncategories + 1):
-                self.state[name] = k
-                logs.append(self.density(name))
-            top = max(logs)
-            p = np.exp(np.array(logs) - top) if np.isfinite(top) else np.ones(len(logs))
-            cumulated = np.cumsum(p / p.sum())
-            if key is not None and len(self.known) < self.room:
-                self.known[key] = cumulated
-        self.state[name] = int(min(np.searchsorted(cumulated, self.rng.random(), side="left"), len(cumulated) - 1)) + 1
-
-    def metropolis(self, name: str, steps: int = 10) -> None:
-        """A random walk as wide as ten deviations of the node's own distribution; the target density holds its own CPD too."""
-        width = 10 * self.bn.cpds[name](self.state).sigma
-        now = self.density(name)
-        for _ in range(steps):
-            was = self.state[name]
-            self.state[name] = was + width * self.rng.normal()
-            new = self.density(name)
-            if np.log(self.rng.random()) < new - now:
-                now = new
-            else:
-                self.state[name] = was
-
-    def sweep(self) -> None:
-        order = self.order or self.rng.permutation(self.free)
-        for n in order:
-            if n in self.near:
-                self.update(str(n))
+#: Weighted draws for each chain's start, and rounds of eight times as many for chains that found none; rows that a chain gives unless
+#: chains are counted out, and chains whose states are one array.
+START_DRAWS, START_ROUNDS, CHAIN_ROWS, SIDE_BY_SIDE = 50, 4, 100, 1_000
 
 
 class GibbsSampler(Sampler):
     """Markov chains that run side by side, each with a burn-in of its own.
 
-    thinning sweeps are discarded before each kept one. Chains start from a likelihood-weighted draw, or from `initial`.
-    time_limit (ms) bounds each chain; with error_if_time_out an expired one fails, else it returns what it has.
-    Unless given, the number of chains grows with the rows asked for, four at least; a chain hands its rows on in chunks.
+    thinning sweeps are discarded before each kept one. Chains start from `initial`, or each from one of its own weighted draws.
+    Nodes of finite support are drawn from their conditional, whatever kind of distribution they have; continuous ones walk inside
+    their support; a discrete node of infinite support raises ValueError. Unless given, the number of chains grows with the rows asked
+    for, four at least. Up to SIDE_BY_SIDE chains are updated together in a task, which hands its rows on sweep by sweep.
+    time_limit (ms) bounds these; with error_if_time_out an expired one fails, else it returns what it has.
     """
 
     def __init__(self, burn_in: int = 100, thinning: int = 0, evidence: Mapping[str, object] | None = None, order: Sequence[str] | None = None, time_limit: int | None = None, error_if_time_out: bool = True, initial: Mapping[str, object] | None = None, max_cache_size: int = 100_000, chains: int | None = None):
@@ -203,44 +148,60 @@ class GibbsSampler(Sampler):
             if bn.pdf(self.initial) <= 0:
                 raise ValueError("the initial sample has no density")
 
-    def starts(self, spark: SparkSession, bn: BayesNet, seed: int) -> tuple[list[dict], np.ndarray]:
-        """States that chains may start from, and their probabilities: a fixed number of weighted draws, or the initial sample."""
+    def starts(self, spark: SparkSession, bn: BayesNet, chains: int, seed: int) -> DataFrame:
+        """(chain, names) that chains start from: the initial sample, or one of the chain's weighted draws by its weight.
+
+        A draw is picked by the largest log weight plus Gumbel noise, one mergeable maximum. Chains all of whose draws are
+        impossible try again with more of them; ValueError if the last round leaves some.
+        """
+        every = spark.range(chains).select(F.col("id").alias("chain"))
         if self.initial is not None:
-            return [dict(self.initial)], np.ones(1)
-        rows = LikelihoodWeightedSampler(self.evidence).draw(bn, keys(spark, START_DRAWS), seed).collect()
-        weights = np.array([r[POTENTIAL] if r[POTENTIAL] is not None else np.nan for r in rows])
-        if np.isnan(weights).any():
-            raise ValueError("no draw agrees with the evidence")
-        return [{n: r[n] for n in bn.names} for r in rows], weights / weights.sum()
+            return every.select("chain", *(F.lit(self.initial[n]).alias(n) for n in bn.names))
+        path, found, left, base, draws = new_path(spark, "starts"), None, every, 0, START_DRAWS
+        for r in range(START_ROUNDS):
+            tries = left.select(F.expr(f"explode(sequence(chain * {draws} + {base}, chain * {draws} + {base + draws - 1}))").alias("key"))
+            rows = weighted(bn, tries, self.evidence, seed).filter(F.col("log_weight") > float("-inf"))
+            noise = -F.ln(-F.ln(uniform(F.col("key"), f"{seed}|start")))
+            rows = rows.groupBy(F.expr(f"(key - {base}) div {draws}").alias("chain")).agg(F.max_by(F.struct(*bn.names), F.col("log_weight") + noise).alias("s"))
+            rows.select("chain", "s.*").write.parquet(f"{path}/{r}")
+            now = spark.read.parquet(f"{path}/{r}")
+            found = now if found is None else found.unionByName(now)
+            left = left.join(now.select("chain"), "chain", "left_anti")
+            if not left.limit(1).count():
+                return found
+            base, draws = base + chains * draws, 8 * draws
+        raise ValueError("no draw agrees with the evidence")
 
     def sample(self, spark, bn, n, seed=0):
         self.checked(bn, n)
-        states, odds = self.starts(spark, bn, seed)
-        chains = self.chains or max(4, -(-n // CHAIN_ROWS))
-        types = {c: "int" if isinstance(bn.cpds[c], DiscreteCPD) else "double" for c in bn.names}
-        me, kinds = self, {c: {"int": "int32", "double": "float64"}[t] for c, t in types.items()}
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for k in batch["id"]:
-                    began = time.time()
-                    rng = np.random.default_rng([seed, int(k)])
-                    chain = _Chain(bn, me.evidence, rng, me.cache, me.order)
-                    chain.state = {**states[rng.choice(len(states), p=odds)], **me.evidence}
-                    out = []
-                    for i in range(me.burn_in + n // chains + (k < n % chains)):
-                        if me.time_limit is not None and (time.time() - began) * 1000 > me.time_limit:
-                            if me.error_if_time_out:
-                                raise TimeoutError("a chain exceeded its time limit")
-                            break
-                        for _ in range(me.thinning if i >= me.burn_in else 0):
-                            chain.sweep()
-                        chain.sweep()
-                        if i >= me.burn_in:
-                            out.append([chain.state[c] for c in bn.names])
-                        if len(out) == CHUNK_ROWS:
-                            yield pd.DataFrame(out, columns=bn.names).astype(kinds)
-                            out = []
-                    yield pd.DataFrame(out, columns=bn.names).astype(kinds)
-
-        return spark.range(chains, numPartitions=chains).mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in types.items()))
+        for name in set(bn.names) - set(self.evidence):
+            bn.cpds[name].values()  # infinitely many states raise
+        chains = min(n, self.chains or max(4, -(-n // CHAIN_ROWS)))
+        starts = self.starts(spark, bn, chains, seed)
+        types = {c: {"boolean": "boolean", "string": "string", "double": "double", "float": "double"}.get(t, "int") for c, t in starts.dtypes if c != "chain"}
+        me, names = self, bn.names
+
+        def run(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            batch = batch.sort_values("chain")
+            own, began = batch["chain"].to_numpy(), time.time()
+            side = Chains(bn, me.evidence, own, {c: batch[c].to_numpy() for c in names}, seed, me.cache)
+            wanted = n // chains + (own < n % chains)
+            k = 0
+            for i in range(me.burn_in + int(wanted.max())):
+                if me.time_limit is not None and (time.time() - began) * 1000 > me.time_limit:
+                    if me.error_if_time_out:
+                        raise TimeoutError("a chain exceeded its time limit")
+                    return
+                for _ in range(1 + (me.thinning if i >= me.burn_in else 0)):
+                    side.sweep(k, me.order)
+                    k += 1
+                if i >= me.burn_in:
+                    yield pd.DataFrame({c: side.state[c][wanted > i - me.burn_in] for c in names})
+
+        schema = ", ".join(f"`{c}` {types[c]}" for c in names)
+
+        def whole(batch: pd.DataFrame) -> pd.DataFrame:
+            parts = list(run(batch))
+            return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in names})
+
+        return starts.groupBy(F.expr(f"chain div {SIDE_BY_SIDE}").alias("_side")).applyInPandas(whole, schema)

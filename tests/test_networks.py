@@ -442,3 +442,73 @@ def test_search_is_the_same_without_a_table_on_the_driver(spark, monkeypatch):
 def test_reachable():
     below = learn.reachable(list("abc"), {"a": [], "b": ["a"], "c": ["b"]})
     assert below == {"a": 7, "b": 6, "c": 4}
+
+
+# Gibbs over any kind of node
+
+
+def test_gibbs_by_support(spark):
+    """Finite nodes of any family, as in the definition's own examples."""
+    a, b = StaticCPD("a", Categorical([1.0, 0.0])), StaticCPD("b", Categorical([0.0, 1.0]))
+    bn = BayesNet([a, b, CategoricalCPD("c", ["a", "b"], [2, 2], [Bernoulli(0.1), Bernoulli(0.2), Bernoulli(1.0), Bernoulli(0.4)])])
+    assert {tuple(r) for r in sampling.GibbsSampler(burn_in=100, thinning=5).sample(spark, bn, 5).collect()} == {(1, 2, True)}
+    one_hot = [Categorical([float(k == q) for k in range(4)]) for q in range(4)]
+    bn = BayesNet([StaticCPD("a", Categorical([0.5, 0.5])), StaticCPD("b", Categorical([0.5, 0.5])), CategoricalCPD("c", ["a", "b"], [2, 2], one_hot)])
+    for c, want in ((1, (1, 1, 1)), (2, (2, 1, 2))):
+        got = sampling.GibbsSampler(burn_in=20, thinning=5, evidence={"c": c}).sample(spark, bn, 5).collect()
+        assert len(got) == 5 and {tuple(r) for r in got} == {want}
+
+
+def test_gibbs_marginals_of_labels_and_flags(spark):
+    """Shares of many chains' rows against exact ones: a label given its parent, and flags and labels given a flag."""
+    labels = CategoricalCPD("b", ["a"], [2], [NamedCategorical(["x", "y", "z"], [0.6, 0.3, 0.1]), NamedCategorical(["y", "z"], [0.5, 0.5])])
+    bn = BayesNet([StaticCPD("a", Categorical([0.3, 0.7])), labels, FunctionalCPD("f", ["b"], lambda at: Bernoulli({"x": 0.9, "y": 0.4, "z": 0.2}[at["b"]]), lambda c, x: F.when(x, F.when(c["b"] == "x", F.ln(F.lit(0.9))).when(c["b"] == "y", F.ln(F.lit(0.4))).otherwise(F.ln(F.lit(0.2)))).otherwise(F.lit(-99.0)), returns="boolean")])
+    rows = sampling.GibbsSampler(burn_in=10, evidence={"f": True}, chains=300).sample(spark, bn, 6000)
+    assert rows.dtypes == [("a", "int"), ("b", "string"), ("f", "boolean")]
+    joint = {(a, x): pa * bn["b"].dists[a - 1].pdf(x) * p for a, pa in ((1, 0.3), (2, 0.7)) for x, p in (("x", 0.9), ("y", 0.4), ("z", 0.2))}
+    total = sum(joint.values())
+    got = {(r["a"], r["b"]): r["count"] / 6000 for r in rows.groupBy("a", "b").count().collect()}
+    assert all(got.get(k, 0) == pytest.approx(v / total, abs=0.03) for k, v in joint.items()) and rows.filter("NOT f").count() == 0
+
+
+def test_gibbs_stays_inside_the_support(spark):
+    """Bounded and positive targets by their means; infinitely many states raise."""
+    from credence.operators.distributions import Exponential, Poisson, Uniform
+
+    bn = BayesNet([StaticCPD("u", Uniform(1.0, 3.0)), StaticCPD("e", Exponential(2.0)), LinearGaussianCPD("y", ["u"], [1.0], 0.0, 1.0)])
+    rows = sampling.GibbsSampler(burn_in=20, evidence={"y": 3.0}, chains=400).sample(spark, bn, 8000)
+    grid = np.linspace(1, 3, 20_001)
+    weight = np.exp(-0.5 * (3 - grid) ** 2)
+    r = rows.agg(F.min("u"), F.max("u"), F.avg("u"), F.min("e"), F.avg("e")).first()
+    assert r[0] >= 1 and r[1] <= 3 and r[3] >= 0
+    assert r[2] == pytest.approx(float((grid * weight).sum() / weight.sum()), abs=0.04) and r[4] == pytest.approx(2.0, abs=0.15)
+    with pytest.raises(Exception, match="infinitely many states"):
+        sampling.GibbsSampler(burn_in=1).sample(spark, BayesNet([StaticCPD("n", Poisson(3.0)), LinearGaussianCPD("y", ["n"], [1.0])]), 5, 0).collect()
+
+
+def test_gibbs_starts_under_rare_evidence(spark):
+    bn = BayesNet([DiscreteCPD("a", [0.999, 0.001]), DiscreteCPD("b", [[1.0, 0.0], [0.0, 1.0]], ["a"], [2])])
+    assert {tuple(r) for r in sampling.GibbsSampler(burn_in=1, evidence={"b": 2}).sample(spark, bn, 8).collect()} == {(2, 2)}
+    never = BayesNet([DiscreteCPD("a", [1.0, 0.0]), DiscreteCPD("b", [[1.0, 0.0], [0.0, 1.0]], ["a"], [2])])
+    with pytest.raises(ValueError, match="no draw agrees"):
+        sampling.GibbsSampler(burn_in=1, evidence={"b": 2}).sample(spark, never, 4)
+
+
+def test_draws_from_closures(spark):
+    """By quantiles at the row's uniform numbers: the same rows each time, and those of a column form."""
+    from credence.operators.distributions import Exponential, Poisson
+    from credence.functions.math import uniform
+
+    bn = BayesNet([DiscreteCPD("a", [0.5, 0.5]), FunctionalCPD("x", ["a"], lambda at: Exponential(float(at["a"]))), FunctionalCPD("n", ["a"], lambda at: Poisson(2.0 * at["a"]), returns="int")])
+    rows = sampling.drawn(bn, sampling.keys(spark, 4000), seed=5).withColumn("want", -F.col("a") * F.log1p(-uniform(F.col("key"), "5|x")))
+    assert rows.filter(F.abs(F.col("x") - F.col("want")) > 1e-9).count() == 0
+    assert sorted(map(tuple, rows.repartition(7).collect())) == sorted(map(tuple, rows.collect()))
+    assert {r["a"]: r["m"] for r in rows.groupBy("a").agg(F.avg("n").alias("m")).collect()} == pytest.approx({1: 2.0, 2: 4.0}, abs=0.2)
+
+
+@pytest.mark.parametrize("name, u, want", [("Uniform", 0.25, 2.0), ("Exponential", 0.5, math.log(2) * 1.0), ("Normal", 0.5, 1.0), ("Bernoulli", 0.9, True), ("Categorical", 0.7, 2)])
+def test_quantiles(name, u, want):
+    from credence.operators import distributions as D
+
+    dist = {"Uniform": D.Uniform(1.0, 5.0), "Exponential": D.Exponential(1.0), "Normal": Normal(1.0, 2.0), "Bernoulli": Bernoulli(0.4), "Categorical": Categorical([0.5, 0.3, 0.2])}[name]
+    assert dist.quantile(np.array([u]))[0] == pytest.approx(want) and dist.insupport(want) and dist.std > 0
