@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -50,3 +51,27 @@ def normal(key: Column, tag: str) -> Column:
 def pick(cumulative: Column, u: Column) -> Column:
     """1-based index of the first entry of an ascending array that reaches u; its last one if rounding leaves none."""
     return F.least(F.size(F.filter(cumulative, lambda c: c < u)) + 1, F.size(cumulative)).cast("int")
+
+
+def alias_table(probs: Sequence[float]) -> tuple[list[float], list[int]]:
+    """For each of n equal columns the share that its own state keeps, and the 1-based state that has the rest: a draw is two lookups, however many states."""
+    n = len(probs)
+    keep, other = [p * n for p in probs], list(range(1, n + 1))
+    small, large = [i for i, p in enumerate(keep) if p < 1], [i for i, p in enumerate(keep) if p >= 1]
+    while small and large:
+        low, high = small.pop(), large[-1]
+        other[low] = high + 1
+        keep[high] -= 1 - keep[low]
+        if keep[high] < 1:
+            small.append(large.pop())
+    for i in small + large:  # what rounding left
+        keep[i] = 1.0
+    return keep, other
+
+
+def alias_pick(keep: Sequence[float], other: Sequence[int], u: Column) -> Column:
+    """1-based state of a uniform number: its column, then the state that holds the number's place in it."""
+    v = u * len(keep)
+    i = F.least(F.floor(v), F.lit(len(keep) - 1)).cast("int")
+    arrays = F.expr(f"array({', '.join(f'{x!r}D' for x in keep)})"), F.expr(f"array({', '.join(map(str, other))})")
+    return F.when(v - i < F.get(arrays[0], i), i + 1).otherwise(F.get(arrays[1], i)).cast("int")

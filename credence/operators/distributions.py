@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -13,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.math import NEG_INF, lgamma, normal, normal_logpdf, pick, safe_ln, uniform
+from ..functions.math import NEG_INF, alias_pick, alias_table, lgamma, normal, normal_logpdf, safe_ln, uniform
 
 
 def count_params(x) -> int:
@@ -217,7 +216,7 @@ class Categorical(Distribution):
         return F.coalesce(F.get(F.array(*(F.lit(self.logpdf(k + 1)) for k in range(len(self.probs)))), x - 1), F.lit(NEG_INF))
 
     def sample_col(self, key, tag):
-        return pick(F.array(*map(F.lit, cumulative(self.probs))), uniform(key, tag))
+        return alias_pick(*alias_table(self.probs), uniform(key, tag))
 
     @classmethod
     def moments(cls, x):
@@ -267,14 +266,14 @@ class NamedCategorical(Distribution):
         return math.log(self.pdf(x)) if self.pdf(x) > 0 else NEG_INF
 
     def pdf_col(self, x: Column) -> Column:
-        return reduce(lambda rest, k: F.when(x == F.lit(self.items[k]), F.lit(self.probs[k])).otherwise(rest), range(len(self.items)), F.lit(0.0))
+        at = F.array_position(F.array(*map(F.lit, self.items)), x)  # 0 where it is none of them
+        return F.coalesce(F.get(F.expr(f"array({', '.join(f'{p!r}D' for p in (0.0, *self.probs))})"), at.cast("int")), F.lit(0.0))
 
     def log_col(self, x):
         return safe_ln(self.pdf_col(x))
 
     def sample_col(self, key, tag):
-        at = pick(F.array(*map(F.lit, cumulative(self.probs))), uniform(key, tag))
-        return F.element_at(F.array(*map(F.lit, self.items)), at)
+        return F.get(F.array(*map(F.lit, self.items)), alias_pick(*alias_table(self.probs), uniform(key, tag)) - 1)
 
     @classmethod
     def fit(cls, df, name):

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import grids
-from .functions.math import safe_ln
+from .functions.math import alias_table, safe_ln
 from .operators import counts, inference, learn, sampling, scoring
 from .operators import table as T
 from .operators.cpd import CategoricalCPD, ConditionalLinearGaussianCPD, DiscreteCPD, FunctionalCPD, LinearGaussianCPD, ParentFunctionalCPD, StaticCPD
-from .operators.distributions import Bernoulli, Categorical, NamedCategorical, Normal
+from .operators.distributions import Bernoulli, Categorical, Exponential, NamedCategorical, Normal
 from .operators.factor import Factor
 from .operators.generate import random_network
 from .operators.network import BayesNet
@@ -643,6 +643,28 @@ def gibbs_sample_mixed(spark, sf_dir):
     return sampling.GibbsSampler().sample(spark, bn, table(spark, sf_dir, "supplier").count())
 
 
+#: A thousand labels of uneven odds.
+LOADED = NamedCategorical([f"s{k}" for k in range(1000)], [1 + k * 7919 % 101 for k in range(1000)])
+_KEEP, _OTHER = alias_table(LOADED.probs)
+_PLACE = "(CAST('0x' || substr(md5(o_orderkey || '|0|s'), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296 * 1000"
+
+
+@query(f"""WITH t AS (SELECT {_KEEP} AS keep, {_OTHER} AS other), v AS (SELECT o_orderkey AS key, {_PLACE} AS v FROM orders),
+ i AS (SELECT key, v, CAST(least(floor(v), 999) AS INT) AS i FROM v)
+ SELECT key, 's' || (CASE WHEN v - i < keep[i + 1] THEN i ELSE other[i + 1] - 1 END) AS s FROM i, t""")
+def sample_alias(spark, sf_dir):
+    """A label for each order, in two lookups."""
+    return sampling.drawn(BayesNet([StaticCPD("s", LOADED)]), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))).select("key", "s")
+
+
+@query("SELECT o_orderkey AS key, CASE WHEN o_totalprice > 150000 THEN 2 ELSE 1 END AS big, -(CASE WHEN o_totalprice > 150000 THEN 2.0 ELSE 1.0 END) * ln(1 - (CAST('0x' || substr(md5(o_orderkey || '|0|wait'), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296) AS wait FROM orders")
+def sample_functional(spark, sf_dir):
+    """A waiting time for each order from a closure's distribution given the order's size, by quantiles in Arrow batches."""
+    at = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.when(F.col("o_totalprice") > 150000, 2).otherwise(1).alias("big"))
+    wait = FunctionalCPD("wait", ["big"], lambda at: Exponential(float(at["big"])))
+    return at.withColumn("wait", wait.sample_col(F.col("key").cast("string"), "0|wait"))
+
+
 # Inference
 
 def _posterior_sql(names: list[str], where: str) -> str:

@@ -512,3 +512,27 @@ def test_quantiles(name, u, want):
 
     dist = {"Uniform": D.Uniform(1.0, 5.0), "Exponential": D.Exponential(1.0), "Normal": Normal(1.0, 2.0), "Bernoulli": Bernoulli(0.4), "Categorical": Categorical([0.5, 0.3, 0.2])}[name]
     assert dist.quantile(np.array([u]))[0] == pytest.approx(want) and dist.insupport(want) and dist.std > 0
+
+
+def test_alias_tables():
+    from credence.functions.math import alias_table
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 1000):
+        p = rng.dirichlet(np.full(n, 0.3))
+        keep, other = alias_table(p.tolist())
+        share = np.zeros(n)
+        for i, (k, o) in enumerate(zip(keep, other, strict=True)):
+            share[i] += k / n
+            share[o - 1] += (1 - k) / n
+        assert share == pytest.approx(p, abs=1e-12) and all(0 <= k <= 1 for k in keep)
+
+
+def test_ten_thousand_labels(spark):
+    d = NamedCategorical([f"s{k}" for k in range(10_000)], [1.0 + k % 3 for k in range(10_000)])
+    rows = sampling.drawn(BayesNet([StaticCPD("s", d)]), sampling.keys(spark, 9000)).withColumn("p", d.pdf_col(F.col("s")))
+    kind = F.substring("s", 2, 9).cast("int") % 3
+    got = {r["k"]: (r["n"] / 9000, r["p"]) for r in rows.groupBy(kind.alias("k")).agg(F.count("*").alias("n"), F.max("p").alias("p")).collect()}
+    for k in range(3):
+        assert got[k][0] == pytest.approx((k + 1) / 6, abs=0.03) and got[k][1] == pytest.approx(d.pdf(f"s{k}"))
+    assert spark.range(1).select(d.pdf_col(F.lit("none")).alias("p")).first()["p"] == 0
