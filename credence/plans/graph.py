@@ -166,17 +166,21 @@ def descendant_pairs(edges: DataFrame) -> DataFrame:
 
 
 def depths(edges: DataFrame) -> DataFrame:
-    """(node, depth): the longest way from a root; ordered by depth, parents come before children. A cycle raises ValueError."""
+    """(node, depth): the longest way from a root; ordered by depth, parents come before children. A cycle raises ValueError.
+
+    Round by round the nodes without a parent are peeled off with their edges. A cycle shows in the first round that peels
+    nothing: after as many rounds as the part before it is deep, however many nodes there are.
+    """
     path = new_path(edges.sparkSession, "depths")
     e = _written(edges.select("parent", "child").distinct(), f"{path}/edges")
-    nodes = _written(e.select(F.col("parent").alias("node")).union(e.select("child")).distinct(), f"{path}/nodes")
-    step = e.select(F.col("parent").alias("node"), F.col("child").alias("next"))
-    level, most, k = nodes, nodes.count(), 0
-    out = nodes.withColumn("depth", F.lit(0))
-    while level.limit(1).count():
-        k += 1
-        if k > most:
+    left = _written(e.select(F.col("parent").alias("node")).union(e.select("child")).distinct(), f"{path}/nodes")
+    out, k = left.withColumn("depth", F.lit(0)).limit(0), 0
+    while left.limit(1).count():
+        ready = _written(left.join(e.select(F.col("child").alias("node")), "node", "left_anti"), f"{path}/{k}/ready")
+        if not ready.limit(1).count():
             raise ValueError("the edges have a cycle")
-        level = _written(level.join(step, "node").select(F.col("next").alias("node")).distinct(), f"{path}/{k}")
-        out = out.union(level.withColumn("depth", F.lit(k)))
-    return out.groupBy("node").agg(F.max("depth").alias("depth"))
+        out = out.union(ready.withColumn("depth", F.lit(k)))
+        e = _written(e.join(ready.select(F.col("node").alias("parent")), "parent", "left_anti"), f"{path}/{k}/edges")
+        left = _written(left.join(ready, "node", "left_anti"), f"{path}/{k}/nodes")
+        k += 1
+    return out

@@ -536,3 +536,15 @@ def test_ten_thousand_labels(spark):
     for k in range(3):
         assert got[k][0] == pytest.approx((k + 1) / 6, abs=0.03) and got[k][1] == pytest.approx(d.pdf(f"s{k}"))
     assert spark.range(1).select(d.pdf_col(F.lit("none")).alias("p")).first()["p"] == 0
+
+
+def test_a_cycle_shows_after_the_depth_before_it(spark):
+    """Three nodes lead into a ring, among a thousand apart from it: found in four rounds, not after as many as there are nodes."""
+    from credence.plans import graph
+
+    far = [(f"x{i}", f"y{i}") for i in range(1000)]
+    ring = [("a", "b"), ("b", "c"), ("c", "r0"), ("r0", "r1"), ("r1", "r0")]
+    with pytest.raises(ValueError, match="cycle"):
+        graph.depths(spark.createDataFrame(far + ring, "parent string, child string"))
+    got = {r["node"]: r["depth"] for r in graph.depths(spark.createDataFrame(far + ring[:-1] + [("a", "r0")], "parent string, child string")).collect()}
+    assert len(got) == 2005 and (got["c"], got["r0"], got["r1"], got["x7"], got["y7"]) == (2, 3, 4, 0, 1)
