@@ -204,4 +204,5 @@ class GibbsSampler(Sampler):
             parts = list(run(batch))
             return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in names})
 
-        return starts.groupBy(F.expr(f"chain div {SIDE_BY_SIDE}").alias("_side")).applyInPandas(whole, schema)
+        sides = starts.withColumn("_side", F.expr(f"chain div {SIDE_BY_SIDE}"))
+        return sides.repartition(-(-chains // SIDE_BY_SIDE), "_side").groupBy("_side").applyInPandas(whole, schema)  # small rows, long work: not to be coalesced

@@ -382,6 +382,7 @@ def test_priors_by_cell(spark):
 
 def test_chains_grow_with_rows(spark, monkeypatch):
     monkeypatch.setattr(sampling, "CHAIN_ROWS", 10)
+    monkeypatch.setattr(sampling, "SIDE_BY_SIDE", 1)  # a task for each chain
     bn = BayesNet([DiscreteCPD("a", [0.25, 0.75]), DiscreteCPD("b", [[0.9, 0.1], [0.2, 0.8]], ["a"], [2])])
     rows = sampling.GibbsSampler(burn_in=2, evidence={"b": 1}).sample(spark, bn, 73)
     assert rows.rdd.getNumPartitions() == 8 and rows.count() == 73
