@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from ..plans.graph import DAG
 from .counts import Contingency, cardinalities, counted, family_counts
 from .cpd import CategoricalCPD, ConditionalLinearGaussianCPD, CPD, DiscreteCPD, LinearGaussianCPD, StaticCPD
+from .moments import ENTRIES, moments, split
 from .network import BayesNet
 from .scoring import DirichletPrior, NegativeBIC, ScoreCache, ScoringFunction, UniformPrior, bayesian_components, bic_components
 
@@ -30,15 +31,40 @@ def _tables(rows: DataFrame, dag: DAG, sizes: Mapping[str, int], prior: Dirichle
 
 
 def fit_network(df: DataFrame, dag: DAG, kinds: type[CPD] | Mapping[str, type[CPD]] = DiscreteCPD, prior: DirichletPrior | None = None, **options) -> BayesNet:
-    """Fit every node of the DAG by name; kinds: one for all, or one by name."""
+    """Fit every node of the DAG by name; kinds: one for all, or one by name. Tables are counted in one job, linear Gaussians solved
+    from the moments of another; each other kind is fitted by itself. A row with a null among a node's variables isn't counted there."""
     if missing := set(dag.names) - set(df.columns):
         raise ValueError(f"the data lacks {sorted(missing)}")
     kind = (lambda n: kinds[n]) if isinstance(kinds, Mapping) else (lambda n: kinds)
     discrete = [n for n in dag.names if kind(n) is DiscreteCPD]
-    if len(discrete) < len(dag.names):
-        return BayesNet(kind(n).fit(df, n, dag.parents(n), prior=prior, **options) for n in dag.topological())
-    sizes = dict(options.get("ncategories") or cardinalities(df, dag.names))
-    return _tables(counted(df, dag.names, sizes), dag, sizes, prior)
+    if len(discrete) == len(dag.names):
+        sizes = dict(options.get("ncategories") or cardinalities(df, dag.names))
+        return _tables(counted(df, dag.names, sizes), dag, sizes, prior)
+    linear = [n for n in dag.names if kind(n) in GAUSSIAN]
+    found = _gaussians(df, {n: dag.parents(n) for n in linear}, kind, options.get("parent_sizes"), **{k: options[k] for k in ("min_stdev", "residual_sigma") if k in options})
+    tabled = [n for n in discrete if set(dag.parents(n)) <= set(discrete)]
+    if tabled:
+        part = DAG(tabled, [(p, c) for c in tabled for p in dag.parents(c)])
+        sizes = dict(options.get("ncategories") or cardinalities(df, part.names))
+        found |= _tables(counted(df, part.names, sizes), part, sizes, prior).cpds
+    return BayesNet(found.get(n) or kind(n).fit(df, n, dag.parents(n), prior=prior, **options) for n in dag.topological())
+
+
+#: Kinds that moments decide.
+GAUSSIAN = (LinearGaussianCPD, ConditionalLinearGaussianCPD)
+
+
+def _gaussians(df: DataFrame, parents: Mapping[str, Sequence[str]], kind, parent_sizes: Mapping[str, int] | None = None, **options) -> dict[str, CPD]:
+    """Linear Gaussians of several nodes in one job. A plain one takes its parents as numbers, whatever their type."""
+    if not parents:
+        return {}
+    parts = {n: ((), tuple(ps)) if kind(n) is LinearGaussianCPD else split(df, ps) for n, ps in parents.items()}
+    states = sorted({s for ss, _ in parts.values() for s in ss})
+    sizes = dict(parent_sizes or {})
+    sizes |= cardinalities(df, rest) if (rest := [s for s in states if s not in sizes]) else {}
+    numbers = sorted({x for n, (_, xs) in parts.items() for x in (n, *xs)})
+    found = moments(df, numbers, [(ss, (n, *xs)) for n, (ss, xs) in parts.items()], sizes)
+    return {n: m.cpd(n, xs, kind(n) is ConditionalLinearGaussianCPD, **options) for (n, (_, xs)), m in zip(parts.items(), found, strict=True)}
 
 
 def fit_edges(df: DataFrame, edges: Sequence[tuple[str, str]] | tuple[str, str], kinds=DiscreteCPD, names: Sequence[str] | None = None, **options) -> BayesNet:
@@ -64,7 +90,9 @@ def search(df: DataFrame, strategy: GraphSearch, **options) -> BayesNet:
 class K2GraphSearch(GraphSearch):
     """For each node of an order the best set of up to max_parents predecessors, small sets first; a larger one must score better.
 
-    Discrete nodes are scored from counts, all candidates of a node in one job; other kinds are fitted one by one.
+    Discrete nodes are scored from counts, all candidates of a node in one job; linear Gaussians from means and co-moments by
+    configuration of the discrete predecessors, all candidates of all nodes in one job, over rows without a null in any of the
+    order's variables. A set with an unseen configuration or collinear numbers can't win. Other kinds are fitted one by one.
     """
 
     order: Sequence[str]
@@ -85,29 +113,65 @@ class K2GraphSearch(GraphSearch):
         try:
             rows = df.count()
             table = Contingency(joint, numbers, sizes) if numbers and Contingency.fits(numbers, sizes) else joint
-            dag, fitted = DAG(self.order), {}
+            dag, fitted, sets = DAG(self.order), {}, {}
             for i, n in enumerate(self.order):
                 may = [p for p in self.order[:i] if kind(n) is not DiscreteCPD or p in numbers]
-                sets = [ps for k in range(min(self.max_parents, len(may)) + 1) for ps in combinations(may, k)]
+                sets[n] = [ps for k in range(min(self.max_parents, len(may)) + 1) for ps in combinations(may, k)]
+            linear = {n: sets[n] for n in self.order if kind(n) in GAUSSIAN and type(self.scoring) is NegativeBIC}
+            known, chosen = self._from_moments(df.dropna(subset=list(self.order)), linear, kind, sizes) if linear else ({}, None)
+            for n in self.order:
                 if kind(n) is DiscreteCPD and type(self.scoring) is NegativeBIC:
-                    found = bic_components(table, [(n, ps) for ps in sets], sizes, rows)
-                    scores = [found[n, ps] for ps in sets]
+                    found = bic_components(table, [(n, ps) for ps in sets[n]], sizes, rows)
+                    scores = [found[n, ps] for ps in sets[n]]
+                elif n in linear:
+                    scores = [known[n, ps] for ps in sets[n]]
                 else:
                     scores = []
-                    for ps in sets:
+                    for ps in sets[n]:
                         cpd = self._fit(kind(n), df, n, ps, sizes)
                         fitted[n, ps] = cpd
                         scores.append(self.scoring.component(cpd, df) if cpd else float("-inf"))
                 best = 0
                 for k, s in enumerate(scores):
                     best = k if s > scores[best] + TIE else best
-                for p in sets[best]:
+                for p in sets[n][best]:
                     dag.add_edge(p, n)
+            if linear:
+                fitted |= chosen({n: tuple(dag.parents(n)) for n in linear})
             return BayesNet(fitted.get((n, tuple(dag.parents(n)))) or self._fit(kind(n), df, n, dag.parents(n), sizes) for n in dag.topological())
         finally:
             if joint is not None:
                 joint.unpersist()
 
+    @staticmethod
+    def _from_moments(df, linear, kind, sizes):
+        """Scores of all candidates, and a function that fits those chosen. Where all discrete predecessors together have few
+        configurations, their moments are merged for each candidate; else each set of discrete parents has its own."""
+        parts = {ps: split(df, ps) for sets in linear.values() for ps in sets}
+        states = tuple(sorted({s for ss, _ in parts.values() for s in ss}))
+        numbers = sorted({x for n, sets in linear.items() for ps in sets for x in (n, *parts[ps][1])})
+        sizes = {s: sizes[s] for s in states if s in sizes}
+        sizes |= cardinalities(df, rest) if (rest := [s for s in states if s not in sizes]) else {}
+        if prod(sizes.values()) * (len(numbers) + 1) ** 2 <= ENTRIES:
+            (joint,) = moments(df, numbers, [(states, ())], sizes)
+            by = {ss: joint.over(ss) for ss in dict.fromkeys(ss for ss, _ in parts.values())}
+            groups = lambda wanted: ((ss, by[ss]) for ss in wanted)
+        else:
+            groups = lambda wanted: zip(wanted, moments(df, numbers, [(ss, ()) for ss in wanted], sizes), strict=True)
+
+        scores = {}
+        for ss, m in groups(list(dict.fromkeys(ss for ss, _ in parts.values()))):
+            scores |= {(n, ps): m.bic(n, parts[ps][1]) for n, sets in linear.items() for ps in sets if parts[ps][0] == ss}
+
+        def chosen(parents):
+            out = {}
+            for ss, m in groups(list(dict.fromkeys(parts[ps][0] for ps in parents.values()))):
+                mine = {n: ps for n, ps in parents.items() if parts[ps][0] == ss}
+                out |= {(n, ps): m.cpd(n, parts[ps][1], bool(ss) or kind(n) is ConditionalLinearGaussianCPD) for n, ps in mine.items()}
+            return out
+
+        return scores, chosen
+
     @staticmethod
     def _fit(kind, df, n, ps, sizes):
         if kind is DiscreteCPD:

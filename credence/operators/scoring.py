@@ -89,13 +89,21 @@ class ScoringFunction(ABC):
     @abstractmethod
     def component(self, cpd: CPD, df: DataFrame) -> float: ...
 
+    def components(self, cpds: Sequence[CPD], df: DataFrame) -> list[float]:
+        """Of several distributions; one by one unless a score knows better."""
+        return [self.component(c, df) for c in cpds]
+
 
 class NegativeBIC(ScoringFunction):
     """Twice the log likelihood less ln(rows) for each parameter."""
 
     def component(self, cpd, df):
-        row = df.agg(F.sum(cpd.log_col()).alias("l"), F.count("*").alias("n")).first()
-        return 2 * row["l"] - cpd.nparams * math.log(row["n"])
+        return self.components([cpd], df)[0]
+
+    def components(self, cpds, df):
+        """All in one pass over the data."""
+        *logs, n = df.agg(*(F.sum(c.log_col()).alias(f"l{i}") for i, c in enumerate(cpds)), F.count("*").alias("n")).first()
+        return [2 * s - c.nparams * math.log(n) for c, s in zip(cpds, logs, strict=True)]
 
 
 def _batched(joint: DataFrame, wanted: Sequence[Family], sizes: Mapping[str, int], params, term) -> dict[Family, float]:
@@ -191,4 +199,4 @@ def bayesian_score(df: DataFrame, dag: DAG, prior: DirichletPrior | None = None,
 
 
 def score_components(scoring: ScoringFunction, cpds: Sequence[CPD], df: DataFrame) -> list[float]:
-    return [scoring.component(c, df) for c in cpds]
+    return scoring.components(cpds, df)

@@ -184,3 +184,48 @@ def depths(edges: DataFrame) -> DataFrame:
         left = _written(left.join(ready, "node", "left_anti"), f"{path}/{k}/nodes")
         k += 1
     return out
+
+
+def connected(edges: DataFrame, starts: DataFrame, given: DataFrame) -> DataFrame:
+    """(question, node): all nodes that an active trail joins to one of a question's starts, its evidence left out.
+
+    starts, given: (question, node); the starts themselves are in the answer unless they are evidence. The frontier holds (question,
+    node, way in which the trail came): only new ones go a step on, until none is, and each round is written. Evidence and its
+    ancestors, which open colliders, are marked first. Many questions go at once; a state is met once, however many trails lead to it.
+    """
+    path = new_path(edges.sparkSession, "connected")
+    e = edges.select("parent", "child").filter("parent IS NOT NULL AND child IS NOT NULL").distinct()
+    moves = e.select(F.col("child").alias("node"), F.col("parent").alias("next"), F.lit(True).alias("up"))
+    moves = _written(moves.union(e.select("parent", "child", F.lit(False))), f"{path}/moves")
+    held = _written(given.select("question", "node").filter("node IS NOT NULL").distinct(), f"{path}/given")
+
+    level, opened, k = held, held, 0
+    while level.limit(1).count():
+        k += 1
+        above = level.join(moves.filter("up"), "node").select("question", F.col("next").alias("node")).distinct()
+        level = _written(above.join(opened, ["question", "node"], "left_anti"), f"{path}/opened/{k}")
+        opened = opened.union(level)
+    marks = opened.join(held.withColumn("held", F.lit(True)), ["question", "node"], "left").select("question", "node", F.coalesce("held", F.lit(False)).alias("held"))
+    marks = _written(marks, f"{path}/marks")
+
+    def marked(states):
+        return states.join(marks, ["question", "node"], "left")
+
+    first = starts.select("question", "node").filter("node IS NOT NULL").distinct().withColumn("up", F.lit(True))
+    level, k = _written(marked(first).filter("NOT coalesce(held, FALSE)"), f"{path}/0"), 0
+    found = level
+    while level.limit(1).count():
+        k += 1
+        free, collider = "NOT coalesce(s.held, FALSE)", "s.held IS NOT NULL"
+        step = level.alias("s").join(moves.alias("m"), "node").filter(f"CASE WHEN m.up AND NOT s.up THEN {collider} ELSE {free} END")
+        new = step.select("question", F.col("m.next").alias("node"), F.col("m.up").alias("up")).distinct()
+        level = _written(marked(new.join(found, ["question", "node", "up"], "left_anti")), f"{path}/{k}")
+        found = found.union(level)
+    return found.filter("NOT coalesce(held, FALSE)").select("question", "node").distinct()
+
+
+def separated(edges: DataFrame, xs: DataFrame, ys: DataFrame, given: DataFrame) -> DataFrame:
+    """(question, separated): d-separation of two sets in each question; all frames but edges are (question, node). As DAG.separated."""
+    asked = xs.select("question").union(ys.select("question")).distinct()
+    met = connected(edges, xs, given).join(ys.select("question", "node").distinct(), ["question", "node"], "left_semi").select("question").distinct()
+    return asked.join(met.withColumn("met", F.lit(True)), "question", "left").select("question", F.col("met").isNull().alias("separated"))

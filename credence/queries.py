@@ -392,6 +392,28 @@ def graph_topological_depth(spark, sf_dir):
     return graph.depths(edges(spark, sf_dir))
 
 
+_MOVES = f"e AS MATERIALIZED (SELECT * FROM {EDGES}), moves AS MATERIALIZED (SELECT child AS node, parent AS next, TRUE AS up FROM e UNION ALL SELECT parent, child, FALSE FROM e)"
+
+
+@query(f"""WITH RECURSIVE {_MOVES}, starts AS (SELECT 'r' || r_regionkey AS node FROM region),
+ held AS MATERIALIZED (SELECT s.node AS question, g.node FROM starts s, (SELECT 'o' || o_orderkey AS node FROM orders WHERE o_orderstatus = 'P' UNION SELECT 'c' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') g),
+ open AS (SELECT question, node FROM held UNION SELECT o.question, m.next FROM open o JOIN moves m ON m.node = o.node AND m.up),
+ marks AS MATERIALIZED (SELECT o.question, o.node, h.node IS NOT NULL AS held FROM open o LEFT JOIN held h ON h.question = o.question AND h.node = o.node),
+ walk AS (SELECT node AS question, node, TRUE AS up FROM starts UNION
+  SELECT w.question, m.next, m.up FROM walk w JOIN moves m ON m.node = w.node LEFT JOIN marks k ON k.question = w.question AND k.node = w.node
+  WHERE CASE WHEN m.up AND NOT w.up THEN k.held IS NOT NULL ELSE NOT coalesce(k.held, FALSE) END),
+ met AS (SELECT DISTINCT w.question, w.node FROM walk w LEFT JOIN held h ON h.question = w.question AND h.node = w.node WHERE h.node IS NULL)
+ SELECT question, substring(node, 1, 1) AS kind, count(*) AS n FROM met GROUP BY ALL""")
+def graph_connected(spark, sf_dir):
+    """For each region how many nodes of each kind a trail joins to it, given all orders underway and the customers of one segment."""
+    regions = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"))
+    orders = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
+    customers = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
+    starts = regions.select(F.col("node").alias("question"), "node")
+    given = starts.select("question").join(orders.union(customers))  # evidence of each question
+    return graph.connected(edges(spark, sf_dir), starts, given).groupBy("question", F.substring("node", 1, 1).alias("kind")).agg(F.count("*").alias("n"))
+
+
 def separated_sql(x: str, y: str, *given: str) -> str:
     """Whether no way joins x and y in the moral graph of their ancestors and those of `given`, without `given`: from the edges alone."""
     listed = ", ".join(f"('{a}', '{b}')" for a, b in line_dag().edges())
@@ -554,10 +576,57 @@ def k2_search(spark, sf_dir):
     return _found(spark, learn.search(view(spark, sf_dir, "line"), learn.K2GraphSearch(K2_ORDER), ncategories=SIZES))
 
 
-@query()
+MONEY = {"rf": DiscreteCPD, "qty": LinearGaussianCPD, "price": LinearGaussianCPD, "revenue": LinearGaussianCPD}
+
+
+def _moments_sql(y: str, xs: list[str], by: list[str]) -> str:
+    """Of a linear Gaussian with up to two predictors: rows n, slopes b1, b2, intercept b0, deviation sd and squared residuals, by configuration."""
+    over = " GROUP BY ALL" if by else ""
+    keys = "".join(f"{k}, " for k in by)
+    names = [y, *xs]
+    co = ", ".join(f"covar_pop({a}, {b}) * count(*) AS c{i}{j}" for i, a in enumerate(names) for j, b in enumerate(names) if i <= j)
+    mean = ", ".join(f"avg({a}) AS m{i}" for i, a in enumerate(names))
+    slopes = ["0.0", "0.0"]
+    if len(xs) == 1:
+        slopes[0] = "c01 / c11"
+    if len(xs) == 2:
+        slopes = [f"({a} * {d} - {b} * c12) / (c11 * c22 - c12 * c12)" for a, b, d in (("c01", "c02", "c22"), ("c02", "c01", "c11"))]
+    left = "c00" + "".join(f" - b{i + 1} * c0{i + 1}" for i in range(len(xs)))
+    b0 = "m0" + "".join(f" - b{i + 1} * m{i + 1}" for i in range(len(xs)))
+    return f"(SELECT *, {b0} AS b0, sqrt(c00 / (n - 1)) AS sd, {left} AS ssr FROM (SELECT *, {slopes[0]} AS b1, {slopes[1]} AS b2 FROM (SELECT {keys}count(*) AS n, {co}, {mean} FROM money{over})))"
+
+
+def k2_mixed_sql(order: list[str], most: int = 2) -> str:
+    """Every set of up to `most` predecessors of the numbers after the first, which has states; of the best by BIC the first, small sets first."""
+    scored = []
+    for i, c in enumerate(order[1:], 1):
+        for k, ps in enumerate(ps for size in range(min(most, i) + 1) for ps in combinations(order[:i], size)):
+            by, xs = [p for p in ps if p == order[0]], [p for p in ps if p != order[0]]
+            listed = ", ".join(f"'{p}'" for p in ps)
+            scored.append(f"SELECT '{c}' AS child, {k} AS k, [{listed}]::VARCHAR[] AS parents, 2 * sum(-n * (ln(2 * pi()) / 2 + ln(sd)) - ssr / (2 * sd * sd)) - ln(sum(n)) * count(*) * {len(xs) + 2} AS value FROM {_moments_sql(c, xs, by)}")
+    return f"""WITH money AS MATERIALIZED (SELECT * FROM {view_sql('money')}), s AS ({' UNION ALL '.join(scored)}),
+ best AS (SELECT *, row_number() OVER (PARTITION BY child ORDER BY round(value, 3) DESC, k) AS place FROM s)
+ SELECT unnest(parents) AS parent, child FROM best WHERE place = 1"""
+
+
+@query(k2_mixed_sql(list(MONEY)))
 def k2_search_mixed(spark, sf_dir):
-    kinds = {"rf": DiscreteCPD, "qty": LinearGaussianCPD, "price": LinearGaussianCPD, "revenue": LinearGaussianCPD}
-    return _found(spark, learn.search(view(spark, sf_dir, "money"), learn.K2GraphSearch(["rf", "qty", "price", "revenue"], kinds, 2)))
+    return _found(spark, learn.search(view(spark, sf_dir, "money"), learn.K2GraphSearch(list(MONEY), MONEY, 2)))
+
+
+@query(f"""WITH money AS MATERIALIZED (SELECT * FROM {view_sql('money')}), m AS (
+  SELECT 'qty' AS name, rf AS q, b0, NULL::DOUBLE AS b1, NULL::DOUBLE AS b2, sd FROM {_moments_sql('qty', [], ['rf'])}
+  UNION ALL SELECT 'price', rf, b0, b1, NULL, sd FROM {_moments_sql('price', ['qty'], ['rf'])} UNION ALL SELECT 'revenue', 1, b0, b1, b2, sd FROM {_moments_sql('revenue', ['qty', 'price'], [])})
+ SELECT name, q, round(b0, 6) AS b0, round(b1, 6) AS b1, round(b2, 6) AS b2, round(sd, 6) AS sd FROM m""")
+def fit_mixed_network(spark, sf_dir):
+    """Linear Gaussians of three nodes, two of them by a discrete parent, from the moments of one job."""
+    dag = graph.DAG(MONEY, [("rf", "qty"), ("rf", "price"), ("qty", "price"), ("qty", "revenue"), ("price", "revenue")])
+    kinds = {**MONEY, "qty": ConditionalLinearGaussianCPD, "price": ConditionalLinearGaussianCPD}
+    bn, rows = learn.fit_network(view(spark, sf_dir, "money"), dag, kinds), []
+    for n in ("qty", "price", "revenue"):
+        for q, m in enumerate(bn[n].models if kinds[n] is ConditionalLinearGaussianCPD else [bn[n]]):
+            rows.append((n, q + 1, round(m.b, 6), *(round(x, 6) for x in m.a), *[None] * (2 - len(m.a)), round(m.sigma, 6)))
+    return spark.createDataFrame(rows, "name string, q int, b0 double, b1 double, b2 double, sd double")
 
 
 @query(greedy_sql("line", ["qb", "pb", "db", "nb", "ub"]))

@@ -1,4 +1,5 @@
 import math
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -549,3 +550,77 @@ def test_a_cycle_shows_after_the_depth_before_it(spark):
         graph.depths(spark.createDataFrame(far + ring, "parent string, child string"))
     got = {r["node"]: r["depth"] for r in graph.depths(spark.createDataFrame(far + ring[:-1] + [("a", "r0")], "parent string, child string")).collect()}
     assert len(got) == 2005 and (got["c"], got["r0"], got["r1"], got["x7"], got["y7"]) == (2, 3, 4, 0, 1)
+
+
+def test_separation_over_edge_tables(spark):
+    """Random graphs, many questions at once, sets that share nodes with each other and the evidence, against the driver's object."""
+    import random
+
+    from credence.plans import graph
+
+    rnd, names = random.Random(4), [f"v{i}" for i in range(11)]
+    dag = graph.DAG(names, [(names[i], names[j]) for i in range(11) for j in range(i + 1, 11) if rnd.random() < 0.22])
+    asked = {q: [rnd.sample(names, k) for k in (1 + q % 2, 1 + q % 3, q % 4)] for q in range(60)}
+    parts = [spark.createDataFrame([(q, n) for q, sets in asked.items() for n in sets[i]], "question int, node string") for i in range(3)]
+    got = {r["question"]: r["separated"] for r in graph.separated(dag.edge_frame(spark), *parts).collect()}
+    want = {q: dag.separated(*sets) for q, sets in asked.items()}
+    assert got == want and {True, False} == set(want.values())
+    empty = spark.createDataFrame([], "question int, node string")
+    assert graph.connected(dag.edge_frame(spark).limit(0), parts[0], empty).count() == parts[0].distinct().count()
+    assert graph.connected(dag.edge_frame(spark), empty, parts[2]).count() == 0
+
+
+@pytest.fixture(scope="module")
+def blend(spark):
+    rng = np.random.default_rng(3)
+    n = 600
+    s, t, x = rng.integers(1, 4, n), rng.integers(1, 3, n), rng.normal(1e6, 1.0, n)
+    y = s * (x - 1e6) + 0.3 * rng.normal(size=n)
+    z = 2 * y - (x - 1e6) + t + 0.5 * rng.normal(size=n)
+    return frame(spark, s=s.tolist(), t=t.tolist(), x=x.tolist(), y=y.tolist(), z=z.tolist()).withColumn("copy", F.col("x") * 2).persist()
+
+
+def test_mixed_search_from_moments(spark, blend, monkeypatch):
+    """Scores equal those of CPDs that are fitted and scored one by one; merged moments equal those dealt out set by set."""
+    order = ["s", "t", "x", "y", "z"]
+    kinds = {"s": DiscreteCPD, "t": DiscreteCPD, **dict.fromkeys("xyz", LinearGaussianCPD)}
+    strategy = learn.K2GraphSearch(order, kinds, 3)
+    bn = learn.search(blend, strategy)
+    assert bn.dag.parents("y") == ["s", "x"] and isinstance(bn["y"], ConditionalLinearGaussianCPD)
+    sets = [ps for k in range(4) for ps in combinations("stxy", k)]
+    scores, _ = strategy._from_moments(blend, {"z": sets}, kinds.get, {"s": 3, "t": 2})
+    near = blend.withColumn("x", F.col("x") - 1e6).persist()  # one by one the sums are taken as they are, and lose digits far from 0
+    for ps in sets:
+        assert scores["z", ps] == pytest.approx(scoring.NegativeBIC().component(strategy._fit(LinearGaussianCPD, near, "z", ps, {}), near), rel=1e-6)
+    assert tuple(bn.dag.parents("z")) == max(sets, key=lambda ps: scores["z", ps])
+    monkeypatch.setattr(learn, "ENTRIES", 0)
+    again = learn.search(blend, strategy)
+    assert set(again.dag.edges()) == set(bn.dag.edges()) and again.logpdf(blend) == pytest.approx(bn.logpdf(blend))
+
+
+def test_mixed_search_refuses_what_cannot_be_fitted(spark, blend):
+    """Collinear numbers and configurations without rows don't win; rows with nulls aren't counted."""
+    kinds = {"s": DiscreteCPD, **dict.fromkeys(["x", "copy", "y"], LinearGaussianCPD)}
+    holes = blend.filter("s <> 2").unionByName(blend.limit(5).withColumn("y", F.lit(None).cast("double")))
+    bn = learn.search(holes, learn.K2GraphSearch(["s", "x", "copy", "y"], kinds, 3))
+    assert "s" not in bn.dag.parents("y") and not {"x", "copy"} <= set(bn.dag.parents("y")) and len(bn.dag.parents("y")) == 1
+    with pytest.raises(ValueError, match="collinear"):
+        learn.fit_network(blend, learn.DAG(["x", "copy", "y"], [("x", "y"), ("copy", "y")]), LinearGaussianCPD)
+    with pytest.raises(ValueError, match=r"configurations \[2\]"):
+        learn.fit_network(blend.filter("s <> 2"), learn.DAG(["s", "y"], [("s", "y")]), {"s": DiscreteCPD, "y": ConditionalLinearGaussianCPD})
+
+
+def test_mixed_network_in_one_job(spark, blend):
+    """Each node as fitted by itself, rows with a null in another node's variables counted; components in one pass."""
+    dag = learn.DAG("stxyz", [("s", "t"), ("x", "y"), ("s", "y"), ("y", "z"), ("x", "z")])
+    kinds = {"s": DiscreteCPD, "t": DiscreteCPD, "x": LinearGaussianCPD, "y": ConditionalLinearGaussianCPD, "z": LinearGaussianCPD}
+    data = blend.withColumn("z", F.when(F.col("t") == 2, F.col("z")))
+    bn = learn.fit_network(data, dag, kinds)
+    near = data.withColumn("x", F.col("x") - 1e6)
+    y, z = ConditionalLinearGaussianCPD.fit(near, "y", ["s", "x"]), LinearGaussianCPD.fit(near.filter("t = 2"), "z", ["y", "x"])
+    for got, want in zip(bn["y"].models, y.models, strict=True):
+        assert got.a == pytest.approx(want.a, rel=1e-5) and got.sigma == pytest.approx(want.sigma)
+    assert bn["z"].a == pytest.approx(z.a, rel=1e-5) and bn["z"].sigma == pytest.approx(z.sigma) and bn["x"].sigma == pytest.approx(1, abs=0.1)
+    assert bn["t"].probs[0] == pytest.approx(DiscreteCPD.fit(data, "t", ["s"]).probs[0])
+    cpds = [bn["s"], bn["x"], bn["y"]]
+    assert scoring.score_components(scoring.NegativeBIC(), cpds, data) == pytest.approx([scoring.NegativeBIC().component(c, data) for c in cpds])
