@@ -16,6 +16,9 @@ from .counts import cardinalities, config, statistics
 from .distributions import Categorical, Distribution, Normal, cumulative
 from .factor import Factor
 
+#: Predictors whose correlation matrix has a smaller eigenvalue count as collinear.
+COLLINEAR = 1e-12
+
 
 class CPD(ABC):
     """Name of the target, parents in order, and what every kind can do. New kinds subclass this."""
@@ -285,18 +288,27 @@ class DiscreteCPD(CategoricalCPD):
 
 
 def least_squares(df: DataFrame, name: str, parents: Sequence[str], by: Column | None = None) -> dict[int, dict]:
-    """Moments of target and parents in one aggregation, and the solution of the normal equations for each group."""
-    x = [F.lit(1.0), *(F.col(p).cast("double") for p in parents)]
-    y = F.col(name).cast("double")
-    cells = {f"x{i}_{j}": F.sum(x[i] * x[j]) for i in range(len(x)) for j in range(i + 1)} | {f"y{i}": F.sum(x[i] * y) for i in range(len(x))}
-    agg = [v.alias(k) for k, v in cells.items()] + [F.stddev_samp(y).alias("sd"), F.count(y).alias("n"), F.sum(y * y).alias("yy"), F.avg(y).alias("mean")]
-    grouped = df.groupBy((by if by is not None else F.lit(1)).cast("int").alias("g")).agg(*agg)
+    """Slopes, intercept, deviation and squared residuals by group, over rows that are complete in target and parents.
+
+    One aggregation of means and centred co-moments, which tasks merge: numbers far from 0 keep their digits. Collinear or constant
+    parents raise LinAlgError, a ValueError.
+    """
+    cols = [name, *parents]
+    held = df.select((by if by is not None else F.lit(1)).cast("int").alias("g"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)))
+    held = held.filter(" AND ".join(["g IS NOT NULL", *(f"x{i} IS NOT NULL" for i in range(len(cols)))]))
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1)]
+    found = held.groupBy("g").agg(F.count("*").alias("n"), *(F.avg(f"x{i}").alias(f"m{i}") for i in range(len(cols))), *(F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i, j in pairs))
     out = {}
-    for r in grouped.collect():
-        k = len(x)
-        gram = np.array([[r[f"x{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)])
-        beta = np.linalg.solve(gram, np.array([r[f"y{i}"] for i in range(k)]))
-        out[r["g"]] = {"a": beta[1:].tolist(), "b": float(beta[0]), "sigma": r["sd"] or 0.0, "n": r["n"], "gram": gram, "xy": np.array([r[f"y{i}"] for i in range(k)]), "yy": r["yy"]}
+    for r in found.collect():
+        n, mean = r["n"], np.array([r[f"m{i}"] for i in range(len(cols))])
+        co = n * np.array([[r[f"c{max(i, j)}_{min(i, j)}"] for j in range(len(cols))] for i in range(len(cols))])
+        scale = np.sqrt(np.maximum(0.0, np.diag(co)[1:]))
+        both = np.outer(scale, scale)
+        unit = co[1:, 1:] / np.where(both > 0, both, 1.0)
+        if parents and not ((scale > 0).all() and (np.linalg.eigvalsh(unit) > COLLINEAR).all()):
+            raise np.linalg.LinAlgError(f"{name}: {list(parents)} are collinear")
+        slopes = np.linalg.solve(unit, co[1:, 0] / scale) / scale if parents else np.zeros(0)
+        out[r["g"]] = {"a": slopes.tolist(), "b": float(mean[0] - slopes @ mean[1:]), "sigma": float(np.sqrt(max(0.0, co[0, 0]) / max(1, n - 1))), "n": n, "left": max(0.0, float(co[0, 0] - slopes @ co[1:, 0]))}
     return out
 
 
@@ -336,16 +348,16 @@ class LinearGaussianCPD(CPD):
 
     @classmethod
     def fit(cls, df, name, parents=(), min_stdev: float = 0.0, residual_sigma: bool = False, **options):
-        m = least_squares(df, name, parents)[1]
+        m = least_squares(df, name, parents).get(1)
+        if m is None:
+            raise ValueError(f"{name}: no row is complete")
         return cls(name, parents, m["a"], m["b"], max(min_stdev, _sigma(m, residual_sigma)))
 
 
 def _sigma(m: dict, residual: bool) -> float:
     if not residual:
         return m["sigma"]
-    beta = np.array([m["b"], *m["a"]])
-    ssr = m["yy"] - 2 * beta @ m["xy"] + beta @ m["gram"] @ beta
-    return float(np.sqrt(max(0.0, ssr) / max(1, m["n"] - len(beta))))
+    return float(np.sqrt(m["left"] / max(1, m["n"] - len(m["a"]) - 1)))
 
 
 class ConditionalLinearGaussianCPD(CPD):

@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from math import prod
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,11 +51,14 @@ class Factor:
     @classmethod
     def of_values(cls, spark: SparkSession, sizes: Mapping[str, int], values: Iterable[float]) -> Factor:
         """Values in storage order."""
-        values = [float(v) for v in values]
+        values = np.array([float(v) for v in values])
         if len(values) != prod(sizes.values()):
             raise DimensionMismatch(f"{len(values)} values for {prod(sizes.values())} cells")
-        grid = cls.filled(spark, sizes)
-        return grid._with(F.element_at(F.array(*(F.lit(v) for v in values)), grid.cell().cast("int")))
+        columns, step = {}, 1
+        for d, n in sizes.items():
+            columns[d], step = (np.arange(len(values)) // step % n + 1).astype(np.int32), step * n
+        cells = spark.createDataFrame(pa.table({**columns, POTENTIAL: values}))  # rows, not literals: a plan's size doesn't depend on them
+        return cls(cells, tuple(sizes), dict(sizes))
 
     @classmethod
     def of_table(cls, table: DataFrame, sizes: Mapping[str, int]) -> Factor:

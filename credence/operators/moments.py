@@ -11,12 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .counts import quoted, state
-from .cpd import ConditionalLinearGaussianCPD, LinearGaussianCPD
+from .cpd import COLLINEAR, ConditionalLinearGaussianCPD, LinearGaussianCPD
 
 #: Types of columns that hold states, and families and numbers that one job brings to the driver.
 WHOLE, BATCH, ENTRIES = ("tinyint", "smallint", "int", "bigint"), 500, 1 << 22
-#: Predictors whose correlation matrix has a smaller eigenvalue count as collinear.
-COLLINEAR = 1e-12
 
 
 class Moments:

@@ -18,6 +18,10 @@ from .network import BayesNet
 from .table import POTENTIAL, consistent
 
 
+#: Attempts for each key in the first round of rejection, and rows of a few numbers up to which a counted side of a pick is broadcast.
+FIRST_TRIES, PICK_BROADCAST = 4, 100_000
+
+
 def keys(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).withColumnRenamed("id", "key")
 
@@ -44,16 +48,34 @@ class DirectSampler(Sampler):
 
 
 class RejectionSampler(Sampler):
-    """Draws until the evidence holds, at most max_tries times a row; rows that never agree are left out."""
+    """Draws until the evidence holds, at most max_tries times a row; rows that never agree are left out.
+
+    Attempts come in rounds, each of four times as many as the one before: keys that agree in one aren't drawn for again, so
+    there are as many draws as the evidence's odds ask for, not max_tries for every key. Each round's rows are written.
+    """
 
     def __init__(self, evidence: Mapping[str, object], max_tries: int = 100):
         self.evidence, self.max_tries = dict(evidence), max_tries
 
     def draw(self, bn: BayesNet, at: DataFrame, seed: int = 0) -> DataFrame:
         """(key, names) of the first attempt that agrees, for each key of at."""
-        tries = at.select("key", F.explode(F.sequence(F.lit(0), F.lit(self.max_tries - 1))).alias("_try"))
-        hits = consistent(drawn(bn, tries, seed, attempt=F.col("_try")), self.evidence)
-        return hits.groupBy("key").agg(F.min(F.struct("_try", *bn.names)).alias("_s")).select("key", *(F.col(f"_s.{n}").alias(n) for n in bn.names))
+        path, left, found, begin, many = new_path(at.sparkSession, "rejection"), at.select("key"), None, 0, FIRST_TRIES
+        while True:
+            end = min(self.max_tries, begin + many)
+            tries = left.select("key", F.explode(F.sequence(F.lit(begin), F.lit(end - 1))).alias("_try"))
+            hits = consistent(drawn(bn, tries, seed, attempt=F.col("_try")), self.evidence)
+            hits = hits.groupBy("key").agg(F.min(F.struct("_try", *bn.names)).alias("_s")).select("key", *(F.col(f"_s.{n}").alias(n) for n in bn.names))
+            if end == self.max_tries:
+                return hits if found is None else found.unionByName(hits)
+            hits.write.parquet(f"{path}/hits-{begin}")
+            hits = at.sparkSession.read.schema(hits.schema).parquet(f"{path}/hits-{begin}")
+            found = hits if found is None else found.unionByName(hits)
+            agreed = hits.select(F.col("key").alias("_agreed"))
+            left.join(agreed, F.col("key").eqNullSafe(F.col("_agreed")), "left_anti").write.parquet(f"{path}/left-{begin}")
+            left = at.sparkSession.read.schema(left.schema).parquet(f"{path}/left-{begin}")
+            if not left.limit(1).count():
+                return found
+            begin, many = end, 4 * many
 
     def sample(self, spark, bn, n, seed=0):
         return self.draw(bn, keys(spark, n), seed).select(*bn.names)
@@ -85,25 +107,56 @@ class LikelihoodWeightedSampler(Sampler):
         return {n: r[n] for n in bn.names}, float(np.exp(r["log_weight"]))
 
 
+def _placed(parts: DataFrame) -> DataFrame:
+    """Each part's stretch (_lo, _hi] of its bucket's weight, in the order of _k: adjoining ones, the last of which ends at 1."""
+    own = Window.partitionBy("_b")
+    parts = parts.withColumn("_at", F.sum(POTENTIAL).over(own.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)))
+    parts = parts.withColumn("_hi", F.col("_at") / F.max("_at").over(own))
+    return parts.withColumn("_lo", F.lag("_hi", 1, 0.0).over(own.orderBy("_k"))).drop("_at")
+
+
 def weighted_pick(rows: DataFrame, picks: int = 1, seed: int = 0, buckets: int = 1024) -> DataFrame:
-    """`picks` rows by weight, with replacement: (pick, columns of rows).
+    """`picks` rows by weight, with replacement: (pick, columns of rows). Weights that are null, NaN, infinite or not above 0 count as 0;
+    if there are no others, there are no picks. `key` is a whole number that names a row; null keys are never picked.
 
-    Keys fall into buckets of a range each. A pick finds its bucket by running sums over the buckets, then its row by running
-    sums within it, so no single task adds up all rows.
+    Prefix sums by levels: keys are parted into at most `buckets` ranges of equal width, a pick finds its range by the ranges' sums, and
+    ranges that picks fell into are parted again until none has more than four times `buckets` rows. So a window holds as many
+    rows at most, however unevenly the keys lie, and no level but the first passes over rows that no pick is near to.
     """
+    spark, path = rows.sparkSession, new_path(rows.sparkSession, "picks")
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    def near(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= PICK_BROADCAST else df
+
+    rows = rows.filter(F.col("key").isNotNull() & (F.col(POTENTIAL) > 0) & (F.col(POTENTIAL) < float("inf")))
     span = rows.agg(F.min("key").alias("lo"), F.max("key").alias("hi")).first()
+    goals = keys(spark, picks).select(F.col("key").alias("pick"), uniform(F.col("key"), f"{seed}|pick").alias("_u"), F.lit(0).cast("long").alias("_b"))
     if span["lo"] is None:
-        return rows.withColumn("pick", F.lit(0).cast("long")).limit(0)
-    width = max(1, -(-(span["hi"] - span["lo"] + 1) // buckets))
-    at = rows.withColumn("_b", F.floor((F.col("key") - span["lo"]) / width))
-    sums = at.groupBy("_b").agg(F.sum(POTENTIAL).alias("_w"))
-    sums = sums.select("_b", (F.sum("_w").over(Window.orderBy("_b")) - F.col("_w")).alias("_from"), F.sum("_w").over(Window.orderBy("_b")).alias("_to"))  # at most `buckets` rows
-    total = sums.agg(F.max("_to").alias("_all"))
-    goals = keys(rows.sparkSession, picks).crossJoin(F.broadcast(total)).select(F.col("key").alias("pick"), (uniform(F.col("key"), f"{seed}|pick") * F.col("_all")).alias("_u"))
-    chosen = goals.join(F.broadcast(sums), (F.col("_u") > F.col("_from")) & (F.col("_u") <= F.col("_to"))).select("pick", "_u", "_from", "_b")
-    chosen = at.join(F.broadcast(chosen) if picks <= 10_000 else chosen, "_b")
-    w = Window.partitionBy("pick").orderBy("key")
-    return chosen.withColumn("_at", F.col("_from") + F.sum(POTENTIAL).over(w)).filter("_at >= _u").groupBy("pick").agg(F.min(F.struct("key", *[c for c in rows.columns if c != "key"])).alias("_s")).select("pick", "_s.*")
+        return goals.limit(0).select("pick").crossJoin(rows.limit(0))
+    shift, level, part = 0, 0, F.lit(0).cast("long")
+    while (span["hi"] >> shift) - (span["lo"] >> shift) >= buckets:
+        shift += 1
+    at = rows
+    while shift:
+        small = F.shiftright(F.col("key").cast("long"), shift)
+        parts = at.withColumn("_b", part).withColumn("_k", small).groupBy("_b", "_k").agg(F.sum(POTENTIAL).alias(POTENTIAL), F.count("*").alias("_n"))
+        parts = near(stored(_placed(parts), f"sums-{level}"))
+        inside = (F.col("_u") > F.col("_lo")) & (F.col("_u") <= F.col("_hi"))
+        goals = goals.select("pick", "_u", "_b").join(parts, "_b").filter(inside).select("pick", F.greatest(F.lit(1e-300), F.least(F.lit(1.0), (F.col("_u") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))).alias("_u"), F.col("_k").alias("_b"), "_n")
+        goals = stored(goals, f"goals-{level}")
+        part = small
+        chosen = near(stored(goals.select(F.col("_b").alias("_chosen")).distinct(), f"chosen-{level}"))
+        at = rows.join(chosen, small == F.col("_chosen"), "left_semi")
+        if goals.agg(F.max("_n")).first()[0] <= 4 * buckets:
+            break
+        shift, level = max(0, shift - max(1, buckets.bit_length() - 1)), level + 1
+    last = _placed(at.withColumn("_b", part).withColumn("_k", F.col("key"))).select("_b", "_lo", "_hi", *rows.columns)
+    found = near(goals.select("pick", "_u", "_b")).join(last, "_b").filter((F.col("_u") > F.col("_lo")) & (F.col("_u") <= F.col("_hi")))
+    return found.select("pick", *rows.columns)
 
 
 # Gibbs

@@ -2,9 +2,11 @@ import math
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from credence.functions.math import uniform
 from credence.operators import counts, generate, inference, learn, sampling, scoring
 from credence.operators.cpd import CategoricalCPD, ConditionalLinearGaussianCPD, DiscreteCPD, FunctionalCPD, LinearGaussianCPD, ParentFunctionalCPD, StaticCPD
 from credence.operators.distributions import Bernoulli, Categorical, NamedCategorical, Normal, count_params
@@ -215,6 +217,51 @@ def test_sampling(spark, collider):
     assert sampling.LikelihoodWeightedSampler({"a": 1, "b": 2}).one(bn, spark)[1] == pytest.approx(0.05)
 
 
+@pytest.mark.parametrize("buckets", [100, 1024])
+def test_picks_by_levels(spark, buckets):
+    """Against sums in one array: keys in a dense block, far apart and negative, weights of all kinds."""
+    made = np.random.default_rng(5)
+    at = np.unique(np.concatenate([np.arange(3000), made.integers(-(2**62), 2**62, 200), [2**63 - 1, -(2**63)]]))
+    w = np.where(made.random(len(at)) < 0.2, 0.0, made.random(len(at)) ** 4)
+    w[:3], w[50:53] = np.nan, np.inf
+    w[1500] = w[np.isfinite(w)].sum()  # half of all
+    odd = spark.createDataFrame([(None, 5.0, 0), (7_000, None, 0), (7_001, -1.0, 0)], "key long, potential double, x int")
+    rows = spark.createDataFrame(pd.DataFrame({"key": at, "potential": w, "x": np.arange(len(at), dtype=np.int32)}), "key long, potential double, x int").unionByName(odd)
+    got = sampling.weighted_pick(rows, 1500, seed=3, buckets=buckets).orderBy("pick").toPandas()
+    u = [r[0] for r in sampling.keys(spark, 1500).select(uniform(F.col("key"), "3|pick")).collect()]
+    upto = np.cumsum(np.where(np.isfinite(w), w, 0.0))
+    assert got["pick"].tolist() == list(range(1500))
+    assert got["key"].tolist() == at[np.searchsorted(upto, np.array(u) * upto[-1], "left")].tolist()
+    assert not sampling.weighted_pick(odd, 5).count() and sampling.weighted_pick(odd, 5).columns == ["pick", "key", "potential", "x"]
+
+
+@pytest.mark.parametrize("tries", [1, 4, 5, 100])
+def test_rejection_in_rounds(spark, tries):
+    """The first attempt that agrees, as if all were drawn at once; a key that repeats gives one row, so does a null."""
+    bn = BayesNet([DiscreteCPD("a", [0.9, 0.1]), DiscreteCPD("b", [[0.9, 0.1], [0.2, 0.8]], ["a"], [2])])
+    at = spark.createDataFrame([(k,) for k in [*range(150), 3, 3, None, None]], "key long")
+    got = sampling.RejectionSampler({"b": 2}, tries).draw(bn, at)
+    every = at.distinct().select("key", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("t"))
+    every = sampling.drawn(bn, every, attempt=F.col("t")).filter("b = 2").groupBy("key").agg(F.min_by(F.struct("a", "b"), "t").alias("s")).select("key", "s.*")
+    assert sorted(map(str, got.collect())) == sorted(map(str, every.collect()))
+    assert got.count() < 151 if tries < 10 else got.count() == 151
+    assert not sampling.RejectionSampler({"b": 2}).draw(bn, at.limit(0)).count()
+
+
+def test_linear_gaussian_far_from_zero(spark):
+    made = np.random.default_rng(2)
+    x = 1e8 + made.normal(size=400)
+    df = pd.DataFrame({"x": x, "z": made.normal(size=400), "y": 3 * (x - 1e8) + 5})
+    df["y"] += 2 * df["z"]
+    rows = spark.createDataFrame(df).unionByName(spark.createDataFrame([(None, 1.0, 9e9), (1.0, None, 9e9), (1.0, 1.0, None)], "x double, z double, y double"))
+    cpd = LinearGaussianCPD.fit(rows, "y", ["x", "z"], residual_sigma=True)
+    assert cpd.a == pytest.approx([3, 2], abs=1e-6) and cpd.sigma == pytest.approx(0, abs=1e-5)
+    assert LinearGaussianCPD.fit(rows.filter("z IS NOT NULL AND x > 2"), "y").sigma == pytest.approx(df["y"].std(), rel=1e-9)
+    for bad in (rows.withColumn("z", F.col("x") * 2), rows.withColumn("z", F.lit(1.0)), rows.limit(0)):
+        with pytest.raises(ValueError):
+            LinearGaussianCPD.fit(bad, "y", ["x", "z"])
+
+
 def test_gibbs(spark, collider):
     assert {tuple(r) for r in sampling.GibbsSampler(burn_in=5).sample(spark, collider, 20).collect()} == {(1, 2, 1)}
     one_hot = [[float(k == q) for k in range(4)] for q in range(4)]

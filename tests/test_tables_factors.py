@@ -21,6 +21,14 @@ def f2(spark):
     return spark.createDataFrame([(False, 0.9), (True, 0.1)], "A boolean, potential double")
 
 
+def test_values_are_rows(spark):
+    """A factor of many values is a table, not an expression of so many literals."""
+    many = [k * 0.5 for k in range(60_000)]
+    f = Factor.of_values(spark, {"X": 300, "Y": 20, "Z": 10}, many)
+    assert f.values() == many and f.df.filter("X = 2 and Y = 3 and Z = 4").first()["potential"] == many[1 + 2 * 300 + 3 * 6000]
+    assert Factor.of_values(spark, {}, [2.5]).values() == [2.5] and [t for _, t in f.df.dtypes] == ["int", "int", "int", "double"]
+
+
 def test_product(f1, f2):
     assert rows(T.product(f1, f2)) == [(False, False, 0.675), (False, True, 0.225), (True, False, 0.06), (True, True, 0.04)]
     cross = T.product(f2, f2.withColumnRenamed("A", "C"))
