@@ -10,16 +10,20 @@ from math import prod
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..plans.graph import DAG
-from .counts import Contingency, cardinalities, counted, family_counts
+from .counts import Contingency, cardinalities, config, counted, family_counts, quoted
 from .cpd import CategoricalCPD, ConditionalLinearGaussianCPD, CPD, DiscreteCPD, LinearGaussianCPD, StaticCPD
+from .distributions import Distribution, Normal
 from .moments import ENTRIES, moments, split
 from .network import BayesNet
 from .scoring import DirichletPrior, NegativeBIC, ScoreCache, ScoringFunction, UniformPrior, bayesian_components, bic_components
 
 #: Gains below this are ties: the first candidate stays.
 TIE = 1e-9
+#: Static and categorical nodes that one job fits.
+NODES = 500
 
 
 def _tables(rows: DataFrame, dag: DAG, sizes: Mapping[str, int], prior: DirichletPrior | None) -> BayesNet:
@@ -32,7 +36,8 @@ def _tables(rows: DataFrame, dag: DAG, sizes: Mapping[str, int], prior: Dirichle
 
 def fit_network(df: DataFrame, dag: DAG, kinds: type[CPD] | Mapping[str, type[CPD]] = DiscreteCPD, prior: DirichletPrior | None = None, **options) -> BayesNet:
     """Fit every node of the DAG by name; kinds: one for all, or one by name. Tables are counted in one job, linear Gaussians solved
-    from the moments of another; each other kind is fitted by itself. A row with a null among a node's variables isn't counted there."""
+    from the moments of another, static and categorical nodes of a family with moments fitted in a third; each other kind is fitted
+    by itself. A row with a null among a node's variables isn't counted there."""
     if missing := set(dag.names) - set(df.columns):
         raise ValueError(f"the data lacks {sorted(missing)}")
     kind = (lambda n: kinds[n]) if isinstance(kinds, Mapping) else (lambda n: kinds)
@@ -47,9 +52,37 @@ def fit_network(df: DataFrame, dag: DAG, kinds: type[CPD] | Mapping[str, type[CP
         part = DAG(tabled, [(p, c) for c in tabled for p in dag.parents(c)])
         sizes = dict(options.get("ncategories") or cardinalities(df, part.names))
         found |= _tables(counted(df, part.names, sizes), part, sizes, prior).cpds
+    family, parent_sizes = options.get("family", Normal), options.get("parent_sizes") or {}
+    if family.fit.__func__ is Distribution.fit.__func__ and isinstance(parent_sizes, Mapping):
+        found |= _by_configuration(df, {n: dag.parents(n) for n in dag.names if kind(n) in (StaticCPD, CategoricalCPD)}, kind, family, parent_sizes)
     return BayesNet(found.get(n) or kind(n).fit(df, n, dag.parents(n), prior=prior, **options) for n in dag.topological())
 
 
+def _by_configuration(df: DataFrame, parents: Mapping[str, Sequence[str]], kind, family: type[Distribution], parent_sizes: Mapping[str, int]) -> dict[str, CPD]:
+    """One family for the targets of several nodes, by configuration of their parents or, for static nodes, over all rows.
+
+    Each row is dealt out to its configuration in every node, and tasks add up the family's moments before anything is shuffled:
+    one job for NODES nodes. A configuration without a value raises ValueError.
+    """
+    out, nodes = {}, list(parents)
+    own = {n: () if kind(n) is StaticCPD else tuple(parents[n]) for n in nodes}
+    states = sorted({p for ps in own.values() for p in ps})
+    sizes = dict(parent_sizes)
+    sizes |= cardinalities(df, rest) if (rest := [p for p in states if p not in sizes]) else {}
+    for begin in range(0, len(nodes), NODES):
+        part = nodes[begin : begin + NODES]
+        cells = F.array(*(F.struct(config(own[n], sizes).cast("long").alias("q"), F.col(quoted(n)).cast("double").alias("x")) for n in part))
+        dealt = df.select(F.posexplode(cells).alias("at", "cell")).select("at", "cell.*").filter("q IS NOT NULL AND x IS NOT NULL")
+        found = {(r["at"], r["q"]): r.asDict() for r in dealt.groupBy("at", "q").agg(*(v.alias(k) for k, v in family.moments(F.col("x")).items())).collect()}
+        for i, n in enumerate(part):
+            configs = prod(sizes[p] for p in own[n])
+            if missing := [q for q in range(1, configs + 1) if (i, q) not in found]:
+                raise ValueError(f"{n}: no rows for configurations {missing[:20]} of {list(own[n])}" if own[n] else f"{n}: no values")
+            dists = [family.of(found[i, q]) for q in range(1, configs + 1)]
+            out[n] = StaticCPD(n, dists[0], parents[n]) if kind(n) is StaticCPD else CategoricalCPD(n, own[n], [sizes[p] for p in own[n]], dists)
+    return out
+
+
 #: Kinds that moments decide.
 GAUSSIAN = (LinearGaussianCPD, ConditionalLinearGaussianCPD)
 

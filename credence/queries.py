@@ -20,6 +20,7 @@ from .operators.factor import Factor
 from .operators.generate import random_network
 from .operators.network import BayesNet
 from .plans import graph
+from .plans.graph import DAG
 from .search_sql import greedy_sql
 from .sources import files
 from .storage import new_path
@@ -154,6 +155,16 @@ def fit_categorical_normal(spark, sf_dir):
     return rounded(spark.createDataFrame([(q + 1, d.mu, d.sigma) for q, d in enumerate(cpd.dists)], "rf int, mu double, sigma double"), "mu", "sigma")
 
 
+@query(f"""SELECT 'price' AS name, rf AS q, round(avg(price), 6) AS mu, round(stddev_pop(price), 6) AS sigma FROM {view_sql('money')} GROUP BY rf
+ UNION ALL SELECT 'revenue', rf, round(avg(revenue), 6), round(stddev_pop(revenue), 6) FROM {view_sql('money')} GROUP BY rf UNION ALL SELECT 'rf', 1, round(avg(rf), 6), round(stddev_pop(rf), 6) FROM {view_sql('money')}""")
+def fit_network_normals(spark, sf_dir):
+    """A static node and two by its states, all from one job over the rows."""
+    dag = DAG(["rf", "price", "revenue"], [("rf", "price"), ("rf", "revenue")])
+    bn = learn.fit_network(view(spark, sf_dir, "money"), dag, {"rf": StaticCPD, "price": CategoricalCPD, "revenue": CategoricalCPD})
+    found = [("rf", 1, bn["rf"].dist), *((n, q + 1, d) for n in ("price", "revenue") for q, d in enumerate(bn[n].dists))]
+    return rounded(spark.createDataFrame([(n, q, d.mu, d.sigma) for n, q, d in found], "name string, q int, mu double, sigma double"), "mu", "sigma")
+
+
 @query(f"SELECT unnest(['slope', 'intercept', 'sigma']) AS name, unnest([round(regr_slope(revenue, price), 6), round(regr_intercept(revenue, price), 6), round(stddev_samp(revenue), 6)]) AS value FROM {view_sql('money')}")
 def fit_linear_gaussian(spark, sf_dir):
     m = LinearGaussianCPD.fit(view(spark, sf_dir, "money"), "revenue", ["price"])

@@ -262,6 +262,28 @@ def test_linear_gaussian_far_from_zero(spark):
             LinearGaussianCPD.fit(bad, "y", ["x", "z"])
 
 
+def test_static_and_categorical_nodes_in_one_job(spark, monkeypatch):
+    """The same as each node fitted by itself, in batches too; nulls aren't counted, a configuration without a value fails."""
+    made = np.random.default_rng(4)
+    df = pd.DataFrame({"a": made.integers(1, 3, 300), "b": made.integers(1, 4, 300), "x": made.normal(5, 2, 300), "k": made.random(300) < 0.3}).astype({"a": "int32", "b": "int32"})
+    rows = spark.createDataFrame(df).unionByName(spark.createDataFrame([(None, 1, 50.0, True), (1, None, None, None)], "a int, b int, x double, k boolean"))
+    dag = DAG(["a", "b", "x"], [("a", "x"), ("b", "x"), ("a", "b")])
+    kinds = {"a": DiscreteCPD, "b": StaticCPD, "x": CategoricalCPD}
+    for batch in (1, 500):
+        monkeypatch.setattr(learn, "NODES", batch)
+        bn = learn.fit_network(rows, dag, kinds)
+        assert bn["b"].parents == ("a",) and bn["b"].dist.mu == pytest.approx(np.append(df["b"], 1).mean())
+        for (b, a), group in df.groupby(["b", "a"]):
+            d = bn["x"](a=a, b=b)
+            assert (d.mu, d.sigma) == (pytest.approx(group["x"].mean()), pytest.approx(group["x"].std(ddof=0)))
+    coin = learn.fit_network(rows, DAG(["k"]), StaticCPD, family=Bernoulli)
+    assert coin["k"].dist.p == pytest.approx(np.append(df["k"], True).mean())
+    with pytest.raises(ValueError, match="configurations"):
+        learn.fit_network(rows.withColumn("x", F.when(F.col("a") == 1, F.col("x"))), dag, kinds)
+    with pytest.raises(ValueError, match="no values"):
+        learn.fit_network(rows.limit(0), DAG(["x"]), StaticCPD)
+
+
 def test_gibbs(spark, collider):
     assert {tuple(r) for r in sampling.GibbsSampler(burn_in=5).sample(spark, collider, 20).collect()} == {(1, 2, 1)}
     one_hot = [[float(k == q) for k in range(4)] for q in range(4)]
