@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from functools import reduce
 from math import prod
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.graph import DAG
@@ -32,6 +34,10 @@ def families(dag: DAG) -> dict[str, list[str]]:
 Family = tuple[str, tuple[str, ...]]
 #: Families that are counted in one pass over the data, and combinations of states up to which rows are first joined to distinct ones.
 BATCH, JOINT = 500, 1_000_000
+#: Families above which rows go to NumPy with their states packed into whole numbers of PACK variables, and cells of a family up to which it adds up an array of them all.
+NARROW, PACK, DENSE = 16, 12, 4096
+#: Bytes of a generated method above which Java doesn't compile it.
+METHOD = ("spark.sql.codegen.hugeMethodLimit", "8000")
 
 
 def quoted(name: str) -> str:
@@ -56,12 +62,103 @@ def cell_number(target: str, parents: Sequence[str], sizes: Mapping[str, int]) -
     return f"CAST({' + '.join(terms)} AS BIGINT)"
 
 
+@contextmanager
+def compiled_methods(spark: SparkSession) -> Iterator[None]:
+    """Jobs within it split expressions of many columns into methods that Java compiles, instead of one that it interprets."""
+    name, limit = METHOD
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, limit)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def packed(names: Sequence[str], sizes: Mapping[str, int]) -> list[list[tuple[str, int, int]]]:
+    """Variables by the number that holds them: (name, lowest bit, bits) of each. At most PACK variables and 62 bits a number."""
+    out, low = [], 63
+    for n in names:
+        bits = max(1, sizes[n]).bit_length()
+        if low + bits > 62 or len(out[-1]) == PACK:
+            out.append([])
+            low = 0
+        out[-1].append((n, low, bits))
+        low += bits
+    return out
+
+
+def _wide_cells(rows: DataFrame, wanted: Sequence[Family], sizes: Mapping[str, int], path: str) -> DataFrame:
+    """cells() of many families: a row goes to NumPy as a few numbers of packed states (0: null), and each task adds up its rows.
+
+    Families of up to DENSE cells, nulls among them, have an array of counts in the task; of larger ones each batch's distinct cells
+    are handed on. The counts are written.
+    """
+    for t, ps in wanted:
+        cell_number(t, ps, sizes)  # more cells than numbers: ValueError
+    names = list(dict.fromkeys(n for t, ps in wanted for n in (t, *ps)))
+    numbers = packed(names, sizes)
+    pack = lambda of: reduce(lambda a, b: a + b, (F.coalesce(F.col(quoted(n)), F.lit(0)).cast("long") * (1 << low) for n, low, _ in of))
+    at = {n: i for i, n in enumerate(names)}
+    members = [[at[n] for n in (t, *ps)] for t, ps in wanted]
+    radix = [[max(1, sizes[n]) for n in (t, *ps)] for t, ps in wanted]
+    fields = [(i, low, (1 << bits) - 1) for i, of in enumerate(numbers) for _, low, bits in of]
+    schema = pa.schema([("at", pa.int32()), ("cell", pa.int64()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = [prod(r + 1 for r in rs) for rs in radix]
+        sums = {f: np.zeros(size, np.int64) for f, size in enumerate(full) if size <= DENSE}
+
+        def rest(f: int, cell: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), f, np.int32)), pa.array(cell), pa.array(n)], schema=schema)
+
+        for b in batches:
+            held = [b.column(i).to_numpy(zero_copy_only=False) for i in range(len(numbers))]
+            n = b.column(len(numbers)).to_numpy(zero_copy_only=False)
+            ones = bool((n == 1).all())
+            states = [(held[i] >> low) & mask for i, low, mask in fields]
+            for f, (own, rs) in enumerate(zip(members, radix, strict=True)):
+                if f in sums:
+                    cell, step = states[own[0]], rs[0] + 1
+                    for i, r in zip(own[1:], rs[1:], strict=True):
+                        cell, step = cell + states[i] * step, step * (r + 1)
+                    if ones:
+                        sums[f] += np.bincount(cell, minlength=step)
+                    else:
+                        np.add.at(sums[f], cell, n)
+                    continue
+                inside = np.logical_and.reduce([states[i] > 0 for i in own])
+                cell, step = np.zeros(int(inside.sum()), np.int64), 1
+                for i, r in zip(own, rs, strict=True):
+                    cell, step = cell + (states[i][inside] - 1) * step, step * r
+                found, where = np.unique(cell, return_inverse=True)
+                own_n = np.zeros(len(found), np.int64)
+                np.add.at(own_n, where, n[inside])
+                yield rest(f, found, own_n)
+        for f, total in sums.items():
+            seen = np.flatnonzero(total)
+            left, cell, step, inside = seen, np.zeros(len(seen), np.int64), 1, np.ones(len(seen), bool)
+            for r in radix[f]:
+                left, state = np.divmod(left, r + 1)
+                cell, step, inside = cell + (state - 1) * step, step * r, inside & (state > 0)
+            yield rest(f, cell[inside], total[seen][inside])
+
+    parts = rows.select(*(pack(of).alias(f"p{i}") for i, of in enumerate(numbers)), F.col("n").cast("long").alias("n")).mapInArrow(count, "at int, cell long, n long")
+    with compiled_methods(rows.sparkSession):
+        parts.groupBy("at", "cell").agg(F.sum("n").cast("long").alias("n")).write.parquet(path)
+    return rows.sparkSession.read.schema("at int, cell long, n long").parquet(path)
+
+
 def cells(rows: DataFrame, wanted: Sequence[Family], sizes: Mapping[str, int]) -> DataFrame:
     """(family, cell, n) of observed cells; family: its place in `wanted`.
 
-    Each row becomes a row of two numbers for each family, which tasks add up before anything is shuffled: the data is read once for
-    every BATCH families, and no limit holds on the number of variables. A row with a null in a family isn't counted there.
+    Each row adds one to a cell of each family, and tasks add up before anything is shuffled: the data is read once for every BATCH
+    families, and no limit holds on the number of variables. A row with a null in a family isn't counted there. Counts of more than
+    NARROW families are written.
     """
+    if len(wanted) > NARROW:
+        path = new_path(rows.sparkSession, "cells")
+        wide = [_wide_cells(rows, wanted[i : i + BATCH], sizes, f"{path}/{i}").select((F.col("at") + i).alias("family"), "cell", "n") for i in range(0, len(wanted), BATCH)]
+        return reduce(DataFrame.unionByName, wide)
     parts = []
     for i in range(0, len(wanted), BATCH):
         numbers = ", ".join(cell_number(t, ps, sizes) for t, ps in wanted[i : i + BATCH])

@@ -693,3 +693,29 @@ def test_mixed_network_in_one_job(spark, blend):
     assert bn["t"].probs[0] == pytest.approx(DiscreteCPD.fit(data, "t", ["s"]).probs[0])
     cpds = [bn["s"], bn["x"], bn["y"]]
     assert scoring.score_components(scoring.NegativeBIC(), cpds, data) == pytest.approx([scoring.NegativeBIC().component(c, data) for c in cpds])
+
+
+def test_many_families_are_counted_in_packed_numbers(spark):
+    """Rows aren't dealt out a row a family; nulls, large families and weights count as in plain Python, and the session keeps its settings."""
+    rng = np.random.default_rng(8)
+    names = [f"v{i}" for i in range(20)]
+    sizes = {n: (2, 3, 70, 300)[i % 4] for i, n in enumerate(names)}
+    data = [[None if rng.random() < 0.05 else int(rng.integers(1, sizes[n] + 1)) for n in names] + [int(rng.integers(1, 4))] for _ in range(300)]
+    rows = spark.createDataFrame(data, ", ".join(f"{n} int" for n in names) + ", n long").repartition(3)
+    wanted = [(n, tuple(names[max(0, i - i % 4) : i])) for i, n in enumerate(names)]
+    before = spark.conf.get(counts.METHOD[0])
+    got = counts.cells(rows, wanted, sizes)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString() and spark.conf.get(counts.METHOD[0]) == before
+    want = {}
+    for f, (t, ps) in enumerate(wanted):
+        for row in data:
+            states, cell, step = [row[names.index(n)] for n in (t, *ps)], 0, 1
+            if None in states:
+                continue
+            for n, x in zip((t, *ps), states, strict=True):
+                cell, step = cell + (x - 1) * step, step * sizes[n]
+            want[f, cell] = want.get((f, cell), 0) + row[-1]
+    assert {(r["family"], r["cell"]): r["n"] for r in got.collect()} == want
+    bad = {f"v{i}": 2 for i in range(20)}
+    with pytest.raises(Exception, match="out of 1..2"):
+        counts.family_counts(counts.counted(rows.drop("n"), names, bad), DAG(names), bad).collect()
