@@ -28,8 +28,13 @@ NODES = 500
 
 def _tables(rows: DataFrame, dag: DAG, sizes: Mapping[str, int], prior: DirichletPrior | None) -> BayesNet:
     """Every node's table from rows with their number `n`, all in one job; cells without rows aren't sent."""
+    return fit_counts(family_counts(rows, dag, sizes), dag, sizes, prior)
+
+
+def fit_counts(found: DataFrame, dag: DAG, sizes: Mapping[str, int], prior: DirichletPrior | None = None) -> BayesNet:
+    """Every node's table from counts of cells (target, q, k, n), as counts.family_counts gives them."""
     tables = {n: np.zeros((prod(sizes[p] for p in dag.parents(n)), sizes[n])) for n in dag.names}
-    for r in family_counts(rows, dag, sizes).collect():
+    for r in found.collect():
         tables[r["target"]][r["q"] - 1, r["k"] - 1] = r["n"]
     return BayesNet(DiscreteCPD.of_counts(n, tables[n], dag.parents(n), [sizes[p] for p in dag.parents(n)], prior) for n in dag.topological())
 

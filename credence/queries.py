@@ -545,10 +545,10 @@ _WIDE_COUNTS = "WITH w AS MATERIALIZED " + view_sql("wide") + ", c AS (" + " UNI
 def fit_wide_network(spark, sf_dir):
     """84 variables fitted in one job; cells that have rows."""
     df, dag = view(spark, sf_dir, "wide"), wide_dag()
-    bn = learn.fit_network(df, dag, prior=scoring.UniformPrior(1), ncategories=SIZES)
+    seen = counts.family_counts(counts.counted(df, dag.names, SIZES), dag, SIZES)
+    bn = learn.fit_counts(seen, dag, SIZES, scoring.UniformPrior(1))
     fitted = spark.createDataFrame([(n, q + 1, k + 1, float(p)) for n, c in bn.cpds.items() for q, row in enumerate(c.probs) for k, p in enumerate(row)], "target string, q int, k int, p double")
-    seen = counts.family_counts(counts.counted(df, dag.names, SIZES), dag, SIZES).select("target", "q", "k")
-    return rounded(fitted.join(seen, ["target", "q", "k"]), "p")
+    return rounded(fitted.join(seen.select("target", "q", "k"), ["target", "q", "k"]), "p")
 
 
 @query(f"""{_WIDE_COUNTS}, s AS (SELECT target, q, any_value(r) AS r, any_value(2.0 / (r * configs)) AS a, sum(lgamma(n + 2.0 / (r * configs)) - lgamma(2.0 / (r * configs))) AS s, sum(n) AS n FROM c GROUP BY target, q)
