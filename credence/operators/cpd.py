@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 from math import prod
 
 import numpy as np
@@ -18,6 +19,8 @@ from .factor import Factor
 
 #: Predictors whose correlation matrix has a smaller eigenvalue count as collinear.
 COLLINEAR = 1e-12
+#: States up to which a draw adds up comparisons with the cumulated probabilities.
+SUMMED = 16
 
 
 class CPD(ABC):
@@ -246,6 +249,10 @@ class DiscreteCPD(CategoricalCPD):
         return F.when((k >= 1) & (k <= self.ncategories), F.get(flat, ((self.config_col() - 1) * self.ncategories + k - 1).cast("int"))).otherwise(F.lit(NEG_INF))
 
     def sample_col(self, key, tag):
+        if self.ncategories <= SUMMED:  # the same number, in code that is compiled
+            u, at, sums = uniform(key, tag), (self.config_col() - 1).cast("int"), [cumulative(p) for p in self.probs]
+            above = [(F.get(F.array(*(F.lit(c[k]) for c in sums)), at) if self.parents else F.lit(sums[0][k])) < u for k in range(self.ncategories - 1)]
+            return reduce(lambda a, b: a + b, (x.cast("int") for x in above), F.lit(1))
         rows = F.array(*(F.array(*map(F.lit, cumulative(p))) for p in self.probs))
         return pick(F.get(rows, (self.config_col() - 1).cast("int")), uniform(key, tag))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from abc import ABC, abstractmethod
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -51,7 +52,8 @@ class RejectionSampler(Sampler):
     """Draws until the evidence holds, at most max_tries times a row; rows that never agree are left out.
 
     Attempts come in rounds, each of four times as many as the one before: keys that agree in one aren't drawn for again, so
-    there are as many draws as the evidence's odds ask for, not max_tries for every key. Each round's rows are written.
+    there are as many draws as the evidence's odds ask for, not max_tries for every key. A round draws the evidence and its ancestors
+    alone and keeps the number of a key's first attempt that agrees; rows are drawn anew from these numbers. Each round is written.
     """
 
     def __init__(self, evidence: Mapping[str, object], max_tries: int = 100):
@@ -59,23 +61,30 @@ class RejectionSampler(Sampler):
 
     def draw(self, bn: BayesNet, at: DataFrame, seed: int = 0) -> DataFrame:
         """(key, names) of the first attempt that agrees, for each key of at."""
-        path, left, found, begin, many = new_path(at.sparkSession, "rejection"), at.select("key"), None, 0, FIRST_TRIES
-        while True:
+        spark, held = at.sparkSession, {n: v for n, v in self.evidence.items() if n in bn.cpds}
+        path, left, found, begin, many = new_path(spark, "rejection"), at.select("key"), None, 0, FIRST_TRIES
+        needed = bn.dag.ancestors(set(held)) | set(held)
+        roots = {n: v for n, v in held.items() if not bn.cpds[n].parents}
+        first, rest = BayesNet(bn.cpds[n] for n in roots), BayesNet(bn.cpds[n] for n in bn.names if n in needed)
+        # not a filter, which Spark would move below the draws with a copy of each wherever it is mentioned
+        agrees = reduce(lambda a, b: a & b, (F.col(n) == F.lit(v) for n, v in held.items() if n not in roots), F.lit(True))
+        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # keys are few bytes, draws take long
+        while begin < self.max_tries:
             end = min(self.max_tries, begin + many)
-            tries = left.select("key", F.explode(F.sequence(F.lit(begin), F.lit(end - 1))).alias("_try"))
-            hits = consistent(drawn(bn, tries, seed, attempt=F.col("_try")), self.evidence)
-            hits = hits.groupBy("key").agg(F.min(F.struct("_try", *bn.names)).alias("_s")).select("key", *(F.col(f"_s.{n}").alias(n) for n in bn.names))
-            if end == self.max_tries:
-                return hits if found is None else found.unionByName(hits)
+            tries = left.repartition(tasks, "key").select("key", F.explode(F.sequence(F.lit(begin), F.lit(end - 1))).alias("_try"))
+            tries = consistent(drawn(first, tries, seed, attempt=F.col("_try")), roots).select("key", "_try")
+            hits = drawn(rest, tries, seed, attempt=F.col("_try")).groupBy("key").agg(F.min(F.when(agrees, F.col("_try"))).alias("_try")).filter("_try IS NOT NULL")
             hits.write.parquet(f"{path}/hits-{begin}")
-            hits = at.sparkSession.read.schema(hits.schema).parquet(f"{path}/hits-{begin}")
+            hits = spark.read.schema(hits.schema).parquet(f"{path}/hits-{begin}")
             found = hits if found is None else found.unionByName(hits)
-            agreed = hits.select(F.col("key").alias("_agreed"))
-            left.join(agreed, F.col("key").eqNullSafe(F.col("_agreed")), "left_anti").write.parquet(f"{path}/left-{begin}")
-            left = at.sparkSession.read.schema(left.schema).parquet(f"{path}/left-{begin}")
-            if not left.limit(1).count():
-                return found
+            if end < self.max_tries:
+                agreed = hits.select(F.col("key").alias("_agreed"))
+                left.join(agreed, F.col("key").eqNullSafe(F.col("_agreed")), "left_anti").write.parquet(f"{path}/left-{begin}")
+                left = spark.read.schema(left.schema).parquet(f"{path}/left-{begin}")
+                if not left.limit(1).count():
+                    break
             begin, many = end, 4 * many
+        return drawn(bn, found, seed, attempt=F.col("_try")).select("key", *bn.names)
 
     def sample(self, spark, bn, n, seed=0):
         return self.draw(bn, keys(spark, n), seed).select(*bn.names)

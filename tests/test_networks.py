@@ -719,3 +719,26 @@ def test_many_families_are_counted_in_packed_numbers(spark):
     bad = {f"v{i}": 2 for i in range(20)}
     with pytest.raises(Exception, match="out of 1..2"):
         counts.family_counts(counts.counted(rows.drop("n"), names, bad), DAG(names), bad).collect()
+
+
+def test_draws_of_few_states_are_compiled(spark):
+    """Sums of comparisons, without a function called for each entry; the same states as by search."""
+    from credence.functions.math import pick
+    from credence.operators.distributions import cumulative
+
+    bn = BayesNet([DiscreteCPD("a", [0.25, 0.0, 0.75]), DiscreteCPD("b", [[0.5, 0.5], [0.0, 1.0], [1.0, 0.0]], ["a"], [3]), DiscreteCPD("c", [1 / 20] * 20), DiscreteCPD("d", [1.0])])
+    rows = sampling.drawn(bn, sampling.keys(spark, 500), 4)
+    for n in "ab":
+        flat = F.array(*(F.array(*map(F.lit, cumulative(p))) for p in bn[n].probs))
+        rows = rows.withColumn(f"{n}_want", pick(F.get(flat, F.lit(0) if n == "a" else F.col("a") - 1), uniform(F.col("key"), f"4|{n}")))
+    assert rows.filter("a <> a_want OR b <> b_want OR d <> 1 OR a = 2 OR a IS NULL OR b IS NULL").count() == 0
+    assert "lambdafunction" not in sampling.drawn(BayesNet([bn["a"], bn["b"]]), sampling.keys(spark, 5))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rejection_tests_its_evidence_once_a_draw(spark, monkeypatch):
+    """Keys are dealt out before attempts are drawn, evidence and ancestors alone are drawn for each, the rest for rows that are kept."""
+    drawn, seen = sampling.drawn, []
+    monkeypatch.setattr(sampling, "drawn", lambda bn, at, *a, **k: seen.append((bn.names, at.rdd.getNumPartitions())) or drawn(bn, at, *a, **k))
+    bn = BayesNet([DiscreteCPD("a", [0.5, 0.5]), DiscreteCPD("b", [[0.9, 0.1], [0.2, 0.8]], ["a"], [2]), DiscreteCPD("c", [[0.9, 0.1], [0.2, 0.8]], ["b"], [2])])
+    assert sampling.RejectionSampler({"b": 2}, 4).draw(bn, sampling.keys(spark, 50).coalesce(1)).filter("b = 2").count() > 10
+    assert [names for names, _ in seen] == [[], ["a", "b"], ["a", "b", "c"]] and seen[1][1] >= 4
