@@ -141,7 +141,7 @@ def weighted_pick(rows: DataFrame, picks: int = 1, seed: int = 0, buckets: int =
     def near(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.count() <= PICK_BROADCAST else df
 
-    rows = rows.filter(F.col("key").isNotNull() & (F.col(POTENTIAL) > 0) & (F.col(POTENTIAL) < float("inf")))
+    rows = stored(rows, "rows").filter(F.col("key").isNotNull() & (F.col(POTENTIAL) > 0) & (F.col(POTENTIAL) < float("inf")))
     span = rows.agg(F.min("key").alias("lo"), F.max("key").alias("hi")).first()
     goals = keys(spark, picks).select(F.col("key").alias("pick"), uniform(F.col("key"), f"{seed}|pick").alias("_u"), F.lit(0).cast("long").alias("_b"))
     if span["lo"] is None:

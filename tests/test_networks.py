@@ -742,3 +742,10 @@ def test_rejection_tests_its_evidence_once_a_draw(spark, monkeypatch):
     bn = BayesNet([DiscreteCPD("a", [0.5, 0.5]), DiscreteCPD("b", [[0.9, 0.1], [0.2, 0.8]], ["a"], [2]), DiscreteCPD("c", [[0.9, 0.1], [0.2, 0.8]], ["b"], [2])])
     assert sampling.RejectionSampler({"b": 2}, 4).draw(bn, sampling.keys(spark, 50).coalesce(1)).filter("b = 2").count() > 10
     assert [names for names, _ in seen] == [[], ["a", "b"], ["a", "b", "c"]] and seen[1][1] >= 4
+
+
+def test_picks_make_their_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+    mark = F.udf(lambda k: made.add(1) or 1.0, "double").asNondeterministic()
+    rows = sampling.keys(spark, 300).withColumn("potential", mark("key"))
+    assert sampling.weighted_pick(rows, 20, buckets=4).count() == 20 and made.value == 300
