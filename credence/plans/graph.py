@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import new_path
@@ -186,42 +189,78 @@ def depths(edges: DataFrame) -> DataFrame:
     return out
 
 
+def _asked(path: str, *parts: DataFrame) -> DataFrame:
+    """(_asked, part, bit): the different questions, numbered; 64 of one part have a bit each of a whole number."""
+    every = _written(reduce(DataFrame.union, (df.select(F.col("question").alias("_asked")) for df in parts)).distinct(), f"{path}/questions")
+    dealt = every.repartition(1 + every.count() // 1_000_000).withColumn("id", F.monotonically_increasing_id())
+    return _written(dealt.select("_asked", F.shiftright("id", 6).alias("part"), F.expr("shiftleft(1L, CAST(id & 63 AS INT))").alias("bit")), f"{path}/asked")
+
+
+@contextmanager
+def _moves(e: DataFrame, path: str) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """(node, next) to parents and to children, laid down in buckets by node: joins with them deal out the other side alone."""
+    spark, made = e.sparkSession, []
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    try:
+        for way, (at, to) in {"up": ("child", "parent"), "down": ("parent", "child")}.items():
+            made.append(f"credence_{way}_{uuid.uuid4().hex}")
+            e.select(F.col(at).alias("node"), F.col(to).alias("next")).repartition(n, "node").write.bucketBy(n, "node").option("path", f"{path}/{way}").saveAsTable(made[-1])
+        yield tuple(map(spark.table, made))
+    finally:
+        for name in made:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def connected(edges: DataFrame, starts: DataFrame, given: DataFrame) -> DataFrame:
     """(question, node): all nodes that an active trail joins to one of a question's starts, its evidence left out.
 
-    starts, given: (question, node); the starts themselves are in the answer unless they are evidence. The frontier holds (question,
-    node, way in which the trail came): only new ones go a step on, until none is, and each round is written. Evidence and its
-    ancestors, which open colliders, are marked first. Many questions go at once; a state is met once, however many trails lead to it.
+    starts, given: (question, node); the starts themselves are in the answer unless they are evidence. A node's row has a bit for each of
+    64 questions, for trails that came up to it and down to it. Only new bits go a step on, until there are none, and each round is
+    written. Evidence and its ancestors, which open colliders, are marked first. The edges are dealt out by node once.
     """
     path = new_path(edges.sparkSession, "connected")
-    e = edges.select("parent", "child").filter("parent IS NOT NULL AND child IS NOT NULL").distinct()
-    moves = e.select(F.col("child").alias("node"), F.col("parent").alias("next"), F.lit(True).alias("up"))
-    moves = _written(moves.union(e.select("parent", "child", F.lit(False))), f"{path}/moves")
-    held = _written(given.select("question", "node").filter("node IS NOT NULL").distinct(), f"{path}/given")
-
-    level, opened, k = held, held, 0
-    while level.limit(1).count():
-        k += 1
-        above = level.join(moves.filter("up"), "node").select("question", F.col("next").alias("node")).distinct()
-        level = _written(above.join(opened, ["question", "node"], "left_anti"), f"{path}/opened/{k}")
-        opened = opened.union(level)
-    marks = opened.join(held.withColumn("held", F.lit(True)), ["question", "node"], "left").select("question", "node", F.coalesce("held", F.lit(False)).alias("held"))
-    marks = _written(marks, f"{path}/marks")
-
-    def marked(states):
-        return states.join(marks, ["question", "node"], "left")
-
-    first = starts.select("question", "node").filter("node IS NOT NULL").distinct().withColumn("up", F.lit(True))
-    level, k = _written(marked(first).filter("NOT coalesce(held, FALSE)"), f"{path}/0"), 0
-    found = level
-    while level.limit(1).count():
-        k += 1
-        free, collider = "NOT coalesce(s.held, FALSE)", "s.held IS NOT NULL"
-        step = level.alias("s").join(moves.alias("m"), "node").filter(f"CASE WHEN m.up AND NOT s.up THEN {collider} ELSE {free} END")
-        new = step.select("question", F.col("m.next").alias("node"), F.col("m.up").alias("up")).distinct()
-        level = _written(marked(new.join(found, ["question", "node", "up"], "left_anti")), f"{path}/{k}")
-        found = found.union(level)
-    return found.filter("NOT coalesce(held, FALSE)").select("question", "node").distinct()
+    e = _written(edges.select("parent", "child").filter("parent IS NOT NULL AND child IS NOT NULL").distinct(), f"{path}/edges")
+    asked = _asked(path, starts, given)
+
+    def bits(df: DataFrame) -> DataFrame:
+        few = df.select("question", "node").filter("node IS NOT NULL").join(asked, F.col("question").eqNullSafe(F.col("_asked")))
+        return few.groupBy("part", "node").agg(F.bit_or("bit").alias("m"))
+
+    def step(level: DataFrame, moves: DataFrame, m: str) -> DataFrame:
+        return level.filter(f"{m} <> 0").select("part", "node", F.col(m).alias("m")).hint("shuffle_hash").join(moves, "node").select("part", F.col("next").alias("node"), "m")
+
+    def merged(**parts: tuple[DataFrame, list[str]]) -> DataFrame:
+        """Rows of several tables by node, in one pass: no table is sorted to be joined."""
+        names = [f"{k}_{c}" for k, (_, cs) in parts.items() for c in cs]
+        rows = [df.select("part", "node", *(F.col(n.split("_")[1]).alias(n) if n in {f"{k}_{c}" for c in cs} else F.lit(0).cast("long").alias(n) for n in names)) for k, (df, cs) in parts.items()]
+        return reduce(DataFrame.union, rows).groupBy("part", "node").agg(*(F.bit_or(n).alias(n) for n in names))
+
+    with _moves(e, path) as (up, down):
+        held = level = opened = _written(bits(given), f"{path}/held")
+        k = 0
+        while level.limit(1).count():
+            k += 1
+            new = merged(new=(step(level, up, "m"), ["m"]), old=(opened, ["m"])).select("part", "node", F.expr("new_m & ~old_m").alias("m")).filter("m <> 0")
+            level = _written(new, f"{path}/opened/{k}")
+            opened = opened.union(level)
+        marks = _written(merged(held=(held, ["m"]), open=(opened, ["m"])).select("part", "node", F.col("held_m").alias("h"), F.col("open_m").alias("o")), f"{path}/marks")
+
+        def onward(u: str, d: str) -> list[Column]:
+            """Trails that came up go on both ways unless the node is evidence, those that came down go on down then, and up from an open collider."""
+            return ["part", "node", F.expr(u).alias("u"), F.expr(d).alias("d"), F.col("mark_h").alias("h"), F.expr(f"({u} & ~mark_h) | ({d} & mark_o)").alias("up"), F.expr(f"({u} | {d}) & ~mark_h").alias("down")]
+
+        first = merged(new=(bits(starts), ["m"]), mark=(marks, ["h", "o"])).filter("new_m & ~mark_h <> 0")
+        level, k = _written(first.select(*onward("(new_m & ~mark_h)", "0L")), f"{path}/0"), 0
+        found = level
+        while level.limit(1).count():
+            k += 1
+            above, below = step(level, up, "up"), step(level, down, "down")
+            new = merged(up=(above, ["m"]), down=(below, ["m"]), old=(found, ["u", "d"]), mark=(marks, ["h", "o"]))
+            new = new.filter("(up_m & ~old_u) <> 0 OR (down_m & ~old_d) <> 0")
+            level = _written(new.select(*onward("(up_m & ~old_u)", "(down_m & ~old_d)")), f"{path}/{k}")
+            found = found.union(level)
+    met = found.groupBy("part", "node").agg(F.bit_or(F.expr("(u | d) & ~h")).alias("m")).filter("m <> 0")
+    return met.join(F.broadcast(asked) if asked.count() <= 100_000 else asked, "part").filter("m & bit <> 0").select(F.col("_asked").alias("question"), "node")
 
 
 def separated(edges: DataFrame, xs: DataFrame, ys: DataFrame, given: DataFrame) -> DataFrame:

@@ -749,3 +749,23 @@ def test_picks_make_their_rows_once(spark):
     mark = F.udf(lambda k: made.add(1) or 1.0, "double").asNondeterministic()
     rows = sampling.keys(spark, 300).withColumn("potential", mark("key"))
     assert sampling.weighted_pick(rows, 20, buckets=4).count() == 20 and made.value == 300
+
+
+def _random_dag(seed: int, nodes: int = 14) -> DAG:
+    made = np.random.default_rng(seed)
+    return DAG([f"n{i}" for i in range(nodes)], [(f"n{a}", f"n{b}") for a, b in combinations(range(nodes), 2) if made.random() < 0.2])
+
+
+def test_connected_keeps_a_row_a_node_for_many_questions(spark, monkeypatch, tmp_path):
+    from credence.plans import graph
+
+    monkeypatch.setattr(graph, "new_path", lambda spark, label: f"file://{tmp_path}/{label}")
+    dag, made = _random_dag(4), np.random.default_rng(6)
+    starts = [(q, str(made.choice(dag.names))) for q in range(70)]
+    given = [(q, str(n)) for q in range(70) for n in made.choice(dag.names, 3, replace=False)]
+    got = graph.connected(dag.edge_frame(spark), spark.createDataFrame(starts, "question int, node string"), spark.createDataFrame(given, "question int, node string"))
+    held = {q: {n for p, n in given if p == q} for q in range(70)}
+    want = {(q, n) for q, s in starts for n in dag.names if s not in held[q] and n not in held[q] and not dag.separated([s], [n], held[q])}
+    assert sorted((r["question"], r["node"]) for r in got.collect()) == sorted(want)
+    assert max(spark.read.parquet(f"file://{tmp_path}/connected/{k}").count() for k in (0, 1, 2)) <= 2 * len(dag.names)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("credence_")]
