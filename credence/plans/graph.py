@@ -142,10 +142,14 @@ def neighbor_pairs(edges: DataFrame) -> DataFrame:
 
 
 def blanket_pairs(edges: DataFrame) -> DataFrame:
-    """(node, other): parents, children and the children's other parents."""
+    """(node, other): parents, children and the children's other parents. A pair is made and told apart once, then given both ways."""
     e = edges.select("parent", "child").distinct()
-    mates = e.select(F.col("parent").alias("node"), "child").join(e, "child").select("node", F.col("parent").alias("near")).filter("node <> near")
-    return neighbor_pairs(e).union(mates).distinct().withColumnRenamed("near", "other")
+    turned = F.coalesce(F.col("parent") > F.col("child"), F.col("child").isNull())  # nulls first
+    near = e.select(F.when(turned, F.col("child")).otherwise(F.col("parent")).alias("low"), F.when(turned, F.col("parent")).otherwise(F.col("child")).alias("high"))
+    mates = e.select(F.col("parent").alias("low"), "child").join(e.select(F.col("parent").alias("high"), "child"), "child").filter("low < high").select("low", "high")
+    way = lambda a, b: F.struct(F.col(a).alias("node"), F.col(b).alias("other"))
+    both = F.when(F.col("low").eqNullSafe(F.col("high")), F.array(way("low", "high"))).otherwise(F.array(way("low", "high"), way("high", "low")))
+    return near.union(mates).distinct().select(F.inline(both))
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:

@@ -769,3 +769,14 @@ def test_connected_keeps_a_row_a_node_for_many_questions(spark, monkeypatch, tmp
     assert sorted((r["question"], r["node"]) for r in got.collect()) == sorted(want)
     assert max(spark.read.parquet(f"file://{tmp_path}/connected/{k}").count() for k in (0, 1, 2)) <= 2 * len(dag.names)
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("credence_")]
+
+
+def test_blankets_tell_pairs_apart_once(spark):
+    from credence.plans import graph
+
+    dag = _random_dag(7)
+    got = graph.blanket_pairs(dag.edge_frame(spark))
+    assert sorted(map(tuple, got.collect())) == sorted((n, m) for n in dag.names for m in dag.markov_blanket(n))
+    assert "inline" in got._jdf.queryExecution().executedPlan().toString()
+    odd = spark.createDataFrame([("a", None), (None, "a"), ("b", "b"), ("b", "a")], "parent string, child string")
+    assert sorted(map(str, graph.blanket_pairs(odd).collect())) == sorted(map(str, [*odd.selectExpr("parent node", "child other").filter("node IS NULL OR other IS NULL OR node <> other").collect(), *spark.createDataFrame([("a", "b"), ("b", "b"), ], "node string, other string").collect()]))
