@@ -158,18 +158,25 @@ def _written(df: DataFrame, path: str) -> DataFrame:
 
 
 def descendant_pairs(edges: DataFrame) -> DataFrame:
-    """(node, below): every node that another one reaches. Only pairs that are new go a step on, until none is; each round is written."""
+    """(node, below): every node that another one reaches. Only new pairs that end in a node with children (goes) go a step on, until
+    none is left; each round is written. Steps are the edges of nodes that have parents too, and new pairs are held against those of
+    nodes that reach further than their children alone."""
     path = new_path(edges.sparkSession, "descendants")
-    e = _written(edges.select("parent", "child").distinct(), f"{path}/edges")
-    step = e.select(F.col("parent").alias("below"), F.col("child").alias("next"))
-    level = e.select(F.col("parent").alias("node"), F.col("child").alias("below"))
-    found, k = level, 0
-    while level.limit(1).count():
+    near = lambda df: F.broadcast(df) if df.count() <= 100_000 else df
+    e = edges.select("parent", "child").distinct()
+    goes = e.select(F.col("parent").alias("child")).distinct().withColumn("goes", F.lit(True))
+    e = _written(e.join(goes, "child", "left").select("parent", "child", F.coalesce("goes", F.lit(False)).alias("goes")), f"{path}/edges")
+    inner = _written(e.filter("goes").select(F.col("child").alias("parent")).distinct(), f"{path}/inner")
+    step = _written(e.join(near(inner), "parent", "left_semi").select(F.col("parent").alias("below"), F.col("child").alias("next"), F.col("goes").alias("on")), f"{path}/steps")
+    far = _written(e.filter("goes").select("parent").distinct(), f"{path}/far")
+    found = level = e.select(F.col("parent").alias("node"), F.col("child").alias("below"), "goes")
+    old, k = _written(e.join(near(far), "parent", "left_semi").select(F.col("parent").alias("node"), F.col("child").alias("below")), f"{path}/old"), 0
+    while level.filter("goes").limit(1).count():
         k += 1
-        level = level.join(step, "below").select("node", F.col("next").alias("below")).distinct()
-        level = _written(level.join(found, ["node", "below"], "left_anti"), f"{path}/{k}")
-        found = found.union(level)
-    return found
+        new = level.filter("goes").join(step, "below").select("node", F.col("next").alias("below"), F.col("on").alias("goes")).distinct()
+        level = _written(new.join(old, ["node", "below"], "left_anti"), f"{path}/{k}")
+        found, old = found.unionByName(level.select(*found.columns)), old.union(level.select("node", "below"))
+    return found.select("node", "below")
 
 
 def depths(edges: DataFrame) -> DataFrame:

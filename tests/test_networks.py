@@ -780,3 +780,14 @@ def test_blankets_tell_pairs_apart_once(spark):
     assert "inline" in got._jdf.queryExecution().executedPlan().toString()
     odd = spark.createDataFrame([("a", None), (None, "a"), ("b", "b"), ("b", "a")], "parent string, child string")
     assert sorted(map(str, graph.blanket_pairs(odd).collect())) == sorted(map(str, [*odd.selectExpr("parent node", "child other").filter("node IS NULL OR other IS NULL OR node <> other").collect(), *spark.createDataFrame([("a", "b"), ("b", "b"), ], "node string, other string").collect()]))
+
+
+def test_descendants_step_along_inner_edges_alone(spark, monkeypatch, tmp_path):
+    from credence.plans import graph
+
+    monkeypatch.setattr(graph, "new_path", lambda spark, label: f"file://{tmp_path}/{label}")
+    dag = _random_dag(9)
+    got = graph.descendant_pairs(dag.edge_frame(spark))
+    assert sorted(map(tuple, got.collect())) == sorted((n, m) for n in dag.names for m in dag.descendants(n) if m != n)
+    inner = {n for n in dag.names if dag.parents(n) and dag.children(n)}
+    assert {r["below"] for r in spark.read.parquet(f"file://{tmp_path}/descendants/steps").collect()} == inner
